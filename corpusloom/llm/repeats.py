@@ -3,8 +3,8 @@
 A document is an array of symbols. A *window* is ``length`` consecutive symbols. The rank of a position at length L is a 64-bit name of the L symbols from there; names double as in prefix doubling, name(i, 2L) = mix(name(i, L), name(i + L, L)), up to ``key`` symbols. The least of the names at length ``key`` within a window is its *anchor*: equal windows have equal anchors at equal offsets, so a window whose anchor is unique is unique, and all consecutive windows with one anchor travel as one row, a *run*. That is what keeps the sort small: about 2 / (length - key + 2) rows for each position, and rows of unique names drop out at once.
 
 1. ``runs_of``: rows (name of the anchor, digest of the whole run, document, first and last window). Within an Arrow batch equal runs are folded: all but the earliest are known to repeat and don't travel. A batch that meets several different runs with one anchor sends one mark instead of them. So no name has more rows than there are batches, however often it occurs.
-2. ``settle_runs``: Spark sorts the rows by name, digest and position. A run whose name has no other row is unique. Among equal runs all but the earliest repeat. Where one name has several different runs, their windows go on to round 3.
-3. ``windows_of`` and ``settle_windows``: the windows of those runs, named at their full length (two names of doubled length that overlap, and an independent digest of the symbols themselves: 128 bits), are folded within batches, sorted and settled in the same way.
+2. ``settle``: Spark sorts the rows by name, digest and position. A run whose name has no other row is unique. Among equal runs all but the earliest repeat. Where one name has several different runs, they go on to round 3.
+3. ``pieces_of``: those runs are cut into pieces of 8 windows by their distance from the anchor, and a piece is named by the symbols that all its windows share (two names of doubled length that overlap); ``settle`` again, so that unique names drop out and equal pieces are settled at once. Pieces that still differ are cut into single windows, named at their full length, and settled. Names and digests are independent, so two windows are taken for equal by 128 bits.
 
 What comes out are ranges of windows (document, first, last) that repeat an earlier one.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import map_batches, materialize, ragged, texts_of
 
 RUN, MARK, REPEAT, SPLIT = 0, 1, 2, 3
+PIECES = (8, 1)
 ROWS = "name long, digest long, doc long, first long, last long, kind int"
 _FIELDS = ["name", "digest", "doc", "first", "last", "kind"]
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -106,6 +107,29 @@ def _joined(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple:
     return doc[at], first[at], np.maximum.reduceat(last, at) if len(at) else last
 
 
+def _fold(name, digest, doc, first, last, offset, within: bool) -> pa.RecordBatch:
+    """The rows that a batch sends on for its runs. ``offset``: of the anchor from the first window; it travels above the two lowest bits of kind."""
+    order = np.lexsort((first, doc, digest, name))
+    name, digest, doc, first, last, offset = (x[order] for x in (name, digest, doc, first, last, offset))
+    by_name, by_run = _changes(name), _changes(name, digest)
+    kept = _earliest(by_run, doc, within)
+    at = np.flatnonzero(by_name)
+    several = np.add.reduceat(by_run.astype(np.int64), at) > 1
+    split = kept & several[np.cumsum(by_name) - 1]
+    one, marks = kept & ~split, at[several]
+    gone = _joined(doc[~kept], first[~kept], last[~kept])
+    # what is settled needs no company of its name: it is spread over all tasks
+    spread = lambda d, x: mix(d.astype(np.uint64), x.astype(np.uint64))
+    none = lambda n: np.zeros(n, np.int64)
+    parts = [
+        (name[one], digest[one], doc[one], first[one], last[one], RUN | offset[one] << 2),
+        (name[marks], *[none(len(marks))] * 4, np.full(len(marks), MARK)),
+        (spread(gone[0], gone[1]), none(len(gone[0])), *gone, np.full(len(gone[0]), REPEAT)),
+        (spread(doc[split], first[split]), none(split.sum()), doc[split], first[split], last[split], SPLIT | offset[split] << 2),
+    ]
+    return _rows(*(np.concatenate([x.view(np.int64) if x.dtype == np.uint64 else x for x in column]) for column in zip(*parts, strict=True)))
+
+
 def runs_of(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """Rows (``ROWS``) of ``docs`` (doc, text), folded within batches. REPEAT rows are ranges already known to repeat; SPLIT rows runs whose windows must be told apart."""
     width = scheme.length - scheme.key + 1
@@ -126,26 +150,7 @@ def runs_of(docs: DataFrame, scheme: Scheme) -> DataFrame:
         size, raw, hash_ = s.dtype.itemsize, memoryview(s).cast("B"), xxhash.xxh3_64_intdigest
         ends = last + scheme.length
         digest = np.array([hash_(raw[i * size : j * size], k) for i, j, k in zip(first.tolist(), ends.tolist(), (anchor - first).tolist(), strict=True)], np.uint64)
-        name, doc = names[anchor], ids[row]
-        first, last = first - offsets[row], last - offsets[row]
-        order = np.lexsort((first, doc, digest, name))
-        name, digest, doc, first, last = (x[order] for x in (name, digest, doc, first, last))
-        by_name, by_run = _changes(name), _changes(name, digest)
-        kept = _earliest(by_run, doc, scheme.within)
-        at = np.flatnonzero(by_name)
-        several = np.add.reduceat(by_run.astype(np.int64), at) > 1
-        split = kept & several[np.cumsum(by_name) - 1]
-        one, marks = kept & ~split, at[several]
-        gone = _joined(doc[~kept], first[~kept], last[~kept])
-        spread = lambda d, x: mix(d.astype(np.uint64), x.astype(np.uint64))
-        parts = [
-            (name[one], digest[one], doc[one], first[one], last[one], RUN),
-            (name[marks], *[np.zeros(len(marks), np.int64)] * 4, MARK),
-            (spread(gone[0], gone[1]), np.zeros(len(gone[0]), np.int64), *gone, REPEAT),
-            (spread(doc[split], first[split]), np.zeros(split.sum(), np.int64), doc[split], first[split], last[split], SPLIT),
-        ]
-        columns = [np.concatenate([np.asarray(p[i]).view(np.int64) if np.asarray(p[i]).dtype == np.uint64 else np.asarray(p[i]) for p in parts]) for i in range(5)]
-        return _rows(*columns, np.repeat([p[5] for p in parts], [len(p[0]) for p in parts]))
+        return _fold(names[anchor], digest, ids[row], first - offsets[row], last - offsets[row], anchor - first, scheme.within)
 
     return map_batches(docs, f, ROWS)
 
@@ -173,77 +178,61 @@ def sorted_groups(df: DataFrame, f: Callable[..., pa.RecordBatch | None], keys:
     return df.repartition(keys[0]).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def settle_runs(rows: DataFrame, scheme: Scheme, earliest_too: bool = False) -> DataFrame:
-    """(doc, first, last, kind): REPEAT ranges of windows, and SPLIT runs; with ``earliest_too`` also all ``ROWS`` of earliest runs, as RUN rows."""
+def settle(rows: DataFrame, scheme: Scheme, earliest_too: bool = False) -> DataFrame:
+    """Of ``ROWS`` those with kind REPEAT, ranges of windows that repeat an earlier one, and SPLIT, runs to be told apart; with ``earliest_too`` also the earliest runs, as RUN rows."""
 
     def f(name, digest, doc, first, last, kind) -> pa.RecordBatch | None:
-        through = kind >= REPEAT
-        r = kind == RUN
-        by_name = _changes(name)
-        group = np.cumsum(by_name) - 1
-        new = np.zeros(len(name), bool)
-        at = np.flatnonzero(r)
+        code = kind & 3
+        by_name, at = _changes(name), np.flatnonzero(code == RUN)
+        new, kept = np.zeros(len(name), bool), np.zeros(len(name), bool)
         new[at] = _changes(name[at], digest[at])
-        kept = np.zeros(len(name), bool)
         kept[at] = _earliest(new[at], doc[at], scheme.within)
         starts = np.flatnonzero(by_name)
-        several = (np.add.reduceat(new.astype(np.int64), starts) > 1) | np.logical_or.reduceat(kind == MARK, starts)
-        out = np.where(through, kind, np.where(r & ~kept, REPEAT, np.where(kept & several[group], SPLIT, -1)))
+        several = (np.add.reduceat(new.astype(np.int64), starts) > 1) | np.logical_or.reduceat(code == MARK, starts)
+        split = kept & several[np.cumsum(by_name) - 1]
+        out = np.where(code >= REPEAT, kind, np.where(split, kind | SPLIT, np.where((code == RUN) & ~kept, REPEAT, -1)))
         take = out >= 0
-        own = [x[take] for x in (name, digest, doc, first, last, out)]
+        columns = [x[take] for x in (name, digest, doc, first, last, out)]
         if earliest_too:
-            own = [np.concatenate([x, y]) for x, y in zip(own, (name[kept], digest[kept], doc[kept], first[kept], last[kept], np.zeros(kept.sum(), np.int32)), strict=True)]
-        return _rows(*own) if len(own[0]) else None
+            columns = [np.concatenate([x, y[kept]]) for x, y in zip(columns, (name, digest, doc, first, last, kind), strict=True)]
+        return _rows(*columns) if len(columns[0]) else None
 
     return sorted_groups(rows, f, ["name", "digest", "doc", "first"], ROWS)
 
 
-def windows_of(split: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(high, low, doc, first, last): the windows of the runs ``split`` (doc, first, last) of ``docs`` (doc, text), named, and folded within batches; last is -1 but for ranges already known to repeat."""
-    wanted = split.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    half = 1 << (scheme.length - 1).bit_length() - 1
+def pieces_of(split: DataFrame, docs: DataFrame, scheme: Scheme, size: int) -> DataFrame:
+    """``ROWS`` of the SPLIT runs ``split`` of ``docs`` (doc, text), cut into pieces of ``size`` windows by their place from the anchor, and folded within batches.
+
+    A piece's name is that of the symbols that all windows of its place have in common; with a size of 1 that is the window itself.
+    """
+    wanted = split.groupBy("doc").agg(F.collect_list(F.struct("first", "last", F.shiftright("kind", 2).cast("long").alias("offset"))).alias("runs"))
+    core = scheme.length - size + 1
+    half = 1 << (core - 1).bit_length() - 1
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = b.column(0).to_numpy()
-        s, offsets, counts = _batch(scheme, texts_of(b.column(1)))
+        s, offsets, _ = _batch(scheme, texts_of(b.column(1)))
         runs = b.column(2)
-        n = np.diff(runs.offsets.to_numpy())
         flat = runs.flatten()
-        row = np.repeat(np.arange(len(ids)), n)
-        lo, hi = flat.field("first").to_numpy(), flat.field("last").to_numpy()
+        lo, hi, off = (flat.field(k).to_numpy() for k in ("first", "last", "offset"))
+        lo, hi = (x + np.repeat(offsets, np.diff(runs.offsets.to_numpy())) for x in (lo, hi))
+        row = np.repeat(np.arange(len(ids)), np.diff(runs.offsets.to_numpy()))
         each = hi - lo + 1
-        row, first = np.repeat(row, each), np.repeat(lo, each) + ragged(each)
-        at = offsets[row] + first
+        run = np.repeat(np.arange(len(lo)), each)
+        starts = lo[run] + ragged(each)
+        anchor = (lo + off)[run]
+        place = (anchor - starts) // size
+        begin = np.flatnonzero(_changes(run, place))
+        first, last = starts[begin], starts[np.append(begin[1:], len(starts)) - 1]
+        anchor, place, row = anchor[begin], place[begin], row[run[begin]]
         names = names_at(s, half)
-        high = mix(names[at], names[at + scheme.length - half])
-        size, raw, hash_ = s.dtype.itemsize, memoryview(s).cast("B"), xxhash.xxh3_64_intdigest
-        span = scheme.length * size
-        low = np.array([hash_(raw[i : i + span]) for i in (at * size).tolist()], np.uint64)
-        doc = ids[row]
-        order = np.lexsort((first, doc, low, high))
-        high, low, doc, first = (x[order] for x in (high, low, doc, first))
-        kept = _earliest(_changes(high, low), doc, scheme.within)
-        gone = _joined(doc[~kept], first[~kept], first[~kept])
-        spread = mix(gone[0].astype(np.uint64), gone[1].astype(np.uint64))
-        cat = lambda x, y: pa.array(np.concatenate([x.view(np.int64), y.view(np.int64)]))
-        return pa.RecordBatch.from_arrays([cat(high[kept], spread), cat(low[kept], np.zeros(len(gone[0]), np.int64)), cat(doc[kept], gone[0]), cat(first[kept], gone[1]), cat(np.full(kept.sum(), -1), gone[2])], ["high", "low", "doc", "first", "last"])
-
-    return map_batches(docs.join(wanted, "doc").select("doc", "text", "runs"), f, "high long, low long, doc long, first long, last long")
-
-
-def settle_windows(rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """(doc, first, last): the ranges of ``rows`` that repeat an earlier window."""
-
-    def f(high, low, doc, first, last) -> pa.RecordBatch | None:
-        open_ = np.flatnonzero(last < 0)
-        kept = np.zeros(len(high), bool)
-        kept[open_] = _earliest(_changes(high[open_], low[open_]), doc[open_], scheme.within)
-        out = ~kept
-        if not out.any():
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[out], first[out], np.where(last < 0, first, last)[out])], ["doc", "first", "last"])
+        at = anchor - place * size
+        name = mix(mix(names[at], names[at + core - half]), place.astype(np.uint64))
+        width, raw, hash_ = s.dtype.itemsize, memoryview(s).cast("B"), xxhash.xxh3_64_intdigest
+        digest = np.array([hash_(raw[i * width : j * width], k) for i, j, k in zip(first.tolist(), (last + scheme.length).tolist(), (anchor - first).tolist(), strict=True)], np.uint64)
+        return _fold(name, digest, ids[row], first - offsets[row], last - offsets[row], anchor - first, scheme.within)
 
-    return sorted_groups(rows, f, ["high", "low", "doc", "first"], "doc long, first long, last long")
+    return map_batches(docs.join(wanted, "doc").select("doc", "text", "runs"), f, ROWS)
 
 
 def with_row_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -262,9 +251,13 @@ def with_row_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def repeated_ranges(rows: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(doc, ranges): for each document with any, the ranges of windows that repeat an earlier one. ``rows``: what ``settle_runs`` has returned, written; ``docs``: (doc, text)."""
-    later = settle_windows(windows_of(rows.filter(f"kind = {SPLIT}").select("doc", "first", "last"), docs, scheme), scheme)
-    return rows.filter(f"kind = {REPEAT}").select("doc", "first", "last").union(later).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    """(doc, ranges): for each document with any, the ranges of windows that repeat an earlier one. ``rows``: what ``settle`` has returned for its runs, written; ``docs``: (doc, text)."""
+    of = lambda rows, kind: rows.filter(f"(kind & 3) = {kind}").select("doc", "first", "last", "kind")
+    repeated = of(rows, REPEAT)
+    for size in PIECES:
+        rows = settle(pieces_of(of(rows, SPLIT), docs, scheme, size), scheme)
+        repeated = repeated.union(of(rows, REPEAT))
+    return repeated.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
 
 def covered(n: int, ranges: list[dict], length: int) -> np.ndarray:

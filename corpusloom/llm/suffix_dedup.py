@@ -32,8 +32,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Dat
     s = scheme(length, key)
     known, _ = repeats.with_row_ids(docs)
     texts = known.select("doc", "text")
-    rows = materialize(repeats.settle_runs(repeats.runs_of(texts, s), s).select("doc", "first", "last", "kind"))
-    ranges = repeats.repeated_ranges(rows, known.select("doc", "text", "doc_id").select("doc", "text"), s)
+    rows = materialize(repeats.settle(repeats.runs_of(texts, s), s).select("doc", "first", "last", "kind"))
+    ranges = repeats.repeated_ranges(rows, texts, s)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[], [], [], []]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, language, media, mixing, pii, sharding, simhash, suffix_dedup, toxicity
+from corpusloom.llm import decontaminate, language, media, mixing, pii, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 
-_QUERIES = [suffix_dedup.op1_suffix_array_dedup, language.op2_language_id, simhash.op4_simhash_near_dedup, sharding.op5_sharding, media.op6_media_columns, mixing.op7_mixing_sources, decontaminate.op8_benchmark_decontamination, toxicity.op9_toxicity, pii.op10_pii]
+_QUERIES = [suffix_dedup.op1_suffix_array_dedup, language.op2_language_id, substring_dedup.op3_substring_dedup, simhash.op4_simhash_near_dedup, sharding.op5_sharding, media.op6_media_columns, mixing.op7_mixing_sources, decontaminate.op8_benchmark_decontamination, toxicity.op9_toxicity, pii.op10_pii]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -178,8 +178,8 @@ def sorted_groups(df: DataFrame, f: Callable[..., pa.RecordBatch | None], keys:
     return df.repartition(keys[0]).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def settle(rows: DataFrame, scheme: Scheme, earliest_too: bool = False) -> DataFrame:
-    """Of ``ROWS`` those with kind REPEAT, ranges of windows that repeat an earlier one, and SPLIT, runs to be told apart; with ``earliest_too`` also the earliest runs, as RUN rows."""
+def settle(rows: DataFrame, scheme: Scheme, remember: bool = False) -> DataFrame:
+    """Of ``ROWS`` those with kind REPEAT, ranges of windows that repeat an earlier one, and SPLIT, runs to be told apart; with ``remember`` also what later rows must be held against: RUN rows of the earliest runs, one MARK for each marked name."""
 
     def f(name, digest, doc, first, last, kind) -> pa.RecordBatch | None:
         code = kind & 3
@@ -188,13 +188,16 @@ def settle(rows: DataFrame, scheme: Scheme, earliest_too: bool = False) -> DataF
         new[at] = _changes(name[at], digest[at])
         kept[at] = _earliest(new[at], doc[at], scheme.within)
         starts = np.flatnonzero(by_name)
-        several = (np.add.reduceat(new.astype(np.int64), starts) > 1) | np.logical_or.reduceat(code == MARK, starts)
+        marked = np.logical_or.reduceat(code == MARK, starts)
+        several = (np.add.reduceat(new.astype(np.int64), starts) > 1) | marked
         split = kept & several[np.cumsum(by_name) - 1]
         out = np.where(code >= REPEAT, kind, np.where(split, kind | SPLIT, np.where((code == RUN) & ~kept, REPEAT, -1)))
         take = out >= 0
         columns = [x[take] for x in (name, digest, doc, first, last, out)]
-        if earliest_too:
-            columns = [np.concatenate([x, y[kept]]) for x, y in zip(columns, (name, digest, doc, first, last, kind), strict=True)]
+        if remember:
+            marks = starts[marked]
+            old = [np.concatenate([x[kept], y]) for x, y in zip((name, digest, doc, first, last, kind), (name[marks], *[np.zeros(len(marks), np.int64)] * 4, np.full(len(marks), MARK)), strict=True)]
+            columns = [np.concatenate(x) for x in zip(columns, old, strict=True)]
         return _rows(*columns) if len(columns[0]) else None
 
     return sorted_groups(rows, f, ["name", "digest", "doc", "first"], ROWS)
@@ -254,7 +257,7 @@ def repeated_ranges(rows: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFra
     """(doc, ranges): for each document with any, the ranges of windows that repeat an earlier one. ``rows``: what ``settle`` has returned for its runs, written; ``docs``: (doc, text)."""
     of = lambda rows, kind: rows.filter(f"(kind & 3) = {kind}").select("doc", "first", "last", "kind")
     repeated = of(rows, REPEAT)
-    for size in PIECES:
+    for size in (p for p in PIECES if p <= scheme.length - scheme.key + 1):
         rows = settle(pieces_of(of(rows, SPLIT), docs, scheme, size), scheme)
         repeated = repeated.union(of(rows, REPEAT))
     return repeated.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))

@@ -1,6 +1,6 @@
 """Language identification by words first, backing off to shorter and shorter character n-grams.
 
-Training takes a bounded sample of rows with a language (``SAMPLE_DOCS``, texts of at most ``MAX_SAMPLE_CHARS`` characters, lowest MD5 of doc_id first) and keeps, for each language, the log frequency of its words and of the 5- to 1-grams of its words. A known word is scored by its own log frequencies. An unseen word is scored by the mean log frequency of its n-grams of the greatest length of which the sample knows any. A text's language is the one with the highest sum; its score is that language's share of the posterior, with the sum scaled to at most ``EVIDENCE`` words so that it stays a probability and not a count of words.
+Training takes a bounded sample of rows with a language (``SAMPLE_DOCS``, texts of at most ``MAX_SAMPLE_CHARS`` characters, lowest hash first) and keeps, for each language, the log frequency of its words and of the 5- to 1-grams of its words. A known word is scored by its own log frequencies. An unseen word is scored by the mean log frequency of its n-grams of the greatest length of which the sample knows any. A text's language is the one with the highest sum; its score is that language's share of the posterior, with the sum scaled to at most ``EVIDENCE`` words so that it stays a probability and not a count of words.
 
 Words are runs of letters, in lower case. Prediction is a map over whole texts with a model bounded by the sample: no shuffle. A worker remembers the scores of at most ``CACHE`` words.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_fold, map_batches, table
+from corpusloom.llm.common import bounded_sample, crc_fold, map_batches, table
 
 #: Bounds of the training sample, and thereby of the model.
 SAMPLE_DOCS, MAX_SAMPLE_CHARS = 6000, 20_000
@@ -102,9 +102,8 @@ class Scorer:
 
 def fit(docs: DataFrame) -> dict:
     """A model of ``docs`` (doc_id, text, lang), of which rows without text or language are left out."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= MAX_SAMPLE_CHARS)).select("doc_id", "lang", "text")
-    rows = usable.orderBy(order, "doc_id", "lang", "text").limit(SAMPLE_DOCS).collect()
+    rows = bounded_sample(usable, SAMPLE_DOCS).collect()
     return train([(r.lang, r.text) for r in rows])
 
 

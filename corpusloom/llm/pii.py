@@ -1,6 +1,6 @@
 """Personal data: fixed patterns, and beyond them a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans.
 
-The labels come from the patterns, over a bounded sample of documents (``SAMPLE_DOCS`` texts of at most ``MAX_SAMPLE_CHARS`` characters that hold a digit or ``@``, lowest MD5 of doc_id first), and from written forms that the patterns don't know, put into windows of the same texts. A window has ``WINDOW`` characters and overlaps its neighbours by half; it is decoded by itself (Viterbi), each character takes the tag of the window in whose middle half it lies, and spans are then read off the whole text, so that none is cut at a window's edge. Every kind holds a digit or ``@``: windows without either are not decoded, and their characters belong to no span.
+The labels come from the patterns, over a bounded sample of documents (``SAMPLE_DOCS`` texts of at most ``MAX_SAMPLE_CHARS`` characters that hold a digit or ``@``, lowest hash first), and from written forms that the patterns don't know, put into windows of the same texts. A window has ``WINDOW`` characters and overlaps its neighbours by half; it is decoded by itself (Viterbi), each character takes the tag of the window in whose middle half it lies, and spans are then read off the whole text, so that none is cut at a window's edge. Every kind holds a digit or ``@``: windows without either are not decoded, and their characters belong to no span.
 
 What the network adds must hold the digits that its kind asks for (Luhn's test for cards) and touch no span of the patterns, which always stay.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_batches, table
+from corpusloom.llm.common import bounded_sample, map_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, MAX_SAMPLE_CHARS, SAMPLE_WINDOWS, EPOCHS = 1500, 20_000, 700, 8
@@ -351,8 +351,8 @@ def all_spans(tagger: Tagger, texts: list[str]) -> list[tuple[list, list]]:
 
 def fit(docs: DataFrame) -> Tagger:
     """A network trained on the bounded sample of ``docs`` (doc_id, text) that the module's docstring names."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    picked = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= MAX_SAMPLE_CHARS)).orderBy(order, "doc_id", "text").limit(SAMPLE_DOCS)
+    usable = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= MAX_SAMPLE_CHARS))
+    picked = bounded_sample(usable, SAMPLE_DOCS)
     x, y = labelled_windows([r.text for r in picked.collect()])
     tagger = Tagger()
     tagger.fit(x, y)
@@ -380,5 +380,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(docs, fit(docs)).drop("text")
     base = F.filter("spans", lambda s: s.base)
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s.base & (s.kind == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda k: F.filter("spans", lambda s: s.base & (s.kind == k))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))

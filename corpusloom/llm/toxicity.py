@@ -1,6 +1,6 @@
 """Toxicity by compression distance: every window of a text is compressed with a zstandard dictionary trained on toxic text and with one trained on ordinary text, and the differences in length are held against calibrated evidence.
 
-Training takes a bounded sample of labelled rows (``SAMPLE`` of each label, texts of at most ``MAX_SAMPLE_CHARS`` characters, lowest MD5 of doc_id first), two thirds for the dictionaries, one third for calibration. A dictionary is filled as zstandard's own trainer fills it, greedily with the segments that cover the most frequent fragments not yet covered; fragments are weighted by how much more documents of the one label hold them than documents of the other, so that both dictionaries don't spend themselves on what all texts share. Both end with the same ordinary text and have the same size, so that a window's two lengths differ by what is particular to a label. Calibration gives each difference a log-likelihood ratio, and a logistic regression over their sums and peaks gives the score.
+Training takes a bounded sample of labelled rows (``SAMPLE`` of each label, texts of at most ``MAX_SAMPLE_CHARS`` characters, lowest hash first), two thirds for the dictionaries, one third for calibration. A dictionary is filled as zstandard's own trainer fills it, greedily with the segments that cover the most frequent fragments not yet covered; fragments are weighted by how much more documents of the one label hold them than documents of the other, so that both dictionaries don't spend themselves on what all texts share. Both end with the same ordinary text and have the same size, so that a window's two lengths differ by what is particular to a label. Calibration gives each difference a log-likelihood ratio, and a logistic regression over their sums and peaks gives the score.
 
 Scoring is a map over whole texts with a model of a few kilobytes: no shuffle, bounded memory.
 
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_fold, map_batches, table, texts_of
+from corpusloom.llm.common import bounded_sample, crc_fold, map_batches, table, texts_of
 
 #: Bounds of the training sample: rows of each label, characters of a text.
 SAMPLE, MAX_SAMPLE_CHARS = {1: 2500, 0: 5000}, 32_768
@@ -148,11 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
     count = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sum(count.values()):
         return Model()
-    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    picked = [known.filter(f"toxic = {k}").orderBy(order, "doc_id").limit(n) for k, n in sorted(sample.items())]
+    picked = [bounded_sample(known.filter(f"toxic = {k}"), n) for k, n in sorted(sample.items())]
     ids = F.broadcast(picked[0].union(picked[1]))
     texts = docs.select("doc_id", "text").filter(F.length("text") <= MAX_SAMPLE_CHARS).join(ids, "doc_id")
-    rows = texts.select(order.alias("o"), "doc_id", "text", "toxic").distinct().collect()
+    rows = texts.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("o"), "doc_id", "text", "toxic").distinct().collect()
     return train([(r.text.encode(), r.toxic) for r in sorted(rows)], count.get(1, 0) / sum(count.values()))
 
 

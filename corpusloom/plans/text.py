@@ -1 +1,94 @@
-"""See README.md."""
+"""Text functions, over made texts where the corpus itself has none of what they look for."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.catalog import query
+from corpusloom.functions import text as x
+
+
+@query("F1 F2", "SELECT doc_id, sha256(text) AS source_hash, sha256(regexp_replace(lower(regexp_replace(text, '\\s+', ' ', 'g')), '^\\s+|\\s+$', '', 'g')) AS normalized_hash FROM documents")
+def norm_hash(t):
+    return t("documents").select("doc_id", x.sha256(F.col("text")).alias("source_hash"), x.sha256(x.squeeze(F.col("text"))).alias("normalized_hash"))
+
+
+@query("F3 F4 F8 F9", """WITH g AS (SELECT p_partkey, concat('load 0:', p_size % 9, 'S þ ð', p_name, 'Þ coeﬃcient ', p_size % 7, ':', p_size % 5) AS raw FROM part)
+ SELECT p_partkey, regexp_matches(raw, '[þðÞÐﬁﬂﬀﬃﬄ]|\\b[0-9]+:[0-9]') AS suspect, regexp_replace(replace(replace(replace(replace(raw, 'þ', '+'), 'ð', '('), 'Þ', ')'), 'ﬃ', 'ffi'), '([0-9]):([0-9])', '\\1.\\2', 'g') AS fixed FROM g""")
+def glyph_fix(t):
+    raw = F.concat(F.lit("load 0:"), F.col("p_size") % 9, F.lit("S þ ð"), "p_name", F.lit("Þ coeﬃcient "), F.col("p_size") % 7, F.lit(":"), F.col("p_size") % 5)
+    return t("part").select("p_partkey", x.has_glyph_artifacts(raw).alias("suspect"), x.fix_colons(x.fix_glyphs(raw)).alias("fixed"))
+
+
+@query("F5 F7", """SELECT p_partkey, regexp_replace(concat('1.', p_size, '  SCOPE of ', upper(p_brand), '  the body'), '(?i)^\\s*1\\.' || p_size || '\\s+scope\\s+of\\s+' || p_brand || '\\s*', '') AS body,
+ CASE WHEN p_size % 2 = 0 THEN concat(p_size, '. 1.2D + 1.6 L_r + S_DS + K_zt W_T') ELSE concat('Prose of Lr + SDS ', p_size) END AS formula FROM part""")
+def heading_and_subscripts(t):
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("1."), size, F.lit("  SCOPE of "), F.upper("p_brand"), F.lit("  the body"))
+    formula = F.when(F.col("p_size") % 2 == 0, F.concat(size, F.lit(". 1.2D + 1.6 Lr + SDS + Kzt WT"))).otherwise(F.concat(F.lit("Prose of Lr + SDS "), size))
+    return t("part").select("p_partkey", x.strip_heading(text, F.concat(F.lit("1."), size), F.concat(F.lit("Scope of "), "p_brand", F.lit(" :"))).alias("body"), x.restore_subscripts(formula).alias("formula"))
+
+
+@query("F6 F10 F26 D12")
+def normalize_texts(t):
+    """Raw text, the normalized one and its hash, as a backfill writes them. Held against its micro-fixtures in tests/test_text.py."""
+    raw = F.concat(F.lit("1.1 SCOPE\nThe design wind loads for build-\ning\n\n1a. D þ 0:7S ð Lr Þ\n(a) "), "text")
+    d = t("documents").select("doc_id", raw.alias("full_text_raw"), x.normalize(raw, F.lit("1.1"), F.lit("Scope")).alias("full_text"))
+    return d.withColumn("source_hash", x.sha256(F.col("full_text_raw"))).withColumn("normalized_hash", x.sha256(x.squeeze(F.col("full_text"))))
+
+
+@query("F11 F12 F19 F25 F20", """WITH n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Chapter ' || p_size WHEN 1 THEN '26.' || p_size || '.2' WHEN 2 THEN 'A.' || p_size ELSE CAST(p_size AS VARCHAR) END AS num, p_name FROM part)
+ SELECT p_partkey, num AS number, p_name AS title, CAST(CASE WHEN num LIKE 'Chapter%' THEN 0 ELSE length(num) - length(replace(num, '.', '')) END AS INTEGER) AS depth, CASE WHEN num LIKE 'Chapter %' THEN num ELSE split_part(num, '.', 1) END AS chapter,
+ regexp_replace(regexp_replace(num, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, '7.' || num AS path FROM n""")
+def number_parts(t):
+    """Number and title of a heading, and what follows from the number."""
+    size = F.col("p_size").cast("string")
+    k = F.col("p_partkey") % 4
+    num = F.when(k == 0, F.concat(F.lit("Chapter "), size)).when(k == 1, F.concat(F.lit("26."), size, F.lit(".2"))).when(k == 2, F.concat(F.lit("A."), size)).otherwise(size)
+    heading = F.concat(F.lit(" "), num, F.lit(" "), "p_name")
+    pattern = r"^\s*((?:Chapter|CHAPTER|Part|PART|Appendix|APPENDIX)\s+[A-Z0-9IVX]+|[A-Z]\.\d+(?:\.\d+)*|\d+(?:\.\d+)+|\d+)\s+(.*)$"
+    d = t("part").select("p_partkey", F.regexp_extract(heading, pattern, 1).alias("number"), F.regexp_extract(heading, pattern, 2).alias("title"))
+    n = F.col("number")
+    return d.select("*", x.depth_of(n).alias("depth"), x.chapter_of(n).alias("chapter"), x.slug(n).alias("slug"), F.concat_ws(".", F.lit("7"), n).alias("path"))
+
+
+@query("F17 F18 F21", """WITH s AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Preface' WHEN 1 THEN 'Table ' || p_size WHEN 2 THEN 'Definitions' WHEN 3 THEN 'appendix b' ELSE p_name END AS title, p_size % 3 AS depth, p_name || CASE p_partkey % 5 WHEN 0 THEN ' [SFM] [HCD]' WHEN 1 THEN ' a figure' WHEN 2 THEN ' defined as' ELSE '' END AS body FROM part)
+ SELECT p_partkey, CASE WHEN title = 'Preface' THEN 'front_matter' WHEN lower(title) LIKE 'table %' THEN 'table' WHEN lower(title) LIKE 'appendix %' THEN 'appendix' WHEN contains(lower(title), 'definitions') THEN 'definition' WHEN depth = 0 THEN 'chapter' ELSE 'section' END AS by_title,
+ CASE WHEN contains(lower(body), 'table') THEN 'table' WHEN contains(lower(body), 'figure') THEN 'figure' WHEN contains(lower(body), 'defined as') THEN 'definition' ELSE 'section' END AS by_content, CASE WHEN contains(body, '[HCD]') THEN 'HCD' END AS agency FROM s""")
+def section_types(t):
+    k, j = F.col("p_partkey") % 6, F.col("p_partkey") % 5
+    title = F.when(k == 0, "Preface").when(k == 1, F.concat(F.lit("Table "), F.col("p_size").cast("string"))).when(k == 2, "Definitions").when(k == 3, "appendix b").otherwise(F.col("p_name"))
+    body = F.concat("p_name", F.when(j == 0, " [SFM] [HCD]").when(j == 1, " a figure").when(j == 2, " defined as").otherwise(""))
+    return t("part").select("p_partkey", x.section_type(title, F.col("p_size") % 3).alias("by_title"), x.content_type(body).alias("by_content"), x.amendment(body).alias("agency"))
+
+
+@query("F28 F31", """SELECT o_orderkey, CASE WHEN n = 0 THEN '—' WHEN n < 1024 THEN CASE WHEN n >= 10 THEN format('{:.0f}', n::DOUBLE) ELSE format('{:.1f}', n::DOUBLE) END || ' B' WHEN n < 1048576 THEN CASE WHEN n / 1024 >= 10 THEN format('{:.0f}', n / 1024) ELSE format('{:.1f}', n / 1024) END || ' KB' ELSE CASE WHEN n / 1048576 >= 10 THEN format('{:.0f}', n / 1048576) ELSE format('{:.1f}', n / 1048576) END || ' MB' END AS size,
+ CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN floor(s / 60 + 0.5)::INT || 'm ago' WHEN s < 86400 THEN floor(s / 3600 + 0.5)::INT || 'h ago' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS age, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso
+ FROM (SELECT *, o_orderkey * o_orderkey * 3 % 90000000 AS n, o_orderkey * 37 % 100000 AS s FROM orders)""")
+def labels_for_people(t):
+    n, s = F.col("o_orderkey") * F.col("o_orderkey") * 3 % 90000000, F.col("o_orderkey") * 37 % 100000
+    return t("orders").select("o_orderkey", x.size_label(n).alias("size"), x.age_label(s, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("age"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+
+
+@query("F29 F30", "SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:2], lambda x: printf('%d', round(x * 1000)::INT)), ',') || ']' AS literal, 'wind | load' AS terms FROM embeddings")
+def vector_text(t):
+    v = F.transform(F.slice("embedding", 1, 2), lambda e: F.round(e.cast("double") * 1000).cast("int"))
+    return t("embeddings").select("vec_id", x.vector_literal(v).alias("literal"), F.array_join(x.query_terms(F.lit("wind  Load wind")), " | ").alias("terms"))
+
+
+@query("J9 D12", """WITH h AS (SELECT doc_id, source, sha256(regexp_replace(lower(regexp_replace(text, '\\s+', ' ', 'g')), '^\\s+|\\s+$', '', 'g')) AS h FROM documents)
+ SELECT a.doc_id, min(b.doc_id) AS canonical FROM h a LEFT JOIN h b ON a.h = b.h AND a.source <> b.source AND b.doc_id < a.doc_id GROUP BY a.doc_id""")
+def canonical_link(t):
+    """The earliest document of another source with the same normalized text. For each text only its earliest document and the earliest one of any other source can be the answer: two numbers, not all pairs."""
+    h = t("documents").select("doc_id", "source", x.sha256(x.squeeze(F.col("text"))).alias("h"))
+    by_source = h.groupBy("h", "source").agg(F.min("doc_id").alias("first"))
+    top = by_source.groupBy("h").agg(F.min(F.struct("first", "source")).alias("a"))
+    second = by_source.join(top, "h").filter("source <> a.source").groupBy("h").agg(F.min("first").alias("b"))
+    found = h.join(top, "h").join(second, "h", "left")
+    other = F.when(F.col("source") != F.col("a.source"), F.col("a.first")).otherwise(F.col("b"))
+    return found.select("doc_id", F.when(other < F.col("doc_id"), other).alias("canonical"))
+
+
+@query("W3", "SELECT h, min(doc_id) AS doc_id FROM (SELECT doc_id, sha256(text) AS h FROM documents) GROUP BY h")
+def first_of_text(t):
+    return t("documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))

@@ -1 +1,62 @@
-"""See README.md."""
+"""Outline trees and reference graphs. The outline: chapters from region, their sections from nation and customer keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.catalog import query
+from corpusloom.operators.outline import ancestors, two_hops, with_parents
+
+
+def outline(t):
+    n = t("nation")
+    chapters = n.filter("n_nationkey < 5").selectExpr("concat('Chapter ', n_nationkey) AS number", "n_name AS title")
+    sections = n.selectExpr("concat(n_regionkey, '.', n_nationkey) AS number", "n_name AS title")
+    parts = t("customer").filter("c_custkey <= 400").join(n, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("concat(n_regionkey, '.', n_nationkey, '.', c_custkey) AS number", "c_name AS title")
+    return chapters.union(sections).union(parts)
+
+
+_OUTLINE = """WITH o AS (SELECT 'Chapter ' || n_nationkey AS number, n_name AS title FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_regionkey || '.' || n_nationkey, n_name FROM nation UNION ALL SELECT n_regionkey || '.' || n_nationkey || '.' || c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= 400),
+tree AS (SELECT number, title, CASE WHEN number LIKE 'Chapter%' THEN NULL WHEN length(number) - length(replace(number, '.', '')) = 1 THEN 'Chapter ' || split_part(number, '.', 1) ELSE split_part(number, '.', 1) || '.' || split_part(number, '.', 2) END AS parent FROM o)"""
+
+
+def _edges(t):
+    return with_parents(outline(t)).select(F.col("number").alias("node"), "parent", "title")
+
+
+@query("G8 J14", _OUTLINE + " SELECT number, title, parent FROM tree")
+def outline_tree(t):
+    return with_parents(outline(t))
+
+
+@query("G9", _OUTLINE + ", s AS (SELECT number FROM tree WHERE number = 'Chapter 1' UNION ALL SELECT number FROM tree WHERE parent = 'Chapter 1' UNION ALL SELECT number FROM tree WHERE parent IN (SELECT number FROM tree WHERE parent = 'Chapter 1')) SELECT number FROM s")
+def subtree(t):
+    """A node and all below it."""
+    return ancestors(_edges(t), 4).filter("ancestor = 'Chapter 1'").select(F.col("node").alias("number"))
+
+
+@query("G10 G15", _OUTLINE + " SELECT a.number, concat_ws(' > ', c.number, b.number, a.number) AS trail FROM tree a LEFT JOIN tree b ON a.parent = b.number LEFT JOIN tree c ON b.parent = c.number")
+def breadcrumbs(t):
+    """The way down to each node."""
+    up = ancestors(_edges(t), 4).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False).alias("way"))
+    return up.select(F.col("node").alias("number"), F.array_join(F.transform("way", lambda s: s.ancestor), " > ").alias("trail"))
+
+
+@query("P18", _OUTLINE + """, hit AS (SELECT number, parent FROM tree WHERE contains(lower(number), '17') OR contains(lower(title), '17'))
+ SELECT number FROM hit UNION SELECT parent FROM hit WHERE parent IS NOT NULL UNION SELECT t.parent FROM hit JOIN tree t ON hit.parent = t.number WHERE t.parent IS NOT NULL""")
+def tree_filter(t):
+    """Nodes that match, and all above them."""
+    edges = _edges(t)
+    hits = edges.filter(F.lower("node").contains("17") | F.lower("title").contains("17")).select("node")
+    return ancestors(edges, 4).join(hits, "node", "left_semi").select(F.col("ancestor").alias("number")).distinct()
+
+
+_EDGES = "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber <= 2), src AS (SELECT DISTINCT l_partkey AS source FROM lineitem WHERE l_orderkey <= 64)"
+
+
+@query("G6 J2 J3 A6", _EDGES + " SELECT source, dst AS id, 1 AS depth FROM src JOIN e ON src = source UNION SELECT s.source, f.dst, 2 FROM src s JOIN e ON e.src = s.source JOIN e f ON f.src = e.dst")
+def two_hop_graph(t):
+    """Part to supplier, and on to the suppliers of the part of that number."""
+    l = t("lineitem")  # noqa: E741
+    edges = l.filter("l_linenumber <= 2").selectExpr("l_partkey AS src", "l_suppkey AS dst").distinct()
+    return two_hops(edges, l.filter("l_orderkey <= 64").selectExpr("l_partkey AS source").distinct())

@@ -1 +1,107 @@
-"""See README.md."""
+"""Versions, merges, reviews, progress and sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.catalog import query
+from corpusloom.operators import lifecycle as life
+from corpusloom.sources import files, web
+
+
+@query("D4 D10 P1", "SELECT o_orderkey, CASE WHEN o_custkey % 10 = 3 AND o_orderstatus <> 'F' THEN '2024-06-01' WHEN o_orderstatus = 'F' THEN '2020-01-01' END AS superseded_date FROM orders")
+def supersede_rows(t):
+    d = t("orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "F", "2020-01-01").alias("superseded_date"))
+    return life.supersede(d, F.col("o_custkey") % 10 == 3, F.lit("2024-06-01")).select("o_orderkey", "superseded_date")
+
+
+@query("D2", """WITH new AS (SELECT o_custkey, o_orderdate, min(o_orderkey) AS id FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL), cur AS (SELECT o_custkey, o_orderdate, min(o_orderkey) AS id FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY ALL)
+ SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS day, id FROM (SELECT * FROM new UNION ALL SELECT * FROM cur WHERE (o_custkey, o_orderdate) NOT IN (SELECT o_custkey, o_orderdate FROM new))""")
+def upsert_latest(t):
+    one = lambda f: t("orders").filter(f).groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderkey").alias("id"))
+    merged = life.upsert(one("o_orderkey % 5 <> 0"), one("o_orderkey % 5 = 0"), ["o_custkey", "o_orderdate"])
+    return merged.select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "id")
+
+
+@query("D3 S1", "SELECT doc_id, sha256(text) AS hash, sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) AS accepted FROM documents WHERE doc_id % 3 <> 0")
+def upload_split(t):
+    h = t("documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return life.split_new(h.filter("doc_id % 3 <> 0"), h.filter("doc_id % 3 = 0"), "hash")
+
+
+@query("D5", "SELECT c_custkey, coalesce(max(o_orderkey), c_custkey + 10000000) AS source_id, max(o_orderkey) IS NULL AS created FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def find_or_create(t):
+    latest = t("orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("id"))
+    return t("customer").join(latest, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("id", F.col("c_custkey") + 10000000).alias("source_id"), F.col("id").isNull().alias("created"))
+
+
+@query("D6 X1", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS phase FROM events GROUP BY user_id")
+def progress_latest(t):
+    return life.latest_progress(t("events"), "user_id", "ts", "event_id", "event_type").select("user_id", "event_id", F.col("event_type").alias("phase"))
+
+
+@query("D1 D7", "SELECT o_custkey, o_orderkey, CAST(coalesce((SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey), 0) + 1 AS BIGINT) AS version FROM orders WHERE o_orderkey < 500")
+def version_append(t):
+    history = t("lineitem").filter("l_orderkey < 500").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("version"))
+    return life.next_versions(t("orders").filter("o_orderkey < 500").select("o_custkey", "o_orderkey"), history, "o_orderkey")
+
+
+@query("D9 P14", "SELECT event_id AS id, CASE WHEN event_id IN (3, 4, 5) THEN '2024-06-01' END AS reviewed_at FROM events WHERE event_type = 'error' AND event_id NOT IN (0, 6, 7)")
+def review_quarantine(t):
+    q = t("events").filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.lit(None).cast("string").alias("reviewed_at"))
+    return life.review(q, [3, 4, 5], [0, 6, 7], F.lit("2024-06-01"))
+
+
+@query("D11", "SELECT conv_id, min(substring(text, 1, 100)) FILTER (turn = 0) AS title, count(*) AS messages, count(*) FILTER (role = 'user') AS asked FROM conversations GROUP BY conv_id")
+def chat_persist(t):
+    """Sessions with their titles, the first hundred characters of the first message."""
+    return t("conversations").groupBy("conv_id").agg(F.min(F.when(F.col("turn") == 0, F.substring("text", 1, 100))).alias("title"), F.count("*").alias("messages"), F.count_if(F.col("role") == "user").alias("asked"))
+
+
+@query("D13", "SELECT (SELECT count(*) FROM orders) > 0 AS refused, (SELECT count(*) FROM region) AS seeds")
+def reseed_guard(t):
+    there = t("orders").limit(1).agg((F.count("*") > 0).alias("refused"), F.lit(0).cast("long").alias("seeds"))
+    return there.unionByName(t("region").agg(F.lit(False).alias("refused"), F.count("*").alias("seeds"))).agg(F.max("refused").alias("refused"), F.sum("seeds").alias("seeds"))
+
+
+@query("P19 D12", "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') AND (n_chars IS NULL OR n_chars > 500 OR lang <> 'en') ORDER BY doc_id LIMIT 40")
+def stale_rows(t):
+    return t("documents").filter("source IN ('src1', 'src2') AND (n_chars IS NULL OR n_chars > 500 OR lang <> 'en')").orderBy("doc_id").limit(40).select("doc_id")
+
+
+@query("S20 X4", "SELECT user_id, string_agg('[' || coalesce(json_extract_string('{\"response\": ' || json_extract_string(props, '$.k') || '}', '$.response'), '') || ']', '' ORDER BY ts, event_id) AS answer FROM events WHERE event_id < 400 GROUP BY user_id")
+def token_stream(t):
+    """Pieces of a line-wise JSON answer, put together in order."""
+    line = F.concat(F.lit('{"response": "'), F.get_json_object("props", "$.k"), F.lit('"}'))
+    pieces = t("events").filter("event_id < 400").select("user_id", "ts", "event_id", F.concat(F.lit("["), files.tokens(line), F.lit("]")).alias("piece"))
+    return pieces.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "piece"))).alias("x")).select("user_id", F.array_join(F.transform("x", lambda p: p.piece), "").alias("answer"))
+
+
+@query("X7 X3 X5", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_progress(t):
+    """The batch form of the streaming extension's windows; tests/test_streaming.py holds the stream against it."""
+    return t("events").groupBy(F.window("ts", "1 hour").start.alias("h"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("h", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
+
+
+@query("S12 U4", """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS title, unnest(range(1, 1 + len(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)))) AS n FROM pages)
+ SELECT page_id, CASE WHEN href LIKE 'http%' THEN href ELSE 'https://codes.example' || href END AS url, arg_min(trim(title), n) AS title FROM l WHERE trim(title) <> '' AND href <> '' GROUP BY ALL""")
+def chapter_links(t):
+    return web.chapter_links(t("pages"))
+
+
+@query("S13 F23 A19")
+def page_texts(t):
+    """The content of web pages; tests/test_web.py holds the parser against made pages."""
+    return t("pages").select("page_id", web.web_text("html").alias("text")).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("S14 F24 F18")
+def page_sections(t):
+    """Sections of web pages, of which the corpus has none of its own: each page gets two."""
+    extra = F.concat("html", F.lit('<div id="sec_1"><h2>'), (F.col("page_id") % 800 + 100).cast("string"), F.lit('.1 Scope</h2><p>This part shall hold for all walls.</p><table><tr><th>a</th><td>b</td></tr></table></div><div id="sec_2"><h3>707.2.1 Loads</h3>Loads are those of chapter 16 of this code.</div>'))
+    return t("pages").select("page_id", F.posexplode(web.web_sections(extra)).alias("at", "s")).select("page_id", "at", "s.number", "s.title", "s.body")
+
+
+@query("T6 A7", "SELECT source, doc_id, n FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS n FROM documents) WHERE n <= 3")
+def first_three(t):
+    return life.numbered(t("documents").select("source", "n_chars", "doc_id"), "source", "n_chars", "doc_id").filter("n <= 3").select("source", "doc_id", "n")

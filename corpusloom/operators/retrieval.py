@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import query_terms
 
 SHOWN, MOST = 500, 50
+#: The longest list that a search may ask for.
+MOST_HITS = 100
+
+
+def pinned(hits: DataFrame) -> DataFrame:
+    """A top-k list, computed once: at most ``MOST_HITS`` rows pass through the driver, so that the scans behind them are not run again by each of the list's uses."""
+    return hits.sparkSession.createDataFrame(hits.limit(MOST_HITS).collect(), hits.schema)
 
 
 def like_search(sections: DataFrame, q: str, fields: tuple[str, ...] = ("section_title", "full_text"), limit: int = MOST) -> DataFrame:
@@ -55,6 +62,7 @@ def keyword_search(sections: DataFrame, q: str, k: int) -> DataFrame:
 
 def hybrid(by_vector: DataFrame, by_keyword: DataFrame, limit: int) -> DataFrame:
     """Both lists (id, score) one after the other, an id that both have from the vectors; the first ``limit``. Both are top-k lists, so their merge is small by construction."""
+    by_vector = pinned(by_vector)
     ranked = lambda df, leg, name: df.withColumn("leg", F.lit(leg)).withColumn("search_type", F.lit(name))
     both = ranked(by_vector, 1, "vector").unionByName(ranked(by_keyword.join(by_vector, "id", "left_anti"), 2, "keyword"))
     place = F.row_number().over(Window.orderBy("leg", F.desc("score"), "id"))

@@ -112,12 +112,16 @@ def integrity_error(text: Column, duplicate: Column) -> Column:
 
 
 def validate(df: DataFrame, text: str = "text", order: str = "doc_id", web: Column | None = None) -> DataFrame:
-    """``df`` with layer (the first that fails, else null), error and indicators. Only texts that pass the first two layers count as earlier copies."""
-    early = df.withColumn("_1", format_error(F.col(text))).withColumn("_2", F.when(F.col("_1").isNull(), garbage_error(F.col(text), F.lit(True) if web is None else web)))
-    flagged = flag_duplicates(early.withColumn("_hash", F.when(F.coalesce("_1", "_2").isNull(), sha256(F.col(text))).otherwise(F.col(order).cast("string"))), "_hash", order)
-    late = flagged.withColumn("_4", F.when(F.coalesce("_1", "_2").isNull(), integrity_error(F.col(text), F.col("duplicate"))))
+    """``df`` with layer (the first that fails, else null), error and indicators. Only texts that pass the first two layers count as earlier copies; copies of one text all pass or all fail, unless ``web`` tells them apart."""
+    content, from_web = F.col(text), F.lit(True) if web is None else web
+    early = F.coalesce(format_error(content), garbage_error(content, from_web))
+    counted = df if web is None else df.filter(early.isNull())
+    first = counted.groupBy(sha256(content).alias("_hash")).agg(F.min(order).alias("_first"))
+    layers = df.withColumns({"_hash": sha256(content), "_1": format_error(content)}).withColumn("_2", F.when(F.col("_1").isNull(), garbage_error(content, from_web)))
+    joined = layers.join(first, "_hash", "left")
+    late = joined.withColumn("_4", F.when(F.coalesce("_1", "_2").isNull(), integrity_error(content, F.coalesce(F.col(order) > F.col("_first"), F.lit(False)))))
     layer = F.when(F.col("_1").isNotNull(), 1).when(F.col("_2").isNotNull(), 2).when(F.col("_4").isNotNull(), 4)
-    return late.withColumns({"layer": layer, "error": F.coalesce("_1", "_2", "_4"), "indicators": indicator_count(F.col(text))}).drop("_1", "_2", "_4", "_hash", "duplicate")
+    return late.withColumns({"layer": layer, "error": F.coalesce("_1", "_2", "_4"), "indicators": indicator_count(content)}).drop("_1", "_2", "_4", "_hash", "_first")
 
 
 def quarantine(rejected: DataFrame, text: str = "text", most: int = 5000) -> DataFrame:

@@ -66,7 +66,7 @@ def hybrid_merge(t):
  SELECT string_agg('Section ' || id || ': ' || source || chr(10) || substring(text, 1, 500) || '...', chr(10) || chr(10) ORDER BY place, n) AS context FROM listed JOIN documents ON doc_id = id""")
 def rag_context(t):
     """The text that goes before a question: hits, and what they refer to."""
-    hits = _hybrid(t).select("id", "place")
+    hits = r.pinned(_hybrid(t).select("id", "place"))
     edges = t("lineitem").selectExpr("l_partkey AS src", "l_suppkey AS dst").distinct()
     reached = two_hops(edges, hits.filter("place <= 5").select(F.col("id").alias("source")))
     listed = r.context(hits, reached, sections(t))

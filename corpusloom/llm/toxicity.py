@@ -24,7 +24,7 @@ from corpusloom.llm.common import bounded_sample, crc_fold, map_batches, table,
 
 #: Bounds of the training sample: rows of each label, characters of a text.
 SAMPLE, MAX_SAMPLE_CHARS = {1: 2500, 0: 5000}, 32_768
-WINDOW, FRAGMENT, OWN_BYTES, SHARED_BYTES, LEAST_GAIN, CONTRAST, CLIP = 48, 5, 1024, 2048, 0.02, 4.0, 16
+WINDOW, FRAGMENT, OWN_BYTES, SHARED_BYTES, LEAST_GAIN, CONTRAST, CLIP = 48, 5, 1024, 8192, 0.03, 4.0, 16
 THRESHOLD = 0.3
 _SPACES = bytes.maketrans(b"\n\t\r\x0b\x0c", b"     ")
 

@@ -105,3 +105,10 @@ def page_sections(t):
 @query("T6 A7", "SELECT source, doc_id, n FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS n FROM documents) WHERE n <= 3")
 def first_three(t):
     return life.numbered(t("documents").select("source", "n_chars", "doc_id"), "source", "n_chars", "doc_id").filter("n <= 3").select("source", "doc_id", "n")
+
+
+@query("S1 S2 S3")
+def stored_files(t):
+    """A table's files as stored files: name, size and hash of the bytes, read by Spark's binary reader."""
+    region = t("region")
+    return files.stored_files(region.sparkSession, region.inputFiles()[0]).select("filename", "size_bytes", "sha256")

@@ -155,52 +155,64 @@ def runs_of(docs: DataFrame, scheme: Scheme) -> DataFrame:
     return map_batches(docs, f, ROWS)
 
 
-def sorted_groups(df: DataFrame, f: Callable[..., pa.RecordBatch | None], keys: list[str], schema: str) -> DataFrame:
-    """``df`` dealt out by its first key and sorted by ``keys``; ``f`` gets the columns, as arrays, of whole groups of the first key."""
-    columns = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for b in batches:
-            now = [b.column(i).to_numpy() for i in range(len(columns))]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            key = now[columns.index(keys[0])]
-            if not len(key):
-                continue
-            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
-            held = [x[cut:] for x in now]
-            if cut and (out := f(*[x[:cut] for x in now])) is not None:
-                yield out
-        if held is not None and (out := f(*held)) is not None:
-            yield out
-
-    return df.repartition(keys[0]).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
 def settle(rows: DataFrame, scheme: Scheme, remember: bool = False) -> DataFrame:
-    """Of ``ROWS`` those with kind REPEAT, ranges of windows that repeat an earlier one, and SPLIT, runs to be told apart; with ``remember`` also what later rows must be held against: RUN rows of the earliest runs, one MARK for each marked name."""
+    """Of ``ROWS`` those with kind REPEAT, ranges of windows that repeat an earlier one, and SPLIT, runs to be told apart; with ``remember`` also what later rows must be held against: RUN rows of the earliest runs, and marks of marked names.
 
-    def f(name, digest, doc, first, last, kind) -> pa.RecordBatch | None:
+    Each task reads its rows in the order of name, digest and position, batch by batch. Of the name that a batch ends with, it keeps only what the next one needs: the earliest rows of the one digest met so far, or, once there are several, the last digest and its first document. So a name may have any number of rows.
+    """
+
+    def step(state: list[np.ndarray] | None, batch: list[np.ndarray], last_batch: bool):
+        """``state``: columns as a batch's, and a sixth that is True for rows that only stand for what was told before."""
+        n = len(batch[0])
+        columns = [*batch, np.zeros(n, bool)]
+        if state is not None:
+            columns = [np.concatenate(x) for x in zip(state, columns, strict=True)]
+        name, digest, doc, first, last, kind, told = columns
         code = kind & 3
         by_name, at = _changes(name), np.flatnonzero(code == RUN)
+        group = np.cumsum(by_name) - 1
         new, kept = np.zeros(len(name), bool), np.zeros(len(name), bool)
         new[at] = _changes(name[at], digest[at])
         kept[at] = _earliest(new[at], doc[at], scheme.within)
         starts = np.flatnonzero(by_name)
         marked = np.logical_or.reduceat(code == MARK, starts)
         several = (np.add.reduceat(new.astype(np.int64), starts) > 1) | marked
-        split = kept & several[np.cumsum(by_name) - 1]
+        split = kept & several[group]
+        pending = np.zeros(len(name), bool) if last_batch else kept & ~split & (group == group[-1])
         out = np.where(code >= REPEAT, kind, np.where(split, kind | SPLIT, np.where((code == RUN) & ~kept, REPEAT, -1)))
-        take = out >= 0
-        columns = [x[take] for x in (name, digest, doc, first, last, out)]
+        parts = [[x[(out >= 0) & ~told] for x in (name, digest, doc, first, last, out)]]
         if remember:
-            marks = starts[marked]
-            old = [np.concatenate([x[kept], y]) for x, y in zip((name, digest, doc, first, last, kind), (name[marks], *[np.zeros(len(marks), np.int64)] * 4, np.full(len(marks), MARK)), strict=True)]
-            columns = [np.concatenate(x) for x in zip(columns, old, strict=True)]
-        return _rows(*columns) if len(columns[0]) else None
+            fresh = kept & ~told & ~pending
+            marks = np.flatnonzero((code == MARK) & ~told)
+            marks = marks[_changes(name[marks])]
+            parts += [[x[fresh] for x in (name, digest, doc, first, last, kind)], [x[marks] for x in (name, digest, doc, first, last, kind)]]
+        joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        if several[-1]:
+            # a mark, and the first row of the last digest, both told
+            head = at[new[at]][-1:]
+            head = head[group[head] == group[-1]]
+            mark = [name[-1:], *[np.zeros(1, np.int64)] * 4, np.array([MARK], kind.dtype)]
+            state = [np.concatenate([m, x[head]]) for m, x in zip(mark, (name, digest, doc, first, last, kind), strict=True)]
+            state.append(np.ones(len(state[0]), bool))
+        else:
+            state = [x[pending] for x in columns] if pending.any() else None
+        return state, _rows(*joined) if len(joined[0]) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, waiting = None, None
+        for b in batches:
+            if b.num_rows:
+                if waiting is not None:
+                    state, out = step(state, waiting, False)
+                    if out is not None:
+                        yield out
+                waiting = [b.column(i).to_numpy() for i in range(len(_FIELDS))]
+        if waiting is not None:
+            _, out = step(state, waiting, True)
+            if out is not None:
+                yield out
 
-    return sorted_groups(rows, f, ["name", "digest", "doc", "first"], ROWS)
+    return rows.repartition("name").sortWithinPartitions("name", "digest", "doc", "first").mapInArrow(run, ROWS)
 
 
 def pieces_of(split: DataFrame, docs: DataFrame, scheme: Scheme, size: int) -> DataFrame:

@@ -95,6 +95,21 @@ def test_same_doc_ids_and_nulls(spark):
         assert found == sorted((d is not None, d or 0, want[distinct.index((d, t))]) for d, t in rows)
 
 
+@pytest.mark.parametrize("rows", [1, 3, 10])
+def test_names_across_batches(spark, monkeypatch, rows):
+    """Batches so small that one name's rows span many of them."""
+    monkeypatch.setattr("corpusloom.llm.common.BATCH_ROWS", rows)
+    r = random.Random(rows)
+    line = "".join(r.choices("abcd ", k=60))
+    texts = [line + "".join(r.choices("abcd ", k=80)) + r.choice(["", line * 2]) for _ in range(25)] + [line * 3] * 12 + hard_texts(5)[:25]
+    pairs = [(3 * i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    want = brute_bytes(pairs, 40)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept)) for x in suffix_dedup.remove_repeats(df, 40, 16).collect()} == want
+    want = brute_words(pairs, 8)
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in substring_dedup.remove_repeats(df, 8, 4, 3, 1).collect()} == want
+
+
 def test_names():
     s = np.random.default_rng(0).integers(0, 3, 300, dtype=np.uint8)
     for n in (8, 16, 32):

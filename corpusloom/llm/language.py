@@ -2,7 +2,7 @@
 
 Training takes a bounded sample of rows with a language (``SAMPLE_DOCS``, texts of at most ``MAX_SAMPLE_CHARS`` characters, lowest hash first) and keeps, for each language, the log frequency of its words and of the 5- to 1-grams of its words. A known word is scored by its own log frequencies. An unseen word is scored by the mean log frequency of its n-grams of the greatest length of which the sample knows any. A text's language is the one with the highest sum; its score is that language's share of the posterior, with the sum scaled to at most ``EVIDENCE`` words so that it stays a probability and not a count of words.
 
-Words are runs of letters, in lower case. Prediction is a map over whole texts with a model bounded by the sample: no shuffle. A worker remembers the scores of at most ``CACHE`` words.
+Words are runs of letters, in lower case. Prediction is a map over whole texts with a model bounded by the sample: no shuffle. A worker remembers the scores of ``CACHE`` words, and those of one more text.
 
 Defined results: ``und`` with score 0 for a null text, one without letters, and all texts where nothing was learned; ties go to the first language by code point; repeated rows stay; an empty table gives an empty result; input columns named lang_pred or score are replaced.
 """
@@ -64,38 +64,48 @@ def train(rows: list[tuple[str, str]]) -> dict:
 
 
 class Scorer:
-    """A model with its lookups, and the scores of words met before."""
+    """A model with its lookups, and the scores of words met before: a row of ``scores`` for each word of ``rows``."""
 
     def __init__(self, model: dict):
         self.languages = model["languages"]
-        self.tables = [dict(zip(known, logs, strict=True)) for known, logs in model["tables"]]
-        self.cache: dict[str, np.ndarray] = {}
+        self.tables = [dict(zip(known, map(tuple, logs.tolist()), strict=True)) for known, logs in model["tables"]]
+        self.rows: dict[str, int] = {}
+        self.scores = np.empty((1024, len(self.languages)))
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> list[float]:
+        """A word's score in each language, less the highest."""
         found = self.tables[0].get(w)
         n = LONGEST
         while found is None and n:
-            t = self.tables[n]
-            if len(w) + 2 >= n and (x := [t[g] for g in grams_of(w, n) if g in t]):
-                found = np.mean(x, axis=0)
+            known = self.tables[n]
+            if met := [known[g] for g in grams_of(w, n) if g in known]:
+                found = [sum(x) / len(met) for x in zip(*met, strict=True)]
             n -= 1
         if found is None:
-            found = np.zeros(len(self.languages), np.float32)
-        return found - found.max()
+            return [0.0] * len(self.languages)
+        top = max(found)
+        return [x - top for x in found]
+
+    def row(self, w: str) -> int:
+        """The row of a word, made if need be."""
+        k = self.rows.get(w)
+        if k is None:
+            k = self.rows[w] = len(self.rows)
+            if k == len(self.scores):
+                self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
+            self.scores[k] = self.word(w)
+        return k
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text and self.languages else []
         if not words:
             return UNKNOWN, 0.0
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache, rows = self.cache, []
-        for w in words:
-            s = cache.get(w)
-            if s is None:
-                s = cache[w] = self.word(w)
-            rows.append(s)
-        total = np.add.reduce(rows, dtype=np.float64) * min(1.0, EVIDENCE / len(words))
+        if len(self.rows) > CACHE:
+            self.rows.clear()
+        at = list(map(self.rows.get, words))
+        if None in at:
+            at = [self.row(w) if k is None else k for w, k in zip(words, at, strict=True)]
+        total = self.scores[at].sum(axis=0) * min(1.0, EVIDENCE / len(words))
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 

@@ -102,7 +102,7 @@ def page_sections(t):
     return t("pages").select("page_id", F.posexplode(web.web_sections(extra)).alias("at", "s")).select("page_id", "at", "s.number", "s.title", "s.body")
 
 
-@query("T6 A7", "SELECT source, doc_id, n FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS n FROM documents) WHERE n <= 3")
+@query("T6 A7", "SELECT source, doc_id, CAST(n AS INTEGER) AS n FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS n FROM documents) WHERE n <= 3")
 def first_three(t):
     return life.numbered(t("documents").select("source", "n_chars", "doc_id"), "source", "n_chars", "doc_id").filter("n <= 3").select("source", "doc_id", "n")
 

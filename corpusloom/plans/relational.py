@@ -124,7 +124,7 @@ def outline_projection(t):
     return t("orders").orderBy(shown.asc_nulls_last(), "o_orderkey").limit(50).select("o_orderkey", F.substring("o_orderpriority", 1, 5).alias("title"), F.lit(None).cast("string").alias("full_text"))
 
 
-@query("J11 D14 D15 P21 P22", """WITH asked AS (SELECT unnest([1, 5, 9, 9, 10, 149, 999999999]) AS id)
+@query("J11 D14 D15 P21 P22", """WITH asked AS (SELECT CAST(unnest([1, 5, 9, 9, 10, 149, 999999999]) AS BIGINT) AS id)
  SELECT id, CASE WHEN c_custkey IS NULL THEN 'error: no such book' WHEN c_acctbal < 0 THEN 'skipped: no address' WHEN c_nationkey % 2 = 0 THEN 'triggered: site' ELSE 'triggered: file' END AS outcome FROM (SELECT DISTINCT id FROM asked) LEFT JOIN customer ON c_custkey = id""")
 def scan_dispatch(t):
     """What becomes of each asked book; a book that isn't there is an error."""

@@ -54,7 +54,7 @@ def _hybrid(t):
     return r.hybrid(r.nearest(vectors(t), Q, 10), r.keyword_search(sections(t), WORDS, 10), 15)
 
 
-@query("G4 U2 J12", _H + " SELECT id, score, search_type, place FROM hybrid")
+@query("G4 U2 J12", _H + " SELECT id, score, search_type, CAST(place AS INTEGER) AS place FROM hybrid")
 def hybrid_merge(t):
     return _hybrid(t)
 

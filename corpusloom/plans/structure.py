@@ -24,7 +24,7 @@ def header_footer(t):
     return s.running_lines(pages(t))
 
 
-@query("F22 S8 S21", _PAGES + """ SELECT doc, page, "at", line FROM lines WHERE trim(line) <> '' AND NOT regexp_full_match(trim(line), '[0-9]{1,4}') AND (doc, trim(line)) NOT IN (SELECT doc, line FROM run)""")
+@query("F22 S8 S21", _PAGES + """ SELECT doc, CAST(page AS INTEGER) AS page, CAST("at" AS INTEGER) AS "at", line FROM lines WHERE trim(line) <> '' AND NOT regexp_full_match(trim(line), '[0-9]{1,4}') AND (doc, trim(line)) NOT IN (SELECT doc, line FROM run)""")
 def body_text(t):
     return s.body_lines(pages(t)).select("doc", "page", "at", "line")
 

@@ -2,7 +2,7 @@
 
 Each document is one image of its own, so nothing is shuffled and a task holds one Arrow batch (its bytes are bounded).
 
-Defined results: a null text counts as empty; an empty text is one row of zero bytes; equal texts give equal values; repeated rows stay; an empty table gives an empty result; other columns are ignored. ``describe_images`` gives a row with ``error`` set, not a failure, for null or broken media.
+Defined results: a null text counts as empty; an empty text is one row of zero bytes; equal texts give equal values; repeated rows stay; an empty table gives an empty result; other columns are ignored, in ``describe_images`` kept unless a new one has the name. ``describe_images`` gives a row with ``error`` set, not a failure, for null or broken media.
 """
 
 from __future__ import annotations
@@ -152,8 +152,8 @@ def text_images(docs: DataFrame) -> DataFrame:
 
 def describe_images(df: DataFrame, media: str = "media") -> DataFrame:
     """The columns of ``df`` but ``media``, and what its stored bytes hold when read back: payload bytes, SHA-256 and CRC-32 of its last 64 samples, those of the stored form, the cosine hash, and ``error``."""
-    kept = [c for c in df.columns if c != media]
     new = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "error": pa.string()}
+    kept = [c for c in df.columns if c != media and c not in new]
 
     def describe(data: bytes | None) -> tuple:
         if data is None:

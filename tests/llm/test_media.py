@@ -21,7 +21,7 @@ def test_broken_media_is_told(spark):
     good = media.encode_png(np.zeros((4, 4), np.uint8))
     bad = [None, b"", good[:20], good[:-6], good[:30] + bytes([good[30] ^ 1]) + good[31:], b"x" + good[1:]]
     df = spark.createDataFrame([(i, m) for i, m in enumerate([good, *bad])], "id long, media binary")
-    got = {r.id: r for r in media.describe_images(df).collect()}
+    got = {r.id: r for r in media.describe_images(df.selectExpr("*", "'clash' AS feature")).collect()}
     assert got[0].error is None and got[0].payload_bytes == 16
     assert all(got[i].error and got[i].payload_bytes is None for i in range(1, 1 + len(bad)))
 

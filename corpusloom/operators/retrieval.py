@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import query_terms
+from corpusloom.functions.lexical import lexemes, rank, stemmed
 
 SHOWN, MOST = 500, 50
 #: The longest list that a search may ask for.
@@ -42,22 +42,12 @@ def nearest(vectors: DataFrame, q: list[float], k: int, least: float | None = No
     return scored.orderBy(F.desc_nulls_last("score"), "id").limit(k)
 
 
-def lexemes(text: Column) -> Column:
-    """Words in the order of the text, in lower case; no stemming."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}0-9]+"), lambda x: x != "")
-
-
-def keyword_score(text: Column, q: Column) -> Column:
-    """Share of a text's words that are terms of ``q``, times the number of distinct terms met."""
-    words, terms = lexemes(text), query_terms(q)
-    hits = F.filter(words, lambda w: F.array_contains(terms, w))
-    return F.round(F.size(hits) * F.size(F.array_distinct(hits)) / F.greatest(F.size(words), F.lit(1)), 6)
-
-
-def keyword_search(sections: DataFrame, q: str, k: int) -> DataFrame:
-    """(id, score) of the ``k`` best of ``sections`` (id, full_text) that hold a term of ``q``."""
-    scored = sections.select("id", keyword_score(F.col("full_text"), F.lit(q)).alias("score")).filter("score > 0")
-    return scored.orderBy(F.desc("score"), "id").limit(k)
+def keyword_search(sections: DataFrame, q: str, k: int, stem: bool = False) -> DataFrame:
+    """(id, score) of the ``k`` best of ``sections`` (id, full_text) that hold a term of ``q``; by stems, or by words as they are."""
+    of = stemmed if stem else lexemes
+    terms = F.array_distinct(of(F.lit(q)))
+    found = sections.select("id", of(F.col("full_text")).alias("_words"), terms.alias("_terms")).filter(F.arrays_overlap("_words", "_terms"))
+    return found.select("id", rank(F.col("_words"), F.col("_terms")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def hybrid(by_vector: DataFrame, by_keyword: DataFrame, limit: int) -> DataFrame:

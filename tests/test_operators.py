@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import citations, text
+from corpusloom.functions import citations, lexical, text
 from corpusloom.operators import lifecycle, outline, retrieval, structure, tables, validation
 from corpusloom.sources import files, web
 from corpusloom.streaming import ingest
@@ -140,3 +140,15 @@ def test_stream(spark, tmp_path):
     assert got.count() > 0.8 * batch.count() and got.select("start", "event_type", "n").subtract(batch).count() == 0
     ingest.run_once(ingest.first_seen(ingest.read_events(spark, str(tmp_path / "in"), ddl).withColumn("h", F.col("event_id") % 50), "h", late="30 days"), str(tmp_path / "o2"), str(tmp_path / "c2"))
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 50
+
+
+@pytest.mark.parametrize(("word", "want"), [p.split(":") for p in """caresses:caress ponies:poni caress:caress cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan falling:fall hissing:hiss fizzed:fizz failing:fail filing:file happy:happi sky:sky relational:relat conditional:condit rational:ration valenci:valenc digitizer:digit conformabli:conform radicalli:radic differentli:differ vileli:vile analogousli:analog vietnamization:vietnam predication:predic operator:oper feudalism:feudal decisiveness:decis hopefulness:hope callousness:callous formaliti:formal sensitiviti:sensit sensibiliti:sensibl triplicate:triplic formative:form formalize:formal electriciti:electr electrical:electr hopeful:hope goodness:good revival:reviv allowance:allow inference:infer airliner:airlin gyroscopic:gyroscop adjustable:adjust defensible:defens irritant:irrit replacement:replac adjustment:adjust dependent:depend adoption:adopt homologou:homolog communism:commun activate:activ angulariti:angular homologous:homolog effective:effect bowdlerize:bowdler probate:probat rate:rate cease:ceas controll:control roll:roll""".split()])
+def test_stems(word, want):
+    """The examples of Porter's paper, carried through all steps."""
+    assert lexical.stem(word) == want
+
+
+def test_rank(spark):
+    got = one(spark, lexical.rank(lexical.lexemes(F.lit("a b a, c A")), F.array(F.lit("a"), F.lit("z"))))
+    assert got == pytest.approx(0.1 * (1 + 1 / 4 + 1 / 9) / 1.64493406685 / 2, abs=1e-6)
+    assert one(spark, lexical.stemmed(F.lit("The readings of Heating"))) == ["read", "heat"]

@@ -9,13 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters that broken fonts give for others.
-GLYPHS = {"þ": "+", "Þ": ")", "ð": "(", "Ð": "("}
-LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
-# Symbols whose subscript got lost, by what precedes the subscript.
+# Characters that broken fonts give, and ligatures, with what they stand for.
+GLYPHS = {"þ": "+", "Þ": ")", "ð": "(", "Ð": "(", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
+# Symbols whose subscript got lost, and how they are to read.
 SUBSCRIPTS = {
-    "A": "k f g", "C": "f p s d u", "D": "i", "F": "y u", "I": "z e", "K": "z d h zt e", "L": "r", "MCE": "R", "PGA": "M", "S": "DS D1 MS M1",
-    "T": "L", "V": "S30", "W": "T i", "h": "i n", "p": "f s g", "q": "z h",
+    "Lr": "L_r", "pf": "p_f", "ps": "p_s", "pg": "p_g",
+    "WT": "W_T", "Kz": "K_z", "Kd": "K_d", "Kh": "K_h", "Kzt": "K_zt", "Ke": "K_e", "qz": "q_z", "qh": "q_h", "Cf": "C_f", "Cp": "C_p",
+    "SDS": "S_DS", "SD1": "S_D1", "SMS": "S_MS", "SM1": "S_M1", "PGAM": "PGA_M", "MCER": "MCE_R", "Cs": "C_s", "Cd": "C_d", "Cu": "C_u", "TL": "T_L",
+    "Ak": "A_k", "Af": "A_f", "Ag": "A_g", "Di": "D_i", "Wi": "W_i", "hi": "h_i", "hn": "h_n", "Fy": "F_y", "Fu": "F_u", "Iz": "I_z", "Ie": "I_e", "VS30": "V_S30",
 }
 # Fixed patterns: a colon that stands for a decimal point; marks that begin a paragraph of their own; formula lines; marks left by broken fonts.
 COLON_POINT = r"([0-9]):(?=[0-9]|[A-Z]\b|[A-Z][a-z]?\b)"
@@ -38,9 +39,11 @@ def sha256(c: Column) -> Column:
 
 
 def fix_glyphs(c: Column) -> Column:
-    c = F.translate(c, "".join(GLYPHS), "".join(GLYPHS.values()))
-    for a, b in LIGATURES.items():
-        c = F.replace(c, F.lit(a), F.lit(b))
+    single = {a: b for a, b in GLYPHS.items() if len(b) == 1}
+    c = F.translate(c, "".join(single), "".join(single.values()))
+    for a, b in GLYPHS.items():
+        if a not in single:
+            c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
@@ -53,11 +56,14 @@ def has_glyph_artifacts(c: Column) -> Column:
 
 
 def restore_subscripts(c: Column) -> Column:
-    """On formula lines, symbols with an underscore before their subscript."""
+    """On formula lines, symbols with an underscore before their subscript. One replacement for all symbols that begin alike."""
+    tails: dict[str, list[str]] = {}
+    for shown in SUBSCRIPTS.values():
+        head, _, tail = shown.partition("_")
+        tails.setdefault(head, []).append(tail)
     out = c
-    for head, tails in SUBSCRIPTS.items():
-        longest_first = "|".join(sorted(tails.split(), key=len, reverse=True))
-        out = F.regexp_replace(out, rf"\b{head}({longest_first})\b", f"{head}_$1")
+    for head, found in tails.items():
+        out = F.regexp_replace(out, rf"\b{head}({'|'.join(sorted(found, key=len, reverse=True))})\b", f"{head}_$1")
     return F.when(c.rlike(FORMULA_START) & c.rlike(FORMULA_OPERATOR), out).otherwise(c)
 
 

@@ -79,7 +79,7 @@ def token_stream(t):
 
 @query("X7 X3 X5", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def hourly_progress(t):
-    """The batch form of the streaming extension's windows; tests/test_streaming.py holds the stream against it."""
+    """The batch form of the streaming extension's windows; tests/test_operators.py holds the stream against it."""
     return t("events").groupBy(F.window("ts", "1 hour").start.alias("h"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("h", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
 
 
@@ -91,7 +91,7 @@ def chapter_links(t):
 
 @query("S13 F23 A19")
 def page_texts(t):
-    """The content of web pages; tests/test_web.py holds the parser against made pages."""
+    """The content of web pages; tests/test_operators.py holds the parser against made pages."""
     return t("pages").select("page_id", web.web_text("html").alias("text")).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
 
 

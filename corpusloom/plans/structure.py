@@ -51,7 +51,7 @@ def toc_bounds(t):
 
 @query("W2 S7 A18")
 def page_repair(t):
-    """Pages of an outline's entries, mended in order. Held against a plain reading of the rule in tests/test_structure.py."""
+    """Pages of an outline's entries, mended in order. Held against a plain reading of the rule in tests/test_operators.py."""
     p = t("customer").filter("c_custkey <= 100").selectExpr("c_custkey % 4 AS doc", "CAST(c_custkey DIV 4 + 1 AS INT) AS page", "concat('text', char(10), ' ', c_custkey DIV 4, '.', c_nationkey % 3, ' Heading') AS text")
     toc = t("customer").filter("c_custkey <= 100").selectExpr("c_custkey % 4 AS doc", "c_custkey AS seq", "concat(c_custkey DIV 4, '.', c_nationkey % 3) AS number", "CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE c_custkey DIV 4 + 1 END AS INT) AS page")
     return s.repair_pages(toc, p)

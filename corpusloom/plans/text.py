@@ -31,7 +31,7 @@ def heading_and_subscripts(t):
 
 @query("F6 F10 F26 D12")
 def normalize_texts(t):
-    """Raw text, the normalized one and its hash, as a backfill writes them. Held against its micro-fixtures in tests/test_text.py."""
+    """Raw text, the normalized one and its hash, as a backfill writes them. Held against its micro-fixtures in tests/test_operators.py."""
     raw = F.concat(F.lit("1.1 SCOPE\nThe design wind loads for build-\ning\n\n1a. D þ 0:7S ð Lr Þ\n(a) "), "text")
     d = t("documents").select("doc_id", raw.alias("full_text_raw"), x.normalize(raw, F.lit("1.1"), F.lit("Scope")).alias("full_text"))
     return d.withColumn("source_hash", x.sha256(F.col("full_text_raw"))).withColumn("normalized_hash", x.sha256(x.squeeze(F.col("full_text"))))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import repeats
 from corpusloom.llm.common import map_batches, materialize, table, texts_of
 
-LENGTH, KEY, BATCHES, FANOUT = 50, 16, 4, 2
+LENGTH, KEY, BATCHES, FANOUT = 50, 16, 3, 1
 
 
 def words_of(text: bytes) -> np.ndarray:

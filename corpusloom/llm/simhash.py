@@ -86,7 +86,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = S
     roots = components(ball_links(first.select("fp")))
     linked = first.join(roots, first.fp == roots.node).select("fp", "first", "root")
     lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
-    named = first.join(linked.join(lowest, "root").select(F.col("fp"), "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
+    # written, so that the next join shuffles both sides by itself and Spark can split a fingerprint that many documents share
+    named = materialize(first.join(linked.join(lowest, "root").select(F.col("fp"), "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")))
     return by_doc.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

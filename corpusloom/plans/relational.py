@@ -139,17 +139,17 @@ def missing_ids(t):
     return t("lineitem").select("l_orderkey").join(t("orders").filter("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").distinct()
 
 
-@query("J1 G7", "SELECT l_orderkey, s_suppkey, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey < 200")
+@query("J1 G7", "SELECT l_orderkey, s_suppkey, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
 def standard_refs(t):
-    return t("lineitem").filter("l_orderkey < 200").join(small(t("supplier")), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_suppkey", "s_name")
+    return t("lineitem").join(small(t("supplier")), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_suppkey", "s_name")
 
 
-@query("J7 J8", """SELECT l_orderkey, l_linenumber, min(o_orderkey) AS target, min(s_name) AS standard FROM lineitem LEFT JOIN orders ON o_custkey = l_suppkey AND o_orderstatus <> 'F' LEFT JOIN supplier ON s_suppkey = l_partkey WHERE l_orderkey < 500 GROUP BY ALL""")
+@query("J7 J8", """SELECT l_orderkey, l_linenumber, min(o_orderkey) AS target, min(s_name) AS standard FROM lineitem LEFT JOIN orders ON o_custkey = l_suppkey AND o_orderstatus <> 'F' LEFT JOIN supplier ON s_suppkey = l_partkey GROUP BY ALL""")
 def resolve_targets(t):
     """The live section of the wanted number with the smallest id, and the standard of the wanted name; null where there is none."""
     live = t("orders").filter("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.min("o_orderkey").alias("target"))
     return (
-        t("lineitem").filter("l_orderkey < 500").join(live, F.col("o_custkey") == F.col("l_suppkey"), "left")
+        t("lineitem").join(live, F.col("o_custkey") == F.col("l_suppkey"), "left")
         .join(small(t("supplier").select("s_suppkey", "s_name")), F.col("s_suppkey") == F.col("l_partkey"), "left")
         .groupBy("l_orderkey", "l_linenumber").agg(F.min("target").alias("target"), F.min("s_name").alias("standard"))
     )
@@ -190,9 +190,9 @@ def top_lists(t):
     return out
 
 
-@query("T9", "SELECT DISTINCT l_partkey AS id, l_linenumber AS depth FROM lineitem WHERE l_orderkey < 300 ORDER BY depth, id LIMIT 10")
+@query("T9", "SELECT DISTINCT l_partkey AS id, l_linenumber AS depth FROM lineitem ORDER BY depth, id LIMIT 10")
 def distinct_limit(t):
-    return t("lineitem").filter("l_orderkey < 300").select(F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("depth")).distinct().orderBy("depth", "id").limit(10)
+    return t("lineitem").select(F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("depth")).distinct().orderBy("depth", "id").limit(10)
 
 
 @query("U4 W3 U5", "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n = 1")

@@ -257,7 +257,8 @@ def with_row_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     if not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
-        return docs.withColumn("doc", F.col("doc_id")), False
+        # the filter drops nothing; it stands in inner joins anyway, and with it all joins of the texts share one shuffle
+        return docs.withColumn("doc", F.col("doc_id")).filter("doc IS NOT NULL"), False
     sign = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     keys = docs.select("doc_id", sign.alias("sign"), F.col("text").isNull().alias("none")).distinct().orderBy("doc_id", "sign", "none")
     numbered = materialize(keys.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF("doc_id long, sign string, none boolean, doc long"))
@@ -282,3 +283,10 @@ def covered(n: int, ranges: list[dict], length: int) -> np.ndarray:
         np.add.at(edge, [r["first"] for r in ranges], 1)
         np.add.at(edge, [r["last"] + length for r in ranges], -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def with_ranges(known: DataFrame, renumbered: bool, ranges: DataFrame) -> DataFrame:
+    """(doc_id, text, ranges) for each row of what ``with_row_ids`` has returned. Where doc is doc_id, the texts are those that ``pieces_of`` joins, so that Spark shuffles them once for all."""
+    if renumbered:
+        return known.join(ranges, "doc", "left").select("doc_id", "text", "ranges")
+    return known.select("doc", "text").join(ranges, "doc", "left").select(F.col("doc").alias("doc_id"), "text", "ranges")

@@ -73,7 +73,7 @@ def find_repeats(docs: DataFrame, s: repeats.Scheme, batches: int = BATCHES, fan
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, spans (array of start, end: the maximal removed runs of words) and kept (the other words, joined by one space)."""
-    known, _ = repeats.with_row_ids(docs)
+    known, renumbered = repeats.with_row_ids(docs)
     ranges = find_repeats(known.select("doc", "text"), scheme(length, key), batches, fanout)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -93,7 +93,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, batche
         made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
         return pa.RecordBatch.from_arrays([b.column(0), *made[:3], made[3].cast(pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
 
-    return map_batches(known.join(ranges, "doc", "left").select("doc_id", "text", "ranges"), f, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    return map_batches(repeats.with_ranges(known, renumbered, ranges), f, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def scheme(length: int = LENGTH, key: int = KEY) -> repeats.Scheme:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, spans (array of start, end: the maximal removed runs of bytes) and kept (binary)."""
     s = scheme(length, key)
-    known, _ = repeats.with_row_ids(docs)
+    known, renumbered = repeats.with_row_ids(docs)
     texts = known.select("doc", "text")
     rows = materialize(repeats.settle(repeats.runs_of(texts, s), s).select("doc", "first", "last", "kind"))
     ranges = repeats.repeated_ranges(rows, texts, s)
@@ -46,7 +46,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Dat
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
         return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return map_batches(known.join(ranges, "doc", "left").select("doc_id", "text", "ranges"), f, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return map_batches(repeats.with_ranges(known, renumbered, ranges), f, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

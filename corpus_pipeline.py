@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, mixing, sharding, simhash, toxicity
+from corpusloom.llm import decontaminate, mixing, near_copies, sharding, toxicity
 from corpusloom.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,8 +19,8 @@ def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of SimHash near duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """One document, that of the smallest doc_id, of each group of near duplicates: two bits of SimHash, or five-word shingles of similarity 0.8."""
+    return near_copies.drop_near_copies(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,4 +111,4 @@ def first_three(t):
 def stored_files(t):
     """A table's files as stored files: name, size and hash of the bytes, read by Spark's binary reader."""
     region = t("region")
-    return files.stored_files(region.sparkSession, region.inputFiles()[0]).select("filename", "size_bytes", "sha256")
+    return files.stored_files(region.sparkSession, region.inputFiles()).select("filename", "size_bytes", "sha256")

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, filename, size_bytes, sha256, modified) of the files below ``path``, read by Spark's own reader."""
+def stored_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, filename, size_bytes, sha256, modified) of the files below ``path`` (one or several), read by Spark's own reader."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"))
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Arrow batches end at so many bytes or rows, so that a run of very long texts can't fill a worker.
@@ -26,21 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the bytes and rows of the Arrow batches that Python workers get."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the bytes and rows of the Arrow batches that Python workers get. Spark reads these settings when a plan runs, so they stay; those that the session has already are its user's and aren't touched."""
+    known = spark.conf.getAll
+    for name, value in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        if (key := f"spark.sql.execution.arrow.{name}") not in known:
+            spark.conf.set(key, str(value))
+
+
+_OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; where that is unset, in a folder of its own (local masters only)."""
+    """A new folder name below ``spark.checkpoint.dir``; where that is unset, in a folder of this process's own (local masters only)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="corpusloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        base = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="corpusloom-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        base = f"file://{_OWN[0]}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -84,6 +89,23 @@ def ragged(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+def columns_ddl(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema text."""
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
+def sample_by(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` different rows (``key``, text) for each value of ``key``, those whose text has the lowest hash. Equal texts count once. Each task first leaves out what is surely above, so that about 1.5 * n rows of a value are ordered."""
+    order = F.pmod(F.xxhash64("text"), F.lit(1 << 31))
+    totals = df.groupBy(key).agg(F.approx_count_distinct(order, 0.02).alias("n")).collect()
+    least = None
+    for row in totals:
+        of = F.lit(int((1 << 31) * min(1.0, 1.5 * n / max(row.n, 1))))
+        least = F.when(F.col(key) == row[key], of) if least is None else least.when(F.col(key) == row[key], of)
+    few = (df.filter(order < least) if least is not None else df).select(key, "text", order.alias("_order")).distinct()
+    return few.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_order", "text"))).filter(F.col("_n") <= n).select(key, "text")
+
+
 def bounded_sample(df: DataFrame, n: int) -> DataFrame:
     """At most ``n`` rows of ``df``, those of the lowest hash. Each task first leaves out what is surely above, so that about 1.5 * n rows in all are ordered, on however many tasks."""
     order = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 31))

@@ -1,6 +1,6 @@
 """Language identification by words first, backing off to shorter and shorter character n-grams.
 
-Training takes a bounded sample of rows with a language (``SAMPLE_DOCS``, texts of at most ``MAX_SAMPLE_CHARS`` characters, lowest hash first) and keeps, for each language, the log frequency of its words and of the 5- to 1-grams of its words. A known word is scored by its own log frequencies. An unseen word is scored by the mean log frequency of its n-grams of the greatest length of which the sample knows any. A text's language is the one with the highest sum; its score is that language's share of the posterior, with the sum scaled to at most ``EVIDENCE`` words so that it stays a probability and not a count of words.
+Training takes a bounded sample of rows with a language (``SAMPLE_DOCS`` different texts of each language, of at most ``MAX_SAMPLE_CHARS`` characters, lowest hash first, so that a rare language gets as many as a frequent one) and keeps, for each language, the log frequency of its words and of the 5- to 1-grams of its words. A known word is scored by its own log frequencies. An unseen word is scored by the mean log frequency of its n-grams of the greatest length of which the sample knows any. A text's language is the one with the highest sum; its score is that language's share of the posterior, with the sum scaled to at most ``EVIDENCE`` words so that it stays a probability and not a count of words.
 
 Words are runs of letters, in lower case. Prediction is a map over whole texts with a model bounded by the sample: no shuffle. A worker remembers the scores of ``CACHE`` words, and those of one more text.
 
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bounded_sample, crc_fold, map_batches, table
+from corpusloom.llm.common import columns_ddl, crc_fold, map_batches, sample_by, table
 
-#: Bounds of the training sample, and thereby of the model.
-SAMPLE_DOCS, MAX_SAMPLE_CHARS = 6000, 20_000
+#: Bounds of the training sample (texts of each language, characters of a text), and thereby of the model.
+SAMPLE_DOCS, MAX_SAMPLE_CHARS = 1500, 20_000
 LONGEST, EVIDENCE, CACHE, SMOOTH = 5, 12, 200_000, 0.5
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -111,10 +111,9 @@ class Scorer:
 
 
 def fit(docs: DataFrame) -> dict:
-    """A model of ``docs`` (doc_id, text, lang), of which rows without text or language are left out."""
-    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= MAX_SAMPLE_CHARS)).select("doc_id", "lang", "text")
-    rows = bounded_sample(usable, SAMPLE_DOCS).collect()
-    return train([(r.lang, r.text) for r in rows])
+    """A model of ``docs`` (text, lang), of which rows without text or language are left out."""
+    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= MAX_SAMPLE_CHARS)).select("lang", "text")
+    return train(sorted((r.lang, r.text) for r in sample_by(usable, "lang", SAMPLE_DOCS).collect()))
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -134,8 +133,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         made = [pa.array([x for x, _ in found], pa.string()), pa.array([round(x, 6) for _, x in found], pa.float64())]
         return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *made], [*kept, "lang_pred", "score"])
 
-    ddl = ", ".join(f"`{n}` {t}" for n, t in docs.select(kept).dtypes)
-    return map_batches(docs.select(kept), f, f"{ddl}, lang_pred string, score double")
+    return map_batches(docs.select(kept), f, f"{columns_ddl(docs.select(kept))}, lang_pred string, score double")
 
 
 FOLDS, HELD = 3, 1

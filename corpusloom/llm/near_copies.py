@@ -156,7 +156,7 @@ def similar_links(docs: DataFrame, sized: DataFrame, winners: DataFrame) -> Data
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, component_id) for every document; component_id is the smallest doc_id within reach."""
+    """(doc_id, key, component_id, root) for every document; component_id is the smallest doc_id within reach, root the smallest key."""
     by_doc = materialize(signatures(docs))
     sized = materialize(by_doc.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("u").alias("u")))
     low = materialize(by_doc.groupBy("fp").agg(F.min("key").alias("low")))
@@ -164,14 +164,10 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     bits = simhash.ball_links(low.select("fp"))
     bits = bits.join(low.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("fp").alias("b"), F.col("low").alias("lb")), "b").select("la", "lb")
     similar = similar_links(docs, sized.select("key", "n", "u"), sized.select("key", F.col("first").alias("doc_id")))
-    roots = simhash.components(equal.union(bits).union(similar))
-    linked = sized.join(roots, sized.key == roots.node).select("key", "first", "root")
-    lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
-    named = materialize(sized.join(linked.join(lowest, "root").select("key", "lowest"), "key", "left").select("key", F.coalesce("lowest", "first").alias("component_id")))
-    return by_doc.join(named, "key").select("doc_id", "key", "component_id")
+    named = simhash.named_components(sized.select("key", "first"), "key", simhash.components(equal.union(bits).union(similar)))
+    return by_doc.join(named, "key").select("doc_id", "key", "component_id", "root")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that aren't the first of their component; rows that share the first's doc_id and a null doc_id without group stay."""
-    gone = near_copy_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    """``docs`` without those that aren't the first of their component."""
+    return simhash.keep_first(docs, near_copy_groups(docs).withColumnRenamed("key", "node"), lambda t: key_of(shingles(t)))

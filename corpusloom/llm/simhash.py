@@ -1,23 +1,26 @@
 """SimHash near-duplicates, found by hashing balls that meet in the middle, and grouped into components.
 
-Fingerprints of radius 2 link exactly where their balls of radius 1 share a point. Each distinct fingerprint emits itself and its 64 neighbours; a group of equal points is folded into one row, whose mask says which neighbours of the point are fingerprints (a group never holds more than 65, however many documents share them). All members of a group lie within two bits of one another, so the first is linked to each other one: no pairs of documents, and none within a group, are listed.
+Fingerprints within ``radius`` bits (an even number) link exactly where their balls of half that radius share a point. Each distinct fingerprint emits all variants within half the radius (65 for a radius of 2); a group of equal points holds at most as many fingerprints as a ball has points, however many documents share them. For a radius of 2 it is folded into one row, whose mask says which neighbours of the point are fingerprints. All members of a group lie within the radius of one another, so the first is linked to each other one: no pairs of documents, and none within a group, are listed.
 
 Components follow by alternating large-star and small-star rounds over the links of distinct fingerprints. Each round is written to the shared folder; only a count and a checksum reach the driver.
 
-Defined results: a null or empty text has no words and the fingerprint 0, linked like any other; repeated rows stay; a null doc_id never names a component unless it has no other document (then null); an empty table gives an empty result; input columns but doc_id and text are ignored, in ``drop_near_duplicates`` kept.
+Defined results: a null or empty text has no words and the fingerprint 0, linked like any other; repeated rows stay; a null doc_id never names a component unless it has no other document (then null); an empty table gives an empty result; input columns but doc_id and text are ignored, in ``drop_near_duplicates`` kept. There, of each group the rows of one fingerprint and one doc_id stay, the smallest (null last) and of it the smallest fingerprint; rows that share a doc_id but not the text are documents each by itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_batches, materialize, table, texts_of
+from corpusloom.llm.common import columns_ddl, map_batches, materialize, table, texts_of
 
-SHINGLE, SEED, CHUNK = 3, 42, 1 << 15
+SHINGLE, SEED, RADIUS, CHUNK = 3, 42, 2, 1 << 15
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -48,15 +51,39 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), f, "doc_id long, fp long")
 
 
-def ball_links(fps: DataFrame) -> DataFrame:
-    """(a, b), a < b: links between the distinct fingerprints ``fps`` (fp) that connect exactly those that chains of at most two differing bits connect."""
+def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b), a < b: links between the distinct fingerprints ``fps`` (fp) that connect exactly those that chains of at most ``radius`` differing bits connect."""
+    if radius < 2 or radius % 2:
+        raise ValueError("the radius must be an even number, from 2")
+    # a row becomes as many as a ball has points: spread first, over a number of tasks that isn't coalesced
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return _links_of_one(spread) if radius == 2 else _links_of_more(spread, radius // 2)
+
+
+def _links_of_one(fps: DataFrame) -> DataFrame:
+    """Balls of one bit: a point's members are told by the bits in which they differ from it."""
     flips = F.array(*[F.struct(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long").alias("bit"), F.lit(False).alias("own")) for i in range(64)], F.struct(F.lit(0).cast("long").alias("bit"), F.lit(True).alias("own")))
     variants = fps.select("fp", F.explode(flips).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x.bit")).alias("point"), "x.bit", "x.own")
     met = variants.groupBy("point").agg(F.bit_or("bit").alias("bits"), F.max("own").alias("own")).filter(F.bit_count("bits") + F.col("own").cast("int") > 1)
     bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)), lambda b: F.col("bits").bitwiseAND(b) != 0)
     members = F.array_sort(F.concat(F.transform(bits, lambda b: F.col("point").bitwiseXOR(b)), F.when(F.col("own"), F.array("point")).otherwise(F.expr("array()").cast("array<long>"))))
-    pairs = met.select(members.alias("m")).select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, 65)).alias("b"))
-    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
+    return _star(met.select(members.alias("m")))
+
+
+def _links_of_more(fps: DataFrame, half: int) -> DataFrame:
+    """Balls of ``half`` bits: one bit more is flipped in each step, always a higher one; a point's members are a set of at most a ball's size."""
+    spheres = [fps.select("fp", F.col("fp").alias("point"), F.lit(-1).alias("top"))]
+    for _ in range(half):
+        higher = F.explode(F.when(F.col("top") < 63, F.sequence(F.col("top") + 1, F.lit(63)))).alias("bit")
+        flipped = F.col("point").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
+        spheres.append(spheres[-1].select("fp", "point", higher).select("fp", flipped.alias("point"), F.col("bit").alias("top")))
+    met = reduce(DataFrame.union, spheres).groupBy("point").agg(F.collect_set("fp").alias("m"))
+    return _star(met.filter(F.size("m") > 1).select(F.array_sort("m").alias("m")))
+
+
+def _star(groups: DataFrame) -> DataFrame:
+    """(a, b): the first of each group's members ``m`` with each other one."""
+    return groups.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", F.lit(2), F.size("m"))).alias("b")).distinct()
 
 
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -79,23 +106,56 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, component_id) for every document; component_id is the smallest doc_id that links of at most two bits reach."""
+def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id, root) for every document; component_id is the smallest doc_id that links of at most ``radius`` bits reach, root the smallest fingerprint."""
     by_doc = materialize(fingerprints(docs, shingle, seed))
     first = materialize(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(ball_links(first.select("fp")))
-    linked = first.join(roots, first.fp == roots.node).select("fp", "first", "root")
-    lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
-    # written, so that the next join shuffles both sides by itself and Spark can split a fingerprint that many documents share
-    named = materialize(first.join(linked.join(lowest, "root").select(F.col("fp"), "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")))
-    return by_doc.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` without those that aren't the first of their component; rows that share the first's doc_id and a null doc_id without group stay."""
-    groups = near_duplicate_groups(docs, shingle, seed)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    named = named_components(first, "fp", components(ball_links(first.select("fp"), radius)))
+    return by_doc.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def named_components(first: DataFrame, node: str, roots: DataFrame) -> DataFrame:
+    """(``node``, component_id, root) of every row of ``first`` (``node``, first): the least of ``first`` in its component by ``roots`` (node, root). Written, so that a join with it shuffles both sides by itself and Spark can split a node that many documents share."""
+    placed = first.join(roots.select(F.col("node").alias(node), "root"), node, "left").select(node, "first", F.coalesce("root", node).alias("root"))
+    lowest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return materialize(placed.join(lowest, "root").select(node, "component_id", "root"))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, node_of: Callable[[bytes], int]) -> DataFrame:
+    """``docs`` with those documents only that are the first of their group: ``groups`` is (doc_id, node, root), ``node_of`` gives a text's node. The first has the smallest doc_id (null last), and of several nodes with that doc_id the smallest one."""
+    pairs = materialize(groups.select("doc_id", "node", "root").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    best = pairs.groupBy("root").agg(F.min(order).alias("best"))
+    judged = materialize(pairs.join(best, "root").select("doc_id", "node", (order == F.col("best")).alias("stays")))
+    by_id = materialize(judged.groupBy("doc_id").agg(F.max("stays").alias("some"), F.min("stays").alias("all")).filter("not all"))
+    same = lambda other: docs.doc_id.eqNullSafe(other._id)
+    gone = by_id.select(F.col("doc_id").alias("_id"))
+    kept = docs.join(gone, same(gone), "left_anti")
+    mixed = by_id.filter("some")
+    if not mixed.limit(1).count():
+        return kept
+    # doc_ids of which some texts stay and some go: only their texts are looked at again
+    mixed = mixed.select(F.col("doc_id").alias("_id"))
+    odd = docs.join(mixed, same(mixed), "left_semi")
+    at, names = odd.columns.index("text"), [*odd.columns, "_node"]
+
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(t) for t in texts_of(b.column(at))], pa.int64())], names)
+
+    with_node = map_batches(odd, f, f"{columns_ddl(odd)}, _node long")
+    stays = judged.filter("stays").select(F.col("doc_id").alias("_id"), F.col("node").alias("_stays"))
+    return kept.union(with_node.join(stays, with_node.doc_id.eqNullSafe(stays._id) & (with_node._node == stays._stays), "left_semi").drop("_node"))
+
+
+def as_long(fp: bytes) -> int:
+    """A fingerprint's 8 bytes as a signed number."""
+    return int.from_bytes(fp, "big", signed=True)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """``docs`` without those that aren't the first of their component (see the module's defined results)."""
+    groups = near_duplicate_groups(docs, shingle, seed, radius).withColumnRenamed("fp", "node")
+    return keep_first(docs, groups, lambda t: as_long(fingerprint(t, shingle, seed)))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,16 @@
 import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import simhash
+from corpusloom.llm import near_copies, simhash
+from corpusloom.llm.common import table
 from tests.llm.small import documents, empty
 
+DIR = "/root/testdata/sf0.001"
+
 
 def brute_fingerprint(text):
     t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -71,3 +75,44 @@ def test_long_chain_and_star(spark):
 def test_empty_table(spark):
     assert simhash.near_duplicate_groups(empty(spark)).count() == 0
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
+
+
+def test_rows_of_one_doc_id(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven", "twelve thirteen fourteen"
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, c), (None, a), (7, c), (None, "x y z"), (None, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted([(1, a), (2, b), (7, c), (None, "x y z"), (None, "x y z")], key=repr)
+    assert sorted(map(tuple, simhash.drop_near_duplicates(df).collect()), key=repr) == want
+    assert sorted(map(tuple, near_copies.drop_near_copies(df).collect()), key=repr) == want
+
+
+def test_wider_radius(spark):
+    r = random.Random(8)
+    fps = [r.getrandbits(64) for _ in range(4)]
+    for f in list(fps):
+        for k in range(1, 7):
+            for b in r.sample(range(64), k):
+                f ^= 1 << b
+            fps.append(f)
+    signed = {f - (1 << 64) if f >> 63 else f for f in fps}
+    links = simhash.ball_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4)
+    roots = {x.node: x.root for x in simhash.components(links).collect()}
+    want = {}
+    for n in sorted(signed):
+        todo = [n] if n not in want else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = n
+                todo += [y for y in signed if ((x ^ y) % (1 << 64)).bit_count() <= 4]
+    assert {f: roots.get(f, f) for f in signed} == want
+    with pytest.raises(ValueError):
+        simhash.ball_links(links, 3)
+
+
+def test_query(spark):
+    out = simhash.op4_simhash_near_dedup(spark, DIR)
+    assert out.dtypes == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
+    fps = {r.doc_id: brute_fingerprint(r.text) for r in table(spark, DIR, "documents").collect()}
+    want = brute_components(fps)
+    assert {tuple(r) for r in out.collect()} == {(i, f"{f:016x}", want[i]) for i, f in fps.items()}

@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,48 @@ def test_mixed_rows(spark):
 def test_against_sql(spark):
     d = "/root/testdata/sf0.001"
     assert not differences(mixing.op7_mixing_sources(spark, d), mixing.ORACLE_SQL, d)
+
+
+def test_overlapping_constraints(spark):
+    """Against Newton's method with the whole Hessian."""
+    r = np.random.default_rng(1)
+    cells = [(f"s{a}", f"l{b}", int(r.integers(50, 900))) for a in range(4) for b in range(3) if (a, b) != (2, 1)]
+    rates = {k: float(r.uniform(0.4, 1.9)) for k in ["s0", "s1", "s2", "s3", "l0", "l1", "l2"]}
+    aims = defaultdict(float)
+    for a, b, n in cells:
+        aims[a] += n * rates[a] * rates[b]
+        aims[b] += n * rates[a] * rates[b]
+    names = sorted(aims)
+    x = np.array([[float(k in (a, b)) for k in names] for a, b, _ in cells])
+    mass, target, lam = np.array([n for *_, n in cells], float), np.array([aims[k] for k in names]), np.zeros(len(names))
+    for _ in range(60):
+        m = mass * np.exp(x @ lam)
+        lam += np.linalg.lstsq((x * m[:, None]).T @ x, target - x.T @ m, rcond=None)[0]
+    df = spark.createDataFrame(cells, "source string, lang string, mass long")
+    of = lambda c, k: spark.createDataFrame([(n, aims[n]) for n in names if n[0] == k], f"{c} string, target double")
+    got = mixing.balance(df, {"source": of("source", "s"), "lang": of("lang", "l")}, tolerance=1e-9)
+    tilt = {t[0]: t["lambda"] for g in got.values() for t in g.collect()}
+    for (a, b, _), want in zip(cells, np.exp(x @ lam), strict=True):
+        assert np.exp(tilt[a] + tilt[b]) == pytest.approx(want, rel=1e-6)
+
+
+def test_no_text_moves(spark):
+    """The plan of the mixed rows joins them with a broadcast table only."""
+    df, _ = documents(spark)
+    plan = mixing.mix_documents(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_rows_that_share_a_doc_id(spark):
+    rows = [(None if i % 3 == 0 else 5, f"s{i % 2}", f"{'w ' * (i % 17 + 1)}{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    taken = lambda d: sorted((r.source, r.text) for r in mixing.mix_documents(d).collect())
+    out = taken(df)
+    assert out == taken(df.repartition(2))
+    sizes, got = defaultdict(int), defaultdict(int)
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    for s, t in out:
+        got[s] += len(t.split())
+    for s, t in brute_targets(sizes).items():
+        assert abs(got[s] - t) <= 18

@@ -1,17 +1,19 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the windows of all normalised benchmark texts, each document scanned once, with the hits mapped back to words and characters of the original.
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark texts, each document scanned once, with the hits mapped back to words and characters of the original.
 
-The automaton's size follows the benchmark, not the corpus. Up to ``MAX_PATTERN_BYTES`` of patterns are broadcast as one automaton; a larger benchmark is split into blocks, each scanned by itself, and the hits of a document are united. So no broadcast exceeds that bound and no document is shuffled by more than its hits.
+The automaton reads words, not characters: each word of the benchmark has a symbol, all others share one. A window is ``size`` consecutive words of an item; an item of fewer words, but not none, is one window. Of the longer items the automaton holds seeds: (size + 1) / 2 words from every place that is a multiple of that number. Each window holds a whole seed, so that every document word that a window may hit lies near a seed's hit; the few windows of the document around it are then looked up by a 64-bit name among all windows and compared word by word. So the automaton has about one state for each word of the benchmark, not ``size`` of them.
 
-Words are runs of digits, letters a-z (after A-Z are lowered) and characters beyond ASCII. A window is ``size`` consecutive words of an item; an item of fewer words, but not none, is one window.
+The index follows the benchmark, not the corpus, and its size is checked: up to ``MAX_CHARS`` characters of benchmark text are broadcast as one index. A larger benchmark is dealt into parts; each is scanned by itself, one broadcast at a time, and gives rows for those texts alone that it hits, which are then joined back by the texts' hash. An index is built once in each worker and scan.
 
-Defined results: a null text has no words and no hits; a null item_id counts as the text ``""``; repeated items or documents count each by itself (equal item_ids once); an empty benchmark hits nothing; an empty table gives an empty result; other columns are ignored.
+Words are runs of digits, letters a-z (after A-Z are lowered) and characters beyond ASCII.
+
+Defined results: a null text has no words and no hits; a null item_id counts as the text ``""``; repeated items or documents count each by itself (equal item_ids once); an empty benchmark hits nothing; an empty table gives an empty result; other columns are ignored; a text that isn't valid UTF-8 is read byte by byte, any byte beyond ASCII belonging to a word.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -19,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_batches, table, texts_of
+from corpusloom.llm.common import columns_ddl, map_batches, materialize, table, texts_of
 
 WINDOW, SHARE = 13, 20
-MAX_PATTERN_BYTES = 8 << 20
+MAX_CHARS = 8 << 20
 
 _SEPARATORS = [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 _NORMAL = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _NORMAL = bytes(_NORMAL[i] if _NORMAL[i] not in _SEPARATORS else 0x20 for i in range(256))
 _ORIGINAL_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: How many indexes this process has built.
+BUILT = 0
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -35,58 +40,105 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def windows_of(words: list[bytes], size: int = WINDOW) -> set[bytes]:
-    """The windows of an item, each with a space on either side."""
-    n = max(len(words) - size + 1, 1 if words else 0)
-    return {b" " + b" ".join(words[i : i + size]) + b" " for i in range(n)}
-
-
-def pattern_blocks(benchmark: DataFrame, size: int = WINDOW, max_bytes: int = MAX_PATTERN_BYTES):
-    """Yields dicts from window to the item_ids that hold it, each of at most ``max_bytes`` of windows (or one item)."""
-    block: dict[bytes, list[str]] = {}
-    n = 0
-    for item, text in benchmark.selectExpr("coalesce(cast(item_id as string), '') i", "cast(text as string) t").distinct().orderBy("i", "t").toLocalIterator():
-        found = windows_of(words_of((text or "").encode()), size)
-        if block and n + sum(map(len, found)) > max_bytes:
-            yield block
-            block, n = {}, 0
-        for w in found:
-            block.setdefault(w, []).append(item)
-            n += len(w)
-    if block:
-        yield block
-
-
-_BUILT: dict[str, ahocorasick.Automaton] = {}
-
-
-def _automaton(key: str, patterns: dict[bytes, list[str]]) -> ahocorasick.Automaton:
-    """The automaton of a block, built once in each worker; a worker keeps those of the current scan only."""
-    if key not in _BUILT:
-        if len(_BUILT) > 1:
-            _BUILT.clear()
-        a = ahocorasick.Automaton()
-        for w, items in patterns.items():
-            a.add_word(w.decode(), (w.count(b" ") - 1, items))
-        a.make_automaton()
-        _BUILT[key] = a
-    return _BUILT[key]
-
-
-def scan(a: ahocorasick.Automaton, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words; the windows hit (first word, end exclusive); the items that occur."""
-    words = words_of(text)
-    joined = (b" " + b" ".join(words) + b" ").decode()
-    runs: list[tuple[int, int]] = []
-    items: set[str] = set()
-    starts = None
-    for end, (n, own) in a.iter(joined):
-        if starts is None:
-            starts = np.cumsum([1] + [len(w.decode()) + 1 for w in words])
-        last = int(np.searchsorted(starts, end, "right"))  # words that begin before the closing space
-        runs.append((last - n, last))
-        items.update(own)
-    return len(words), runs, items
+def _symbol(k: int) -> str:
+    """The ``k``-th symbol, from 1; 0 stands for words that the benchmark lacks. Surrogates are left out."""
+    return chr(k if k < 0xD800 else k + 0x800)
+
+
+class Index:
+    """The windows of some items (name, text), and the automaton that finds where they may occur."""
+
+    def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW):
+        global BUILT
+        BUILT += 1
+        self.size, seed = size, (size + 1) // 2
+        texts = [words_of(t) for _, t in items]
+        self.names = [n for n, _ in items]
+        self.symbols = {w: _symbol(k) for k, w in enumerate(sorted({w for ws in texts for w in ws}), 1)}
+        patterns: dict[str, set[int]] = {}
+        arrays, places, owners = [], [], []
+        at = 0
+        for i, ws in enumerate(texts):
+            s = "".join([self.symbols[w] for w in ws])
+            if 0 < len(s) < size:
+                patterns.setdefault(s, set()).add(i)
+            elif s:
+                for k in range(0, len(s) - seed + 1, seed):
+                    patterns.setdefault(s[k : k + seed], set()).add(-1)
+                arrays.append(self.codes(s))
+                places.append(np.arange(at, at + len(s) - size + 1))
+                owners.append(np.full(len(s) - size + 1, i))
+                at += len(s)
+        self.text = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+        # windows by name; of equal windows all owners, and one place
+        names = self.window_names(self.text, np.concatenate(places)) if places else np.empty(0, np.uint64)
+        place, owner = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (places, owners))
+        order = np.argsort(names, kind="stable")
+        self.window, self.place, self.owner = names[order], place[order], owner[order]
+        self.automaton = ahocorasick.Automaton()
+        for s, found in patterns.items():
+            self.automaton.add_word(s, (len(s), -1 in found, [k for k in found if k >= 0]))
+        if patterns:
+            self.automaton.make_automaton()
+
+    @staticmethod
+    def codes(symbols: str) -> np.ndarray:
+        return np.frombuffer(symbols.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+    def window_names(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        x = np.zeros(len(starts), np.uint64)
+        for k in range(self.size):
+            x = (x ^ (x >> np.uint64(29))) * _FACTOR + text[starts + k]
+        return x
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words; the runs of words hit (first, end exclusive), sorted; the items that occur."""
+        words = words_of(text)
+        if not len(self.automaton) or not words:
+            return len(words), [], set()
+        get = self.symbols.get
+        symbols = "".join([get(w, "\0") for w in words])
+        runs, items, seeds = [], set(), []
+        for end, (n, is_seed, whole) in self.automaton.iter(symbols):
+            if is_seed:
+                seeds.append(end + 1 - n)
+            if whole:
+                runs.append((end + 1 - n, end + 1))
+                items.update(whole)
+        if seeds:
+            at = np.array(seeds)[:, None] - np.arange(self.size - (self.size + 1) // 2 + 1)
+            at = np.unique(at[(at >= 0) & (at <= len(words) - self.size)])
+            coded = self.codes(symbols)
+            names = self.window_names(coded, at)
+            lo, hi = np.searchsorted(self.window, names, "left"), np.searchsorted(self.window, names, "right")
+            span = np.arange(self.size)
+            for start, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                same = (self.text[self.place[a:b, None] + span] == coded[start : start + self.size]).all(axis=1)
+                if same.any():
+                    runs.append((start, start + self.size))
+                    items.update(self.owner[a:b][same].tolist())
+        return len(words), sorted(runs), {self.names[k] for k in items}
+
+
+def benchmark_parts(benchmark: DataFrame, max_chars: int = MAX_CHARS):
+    """Yields lists of (item_id, text) of about ``max_chars`` characters, dealt by hash: all items, each once."""
+    items = benchmark.selectExpr("coalesce(cast(item_id as string), '') i", "coalesce(cast(text as string), '') t").distinct()
+    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    parts = max(1, -(-chars // max_chars))
+    for k in range(parts):
+        rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).collect() if parts > 1 else items.collect()
+        yield parts, [(r.i, r.t.encode()) for r in sorted(rows)]
+
+
+_INDEXES: dict[str, Index] = {}
+
+
+def _index(key: str, items: list[tuple[str, bytes]], size: int) -> Index:
+    """The index of a part, built once in each worker; a worker keeps that of the scan it is at."""
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = Index(items, size)
+    return _INDEXES[key]
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -99,45 +151,97 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = SHARE, max_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+def _char_spans(text: bytes, runs: list[tuple[int, int]]) -> list[dict]:
+    """The character spans of runs of words in the original text, in one walk over it."""
+    if not runs:
+        return []
+    starts = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)  # characters that begin up to each byte
+    at = [m.span() for m in _ORIGINAL_WORD.finditer(text)]
+    return [{"start": int(starts[at[i][0]]) - 1, "end": int(starts[at[j - 1][1] - 1])} for i, j in runs]
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_NEW = {"n_words": ("long", pa.int64()), "n_hit": ("long", pa.int64()), "items": ("array<string>", pa.list_(pa.string())), "spans": ("array<struct<start:long,end:long>>", _SPAN), "contaminated": ("boolean", pa.bool_())}
+
+
+def _judged(texts: list[bytes], found: list[tuple[int, list, set]], share: int) -> list[pa.Array]:
+    """The new columns, from number of words, runs and items of each text."""
+    rows = []
+    for t, (n, runs, items) in zip(texts, found, strict=True):
+        runs = _merged(runs)
+        n_hit = sum(j - i for i, j in runs)
+        rows.append((n, n_hit, sorted(items), _char_spans(t, runs), n_hit > 0 and share * n_hit >= n))
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_NEW)
+    return [pa.array(list(c), k) for c, (_, k) in zip(columns, _NEW.values(), strict=True)]
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = SHARE, max_chars: int = MAX_CHARS) -> DataFrame:
     """All columns of ``docs`` and n_words, n_hit, items (sorted strings), spans (array of the character spans of the hit runs in the original text) and contaminated (n_hit > 0 and share * n_hit >= n_words).
 
     The input columns may have any names beside ``text``; the five new ones replace columns of the same names.
     """
-    spark = docs.sparkSession
-    new = ["n_words", "n_hit", "items", "spans", "contaminated"]
-    kept = [c for c in docs.columns if c not in new]
-    blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in pattern_blocks(benchmark, size, max_bytes)]
-    at = kept.index("text")
-
-    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[], [], [], [], []]
-        texts = texts_of(batch.column(at))
-        hits: list[tuple[list, set]] = [([], set()) for _ in texts]
-        counts = [len(words_of(t)) for t in texts] if not blocks else [0] * len(texts)
-        for key, block in blocks:
-            a = _automaton(key, block.value)
-            for i, t in enumerate(texts):
-                counts[i], runs, items = scan(a, t)
-                hits[i][0].extend(runs)
-                hits[i][1].update(items)
-        for t, n, (runs, items) in zip(texts, counts, hits, strict=True):
-            runs, spans = _merged(runs), []
-            if runs:
-                at_bytes = [m.span() for m in _ORIGINAL_WORD.finditer(t)]
-                spans = [{"start": len(t[: at_bytes[i][0]].decode()), "end": len(t[: at_bytes[j - 1][1]].decode())} for i, j in runs]
-            n_hit = sum(j - i for i, j in runs)
-            for c, x in zip(cols, (n, n_hit, sorted(items), spans, n_hit > 0 and share * n_hit >= n), strict=True):
-                c.append(x)
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        made = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.string()), span, pa.bool_()), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + made, kept + new)
-
-    ddl = ", ".join(f"`{n}` {t}" for n, t in docs.select(kept).dtypes)
-    return map_batches(docs.select(kept), f, f"{ddl}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean")
+    context = docs.sparkSession.sparkContext
+    kept = docs.select([c for c in docs.columns if c not in _NEW])
+    at, names = kept.columns.index("text"), [*kept.columns, *_NEW]
+    ddl = ", ".join([columns_ddl(kept), *(f"{n} {t}" for n, (t, _) in _NEW.items())])
+    hits = []
+    for parts, items in benchmark_parts(benchmark, max_chars):
+        key, shared = uuid.uuid4().hex, context.broadcast(items)
+
+        def scan(texts: list[bytes], key=key, shared=shared) -> list:
+            return list(map(_index(key, shared.value, size).scan, texts))
+
+        if parts == 1:
+
+            def whole(b: pa.RecordBatch) -> pa.RecordBatch:
+                texts = texts_of(b.column(at))
+                return pa.RecordBatch.from_arrays([*b.columns, *_judged(texts, scan(texts), share)], names)
+
+            return map_batches(kept, whole, ddl)
+
+        def hit(b: pa.RecordBatch, scan=scan) -> pa.RecordBatch | None:
+            found = [(sign, runs, sorted(items)) for sign, (_, runs, items) in zip(b.column(1).to_pylist(), scan(texts_of(b.column(0))), strict=True) if runs]
+            if not found:
+                return None
+            sign, runs, items = zip(*found, strict=True)
+            spans = [[{"start": i, "end": j} for i, j in _merged(r)] for r in runs]
+            return pa.RecordBatch.from_arrays([pa.array(sign, pa.string()), pa.array(spans, _SPAN), pa.array(list(items), pa.list_(pa.string()))], ["sign", "runs", "items"])
+
+        signed = kept.select(F.col("text").cast("string").alias("text"), _sign("text").alias("sign"))
+        hits.append(materialize(map_batches(signed, hit, "sign string, runs array<struct<start:long,end:long>>, items array<string>").dropDuplicates(["sign"])))
+        shared.unpersist()
+    by_text = reduce(DataFrame.union, hits).groupBy("sign").agg(F.flatten(F.collect_list("runs")).alias("_runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items"))
+    joined = kept.withColumn("_sign", _sign("text")).join(by_text, F.col("_sign") == F.col("sign"), "left").select(*kept.columns, "_runs", "_items")
+
+    n = len(kept.columns)
+
+    def put_together(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = texts_of(b.column(at))
+        runs = [[(r["start"], r["end"]) for r in x or []] for x in b.column(n).to_pylist()]
+        found = [(len(words_of(t)), r, set(i or [])) for t, r, i in zip(texts, runs, b.column(n + 1).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*b.columns[:n], *_judged(texts, found, share)], names)
+
+    return map_batches(joined, put_together, ddl)
+
+
+def _sign(column: str):
+    return F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 8 over all documents and all benchmark items."""
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Windows of items and of documents as texts, and their equality.
+ORACLE_SQL = rf"""WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS_SQL} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, least({WINDOW}, len(w)) AS n, array_to_string(w[k : k + least({WINDOW}, len(w)) - 1], ' ') AS win FROM (SELECT *, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+dw AS (SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, k, dw.n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM hits)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)"""

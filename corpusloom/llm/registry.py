@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing_sources": mixing.ORACLE_SQL}
+    return {"op5_sharding": sharding.oracle_sql(), "op7_mixing_sources": mixing.ORACLE_SQL, "op8_benchmark_decontamination": decontaminate.ORACLE_SQL}

@@ -66,3 +66,10 @@ def write_shards(df: DataFrame, path: str, salts: int = 4) -> None:
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot and shard of every document."""
     return place(table(spark, sf_dir, "documents").select("doc_id"))
+
+
+def oracle_sql(shards: int = SHARDS, slots: int = SLOTS) -> str:
+    """Placement in SQL: the key's slot, and its shard in the lookup table, which stands there as the list of its owners."""
+    owners = ", ".join(map(str, lookup_table([f"shard-{k:05d}" for k in range(shards)], slots)))
+    return f"""WITH s AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {slots} AS slot FROM documents), t AS (SELECT [{owners}] AS owners)
+SELECT doc_id, slot, format('shard-{{:05d}}', owners[slot + 1]) AS shard FROM s, t"""

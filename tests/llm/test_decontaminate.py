@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate
 from tests.llm.small import empty
+from tests.oracle import differences
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -43,12 +44,12 @@ def make(spark):
     return items, docs
 
 
-@pytest.mark.parametrize("max_bytes", [300, 8 << 20])
-def test_against_brute_force(spark, max_bytes):
+@pytest.mark.parametrize("max_chars", [100, 8 << 20])
+def test_against_brute_force(spark, max_chars):
     items, docs = make(spark)
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("n_hit", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.find_contamination(df, bench, max_bytes=max_bytes).collect()
+    got = decontaminate.find_contamination(df, bench, max_chars=max_chars).collect()
     assert len(got) == len(docs)
     for r in got:
         n, hit, found, words = brute(r.text, [("" if i is None else i, t) for i, t in items])
@@ -64,3 +65,35 @@ def test_empty_tables(spark):
     none = decontaminate.find_contamination(spark.createDataFrame([(1, docs[5])], "doc_id long, text string"), bench.limit(0)).first()
     assert none.n_hit == 0 and not none.contaminated and none.n_words == len(WORD.findall(lower(docs[5])))
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_one_build_for_each_worker_and_part(spark, monkeypatch):
+    """Four parts' worth of benchmark: the same rows as from one, and an index is built once however many batches a scan has."""
+    items, docs = make(spark)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs * 4)), "doc_id long, text string").coalesce(1)
+    chars = sum(len(t or "") for _, t in items)
+    assert len(list(decontaminate.benchmark_parts(bench, -(-chars // 4)))) == 4
+    sort = lambda out: sorted(map(repr, out.collect()))
+    assert sort(decontaminate.find_contamination(df, bench, max_chars=-(-chars // 4))) == sort(decontaminate.find_contamination(df, bench))
+    built = []
+    monkeypatch.setattr(decontaminate, "Index", lambda *a: built.append(a))
+    for key in ("a", "a", "b", "b", "b"):
+        decontaminate._index(key, [], 13)
+    assert len(built) == 2
+
+
+def test_shared_starts_and_bytes_that_are_no_utf8():
+    phrase = "which of these is the one that holds the most water for all"
+    index = decontaminate.Index([(str(k), f"{phrase} {k} or {k + 1} yes".encode()) for k in range(500)])
+    n, runs, items = index.scan(f"x {phrase} 77 or 78 yes".encode())
+    assert n == 18 and items >= {"77"} and runs[-1][1] == 18
+    assert index.scan(b"\xff\xfe " + phrase.encode() + b" 3 or \xff")[0] == 17
+    assert decontaminate._char_spans("é, ab é".encode(), [(0, 1), (2, 3)]) == [{"start": 0, "end": 1}, {"start": 6, "end": 7}]
+
+
+def test_query_against_sql(spark):
+    d = "/root/testdata/sf0.001"
+    out = decontaminate.op8_benchmark_decontamination(spark, d)
+    assert out.dtypes == [("doc_id", "bigint"), ("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items_sha256", "string"), ("contaminated", "boolean")]
+    assert not differences(out, decontaminate.ORACLE_SQL, d)

@@ -5,6 +5,7 @@ import pytest
 
 from corpusloom.llm import sharding
 from tests.llm.small import documents, empty
+from tests.oracle import differences
 
 
 def brute_table(names, slots):
@@ -52,3 +53,10 @@ def test_placement(spark, tmp_path):
     assert sharding.place(empty(spark)).count() == 0
     sharding.write_shards(got, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def test_query_against_sql(spark):
+    d = "/root/testdata/sf0.001"
+    out = sharding.op5_sharding(spark, d)
+    assert out.dtypes == [("doc_id", "bigint"), ("slot", "bigint"), ("shard", "string")]
+    assert not differences(out, sharding.oracle_sql(), d)

@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and beyond them a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans.
 
-The labels come from the patterns, over a bounded sample of documents (``SAMPLE_DOCS`` texts of at most ``MAX_SAMPLE_CHARS`` characters that hold a digit or ``@``, lowest hash first), and from written forms that the patterns don't know, put into windows of the same texts. A window has ``WINDOW`` characters and overlaps its neighbours by half; it is decoded by itself (Viterbi), each character takes the tag of the window in whose middle half it lies, and spans are then read off the whole text, so that none is cut at a window's edge. Every kind holds a digit or ``@``: windows without either are not decoded, and their characters belong to no span.
+The labels come from the patterns, over a bounded sample of documents (``SAMPLE_DOCS`` texts of at most ``MAX_SAMPLE_CHARS`` characters that hold a digit or ``@``, lowest hash first), and from written forms that the patterns don't know, put into windows of the same texts. A window has ``WINDOW`` characters and overlaps its neighbours by half. Windows are scored by the network one by one; where they overlap, a character's scores are their mean, weighted by its distance from each window's edges, and one Viterbi path is then taken through the whole text, so that neither a span nor a path is cut at a window's edge. Every kind holds a digit or ``@``, and what the network adds must hold one too: windows without either can't add a span, so their characters are outside of all by definition, and the path need not be computed there.
 
 What the network adds must hold the digits that its kind asks for (Luhn's test for cards) and touch no span of the patterns, which always stay.
 
-A map over whole texts with a model of some kilobytes: no shuffle; at most ``BATCH`` windows are decoded at once.
+A map over whole texts with a model of some kilobytes: no shuffle; at most ``BATCH`` windows and a text's own are scored together.
 
 Defined results: a null text counts as empty and has no spans; repeated rows stay; without any labelled text in the sample the network is trained on the written forms alone; an empty table gives an empty result; input columns named spans are replaced.
 """
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bounded_sample, map_batches, table
+from corpusloom.llm.common import bounded_sample, columns_ddl, map_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, MAX_SAMPLE_CHARS, SAMPLE_WINDOWS, EPOCHS = 1500, 20_000, 700, 8
+SAMPLE_DOCS, MAX_SAMPLE_CHARS, SAMPLE_WINDOWS, FORMS, EPOCHS = 1500, 20_000, 700, 1500, 8
 WINDOW, STEP, BATCH = 64, 32, 1024
 EMBED, HIDDEN, TAGS = 12, 16, 1 + 2 * len(KINDS)
 LETTER, PAD, SYMBOLS = 128, 129, 130
@@ -147,18 +147,36 @@ class Tagger:
         both = np.concatenate([f, b], axis=2)
         return both @ self.p["out"] + self.p["out_bias"], both, {"f": sf, "b": sb}
 
-    def decode(self, windows: np.ndarray) -> np.ndarray:
-        """The best tags (B, T) of windows (B, T) of symbols."""
-        e = self.scores(np.ascontiguousarray(windows.T))[0]
-        best, back = e[0], []
-        for t in range(1, len(e)):
-            all_ = best[:, :, None] + self.p["moves"]
-            back.append(all_.argmax(axis=1))
-            best = all_.max(axis=1) + e[t]
-        tags = [best.argmax(axis=1)]
-        for b in reversed(back):
-            tags.append(b[np.arange(len(b)), tags[-1]])
-        return np.array(tags[::-1]).T
+    def window_scores(self, windows: np.ndarray) -> np.ndarray:
+        """The scores (B, T, TAGS) of windows (B, T) of symbols."""
+        parts = [self.scores(np.ascontiguousarray(windows[i : i + BATCH].T))[0].transpose(1, 0, 2) for i in range(0, len(windows), BATCH)]
+        return np.concatenate(parts)
+
+    def paths(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of each of some stretches (T, TAGS) of scores, with nothing tagged before and after. Stretches of like length go together."""
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(stretches)
+        groups: dict[int, list[int]] = {}
+        for i, s in enumerate(stretches):
+            groups.setdefault(len(s).bit_length(), []).append(i)
+        moves = self.p["moves"]
+        for rows in groups.values():
+            n = np.array([len(stretches[i]) for i in rows])
+            e = np.full((n.max(), len(rows), TAGS), -1e6, moves.dtype)
+            e[:, :, 0] = 0
+            for k, i in enumerate(rows):
+                e[: n[k], k] = stretches[i]
+            best, back = moves[0] + e[0], np.empty((len(e), len(rows), TAGS), np.int8)
+            for t in range(1, len(e)):
+                all_ = best[:, :, None] + moves
+                back[t] = all_.argmax(axis=1)
+                best = all_.max(axis=1) + e[t]
+            tags, k = np.empty((len(e), len(rows)), np.int64), np.arange(len(rows))
+            tags[-1] = (best + moves[:, 0]).argmax(axis=1)
+            for t in range(len(e) - 1, 0, -1):
+                tags[t - 1] = back[t, k, tags[t]]
+            for j, i in enumerate(rows):
+                out[i] = tags[: n[j], j]
+        return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log-likelihood of tags y (T, B) for symbols x (T, B), for each window, and its gradient."""
@@ -245,8 +263,8 @@ def written_form(r: np.random.Generator) -> tuple[int, str]:
     return -1, pick(d(r.integers(1, 9)), f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"${d(3)}.{d(2)}", "".join(r.choice(list("0123456789abcdef"), int(r.integers(12, 40)))), f"@{word()}", f"{word()}{d(2)}")
 
 
-def labelled_windows(texts: list[str], n: int = SAMPLE_WINDOWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of symbols and their tags: of ``texts`` with the spans of the patterns, up to ``n``; and as many that hold written forms."""
+def labelled_windows(texts: list[str], n: int = SAMPLE_WINDOWS, forms: int = FORMS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of symbols and their tags: of ``texts`` with the spans of the patterns, up to ``n``; and those of ``forms`` written forms."""
     r = np.random.default_rng(seed)
 
     def tagged(text: str, spans) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +280,7 @@ def labelled_windows(texts: list[str], n: int = SAMPLE_WINDOWS, seed: int = 7) -
     real = [tagged(t, base_spans(t)) for t in texts if t and _TRIGGER.search(t)]
     plain = " ".join(t[:400] for t in texts[:200] if t) or "lorem ipsum dolor sit amet " * 20
     made = []
-    for _ in range(n):
+    for _ in range(forms):
         kind, form = written_form(r)
         a = int(r.integers(0, max(1, len(plain) - 200)))
         before, after = _TRIGGER.sub("x", plain[a : a + int(r.integers(0, 60))]), _TRIGGER.sub("x", plain[a + 100 : a + 160])
@@ -308,19 +326,40 @@ def read_spans(text: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+#: How much a character's scores in a window count, by its distance from the edges.
+_EDGE = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW))
+
+
+def _stretches(ks: np.ndarray, e: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """The overlapping scores ``e`` (windows, WINDOW, TAGS) of a text of ``n`` characters as one: for each run of neighbouring windows ``ks`` where it starts, and the scores of its characters."""
+    out = []
+    for run in np.split(np.arange(len(ks)), np.flatnonzero(np.diff(ks) > 1) + 1):
+        first, size = int(ks[run[0]]) * STEP - STEP // 2, len(run) * STEP + WINDOW - STEP
+        sums, weight = np.zeros((size, TAGS), e.dtype), np.zeros(size, e.dtype)
+        for shift in (0, 1):  # windows of one parity lie side by side, those of the other overlap them
+            some = run[shift::2]
+            at = shift * STEP
+            sums[at : at + len(some) * WINDOW] += (e[some] * _EDGE[:, None].astype(e.dtype)).reshape(-1, TAGS)
+            weight[at : at + len(some) * WINDOW] += np.tile(_EDGE, len(some))
+        low, high = max(0, first + STEP // 2), min(n, first + size - STEP // 2)
+        out.append((low, sums[low - first : high - first] / weight[low - first : high - first, None]))
+    return out
+
+
 def tag_texts(tagger: Tagger, texts: list[str]):
-    """For each text that has windows to decode, its index and a tag for each of its characters."""
+    """For each text that has windows to score, its index and a tag for each of its characters."""
     queue: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def flush():
-        x = np.concatenate([w for _, _, w in queue])
-        t = np.concatenate([tagger.decode(x[i : i + BATCH]) for i in range(0, len(x), BATCH)])[:, STEP // 2 : STEP // 2 + STEP]
-        at = 0
+        e = tagger.window_scores(np.concatenate([w for _, _, w in queue]))
+        at, placed = 0, []
         for i, ks, w in queue:
-            tags = np.zeros(-(-len(texts[i]) // STEP) * STEP, np.int64)
-            tags.reshape(-1, STEP)[ks] = t[at : at + len(w)]
+            placed += [(i, start, s) for start, s in _stretches(ks, e[at : at + len(w)], len(texts[i]))]
             at += len(w)
-            yield i, tags[: len(texts[i])]
+        found: dict[int, np.ndarray] = {i: np.zeros(len(texts[i]), np.int64) for i, _, _ in queue}
+        for (i, start, s), tags in zip(placed, tagger.paths([s for _, _, s in placed]), strict=True):
+            found[i][start : start + len(s)] = tags
+        yield from found.items()
 
     n = 0
     for i, text in enumerate(texts):
@@ -370,8 +409,7 @@ def find_spans(docs: DataFrame, tagger: Tagger) -> DataFrame:
         rows = [[{"kind": KINDS[k], "start": x, "end": y, "base": (x, k, y) in base} for x, k, y in spans] for base, spans in ((set(p), q) for p, q in found)]
         return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(rows, kind)], [*kept, "spans"])
 
-    ddl = ", ".join(f"`{n}` {t}" for n, t in docs.select(kept).dtypes)
-    return map_batches(docs.select(kept), f, f"{ddl}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+    return map_batches(docs.select(kept), f, f"{columns_ddl(docs.select(kept))}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators 2, 9 and 10: held-out accuracy, brute force for what is fixed, and edges."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import language, pii, toxicity
-from corpusloom.llm.common import table
+from corpusloom.llm.common import sample_by, table
 from tests.llm.small import documents, empty
 
 DIR = "/root/testdata/sf0.1"
@@ -33,6 +34,44 @@ def test_language_backs_off():
     assert language.Scorer(language.train([])).predict("abc") == ("und", 0.0)
 
 
+def test_language_scores_by_brute_force(spark):
+    """Scores of whole texts by the model's tables, straight from the method's definition."""
+    d = "/root/testdata/sf0.001"
+    docs = table(spark, d, "documents")
+    model = language.fit(docs.filter("pmod(crc32(cast(doc_id as string)), 3) <> 1"))
+    tables, names = [dict(zip(k, v.astype(float), strict=True)) for k, v in model["tables"]], model["languages"]
+
+    def word(w):
+        if w in tables[0]:
+            return tables[0][w] - tables[0][w].max()
+        for n in range(5, 0, -1):
+            grams = [g for g in ([f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)) if g in tables[n]]
+            if grams:
+                x = sum(tables[n][g] for g in grams) / len(grams)
+                return x - x.max()
+        return np.zeros(len(names))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    out = language.op2_language_id(spark, d)
+    assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    for r in out.collect():
+        words = re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower())
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = sum(map(word, words)) * min(1, 12 / len(words))
+        share = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert share[names.index(r.lang_pred)] == pytest.approx(share.max(), abs=1e-9) and r.score == pytest.approx(share.max(), abs=2e-6)
+
+
+def test_rare_language_is_learned(spark):
+    rows = [(i, "zug weiß ganz viel " * 3 if i % 1000 == 7 else f"the cat sat {i} on mats", "rare" if i % 1000 == 7 else "often") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r.lang, r.lang_pred) for r in language.predict(df, language.fit(df)).select("lang", "lang_pred").distinct().collect()}
+    assert got == {("rare", "rare"), ("often", "often")}
+    assert {r.lang: r["count"] for r in sample_by(df, "lang", 50).groupBy("lang").count().collect()} == {"often": 50, "rare": 1}
+
+
 def test_language_edges(spark):
     df, rows = documents(spark)
     out = language.predict(df.withColumnRenamed("size", "score"), language.fit(df))
@@ -113,15 +152,38 @@ def test_network_finds_spans_and_adds_few(spark, tagger):
 
 
 def test_network_knows_other_forms(tagger):
+    """Recall by kind, of forms that the patterns don't know, in a text and with numbers that training hasn't seen."""
     r = np.random.default_rng(11)
-    hits = n = 0
-    for _ in range(200):
-        kind, form = pii.written_form(r)
-        text = f"onre the thing of and {form} heat thion anre"
-        if kind >= 0 and not pii.base_spans(text):
-            n += 1
-            hits += any(k == kind for _, k, _ in pii.all_spans(tagger, [text])[0][1])
-    assert n > 20 and hits > 0.6 * n
+    made = [pii.written_form(r) for _ in range(1500)]
+    texts = [(k, f"onre the thing of and {form} heat thion anre") for k, form in made]
+    new = [(k, t) for k, t in texts if k >= 0 and not pii.base_spans(t)]
+    found = [any(x == k for _, x, _ in spans) for (k, _), (_, spans) in zip(new, pii.all_spans(tagger, [t for _, t in new]), strict=True)]
+    for kind in range(4):
+        own = [f for (k, _), f in zip(new, found, strict=True) if k == kind]
+        print(f"FIGURE {pii.KINDS[kind]}: {sum(own)} of {len(own)}")
+        assert len(own) > 20 and sum(own) > 0.9 * len(own), pii.KINDS[kind]
+    others = [t for k, t in texts if k < 0]
+    assert sum(len(s) for _, s in pii.all_spans(tagger, others)) <= 0.03 * len(others)
+
+
+def test_one_path_through_the_whole_text(tagger):
+    """Where windows overlap, scores are their weighted mean; the path is the best of all paths, found here by trying all."""
+    r = np.random.default_rng(2)
+    e = r.normal(0, 2, (4, pii.TAGS))
+    moves, best = tagger.p["moves"], (-np.inf, None)
+    for path in itertools.product(range(pii.TAGS), repeat=4):
+        steps = (0, *path, 0)
+        value = sum(e[i, t] for i, t in enumerate(path)) + sum(moves[a, b] for a, b in zip(steps, steps[1:]))
+        best = max(best, (value, path))
+    assert tuple(tagger.paths([e, e[:3]])[0]) == best[1]
+    text = "x" * 50 + " mail ann.b7@example.org now " + "y" * 90 + " 12 " + "z" * 200
+    ks = pii.zones(text)
+    w = tagger.window_scores(pii.window_codes(pii.codes(text), ks))
+    for start, s in pii._stretches(ks, w, len(text)):
+        for at in range(start, start + len(s)):
+            over = [(min(t + 1, 64 - t), w[j, t]) for j, k in enumerate(ks) if 0 <= (t := at - (k * 32 - 16)) < 64]
+            assert np.allclose(s[at - start], sum(a * x for a, x in over) / sum(a for a, _ in over))
+    assert [x for _, x in pii.all_spans(tagger, [text, "", "no"])] == [pii.base_spans(text), [], []]
 
 
 def test_gradient():

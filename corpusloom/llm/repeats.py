@@ -4,7 +4,7 @@ A document is an array of symbols. A *window* is ``length`` consecutive symbols.
 
 1. ``runs_of``: rows (name of the anchor, digest of the whole run, document, first and last window). Within an Arrow batch equal runs are folded: all but the earliest are known to repeat and don't travel. A batch that meets several different runs with one anchor sends one mark instead of them. So no name has more rows than there are batches, however often it occurs.
 2. ``settle``: Spark sorts the rows by name, digest and position. A run whose name has no other row is unique. Among equal runs all but the earliest repeat. Where one name has several different runs, they go on to round 3.
-3. ``pieces_of``: those runs are cut into pieces of 8 windows by their distance from the anchor, and a piece is named by the symbols that all its windows share (two names of doubled length that overlap); ``settle`` again, so that unique names drop out and equal pieces are settled at once. Pieces that still differ are cut into single windows, named at their full length, and settled. Names and digests are independent, so two windows are taken for equal by 128 bits.
+3. ``pieces_of``: those runs are cut into pieces of 8 windows by their distance from the anchor, and a piece is named by the symbols that all its windows share (two names of doubled length that overlap); ``settle`` again, so that unique names drop out and equal pieces are settled at once. Pieces that still differ are cut into single windows, named at their full length, and settled. Names and digests (of the symbols' own bytes) are independent, so two windows are taken for equal by 128 bits.
 
 What comes out are ranges of windows (document, first, last) that repeat an earlier one.
 """
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_batches, materialize, ragged, texts_of
@@ -31,9 +31,9 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 @dataclass(frozen=True)
 class Scheme:
-    """What is compared. symbols: from a text's bytes to its symbols; length of a window and of an anchor; whether an earlier window of the same document counts."""
+    """What is compared. symbols: from a text's bytes to its symbols, and, where a symbol is not just a byte of the text, the bytes that digests read and where in them each symbol begins and ends; length of a window and of an anchor; whether an earlier window of the same document counts."""
 
-    symbols: Callable[[bytes], np.ndarray]
+    symbols: Callable[[bytes], tuple[np.ndarray, bytes, np.ndarray | None, np.ndarray | None]]
     length: int
     key: int
     within: bool
@@ -85,11 +85,25 @@ def _earliest(new: np.ndarray, doc: np.ndarray, within: bool) -> np.ndarray:
     return new if within else doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
-def _batch(scheme: Scheme, texts: list[bytes]):
-    """All symbols of some texts in one array, and for each text its offset and its number of windows."""
-    parts = [scheme.symbols(t) for t in texts]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    return np.concatenate(parts), np.cumsum(sizes) - sizes, np.maximum(sizes - scheme.length + 1, 0)
+class _Batch:
+    """All symbols of some texts in one array, for each text its offset and its number of windows, and digests of the symbols' own bytes."""
+
+    def __init__(self, scheme: Scheme, texts: list[bytes]):
+        parts = [scheme.symbols(t) for t in texts]
+        sizes = np.array([len(p[0]) for p in parts], np.int64)
+        self.symbols, self.offsets = np.concatenate([p[0] for p in parts]), np.cumsum(sizes) - sizes
+        self.windows = np.maximum(sizes - scheme.length + 1, 0)
+        self.raw, self.begin, self.end = b"".join([p[1] for p in parts]), None, None
+        if parts and parts[0][2] is not None:
+            widths = np.array([len(p[1]) for p in parts], np.int64)
+            shift = np.repeat(np.cumsum(widths) - widths, sizes)
+            self.begin, self.end = (np.concatenate([p[k] for p in parts]) + shift for k in (2, 3))
+
+    def digests(self, first: np.ndarray, last: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """A 64-bit digest of the bytes of symbols ``first`` to ``last``, each with its seed."""
+        a, b = (first, last + 1) if self.begin is None else (self.begin[first], self.end[last])
+        raw, hash_ = memoryview(self.raw), xxhash.xxh3_64_intdigest
+        return np.array([hash_(raw[i:j], k) for i, j, k in zip(a.tolist(), b.tolist(), seed.tolist(), strict=True)], np.uint64)
 
 
 def _rows(name, digest, doc, first, last, kind) -> pa.RecordBatch:
@@ -125,18 +139,19 @@ def _fold(name, digest, doc, first, last, offset, within: bool) -> pa.RecordBatc
         (name[one], digest[one], doc[one], first[one], last[one], RUN | offset[one] << 2),
         (name[marks], *[none(len(marks))] * 4, np.full(len(marks), MARK)),
         (spread(gone[0], gone[1]), none(len(gone[0])), *gone, np.full(len(gone[0]), REPEAT)),
-        (spread(doc[split], first[split]), none(split.sum()), doc[split], first[split], last[split], SPLIT | offset[split] << 2),
+        (spread(doc[split], first[split]), name[split], doc[split], first[split], last[split], SPLIT | offset[split] << 2),
     ]
     return _rows(*(np.concatenate([x.view(np.int64) if x.dtype == np.uint64 else x for x in column]) for column in zip(*parts, strict=True)))
 
 
 def runs_of(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Rows (``ROWS``) of ``docs`` (doc, text), folded within batches. REPEAT rows are ranges already known to repeat; SPLIT rows runs whose windows must be told apart."""
+    """Rows (``ROWS``) of ``docs`` (doc, text), folded within batches. REPEAT rows are ranges already known to repeat; SPLIT rows runs whose windows must be told apart; these have their name as digest."""
     width = scheme.length - scheme.key + 1
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = b.column(0).to_numpy()
-        s, offsets, counts = _batch(scheme, texts_of(b.column(1)))
+        batch = _Batch(scheme, texts_of(b.column(1)))
+        s, offsets, counts = batch.symbols, batch.offsets, batch.windows
         if not counts.any():
             return None
         names = names_at(s, scheme.key)
@@ -147,9 +162,7 @@ def runs_of(docs: DataFrame, scheme: Scheme) -> DataFrame:
         first, last, anchor = starts[begin], starts[np.append(begin[1:], len(starts)) - 1], anchors[begin]
         row = np.searchsorted(offsets, first, "right") - 1
         # texts without symbols share an offset with the next one
-        size, raw, hash_ = s.dtype.itemsize, memoryview(s).cast("B"), xxhash.xxh3_64_intdigest
-        ends = last + scheme.length
-        digest = np.array([hash_(raw[i * size : j * size], k) for i, j, k in zip(first.tolist(), ends.tolist(), (anchor - first).tolist(), strict=True)], np.uint64)
+        digest = batch.digests(first, last + scheme.length - 1, anchor - first)
         return _fold(names[anchor], digest, ids[row], first - offsets[row], last - offsets[row], anchor - first, scheme.within)
 
     return map_batches(docs, f, ROWS)
@@ -180,7 +193,7 @@ def settle(rows: DataFrame, scheme: Scheme, remember: bool = False) -> DataFrame
         split = kept & several[group]
         pending = np.zeros(len(name), bool) if last_batch else kept & ~split & (group == group[-1])
         out = np.where(code >= REPEAT, kind, np.where(split, kind | SPLIT, np.where((code == RUN) & ~kept, REPEAT, -1)))
-        parts = [[x[(out >= 0) & ~told] for x in (name, digest, doc, first, last, out)]]
+        parts = [[x[(out >= 0) & ~told] for x in (name, np.where(split, name, digest), doc, first, last, out)]]
         if remember:
             fresh = kept & ~told & ~pending
             marks = np.flatnonzero((code == MARK) & ~told)
@@ -226,7 +239,8 @@ def pieces_of(split: DataFrame, docs: DataFrame, scheme: Scheme, size: int) -> D
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = b.column(0).to_numpy()
-        s, offsets, _ = _batch(scheme, texts_of(b.column(1)))
+        batch = _Batch(scheme, texts_of(b.column(1)))
+        s, offsets = batch.symbols, batch.offsets
         runs = b.column(2)
         flat = runs.flatten()
         lo, hi, off = (flat.field(k).to_numpy() for k in ("first", "last", "offset"))
@@ -243,11 +257,11 @@ def pieces_of(split: DataFrame, docs: DataFrame, scheme: Scheme, size: int) -> D
         names = names_at(s, half)
         at = anchor - place * size
         name = mix(mix(names[at], names[at + core - half]), place.astype(np.uint64))
-        width, raw, hash_ = s.dtype.itemsize, memoryview(s).cast("B"), xxhash.xxh3_64_intdigest
-        digest = np.array([hash_(raw[i * width : j * width], k) for i, j, k in zip(first.tolist(), (last + scheme.length).tolist(), (anchor - first).tolist(), strict=True)], np.uint64)
+        digest = batch.digests(first, last + scheme.length - 1, anchor - first)
         return _fold(name, digest, ids[row], first - offsets[row], last - offsets[row], anchor - first, scheme.within)
 
-    return map_batches(docs.join(wanted, "doc").select("doc", "text", "runs"), f, ROWS)
+    # sorted, so that a task that runs again folds the same batches, whatever order its rows were fetched in
+    return map_batches(docs.join(wanted, "doc").select("doc", "text", "runs").sortWithinPartitions("doc"), f, ROWS)
 
 
 def with_row_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -260,9 +274,14 @@ def with_row_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
         # the filter drops nothing; it stands in inner joins anyway, and with it all joins of the texts share one shuffle
         return docs.withColumn("doc", F.col("doc_id")).filter("doc IS NOT NULL"), False
     sign = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    keys = docs.select("doc_id", sign.alias("sign"), F.col("text").isNull().alias("none")).distinct().orderBy("doc_id", "sign", "none")
-    numbered = materialize(keys.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF("doc_id long, sign string, none boolean, doc long"))
+    keys = ["doc_id", "sign", "none"]
     named = docs.withColumns({"sign": sign, "none": F.col("text").isNull()})
+    # numbered by ranges: within a range by its own order, after the numbers of the ranges before (one row each)
+    ranged = materialize(named.select(keys).distinct().repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*keys))
+    numbered = materialize(ranged.join(starts, "range").select(*keys, (F.col("start") + place).alias("doc")))
     return named.join(numbered, [named.doc_id.eqNullSafe(numbered.doc_id), named.sign == numbered.sign, named.none == numbered.none]).select(named.doc_id, "text", "doc"), True
 
 

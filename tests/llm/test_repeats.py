@@ -1,5 +1,6 @@
 """Operators 1 and 3 against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -119,3 +120,77 @@ def test_names():
         for i, x in enumerate(names.tolist()):
             by.setdefault(x, set()).add(s[i : i + n].tobytes())
         assert all(len(x) == 1 for x in by.values()) and len(by) == len({s[i : i + n].tobytes() for i in range(300 - n + 1)})
+
+
+def test_index_in_two_sessions(spark, tmp_path):
+    """Batches added by one session and by another that opens the folder give what all batches at once give."""
+    pairs = [(3 * i, t) for i, t in enumerate(hard_texts(9))]
+    df = spark.createDataFrame(pairs, "doc long, text string").repartition(4)
+    want = {d: {k for k in range(n_words) if gone[k]} for d, (n_words, gone) in brute_gone(pairs, 8).items()}
+    path, got = f"file://{tmp_path}/index", {}
+    for k, (low, high) in enumerate([(-1, 40), (40, 75), (75, 120), (120, 10_000)]):
+        index = substring_dedup.FingerprintIndex(spark if k % 2 else spark.newSession(), path, 8, 4)
+        assert index.generation == k and index.last == (None if not k else max(d for d, _ in pairs if d <= low))
+        batch = df.filter(f"doc > {low} and doc <= {high}")
+        for r in index.update(batch, df.filter(f"doc <= {high}")).collect():
+            got[r.doc] = {w for x in r.ranges for w in range(x["first"], x["last"] + 8)}
+    assert {d: got.get(d, set()) for d in want} == want
+    assert max(level for level, *_ in index.tables["heads"]) >= 2
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex(spark, path, 9, 4)
+
+
+def brute_gone(rows, length):
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        gone, own = [False] * len(w), []
+        for i in range(len(w) - length + 1):
+            own.append(tuple(w[i : i + length]))
+            if own[-1] in seen:
+                gone[i : i + length] = [True] * length
+        seen.update(own)
+        out[d] = (len(w), gone)
+    return out
+
+
+def test_index_tables_do_not_move(spark, tmp_path):
+    """The join of a batch with the index shuffles the batch only."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(hard_texts(4)) if t], "doc long, text string")
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", 8, 4, fanout=9, buckets=8)
+    index.add(df.filter("doc < 30"))
+    left = index._dealt(repeats.runs_of(df, index.scheme)).groupBy("name").count()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = left.join(index._heads()[0].select("name", "several"), "name", "left")
+        joined.count()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan.replace("Bucketed: false", "") or "SelectedBucketsCount" in plan
+
+
+def test_queries_by_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    sign = lambda b: hashlib.sha256(b).hexdigest()
+    out = suffix_dedup.op1_suffix_array_dedup(spark, d)
+    assert out.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    assert {tuple(r) for r in out.collect()} == {(i, n, gone, spans, sign(kept)) for i, (n, gone, spans, kept) in brute_bytes(rows, 100).items()}
+    out = substring_dedup.op3_substring_dedup(spark, d)
+    assert out.dtypes == [("doc_id", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()} == {(i, n, gone, sign(kept.encode())) for i, (n, gone, kept) in brute_words(rows, 50).items()}
+
+
+def test_very_long_text(spark):
+    """A text of ten million characters among short ones."""
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(5000)]
+    long_ = " ".join(r.choices(words, k=1_400_000))
+    rows = [(1, long_[5_000_000:5_000_900]), (2, long_), (3, "short"), (4, long_[7_000_000:7_000_900])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.n_removed for x in suffix_dedup.remove_repeats(df).select("doc_id", "n_removed").collect()}
+    assert got[1] == 0 and got[2] >= 900 and got[4] == 900
+    got = {x.doc_id: x.n_removed for x in substring_dedup.remove_repeats(df).select("doc_id", "n_removed").collect()}
+    assert got[2] >= 120 and got[4] >= 120

@@ -1,6 +1,8 @@
 """A corpus pipeline over ``documents``: toxicity, near duplicates, benchmark contamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps; the last adds slot and shard. A stage's result is written as Parquet and read again as the next one's docs.
+
+Defined results: a null or empty text gets a toxicity score like any other, and all texts without words are one group of near duplicates, of which one stays; rows that share a doc_id but not the text are judged each by itself, repeated rows together; a null source is a source of its own, a null doc_id is placed as the text ``""``; an empty table gives an empty result; columns beyond those of ``documents`` stay out.
 """
 
 from __future__ import annotations

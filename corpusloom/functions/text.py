@@ -142,6 +142,30 @@ def content_type(text: Column) -> Column:
     return out.when(t.contains("definitions") | t.contains("defined as"), "definition").otherwise("section")
 
 
+def web_content_type(text: Column) -> Column:
+    """From the text of a web page's section: a table of any length, and the bare word for a definition."""
+    t = F.lower(text)
+    out = F.when(t.contains("table"), "table")
+    for word in ("figure", "appendix", "definition"):
+        out = out.when(t.contains(word), word)
+    return out.otherwise("section")
+
+
+def section_path(chapter: Column, number: Column) -> Column:
+    """The way down to a section: its chapter, 0 where it has none, and the parts of its number."""
+    return F.concat_ws(".", F.coalesce(F.when(chapter != "", chapter), F.lit("0")), number)
+
+
+# Fixed patterns: how a reader's view tells callouts, list items and formula lines.
+CALLOUT, LIST_ITEM = r"(?i)^(EXCEPTION|EXCEPTIONS|User Note|Note|COMMENTARY)s?:\s*", r"(?i)^(\d+[a-z]?\.\s|\(\s*[a-z0-9ivx]+\s*\)|[•◦·●]\s)"
+
+
+def line_class(paragraph: Column) -> Column:
+    """callout, formula, list or plain: the first that fits a paragraph."""
+    formula = paragraph.rlike(FORMULA_START) & paragraph.rlike(FORMULA_OPERATOR)
+    return F.when(paragraph.rlike(CALLOUT), "callout").when(formula, "formula").when(paragraph.rlike(LIST_ITEM), "list").otherwise("plain")
+
+
 # Markers of amending agencies, in the order in which they count.
 AGENCIES = ("HCD", "SFM", "DSA", "OSHPD", "BSC-CG")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,16 @@ def supersede(sections: DataFrame, which: Column, today: Column, stamp: str = "s
 
 
 def upsert(current: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``current`` with the rows of ``new`` in place of those with the same key, and the rest of ``new``. A null in a key equals nothing."""
-    same = new.select(key).distinct()
-    return current.join(same, key, "left_anti").unionByName(new.dropDuplicates(key))
+    """``current`` with the rows of ``new`` in place of those with the same key, and the rest of ``new``; of several new rows with one key the greatest by its other columns, in their order. A null in a key equals nothing."""
+    rest = [c for c in new.columns if c not in key]
+    one = new.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(*key, "_r.*") if rest else new.select(key).distinct()
+    return current.join(one.select(key), key, "left_anti").unionByName(one.select(new.columns))
+
+
+def with_new_ids(df: DataFrame, found: str, key: str, taken: DataFrame, id_: str) -> DataFrame:
+    """``df`` with source_id, ``found`` where there is one, else a new id: beyond all of ``taken`` (``id_``) by the row's ``key``, a positive number that no other row has. created says which."""
+    top = taken.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))
+    return df.join(F.broadcast(top)).withColumns({"source_id": F.coalesce(F.col(found), F.col("_top") + 1 + F.col(key)), "created": F.col(found).isNull()}).drop("_top")
 
 
 def split_new(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -45,3 +54,32 @@ def review(quarantine: DataFrame, approved: list[int], rejected: list[int], now:
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with n, from 1 within the first column, in the order of the others: the same on every run."""
     return df.withColumn("n", F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:])))
+
+
+def backfill(sections: DataFrame, clean: Column, hash_of: Callable[[Column], Column], every: bool = False) -> DataFrame:
+    """The live rows of ``sections`` (full_text, full_text_raw, superseded_date) normalized again: raw text kept, or set from the text where there is none; ``clean`` of ``_raw``, and its hash. Without ``every``, only rows that have no raw text yet."""
+    live = sections.filter("superseded_date IS NULL")
+    stale = live if every else live.filter("full_text_raw IS NULL")
+    fresh = stale.withColumn("_raw", F.coalesce("full_text_raw", "full_text")).withColumns({"full_text_raw": F.col("_raw"), "full_text": clean})
+    return fresh.withColumn("normalized_hash", hash_of(F.col("full_text"))).drop("_raw")
+
+
+def reindex(sections: DataFrame, fresh: DataFrame, key: str, today: Column) -> DataFrame:
+    """The next snapshot of ``sections`` when the books (``key``) of ``fresh`` were read again: their live rows stamped, the new rows after them."""
+    read = fresh.select(F.col(key).alias("_key")).distinct().withColumn("_read", F.lit(True))
+    old = supersede(sections.join(read, F.col(key) == F.col("_key"), "left"), F.coalesce("_read", F.lit(False)), today).select(sections.columns)
+    return old.unionByName(fresh.withColumn("superseded_date", F.lit(None).cast(dict(sections.dtypes)["superseded_date"])).select(sections.columns))
+
+
+# Kinds of sources, and the host whose pages can be read.
+FILE_SOURCE, WEB_SOURCE, HOST = "pdf_parse", "web_scrape", "iccsafe.org"
+
+
+def route(kind: Column, url: Column) -> Column:
+    """What becomes of a trigger, by the source's kind and address."""
+    return F.when(kind == FILE_SOURCE, "error: upload the file").when((kind == WEB_SOURCE) & F.coalesce(url.contains(HOST), F.lit(False)), "triggered").otherwise("error: unsupported")
+
+
+def scannable(url: Column) -> Column:
+    """Whether an address is there and can be fetched."""
+    return F.coalesce((url != "") & url.startswith("http") & ~url.contains("javascript:"), F.lit(False))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_DEPTH = 16
+from corpusloom.steps import written
+
+#: A forest of 2^30 levels is none: its edges have a cycle.
+MOST_DOUBLINGS = 30
 
 
 def with_parents(outline: DataFrame, number: str = "number") -> DataFrame:
@@ -31,15 +32,18 @@ def with_parents(outline: DataFrame, number: str = "number") -> DataFrame:
     )
 
 
-def ancestors(edges: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """(node, ancestor, distance) of a forest ``edges`` (node, parent), each node its own ancestor at 0. One join for each level; ends at the deepest."""
-    known = edges.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    levels, top = [known], known
-    up = edges.filter("parent IS NOT NULL").select(F.col("node").alias("ancestor"), "parent")
-    for d in range(1, depth + 1):
-        top = top.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(d).alias("distance"))
-        levels.append(top)
-    return reduce(DataFrame.union, levels)
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) of a forest ``edges`` (node, parent), each node its own ancestor at 0, however deep. Paths double: with all ancestors nearer than 2^k and each node's one at 2^k, a join gives those nearer than 2^(k+1). Each step is written; the edges are read once."""
+    known = written(edges.select("node", "parent"))
+    jump = known.filter("parent IS NOT NULL").select(F.col("node").alias("ancestor"), F.col("parent").alias("up"))
+    known = known.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
+    for k in range(MOST_DOUBLINGS):
+        if not jump.limit(1).count():
+            return known
+        further = known.join(jump, "ancestor").select("node", F.col("up").alias("ancestor"), (F.col("distance") + (1 << k)).alias("distance"))
+        known = written(known.union(further))
+        jump = written(jump.join(jump.select(F.col("ancestor").alias("up"), F.col("up").alias("_up")), "up").select("ancestor", F.col("_up").alias("up")))
+    raise ValueError("the edges have a cycle")
 
 
 def two_hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -48,3 +52,11 @@ def two_hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
     one = e.join(sources, F.col("src") == F.col("source")).select("source", F.col("dst").alias("id"), F.lit(1).alias("depth")).distinct()
     two = one.join(e, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id"), F.lit(2).alias("depth")).distinct()
     return one.union(two)
+
+
+def typed_hops(references: DataFrame, sources: DataFrame) -> DataFrame:
+    """Distinct (source, id, depth, type) that ``references`` (src, dst, type) lead to in one or two steps; type is that of the last one."""
+    e = references.filter("src IS NOT NULL AND dst IS NOT NULL")
+    one = e.join(sources, F.col("src") == F.col("source")).select("source", F.col("dst").alias("id"), F.lit(1).alias("depth"), "type").distinct()
+    start = one.select("source", F.col("id").alias("_at")).distinct()
+    return one.union(start.join(e, F.col("_at") == F.col("src")).select("source", F.col("dst").alias("id"), F.lit(2).alias("depth"), "type").distinct())

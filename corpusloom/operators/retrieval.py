@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.lexical import lexemes, rank, stemmed
+from corpusloom.functions.lexical import LIMIT, WEIGHT, lexemes, rank, stemmed, stems
+from corpusloom.steps import written
 
 SHOWN, MOST = 500, 50
-#: The longest list that a search may ask for.
-MOST_HITS = 100
-
-
-def pinned(hits: DataFrame) -> DataFrame:
-    """A top-k list, computed once: at most ``MOST_HITS`` rows pass through the driver, so that the scans behind them are not run again by each of the list's uses."""
-    return hits.sparkSession.createDataFrame(hits.limit(MOST_HITS).collect(), hits.schema)
-
-
 def like_search(sections: DataFrame, q: str, fields: tuple[str, ...] = ("section_title", "full_text"), limit: int = MOST) -> DataFrame:
     """Rows where a field holds ``q`` in any case (``%`` and ``_`` are wildcards); the first by id, since nothing else orders them."""
     hit = None
@@ -43,16 +37,45 @@ def nearest(vectors: DataFrame, q: list[float], k: int, least: float | None = No
 
 
 def keyword_search(sections: DataFrame, q: str, k: int, stem: bool = False) -> DataFrame:
-    """(id, score) of the ``k`` best of ``sections`` (id, full_text) that hold a term of ``q``; by stems, or by words as they are."""
+    """(id, score) of the ``k`` best of ``sections`` (id, full_text) that hold a term of ``q``; by stems, or by words as they are. A scan of all texts: for more than a few searches see ``postings``."""
+    terms = query_lexemes(sections.sparkSession, q, stem)
+    text = F.lower("full_text")
+    # a stem is the beginning of its words but for their last letters, so only whole words can be told from the text itself
+    near = reduce(lambda a, b: a | b, [text.contains(t) for t in terms], F.lit(False))
     of = stemmed if stem else lexemes
-    terms = F.array_distinct(of(F.lit(q)))
-    found = sections.select("id", of(F.col("full_text")).alias("_words"), terms.alias("_terms")).filter(F.arrays_overlap("_words", "_terms"))
-    return found.select("id", rank(F.col("_words"), F.col("_terms")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    wanted = F.array(*map(F.lit, terms)) if terms else F.expr("cast(array() as array<string>)")
+    found = (sections if stem else sections.filter(near)).select("id", of(F.col("full_text")).alias("_words")).filter(F.arrays_overlap("_words", wanted))
+    return found.select("id", rank(F.col("_words"), wanted).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def query_lexemes(spark, q: str, stem: bool) -> list[str]:
+    """The distinct terms of a query, cut as texts are."""
+    return spark.range(1).select(F.array_distinct((stemmed if stem else lexemes)(F.lit(q)))).first()[0]
+
+
+def postings(sections: DataFrame, path: str, stem: bool = False) -> DataFrame:
+    """(term, id, n): how often each section (id, full_text) has each term, written to ``path`` in the order of term, so that a search reads the row groups of its terms only. With ``stem``, each different word is stemmed once."""
+    words = sections.select("id", F.explode(lexemes(F.col("full_text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("n"))
+    if stem:
+        words = written(words)
+        stems_ = words.select("term").distinct().select("term", F.explode(stems(F.array("term"))).alias("_stem"))
+        words = words.join(stems_, "term").groupBy(F.col("_stem").alias("term"), "id").agg(F.sum("n").alias("n"))
+    words.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(path)
+    return sections.sparkSession.read.parquet(path)
+
+
+def search_postings(index: DataFrame, q: str, k: int, stem: bool = False) -> DataFrame:
+    """What ``keyword_search`` gives, from ``postings``."""
+    terms = query_lexemes(index.sparkSession, q, stem)
+    weight = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0.0), lambda s, i: s + 1.0 / (i * i))
+    hits = index.filter(F.col("term").isin(terms)).select("id", weight.alias("w"))
+    score = F.round(F.sum("w") * WEIGHT / LIMIT / max(len(terms), 1), 6)
+    return hits.groupBy("id").agg(score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def hybrid(by_vector: DataFrame, by_keyword: DataFrame, limit: int) -> DataFrame:
     """Both lists (id, score) one after the other, an id that both have from the vectors; the first ``limit``. Both are top-k lists, so their merge is small by construction."""
-    by_vector = pinned(by_vector)
+    by_vector = written(by_vector)  # used twice, computed once
     ranked = lambda df, leg, name: df.withColumn("leg", F.lit(leg)).withColumn("search_type", F.lit(name))
     both = ranked(by_vector, 1, "vector").unionByName(ranked(by_keyword.join(by_vector, "id", "left_anti"), 2, "keyword"))
     place = F.row_number().over(Window.orderBy("leg", F.desc("score"), "id"))

@@ -5,8 +5,6 @@ Pages come as rows (doc, page, text); files are opened by whatever reads them, o
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +51,18 @@ def toc_rows(pages: DataFrame) -> DataFrame:
     return rows.select("doc", "page", "at", of(1).alias("number"), F.regexp_replace(of(2), "[.·•]+$", "").alias("title"), of(3).cast("int").alias("printed"))
 
 
+# Fixed pattern: a number before a title.
+NUMBERED = r"^((?:Chapter|CHAPTER|Part|PART|Appendix|APPENDIX)\s+[A-Z0-9IVX]+|[A-Z]\.\d+(?:\.\d+)*|\d+(?:\.\d+)+|\d+)\s+(.*)$"
+
+
+def embedded_outline(entries: DataFrame) -> DataFrame:
+    """(doc, seq, number, title, page, depth) of the outline that a file carries: ``entries`` (doc, seq, level, title, page), whatever reads them. An entry without a title goes; one without a number is told by its title's first 32 characters."""
+    title = strip(F.col("title"))
+    number = F.regexp_extract(title, NUMBERED, 1)
+    clean = F.when(number != "", strip(F.regexp_extract(title, NUMBERED, 2))).otherwise(title)
+    return entries.filter(title != "").select("doc", "seq", F.when(number != "", number).otherwise(F.substring(clean, 1, 32)).alias("number"), clean.alias("title"), F.greatest(F.lit(1), "page").alias("page"), F.greatest(F.lit(0), F.col("level") - 1).alias("depth"))
+
+
 def file_page(printed: Column, pages: Column) -> Column:
     """A printed page's number in the file: twenty pages on, within the file."""
     return F.least(F.greatest(F.lit(1), F.coalesce(printed, F.lit(1)) + OFFSET), F.greatest(F.lit(1), pages))
@@ -66,31 +76,49 @@ def section_bounds(toc: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def repair_pages(toc: DataFrame, pages: DataFrame, window: int = 10) -> DataFrame:
-    """``toc`` (doc, seq, number, page) with page mended and state: '' where its heading stands on the page, 'verified' where it was found within ``window`` pages after the last good one, else 'unverified' there.
+    """``toc`` (doc, seq, number, page) with page mended and state: '' where its number begins a line of the page, 'verified' where it was found within ``window`` pages after the last good one, else 'unverified' there. A number that is null or blank stands on no page.
 
-    What was found last decides where the next is looked for, so a document is one group; its pages reach the worker as the candidate headings of their lines only, not as texts.
+    What was found last decides where the next is looked for, so a document is one group; of its pages, only those lines reach the worker that begin with a number of its outline, and of them the number.
     """
-    heads = lines_of(pages).select("doc", "page", F.regexp_extract("line", r"^\s*([A-Za-z0-9][A-Za-z0-9. ]*)", 1).alias("head")).filter("head <> ''").groupBy("doc", "page").agg(F.collect_list("head").alias("heads"))
+    wanted = toc.filter(strip(F.coalesce("number", F.lit(""))) != "").select(F.col("doc").alias("_doc"), strip(F.col("number")).alias("_number")).distinct()
+    # a line can only begin with numbers that begin with its own first character
+    heads = lines_of(pages).select("doc", "page", F.ltrim(F.regexp_replace("line", r"^\s+", "")).alias("_line")).filter("_line <> ''").withColumn("_c", F.substring("_line", 1, 1))
+    by_first = wanted.groupBy("_doc", F.substring("_number", 1, 1).alias("_c")).agg(F.collect_set("_number").alias("_numbers"))
+    there = heads.join(by_first.withColumnRenamed("_doc", "doc"), ["doc", "_c"]).select("doc", "page", F.explode(F.filter("_numbers", lambda n: F.col("_line").startswith(n) & _ends_word(n, F.col("_line")))).alias("number"))
+    found = there.groupBy("doc", "page").agg(F.collect_set("number").alias("heads"))
     counts = pages.groupBy("doc").agg(F.max("page").alias("n"))
+    per_doc = counts.join(found, "doc", "left")
 
     def mend(key, entries: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        by_page = dict(zip(there.page, there.heads, strict=True))
         n = int(there.n.max()) if len(there) else 0
-        good, out = 1, []
+        pages_of: dict[str, list[int]] = {}
+        for p, heads_ in zip(there.page, there.heads, strict=True):
+            for h in heads_ if heads_ is not None else ():
+                pages_of.setdefault(h, []).append(int(p))
+        last, out = 1, []
         for e in entries.sort_values("seq").itertuples():
-            starts = re.compile(rf"{re.escape(e.number.strip())}\b")
-            on = lambda p: any(starts.match(h) for h in by_page.get(p, ()))  # noqa: B023, E731
-            at = max(1, min(int(e.page), n))
-            found = at if at >= good and on(at) else next((p for p in range(good, min(good + window, n) + 1) if on(p)), None)
-            state = "" if found == at and at >= good and found is not None and on(at) else "verified" if found else "unverified"
-            page = int(e.page) if state == "" else found or min(good, n)
-            good = found or good
+            stands = pages_of.get((e.number or "").strip(), ())
+            claimed = max(1, min(int(e.page), n))
+            near = [p for p in stands if last <= p <= min(last + window, n)]
+            if claimed >= last and claimed in stands:
+                page, state, last = int(e.page), "", claimed
+            elif near:
+                page, state, last = min(near), "verified", min(near)
+            else:
+                page, state = min(last, n), "unverified"
             out.append((e.doc, e.seq, e.number, page, state))
         return pd.DataFrame(out, columns=["doc", "seq", "number", "page", "state"])
 
     kind = dict(toc.dtypes)
     schema = f"doc {kind['doc']}, seq {kind['seq']}, number string, page int, state string"
-    return toc.select("doc", "seq", "number", "page").groupBy("doc").cogroup(heads.join(counts, "doc").groupBy("doc")).applyInPandas(mend, schema)
+    return toc.select("doc", "seq", "number", "page").groupBy("doc").cogroup(per_doc.groupBy("doc")).applyInPandas(mend, schema)
+
+
+def _ends_word(number: Column, line: Column) -> Column:
+    """Whether ``number`` ends at a word's edge in ``line``, which begins with it."""
+    word = r"^[\p{L}\p{N}_]$"
+    last, following = F.substring(number, -1, 1), F.substr(line, F.length(number) + 1, F.lit(1))
+    return last.rlike(word) != following.rlike(word)
 
 
 def sectionize(lines: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import sha256, strip
+from corpusloom.steps import written
 
 # Patterns of pages that are no content, by the reason they give, in order.
 ERROR_PAGE = ["(?:404|403|500|502)", "(?:page not found|access denied|404 not found)", "(?:internal server error|gateway timeout|500 error)"]
@@ -36,7 +38,7 @@ def control_share(text: Column) -> Column:
 
 
 def odd_share(text: Column) -> Column:
-    return _share(text, r"[^\u0000-⁯]")
+    return _share(text, r"[^\u0000-\u206F]")
 
 
 def tag_ratio(text: Column) -> Column:
@@ -67,15 +69,47 @@ def format_error(text: Column) -> Column:
     )
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern in one pair of brackets."""
+    if not pattern.startswith("(?:") or _closing(pattern) != len(pattern) - 1:
+        return [pattern]
+    out, depth = [""], 0
+    for c in pattern[3:-1]:
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def _closing(pattern: str) -> int:
+    """Where the first bracket of a pattern closes."""
+    depth = 0
+    for k, c in enumerate(pattern):
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if not depth:
+            return k
+    return -1
+
+
+def _holds(low: Column, patterns: list[str]) -> Column:
+    """Whether any of ``patterns`` occurs: plain words are searched as such; an alternative that isn't plain is tried only where the word that it begins with occurs."""
+    tests = []
+    for a in (a for p in patterns for a in _alternatives(p)):
+        plain = re.match(r"[a-z0-9 ]*", a)[0]
+        tests.append(low.contains(plain) if plain == a else low.contains(plain) & low.rlike(a) if plain else low.rlike(a))
+    return reduce(lambda a, b: a | b, tests)
+
+
 def garbage_error(text: Column, web: Column) -> Column:
     """Layer 2; the patterns of web pages hold for texts from the web only."""
     low = F.lower(text)
-    of = lambda patterns: reduce(lambda a, b: a | b, [low.rlike(p) for p in patterns])
     return (
-        F.when(web & of(ERROR_PAGE), "Error page pattern detected")
-        .when(web & of(CAPTCHA), "CAPTCHA detected")
-        .when(web & of(PAYWALL), "Paywall detected")
-        .when(web & of(SHOP), "Shop page detected")
+        F.when(web & _holds(low, ERROR_PAGE), "Error page pattern detected")
+        .when(web & _holds(low, CAPTCHA), "CAPTCHA detected")
+        .when(web & _holds(low, PAYWALL), "Paywall detected")
+        .when(web & _holds(low, SHOP), "Shop page detected")
         .when(tag_ratio(text) > MOST_TAGS, "Excessive HTML tags")
         .when(repetition(text) > MOST_REPEATED, "Excessively repetitive content")
     )
@@ -106,22 +140,28 @@ def flag_duplicates(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.join(first, key).withColumn("duplicate", F.col(order) > F.col("_first")).drop("_first")
 
 
-def integrity_error(text: Column, duplicate: Column) -> Column:
-    """Layer 4."""
-    return F.when(duplicate, "Duplicate content").when(truncated(text), "Content appears truncated").when(bad_number(text), "Invalid section number format")
-
-
 def validate(df: DataFrame, text: str = "text", order: str = "doc_id", web: Column | None = None) -> DataFrame:
-    """``df`` with layer (the first that fails, else null), error and indicators. Only texts that pass the first two layers count as earlier copies; copies of one text all pass or all fail, unless ``web`` tells them apart."""
+    """(``order``, hash, layer, error, indicators) of every row of ``df``: the first layer that fails, else null. Only texts that pass the first two layers count as earlier copies; copies of one text all pass or all fail, unless ``web`` tells them apart.
+
+    All that follows from a text is computed in one scan; only these narrow columns are shuffled, by hash.
+    """
     content, from_web = F.col(text), F.lit(True) if web is None else web
-    early = F.coalesce(format_error(content), garbage_error(content, from_web))
-    counted = df if web is None else df.filter(early.isNull())
-    first = counted.groupBy(sha256(content).alias("_hash")).agg(F.min(order).alias("_first"))
-    layers = df.withColumns({"_hash": sha256(content), "_1": format_error(content)}).withColumn("_2", F.when(F.col("_1").isNull(), garbage_error(content, from_web)))
-    joined = layers.join(first, "_hash", "left")
-    late = joined.withColumn("_4", F.when(F.coalesce("_1", "_2").isNull(), integrity_error(content, F.coalesce(F.col(order) > F.col("_first"), F.lit(False)))))
+    narrow = df.select(
+        order, sha256(content).alias("hash"), format_error(content).alias("_1"), garbage_error(content, from_web).alias("_2"), F.coalesce(truncated(content), F.lit(False)).alias("_cut"), F.coalesce(bad_number(content), F.lit(False)).alias("_bad"), indicator_count(content).alias("indicators")
+    )
+    narrow = written(narrow.withColumn("_2", F.when(F.col("_1").isNull(), F.col("_2"))))
+    first = narrow.filter("coalesce(_1, _2) IS NULL").groupBy("hash").agg(F.min(order).alias("_first"))
+    late = F.when(F.col(order) > F.col("_first"), "Duplicate content").when(F.col("_cut"), "Content appears truncated").when(F.col("_bad"), "Invalid section number format")
+    judged = narrow.join(first, "hash", "left").withColumn("_4", F.when(F.coalesce("_1", "_2").isNull(), late))
     layer = F.when(F.col("_1").isNotNull(), 1).when(F.col("_2").isNotNull(), 2).when(F.col("_4").isNotNull(), 4)
-    return late.withColumns({"layer": layer, "error": F.coalesce("_1", "_2", "_4"), "indicators": indicator_count(content)}).drop("_1", "_2", "_4", "_hash", "_first")
+    return judged.select(order, "hash", layer.alias("layer"), F.coalesce("_1", "_2", "_4").alias("error"), "indicators")
+
+
+def rejected(df: DataFrame, text: str = "text", order: str = "doc_id", web: Column | None = None) -> DataFrame:
+    """The rows of ``df`` that a layer rejects, with layer, error and indicators: a row is told by its ``order`` and its text's hash."""
+    bad = validate(df, text, order, web).filter("layer IS NOT NULL").dropDuplicates([order, "hash"]).withColumnRenamed(order, "_order")
+    own = df.withColumn("_hash", sha256(F.col(text)))
+    return own.join(bad, own[order].eqNullSafe(bad._order) & own._hash.eqNullSafe(bad.hash)).drop("_order", "_hash", "hash")
 
 
 def quarantine(rejected: DataFrame, text: str = "text", most: int = 5000) -> DataFrame:

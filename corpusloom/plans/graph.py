@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
-from corpusloom.operators.outline import ancestors, two_hops, with_parents
+from corpusloom.operators.outline import ancestors, two_hops, typed_hops, with_parents
 
 
 def outline(t):
@@ -32,13 +32,13 @@ def outline_tree(t):
 @query("G9", _OUTLINE + ", s AS (SELECT number FROM tree WHERE number = 'Chapter 1' UNION ALL SELECT number FROM tree WHERE parent = 'Chapter 1' UNION ALL SELECT number FROM tree WHERE parent IN (SELECT number FROM tree WHERE parent = 'Chapter 1')) SELECT number FROM s")
 def subtree(t):
     """A node and all below it."""
-    return ancestors(_edges(t), 4).filter("ancestor = 'Chapter 1'").select(F.col("node").alias("number"))
+    return ancestors(_edges(t)).filter("ancestor = 'Chapter 1'").select(F.col("node").alias("number"))
 
 
-@query("G10 G15", _OUTLINE + " SELECT a.number, concat_ws(' > ', c.number, b.number, a.number) AS trail FROM tree a LEFT JOIN tree b ON a.parent = b.number LEFT JOIN tree c ON b.parent = c.number")
+@query("G10", _OUTLINE + " SELECT a.number, concat_ws(' > ', c.number, b.number, a.number) AS trail FROM tree a LEFT JOIN tree b ON a.parent = b.number LEFT JOIN tree c ON b.parent = c.number")
 def breadcrumbs(t):
     """The way down to each node."""
-    up = ancestors(_edges(t), 4).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False).alias("way"))
+    up = ancestors(_edges(t)).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False).alias("way"))
     return up.select(F.col("node").alias("number"), F.array_join(F.transform("way", lambda s: s.ancestor), " > ").alias("trail"))
 
 
@@ -48,15 +48,43 @@ def tree_filter(t):
     """Nodes that match, and all above them."""
     edges = _edges(t)
     hits = edges.filter(F.lower("node").contains("17") | F.lower("title").contains("17")).select("node")
-    return ancestors(edges, 4).join(hits, "node", "left_semi").select(F.col("ancestor").alias("number")).distinct()
+    return ancestors(edges).join(hits, "node", "left_semi").select(F.col("ancestor").alias("number")).distinct()
 
 
 _EDGES = "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), src AS (SELECT DISTINCT l_partkey AS source FROM lineitem WHERE l_partkey % 100 = 0)"
 
 
-@query("G6 J2 J3 A6", _EDGES + " SELECT source, dst AS id, 1 AS depth FROM src JOIN e ON src = source UNION SELECT s.source, f.dst, 2 FROM src s JOIN e ON e.src = s.source JOIN e f ON f.src = e.dst")
+@query("J2 J3 A6", _EDGES + " SELECT source, dst AS id, 1 AS depth FROM src JOIN e ON src = source UNION SELECT s.source, f.dst, 2 FROM src s JOIN e ON e.src = s.source JOIN e f ON f.src = e.dst")
 def two_hop_graph(t):
     """Part to supplier, and on to the suppliers of the part of that number, for the stated queries: the parts whose number is divisible by 100."""
     l = t("lineitem")  # noqa: E741
     edges = l.selectExpr("l_partkey AS src", "l_suppkey AS dst").distinct()
     return two_hops(edges, l.filter("l_partkey % 100 = 0").selectExpr("l_partkey AS source").distinct())
+
+
+_TYPED = "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, l_returnflag AS type FROM lineitem), src AS (SELECT DISTINCT l_partkey AS source FROM lineitem WHERE l_partkey % 100 = 0)"
+
+
+@query("G6", _TYPED + """ SELECT g.id, s_name AS name, source, depth, type FROM (SELECT source, dst AS id, 1 AS depth, type FROM src JOIN e ON src = source UNION SELECT s.source, f.dst, 2, f.type FROM src s JOIN e ON e.src = s.source JOIN e f ON f.src = e.dst) g JOIN supplier ON s_suppkey = g.id""")
+def section_graph(t):
+    """What the stated parts reach in two steps, with the kind of the last reference (the return flag) and what stands there."""
+    l = t("lineitem")  # noqa: E741
+    references = l.selectExpr("l_partkey AS src", "l_suppkey AS dst", "l_returnflag AS type").distinct()
+    reached = typed_hops(references, l.filter("l_partkey % 100 = 0").selectExpr("l_partkey AS source").distinct())
+    return reached.join(t("supplier").selectExpr("s_suppkey AS id", "s_name AS name"), "id").select("id", "name", "source", "depth", "type")
+
+
+@query("G7", """SELECT l_partkey AS section, 'internal' AS side, l_returnflag AS type, CAST(l_orderkey AS VARCHAR) AS target FROM lineitem WHERE l_partkey % 50 = 3 AND l_linenumber <> 2
+ UNION ALL SELECT l_partkey, 'external', NULL, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey % 50 = 3""")
+def section_references(t):
+    """Of the stated sections (parts): references to other sections with their kind, where the target is known (here: not those of line 2), and to standards."""
+    own = t("lineitem").filter("l_partkey % 50 = 3")
+    internal = own.withColumn("target", F.when(F.col("l_linenumber") != 2, F.col("l_orderkey"))).filter("target IS NOT NULL")
+    external = own.join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    return internal.selectExpr("l_partkey AS section", "'internal' AS side", "l_returnflag AS type", "cast(target AS string) AS target").union(external.selectExpr("l_partkey AS section", "'external' AS side", "cast(NULL AS string) AS type", "s_name AS target"))
+
+
+@query("G15", _OUTLINE + " SELECT number, title, parent FROM tree WHERE number IN ('Chapter 1', '3.7', 'no such')")
+def find_nodes(t):
+    """Nodes of the outline by their numbers; those that aren't there give no row."""
+    return with_parents(outline(t)).filter(F.col("number").isin("Chapter 1", "3.7", "no such"))

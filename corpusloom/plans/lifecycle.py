@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
 from corpusloom.operators import lifecycle as life
+from corpusloom.operators.structure import embedded_outline, needs_ocr
 from corpusloom.sources import files, web
+from corpusloom.steps import shared_dir
+from corpusloom.streaming import ingest
 
 
-@query("D4 D10 P1", "SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus <> 'F' THEN '2024-06-01' WHEN o_orderstatus = 'F' THEN '2020-01-01' END AS superseded_date FROM orders")
+@query("D4 P1", "SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus <> 'F' THEN '2024-06-01' WHEN o_orderstatus = 'F' THEN '2020-01-01' END AS superseded_date FROM orders")
 def supersede_rows(t):
     d = t("orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderstatus") == "F", "2020-01-01").alias("superseded_date"))
     return life.supersede(d, F.col("o_orderpriority") == "2-HIGH", F.lit("2024-06-01")).select("o_orderkey", "superseded_date")
@@ -23,19 +27,21 @@ def upsert_latest(t):
     return merged.select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "id")
 
 
-@query("D3 S1", "SELECT doc_id, sha256(text) AS hash, sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source < 'src15') AS accepted FROM documents WHERE source >= 'src15'")
+@query("D3", "SELECT doc_id, sha256(text) AS hash, sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source < 'src15') AS accepted FROM documents WHERE source >= 'src15'")
 def upload_split(t):
     h = t("documents").select("doc_id", "source", F.sha2("text", 256).alias("hash"))
     return life.split_new(h.filter("source >= 'src15'"), h.filter("source < 'src15'"), "hash").drop("source")
 
 
-@query("D5", "SELECT c_custkey, coalesce(max(o_orderkey), c_custkey + 10000000) AS source_id, max(o_orderkey) IS NULL AS created FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("D5", "SELECT c_custkey, coalesce(max(o_orderkey), (SELECT max(o_orderkey) FROM orders) + 1 + c_custkey) AS source_id, max(o_orderkey) IS NULL AS created FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def find_or_create(t):
+    """Each book's latest source, or a new one, whose id is beyond all there are."""
     latest = t("orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("id"))
-    return t("customer").join(latest, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("id", F.col("c_custkey") + 10000000).alias("source_id"), F.col("id").isNull().alias("created"))
+    known = t("customer").join(latest, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "id")
+    return life.with_new_ids(known, "id", "c_custkey", t("orders"), "o_orderkey").select("c_custkey", "source_id", "created")
 
 
-@query("D6 X1", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS phase FROM events GROUP BY user_id")
+@query("D6", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS phase FROM events GROUP BY user_id")
 def progress_latest(t):
     return life.latest_progress(t("events"), "user_id", "ts", "event_id", "event_type").select("user_id", "event_id", F.col("event_type").alias("phase"))
 
@@ -64,7 +70,7 @@ def reseed_guard(t):
     return there.unionByName(t("region").agg(F.lit(False).alias("refused"), F.count("*").alias("seeds"))).agg(F.max("refused").alias("refused"), F.sum("seeds").alias("seeds"))
 
 
-@query("P19 D12", "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') AND (n_chars IS NULL OR n_chars > 500 OR lang <> 'en') ORDER BY doc_id LIMIT 40")
+@query("P19", "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') AND (n_chars IS NULL OR n_chars > 500 OR lang <> 'en') ORDER BY doc_id LIMIT 40")
 def stale_rows(t):
     return t("documents").filter("source IN ('src1', 'src2') AND (n_chars IS NULL OR n_chars > 500 OR lang <> 'en')").orderBy("doc_id").limit(40).select("doc_id")
 
@@ -77,16 +83,23 @@ def token_stream(t):
     return pieces.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "piece"))).alias("x")).select("user_id", F.array_join(F.transform("x", lambda p: p.piece), "").alias("answer"))
 
 
-@query("X7 X3 X5", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("X5", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def hourly_progress(t):
     """The batch form of the streaming extension's windows; tests/test_operators.py holds the stream against it."""
     return t("events").groupBy(F.window("ts", "1 hour").start.alias("h"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("h", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
 
 
-@query("S12 U4", """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS title, unnest(range(1, 1 + len(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)))) AS n FROM pages)
- SELECT page_id, CASE WHEN href LIKE 'http%' THEN href ELSE 'https://codes.example' || href END AS url, arg_min(trim(title), n) AS title FROM l WHERE trim(title) <> '' AND href <> '' GROUP BY ALL""")
+_LINKS = """concat(CASE page_id % 4 WHEN 0 THEN concat('<p><a class=x href=/content/chapter-', page_id % 9, '><b>Chapter</b> ', page_id % 9, ' Loads</a><a href="/content/chapter-', page_id % 9, '">again chapter ', page_id % 9, '</a><a href="/chapter">no number</a></p>')
+ WHEN 1 THEN concat('<div class="toc-item"><ul><li><a href="https://other.example/', page_id, '">Part <i>', page_id, '</i></a></li></ul></div><a class="nav-link" href="/b">B</a><a class="nav-link" href="">none</a>')
+ WHEN 2 THEN concat('<nav><a href="/one">1. One</a><a href="/two">two</a><span><a href="/three">The last chapter</a></span></nav>') ELSE '' END, '')"""
+
+
+@query("S12 U4", """SELECT page_id, 'https://codes.iccsafe.org/content/chapter-' || page_id % 9 AS url, 'Chapter ' || page_id % 9 || ' Loads' AS title FROM pages WHERE page_id % 4 = 0
+ UNION ALL SELECT page_id, 'https://other.example/' || page_id, 'Part ' || page_id FROM pages WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 'https://codes.iccsafe.org/b', 'B' FROM pages WHERE page_id % 4 = 1
+ UNION ALL SELECT page_id, 'https://codes.iccsafe.org/one', '1. One' FROM pages WHERE page_id % 4 = 2 UNION ALL SELECT page_id, 'https://codes.iccsafe.org/three', 'The last chapter' FROM pages WHERE page_id % 4 = 2""")
 def chapter_links(t):
-    return web.chapter_links(t("pages"))
+    """Links to chapters by three ways. The corpus's pages name no chapters, so that each gets links for one of the ways, or for none."""
+    return web.chapter_links(t("pages").select("page_id", F.concat(F.expr(_LINKS), F.regexp_replace("html", "(?is)<nav.*?</nav>", "")).alias("html")))
 
 
 @query("S13 F23 A19")
@@ -107,8 +120,61 @@ def first_three(t):
     return life.numbered(t("documents").select("source", "n_chars", "doc_id"), "source", "n_chars", "doc_id").filter("n <= 3").select("source", "doc_id", "n")
 
 
-@query("S1 S2 S3")
+@query("S1 S2")
 def stored_files(t):
-    """A table's files as stored files: name, size and hash of the bytes, read by Spark's binary reader."""
-    region = t("region")
-    return files.stored_files(region.sparkSession, region.inputFiles()).select("filename", "size_bytes", "sha256")
+    """Stored files of two tables: name, size and hash of the bytes, read by Spark's binary reader."""
+    paths = t("region").inputFiles() + t("nation").inputFiles()
+    return files.stored_files(t("region").sparkSession, paths).select("filename", "size_bytes", "sha256")
+
+
+@query("S3")
+def stored_bytes(t):
+    """One stored file by its hash, with its bytes as text."""
+    spark, paths = t("region").sparkSession, t("region").inputFiles() + t("nation").inputFiles()
+    first = files.stored_files(spark, paths).select("sha256").orderBy("sha256").limit(1)
+    return files.stored_bytes(spark, paths, first).select("filename", F.base64("content").alias("content"))
+
+
+@query("S6 S10", "SELECT page_id AS path, CAST(k AS INTEGER) AS page, 'page ' || k || ' of ' || page_id AS text, k % 2 = 0 AS ocr FROM pages, range(1, 4) AS r(k)")
+def pages_of_files(t):
+    """Pages of stored files by a reader of the caller's, each with whether it must be read from its picture. The files are made: three pages, apart at form feeds, the second with hardly any text."""
+    made = t("pages").select(F.col("page_id").alias("path"), F.concat_ws("\f", *[F.concat(F.lit(f"page {k} of "), F.col("page_id").cast("string"), F.lit("" if k == 2 else " " * 3 + "x" * 60)) for k in (1, 2, 3)]).cast("binary").alias("content"))
+    out = files.file_pages(made, lambda b: b.decode().split("\f"))
+    return out.select("path", "page", F.regexp_replace("text", " +x+$", "").alias("text"), needs_ocr(F.col("text")).alias("ocr"))
+
+
+@query("S4", "SELECT page_id AS path, 3 AS pages FROM pages")
+def page_counts(t):
+    """Number of pages of each stored file, by the same reader."""
+    made = t("pages").select(F.col("page_id").alias("path"), F.lit("a\fb\fc").cast("binary").alias("content"))
+    return files.file_pages(made, lambda b: b.decode().split("\f")).groupBy("path").agg(F.max("page").alias("pages"))
+
+
+@query("S7", "SELECT n_regionkey AS doc, CAST(n_nationkey AS INTEGER) AS seq, n_regionkey || '.' || n_nationkey AS number, n_name AS title, CAST(greatest(1, n_nationkey - 2) AS INTEGER) AS page, CAST(n_nationkey % 3 AS INTEGER) AS depth FROM nation WHERE n_nationkey % 5 <> 4 UNION ALL SELECT n_regionkey, n_nationkey, substring(n_name, 1, 32), n_name, greatest(1, n_nationkey - 2), n_nationkey % 3 FROM nation WHERE n_nationkey % 5 = 4 AND n_nationkey <> 9")
+def outline_entries(t):
+    """Outlines that files carry: numbers parted from titles, pages from 1, depths from 0; entries without a title go."""
+    n = t("nation")
+    title = F.when(F.col("n_nationkey") == 9, "  ").when(F.col("n_nationkey") % 5 == 4, F.concat(F.lit(" "), "n_name")).otherwise(F.concat("n_regionkey", F.lit("."), "n_nationkey", F.lit("  "), "n_name"))
+    raw = n.select(F.col("n_regionkey").alias("doc"), F.col("n_nationkey").cast("int").alias("seq"), (F.col("n_nationkey") % 3 + 1).cast("int").alias("level"), title.alias("title"), (F.col("n_nationkey") - 2).cast("int").alias("page"))
+    return embedded_outline(raw)
+
+
+@query("X7 S1", "SELECT DISTINCT user_id, event_type FROM events")
+def streamed_ingest(t):
+    """Events taken in as a stream, each kind of a user once: files as they come, state kept behind the watermark, exactly once into Parquet."""
+    events = t("events")
+    spark, folder = events.sparkSession, shared_dir(events.sparkSession)
+    events.select("ts", "user_id", "event_type").repartition(4).write.parquet(f"{folder}/in")
+    stream = ingest.read_events(spark, f"{folder}/in", "ts timestamp, user_id long, event_type string", files=2)
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
+    ingest.run_once(ingest.first_seen(stream.withColumn("hash", key), "hash", late="3650 days"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").select("user_id", "event_type")
+
+
+@query("X1 X3", "SELECT user_id AS job, CAST(floor((n - 1) / greatest(ceil(of / 50), 1)) AS BIGINT) AS tick, max(n) AS processed, max(of) AS total FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS of FROM events) GROUP BY ALL")
+def progress_ticks(t):
+    """At most about fifty ticks for each job, however many steps it has: the last step of each of its parts."""
+    steps = t("events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    total = t("events").groupBy("user_id").agg(F.count("*").alias("of"))
+    tick = F.floor((F.col("n") - 1) / F.greatest(F.ceil(F.col("of") / 50), F.lit(1)))
+    return steps.join(total, "user_id").groupBy(F.col("user_id").alias("job"), tick.alias("tick")).agg(F.max("n").cast("long").alias("processed"), F.max("of").alias("total"))

@@ -5,10 +5,16 @@ The tables stand in: region for an adopting authority, nation for a cycle, custo
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
+from corpusloom.operators.lifecycle import PHASES, route, scannable
 from corpusloom.operators.tables import first_of, optional_equal, percent, scan_status, small
+from corpusloom.sources import rules
+from corpusloom.sources.web import number_count
 
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'crawling' ELSE 'pending' END"
 
@@ -41,7 +47,7 @@ def catalog_flat(t):
     return catalog_rows(t).orderBy("r_name", F.desc("n_nationkey"), F.asc_nulls_last("c_name"), "c_custkey")
 
 
-@query("A7 A12 G11", _CATALOG_SQL + """ SELECT r_name, string_agg(cycle, '; ' ORDER BY n_nationkey) AS cycles, CAST(sum(n) AS BIGINT) AS n_books FROM (
+@query("A7 G11", _CATALOG_SQL + """ SELECT r_name, string_agg(cycle, '; ' ORDER BY n_nationkey) AS cycles, CAST(sum(n) AS BIGINT) AS n_books FROM (
  SELECT r_name, n_nationkey, n_name || ':' || string_agg(c_name || '=' || scan_status, ',' ORDER BY c_name, c_custkey) AS cycle, count(*) AS n FROM flat GROUP BY r_name, n_nationkey, n_name) GROUP BY r_name""")
 def catalog_nested(t):
     """Books within cycles within authorities. The nested form is ``nested_catalog``; here it is written out as text."""
@@ -57,13 +63,13 @@ def nested_catalog(rows):
     return books.groupBy("r_name").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name", "books"))).alias("cycles"))
 
 
-@query("A10 A16 P20", _CATALOG_SQL + " SELECT count(*) AS books, count(*) FILTER (scan_status = 'indexed') AS indexed, count(*) FILTER (scan_status = 'not_scanned') AS not_scanned, count(*) FILTER (scan_status = 'crawling') AS active, CAST(sum(sections) AS BIGINT) AS sections FROM flat")
+@query("A10", _CATALOG_SQL + " SELECT count(*) AS books, count(*) FILTER (scan_status = 'indexed') AS indexed, count(*) FILTER (scan_status = 'not_scanned') AS not_scanned, count(*) FILTER (scan_status = 'crawling') AS active, CAST(sum(sections) AS BIGINT) AS sections FROM flat")
 def catalog_summary(t):
     s = F.col("scan_status")
     return catalog_rows(t).agg(F.count("*").alias("books"), F.count_if(s == "indexed").alias("indexed"), F.count_if(s == "not_scanned").alias("not_scanned"), F.count_if(s == "crawling").alias("active"), F.sum("sections").alias("sections"))
 
 
-@query("P15 P16 A11 P17", _CATALOG_SQL + " SELECT r_name, n_name, count(*) AS books FROM flat WHERE scan_status = 'indexed' AND contains(lower(concat_ws(' ', c_name, n_name, r_name)), 'er') AND sections > 0 GROUP BY ALL")
+@query("P15 A11 P17", _CATALOG_SQL + " SELECT r_name, n_name, count(*) AS books FROM flat WHERE scan_status = 'indexed' AND contains(lower(concat_ws(' ', c_name, n_name, r_name)), 'er') AND sections > 0 GROUP BY ALL")
 def facet_filter(t):
     hay = F.lower(F.concat_ws(" ", "c_name", "n_name", "r_name"))
     return catalog_rows(t).filter((F.col("scan_status") == "indexed") & hay.contains("er") & (F.col("sections") > 0)).groupBy("r_name", "n_name").agg(F.count("*").alias("books"))
@@ -112,7 +118,7 @@ def optional_filter(t):
     return optional_equal(t("part"), p_brand="Brand#12", p_size=None).filter("p_size IS NOT NULL").select("p_partkey", "p_brand", "p_size")
 
 
-@query("P8 P9 P10", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (1, 2, 3, 32, 33, 34, 1000) ORDER BY o_orderkey LIMIT 5")
+@query("P8 P9", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (1, 2, 3, 32, 33, 34, 1000) ORDER BY o_orderkey LIMIT 5")
 def point_lookup(t):
     return t("orders").filter(F.col("o_orderkey").isin(1, 2, 3, 32, 33, 34, 1000)).orderBy("o_orderkey").limit(5).select("o_orderkey", "o_custkey")
 
@@ -124,7 +130,7 @@ def outline_projection(t):
     return t("orders").orderBy(shown.asc_nulls_last(), "o_orderkey").limit(50).select("o_orderkey", F.substring("o_orderpriority", 1, 5).alias("title"), F.lit(None).cast("string").alias("full_text"))
 
 
-@query("J11 D14 D15 P21 P22", """WITH asked AS (SELECT CAST(unnest([1, 5, 9, 9, 10, 149, 999999999]) AS BIGINT) AS id)
+@query("J11 D14", """WITH asked AS (SELECT CAST(unnest([1, 5, 9, 9, 10, 149, 999999999]) AS BIGINT) AS id)
  SELECT id, CASE WHEN c_custkey IS NULL THEN 'error: no such book' WHEN c_acctbal < 0 THEN 'skipped: no address' WHEN c_nationkey % 2 = 0 THEN 'triggered: site' ELSE 'triggered: file' END AS outcome FROM (SELECT DISTINCT id FROM asked) LEFT JOIN customer ON c_custkey = id""")
 def scan_dispatch(t):
     """What becomes of each asked book; a book that isn't there is an error."""
@@ -139,7 +145,7 @@ def missing_ids(t):
     return t("lineitem").select("l_orderkey").join(t("orders").filter("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").distinct()
 
 
-@query("J1 G7", "SELECT l_orderkey, s_suppkey, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
+@query("J1", "SELECT l_orderkey, s_suppkey, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
 def standard_refs(t):
     return t("lineitem").join(small(t("supplier")), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_suppkey", "s_name")
 
@@ -177,7 +183,7 @@ def longest_of_group(t):
     return t("documents").groupBy("lang").agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("longest"))
 
 
-@query("T1 T2 T3 T7 T8 G14", """(SELECT 'unordered' AS k, o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50) UNION ALL
+@query("T1 T2 T3 T7 T8", """(SELECT 'unordered' AS k, o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50) UNION ALL
  (SELECT 'price', o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5) UNION ALL (SELECT 'newest', o_orderkey FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 50)""")
 def top_lists(t):
     """Lists cut to a length. Where none orders them, the id does."""
@@ -195,24 +201,91 @@ def distinct_limit(t):
     return t("lineitem").select(F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("depth")).distinct().orderBy("depth", "id").limit(10)
 
 
-@query("U4 W3 U5", "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+@query("W3", "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def first_wins(t):
     return first_of(t("documents").select("source", "doc_id"), ["source"], F.asc("doc_id"))
 
 
-@query("S18", "SELECT * FROM (VALUES ('ICC', 'model'), ('NFPA', 'model'), ('ASCE', 'standard'), ('state', 'authority')) AS v(abbreviation, role)")
+_VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+_CYCLES_SQL = f"""WITH f(authority, a, b, s, d, m, p) AS (VALUES {_VALUES(rules.FAMILIES)}), y AS (SELECT *, CAST(unnest(range(a, b + 1, s)) AS INTEGER) AS year FROM f),
+cycles AS (SELECT authority, year, replace(replace(p, '{{yy}}', right(CAST(year AS VARCHAR), 2)), '{{y}}', CAST(year AS VARCHAR)) AS name, CAST(make_date(year + d, m, 1) AS VARCHAR) AS effective, CASE WHEN year < b THEN CAST(make_date(year + s + d, m, 1) AS VARCHAR) END AS expires, CASE WHEN year < b THEN 'superseded' ELSE 'active' END AS status FROM y)"""
+
+
+@query("S18", f"SELECT 'organisation' AS kind, a AS name, b AS detail FROM (VALUES {_VALUES(rules.ORGANISATIONS)}) AS v(a, b) UNION ALL SELECT 'standard', a, CAST(b AS VARCHAR) FROM (VALUES {_VALUES(rules.STANDARDS)}) AS v(a, b)")
 def seed_rows(t):
     spark = t("region").sparkSession
-    return spark.createDataFrame([("ICC", "model"), ("NFPA", "model"), ("ASCE", "standard"), ("state", "authority")], "abbreviation string, role string")
+    of = lambda kind, rows: spark.createDataFrame([(kind, a, str(b)) for a, b in rows], "kind string, name string, detail string")
+    return of("organisation", rules.ORGANISATIONS).union(of("standard", rules.STANDARDS))
 
 
-@query("S19 F32 S15", """SELECT n_name || ' ' || y AS cycle, part, CASE WHEN y >= 2022 THEN y - 1 ELSE y - 3 END AS base_year, 'https://codes.example/' || lower(replace(n_name, ' ', '-')) || '/' || y || '/p' || part AS url
- FROM nation, range(2007, 2026, 3) AS t1(y), range(1, 13) AS t2(part) WHERE part <= 6 OR y >= 2013 AND part <> 7""")
+@query("S19", _CYCLES_SQL + " SELECT * FROM cycles")
+def catalog_cycles(t):
+    """67 cycles, by rule."""
+    c = rules.cycles(t("region").sparkSession)
+    return c.withColumns({"effective": F.col("effective").cast("string"), "expires": F.col("expires").cast("string")})
+
+
+@query("S19 F32", _CYCLES_SQL + f""", k(authority, part, abbreviation, title, model, since) AS (VALUES {_VALUES(rules.BOOKS)})
+ SELECT c.authority, year, part, coalesce(abbreviation, c.authority) AS abbreviation, CASE WHEN title IS NULL THEN c.name WHEN part IS NULL THEN year || ' ' || title ELSE year || ' ' || title || ' — ' || part END AS name, model,
+ CASE WHEN c.authority = 'California' AND model = 'NEC' THEN year - 2 WHEN c.authority = 'California' AND model IS NOT NULL THEN year - 1 END AS base_year,
+ CASE WHEN c.authority = 'California' AND year IN (2022, 2025) THEN '{rules.CONTENT}/' || abbreviation || year || replace(replace(part, 'Part ', 'P'), '.', '_') || CASE WHEN abbreviation = 'CBC' THEN 'V1' ELSE '' END WHEN c.authority = 'ICC' AND year IN (2021, 2024) THEN '{rules.CONTENT}/' || abbreviation || year END AS url, status
+ FROM cycles c LEFT JOIN k ON c.authority = k.authority WHERE since IS NULL OR year >= since""")
 def catalog_rules(t):
-    """Books by rule: each cycle has the parts that its year knows, a base year and an address."""
-    y, part = F.col("y"), F.col("part")
-    grid = t("nation").select("n_name", F.explode(F.sequence(F.lit(2007), F.lit(2025), F.lit(3))).alias("y")).withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    return grid.filter((part <= 6) | ((y >= 2013) & (part != 7))).select(
-        F.concat_ws(" ", "n_name", y.cast("string")).alias("cycle"), part.cast("long").alias("part"), F.when(y >= 2022, y - 1).otherwise(y - 3).cast("long").alias("base_year"),
-        F.concat(F.lit("https://codes.example/"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit("/"), y.cast("string"), F.lit("/p"), part.cast("string")).alias("url"),
-    )
+    """178 books: each cycle has the parts that its year knows, a model's base year and an address where there is one."""
+    return rules.books(t("region").sparkSession)
+
+
+@query("S15", "SELECT CAST(n AS INTEGER) AS number, 'Chapter ' || n || ' - ' || title AS title, 'https://codes.iccsafe.org/content/X/chapter-' || n || '-' || CASE n WHEN 4 THEN 'special-detailed-requirements-based-on-use-and-occupancy' ELSE lower(replace(replace(title, ',', ''), ' ', '-')) END AS url FROM (SELECT unnest(string_split('" + "|".join(rules.CHAPTERS) + "', '|')) AS title, unnest(range(1, 36)) AS n)")
+def fallback_chapters(t):
+    return rules.fallback_chapters(t("region").sparkSession, f"{rules.CONTENT}/X/")
+
+
+_SOURCE = "CASE p_partkey % 3 WHEN 0 THEN 'pdf_parse' WHEN 1 THEN 'web_scrape' ELSE 'feed' END AS kind, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'https://codes.iccsafe.org/x' WHEN 3 THEN 'http://x.example/javascript:' ELSE 'ftp://x' END AS url"
+
+
+@query("D15 P21 P22", f"SELECT p_partkey, CASE WHEN kind = 'pdf_parse' THEN 'error: upload the file' WHEN kind = 'web_scrape' AND p_size % 5 = 2 THEN 'triggered' ELSE 'error: unsupported' END AS outcome, p_size % 5 = 2 AS scannable FROM (SELECT p_partkey, p_size, {_SOURCE} FROM part)")
+def route_imports(t):
+    """What becomes of a trigger by the source's kind and address, and whether the address can be fetched."""
+    kind, url = _SOURCE.split(", CASE")
+    return t("part").selectExpr("p_partkey", kind, f"CASE{url}").select("p_partkey", route(F.col("kind"), F.col("url")).alias("outcome"), scannable(F.col("url")).alias("scannable"))
+
+
+@query("P20 A16", "SELECT o_orderkey, phase FROM (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'parsing' WHEN 2 THEN 'indexing' WHEN 3 THEN 'completed' WHEN 4 THEN 'failed' END AS phase FROM orders) WHERE phase IN ('queued', 'parsing', 'indexing')")
+def active_imports(t):
+    """Imports in a phase that isn't final."""
+    phase = F.element_at(F.array(*map(F.lit, (*PHASES, None))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return t("orders").select("o_orderkey", phase.alias("phase")).filter(F.col("phase").isin(*PHASES[:3]))
+
+
+@query("P10 T5", "SELECT o_orderkey FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey LIMIT 20 OFFSET 5")
+def section_page(t):
+    """A page of a book's sections, in their order."""
+    return t("orders").filter("o_custkey = 7").orderBy("o_orderkey").offset(5).limit(20).select("o_orderkey")
+
+
+@query("P16 A11", _CATALOG_SQL + " SELECT c_custkey FROM flat WHERE r_name = 'ASIA' AND scan_status <> 'not_scanned' AND contains(lower(c_name), '1')")
+def picker_filter(t):
+    """Books of one authority that were scanned and whose name fits."""
+    return catalog_rows(t).filter((F.col("r_name") == "ASIA") & (F.col("scan_status") != "not_scanned") & F.lower("c_name").contains("1")).select("c_custkey")
+
+
+@query("A12", "SELECT source, count(*) AS n, CAST(row_number() OVER (ORDER BY min(doc_id)) AS INTEGER) AS place FROM documents GROUP BY source")
+def first_seen_groups(t):
+    """Groups in the order in which each is first seen; there are as many rows to order as groups."""
+    groups = t("documents").groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("_first"))
+    return groups.withColumn("place", F.row_number().over(Window.orderBy("_first"))).drop("_first")
+
+
+@query("G14", """(SELECT 'imports' AS list, event_id AS id FROM events ORDER BY ts DESC, event_id LIMIT 20) UNION ALL (SELECT 'books', c_custkey FROM customer ORDER BY c_nationkey, c_custkey LIMIT 50) UNION ALL (SELECT 'quarantine', event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 50)""")
+def status_lists(t):
+    """Imports by time, books by part, what waits for review by time."""
+    events = t("events")
+    lists = {"imports": events.orderBy(F.desc("ts"), "event_id").limit(20).select("event_id"), "books": t("customer").orderBy("c_nationkey", "c_custkey").limit(50).select("c_custkey"), "quarantine": events.filter("event_type = 'error'").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id")}
+    return reduce(DataFrame.union, [df.select(F.lit(k).alias("list"), F.col(df.columns[0]).alias("id")) for k, df in lists.items()])
+
+
+@query("A17", "SELECT p_partkey, CAST(p_size % 4 AS INTEGER) AS n FROM part")
+def numbers_in_pages(t):
+    """How many section numbers a page names."""
+    html = F.concat(F.lit("<p>Year 2024, 12.5 and 1234</p>"), F.repeat(F.concat(F.lit("<b>"), (F.col("p_size") + 100).cast("string"), F.lit(".2.1</b> x706.1y ")), (F.col("p_size") % 4).cast("int")))
+    return t("part").select("p_partkey", number_count(html).alias("n"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.catalog import query
 from corpusloom.operators import retrieval as r
 from corpusloom.operators.outline import two_hops
+from corpusloom.sources.files import with_embeddings
+from corpusloom.steps import shared_dir, written
 
 Q = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
 _Q = "[" + ", ".join(f"{x}::DOUBLE" for x in Q) + "]"
@@ -57,6 +59,13 @@ def keyword_stemmed(t):
     return r.keyword_search(sections(t), "heating the anthly readings", 10, stem=True)
 
 
+@query("G3 P7 F30", f"WITH {_K} SELECT * FROM k")
+def keyword_index(t):
+    """The same from an index of postings, written once and read for the query's terms only."""
+    d = sections(t)
+    return r.search_postings(r.postings(d, shared_dir(d.sparkSession)), WORDS, 10)
+
+
 def _hybrid(t):
     return r.hybrid(r.nearest(vectors(t), Q, 10), r.keyword_search(sections(t), WORDS, 10), 15)
 
@@ -73,9 +82,16 @@ def hybrid_merge(t):
  SELECT string_agg('Section ' || id || ': ' || source || chr(10) || substring(text, 1, 500) || '...', chr(10) || chr(10) ORDER BY place, n) AS context FROM listed JOIN documents ON doc_id = id""")
 def rag_context(t):
     """The text that goes before a question: hits, and what they refer to."""
-    hits = r.pinned(_hybrid(t).select("id", "place"))
+    hits = written(_hybrid(t).select("id", "place"))
     edges = t("lineitem").selectExpr("l_partkey AS src", "l_suppkey AS dst").distinct()
     reached = two_hops(edges, hits.filter("place <= 5").select(F.col("id").alias("source")))
     listed = r.context(hits, reached, sections(t))
     line = F.concat(F.lit("Section "), F.col("id").cast("string"), F.lit(": "), "section_title", F.lit("\n"), F.substring("full_text", 1, r.SHOWN), F.lit("..."))
     return listed.agg(F.array_sort(F.collect_list(F.struct("place", "n", line.alias("line")))).alias("x")).select(F.array_join(F.transform("x", lambda s: s.line), "\n\n").alias("context"))
+
+
+@query("S17", "SELECT doc_id, [length(text)::DOUBLE, (length(text) - length(replace(text, ' ', '')))::DOUBLE] AS embedding FROM documents")
+def embed_texts(t):
+    """Vectors of texts by an embedder of the caller's, in Arrow batches; here one that counts characters and spaces, so that SQL can tell what it gives."""
+    made = with_embeddings(t("documents").select("doc_id", "text"), "text", lambda ts: [[float(len(x)), float(x.count(" "))] for x in ts])
+    return made.select("doc_id", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))

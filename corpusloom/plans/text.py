@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
 from corpusloom.functions import text as x
+from corpusloom.operators import lifecycle as life
+from corpusloom.steps import written
 
 
 @query("F1 F2", "SELECT doc_id, sha256(text) AS source_hash, sha256(regexp_replace(lower(regexp_replace(text, '\\s+', ' ', 'g')), '^\\s+|\\s+$', '', 'g')) AS normalized_hash FROM documents")
@@ -29,7 +31,7 @@ def heading_and_subscripts(t):
     return t("part").select("p_partkey", x.strip_heading(text, F.concat(F.lit("1."), size), F.concat(F.lit("Scope of "), "p_brand", F.lit(" :"))).alias("body"), x.restore_subscripts(formula).alias("formula"))
 
 
-@query("F6 F10 F26 D12")
+@query("F6 F10")
 def normalize_texts(t):
     """Raw text, the normalized one and its hash, as a backfill writes them. Held against its micro-fixtures in tests/test_operators.py."""
     raw = F.concat(F.lit("1.1 SCOPE\nThe design wind loads for build-\ning\n\n1a. D þ 0:7S ð Lr Þ\n(a) "), "text")
@@ -37,7 +39,7 @@ def normalize_texts(t):
     return d.withColumn("source_hash", x.sha256(F.col("full_text_raw"))).withColumn("normalized_hash", x.sha256(x.squeeze(F.col("full_text"))))
 
 
-@query("F11 F12 F19 F25 F20", """WITH n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Chapter ' || p_size WHEN 1 THEN '26.' || p_size || '.2' WHEN 2 THEN 'A.' || p_size ELSE CAST(p_size AS VARCHAR) END AS num, p_name FROM part)
+@query("F11 F12 F19 F25", """WITH n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Chapter ' || p_size WHEN 1 THEN '26.' || p_size || '.2' WHEN 2 THEN 'A.' || p_size ELSE CAST(p_size AS VARCHAR) END AS num, p_name FROM part)
  SELECT p_partkey, num AS number, p_name AS title, CAST(CASE WHEN num LIKE 'Chapter%' THEN 0 ELSE length(num) - length(replace(num, '.', '')) END AS INTEGER) AS depth, CASE WHEN num LIKE 'Chapter %' THEN num ELSE split_part(num, '.', 1) END AS chapter,
  regexp_replace(regexp_replace(num, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, '7.' || num AS path FROM n""")
 def number_parts(t):
@@ -52,7 +54,7 @@ def number_parts(t):
     return d.select("*", x.depth_of(n).alias("depth"), x.chapter_of(n).alias("chapter"), x.slug(n).alias("slug"), F.concat_ws(".", F.lit("7"), n).alias("path"))
 
 
-@query("F17 F18 F21", """WITH s AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Preface' WHEN 1 THEN 'Table ' || p_size WHEN 2 THEN 'Definitions' WHEN 3 THEN 'appendix b' ELSE p_name END AS title, p_size % 3 AS depth, p_name || CASE p_partkey % 5 WHEN 0 THEN ' [SFM] [HCD]' WHEN 1 THEN ' a figure' WHEN 2 THEN ' defined as' ELSE '' END AS body FROM part)
+@query("F17 F21", """WITH s AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Preface' WHEN 1 THEN 'Table ' || p_size WHEN 2 THEN 'Definitions' WHEN 3 THEN 'appendix b' ELSE p_name END AS title, p_size % 3 AS depth, p_name || CASE p_partkey % 5 WHEN 0 THEN ' [SFM] [HCD]' WHEN 1 THEN ' a figure' WHEN 2 THEN ' defined as' ELSE '' END AS body FROM part)
  SELECT p_partkey, CASE WHEN title = 'Preface' THEN 'front_matter' WHEN lower(title) LIKE 'table %' THEN 'table' WHEN lower(title) LIKE 'appendix %' THEN 'appendix' WHEN contains(lower(title), 'definitions') THEN 'definition' WHEN depth = 0 THEN 'chapter' ELSE 'section' END AS by_title,
  CASE WHEN contains(lower(body), 'table') THEN 'table' WHEN contains(lower(body), 'figure') THEN 'figure' WHEN contains(lower(body), 'defined as') THEN 'definition' ELSE 'section' END AS by_content, CASE WHEN contains(body, '[HCD]') THEN 'HCD' END AS agency FROM s""")
 def section_types(t):
@@ -76,11 +78,12 @@ def vector_text(t):
     return t("embeddings").select("vec_id", x.vector_literal(v).alias("literal"), F.array_join(x.query_terms(F.lit("wind  Load wind")), " | ").alias("terms"))
 
 
-@query("J9 D12", """WITH h AS (SELECT doc_id, source, sha256(regexp_replace(lower(regexp_replace(text, '\\s+', ' ', 'g')), '^\\s+|\\s+$', '', 'g')) AS h FROM documents)
+@query("J9", """WITH h AS (SELECT doc_id, source, sha256(regexp_replace(lower(regexp_replace(text, '\\s+', ' ', 'g')), '^\\s+|\\s+$', '', 'g')) AS h FROM documents)
  SELECT a.doc_id, min(b.doc_id) AS canonical FROM h a LEFT JOIN h b ON a.h = b.h AND a.source <> b.source AND b.doc_id < a.doc_id GROUP BY a.doc_id""")
 def canonical_link(t):
     """The earliest document of another source with the same normalized text. For each text only its earliest document and the earliest one of any other source can be the answer: two numbers, not all pairs."""
-    h = t("documents").select("doc_id", "source", x.sha256(x.squeeze(F.col("text"))).alias("h"))
+    # hashed once; all that follows reads these three columns
+    h = written(t("documents").select("doc_id", "source", x.sha256(x.squeeze(F.col("text"))).alias("h")))
     by_source = h.groupBy("h", "source").agg(F.min("doc_id").alias("first"))
     top = by_source.groupBy("h").agg(F.min(F.struct("first", "source")).alias("a"))
     second = by_source.join(top, "h").filter("source <> a.source").groupBy("h").agg(F.min("first").alias("b"))
@@ -92,3 +95,47 @@ def canonical_link(t):
 @query("W3", "SELECT h, min(doc_id) AS doc_id FROM (SELECT doc_id, sha256(text) AS h FROM documents) GROUP BY h")
 def first_of_text(t):
     return t("documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("F18 F20", """WITH s AS (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE CAST(p_size % 9 AS VARCHAR) END AS chapter, p_name || CASE p_partkey % 5 WHEN 0 THEN ' of a definition' WHEN 1 THEN ' a figure' WHEN 2 THEN ' in appendix B' WHEN 3 THEN repeat(' long', 500) || ' table' ELSE '' END AS body FROM part)
+ SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'definition' WHEN 1 THEN 'figure' WHEN 2 THEN 'appendix' WHEN 3 THEN 'table' ELSE 'section' END AS of_web, CASE p_partkey % 5 WHEN 1 THEN 'figure' WHEN 2 THEN 'appendix' ELSE 'section' END AS of_file, CASE WHEN coalesce(chapter, '') = '' THEN '0' ELSE chapter END || '.' || p_size || '.1' AS path FROM s""")
+def section_kinds(t):
+    """A section's kind by its content, as web pages and as files tell it, and its path."""
+    k, j = F.col("p_partkey") % 4, F.col("p_partkey") % 5
+    chapter = F.when(k == 1, "").when(k > 1, (F.col("p_size") % 9).cast("string"))
+    body = F.concat("p_name", F.when(j == 0, " of a definition").when(j == 1, " a figure").when(j == 2, " in appendix B").when(j == 3, F.concat(F.repeat(F.lit(" long"), F.lit(500)), F.lit(" table"))).otherwise(""))
+    return t("part").select("p_partkey", x.web_content_type(body).alias("of_web"), x.content_type(body).alias("of_file"), x.section_path(chapter, F.concat(F.col("p_size").cast("string"), F.lit(".1"))).alias("path"))
+
+
+@query("F26", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'callout' WHEN 1 THEN 'formula' WHEN 2 THEN 'list' WHEN 3 THEN 'list' WHEN 4 THEN 'callout' ELSE 'plain' END AS kind FROM part""")
+def line_classes(t):
+    """Callouts, formula lines, list items and plain paragraphs."""
+    size = F.col("p_size").cast("string")
+    made = [F.concat(F.lit("EXCEPTIONS: "), "p_name"), F.concat(size, F.lit("a. 1.2D + 1.6L")), F.concat(size, F.lit(". the "), "p_name"), F.concat(F.lit("( iv ) "), "p_name"), F.concat(F.lit("User Note: "), "p_name"), F.concat(F.lit("Loads = "), size)]
+    k = F.col("p_partkey") % 6
+    text = F.coalesce(*[F.when(k == i, m) for i, m in enumerate(made)])
+    return t("part").select("p_partkey", x.line_class(text).alias("kind"))
+
+
+_SECTIONS = "SELECT p_partkey AS id, p_size AS book, '  ' || p_name || '   of' || chr(10) || p_brand AS full_text, CASE WHEN p_partkey % 3 = 0 THEN 'raw  ' || p_name END AS full_text_raw, CASE WHEN p_partkey % 7 = 0 THEN DATE '2020-01-01' END AS superseded_date FROM part"
+_CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+def _sections(t):
+    return t("part").selectExpr("p_partkey AS id", "p_size AS book", "concat('  ', p_name, '   of', char(10), p_brand) AS full_text", "CASE WHEN p_partkey % 3 = 0 THEN concat('raw  ', p_name) END AS full_text_raw", "CASE WHEN p_partkey % 7 = 0 THEN DATE '2020-01-01' END AS superseded_date")
+
+
+@query("D12 P19", f"WITH s AS ({_SECTIONS}) SELECT id, full_text_raw AS raw, {_CLEAN.format('full_text_raw')} AS clean, sha256(lower({_CLEAN.format('full_text_raw')})) AS hash, true AS every FROM s WHERE superseded_date IS NULL AND full_text_raw IS NOT NULL UNION ALL SELECT id, full_text, {_CLEAN.format('full_text')}, sha256(lower({_CLEAN.format('full_text')})), every FROM s, (VALUES (true), (false)) AS v(every) WHERE superseded_date IS NULL AND full_text_raw IS NULL")
+def backfill_rows(t):
+    """Live rows normalized again: all of them, and only those that have no raw text yet."""
+    clean, hash_ = x.normalize(F.col("_raw"), F.lit(None), F.lit(None)), lambda c: x.sha256(x.squeeze(c))
+    of = lambda every: life.backfill(_sections(t), clean, hash_, every).selectExpr("id", "full_text_raw AS raw", "full_text AS clean", "normalized_hash AS hash", f"{str(every).lower()} AS every")
+    return of(True).union(of(False))
+
+
+@query("D10 U5", f"WITH s AS ({_SECTIONS}) SELECT id, book, CAST(CASE WHEN superseded_date IS NULL AND book IN (7, 9) THEN DATE '2024-06-01' ELSE superseded_date END AS VARCHAR) AS until, full_text FROM s UNION ALL SELECT id + 1000000, book, NULL, 'read again ' || p_name FROM (SELECT p_partkey AS id, p_size AS book, p_name FROM part WHERE p_size IN (7, 9))")
+def reindex_books(t):
+    """Two books read again: their live sections stamped, the new ones after them, for all chapters together."""
+    parts = [t("part").filter(f"p_size = {b}").selectExpr("p_partkey + 1000000 AS id", "p_size AS book", "concat('read again ', p_name) AS full_text", "cast(NULL AS string) AS full_text_raw") for b in (7, 9)]
+    out = life.reindex(_sections(t), parts[0].unionByName(parts[1]), "book", F.lit("2024-06-01").cast("date"))
+    return out.select("id", "book", F.col("superseded_date").cast("string").alias("until"), "full_text")

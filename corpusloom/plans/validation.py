@@ -1,4 +1,4 @@
-"""Validation of texts. The corpus has few faults of its own, so the queries make some, the same in Spark and in SQL, by doc_id."""
+"""Validation of texts. The corpus has few faults of its own, so the queries add rows with some, the same in Spark and in SQL, by doc_id."""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ from corpusloom.operators import validation as v
 _FAULTY = """CASE doc_id % 12 WHEN 1 THEN substring(text, 1, 10) WHEN 2 THEN concat(text, ' page not found') WHEN 3 THEN concat('captcha ', text) WHEN 4 THEN concat('premium ', text)
  WHEN 5 THEN concat(text, ' cartridge') WHEN 6 THEN repeat('<b>x</b> ', 40) WHEN 7 THEN repeat(concat(substring(text, 1, 30), chr(10)), 6) WHEN 8 THEN concat(text, ' ...') WHEN 9 THEN concat(text, ' 1234.5678.')
  WHEN 10 THEN concat(text, ' Section 706.1 shall comply with ASTM E119, see Table 5.') ELSE text END"""
-_SQL = f"""WITH faulty AS (SELECT doc_id, {_FAULTY} AS text FROM documents),
+#: The documents as they are, and made faults beside them under ids of their own.
+_SHIFT = 1_000_000_000_000
+_SQL = f"""WITH faulty AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + {_SHIFT}, {_FAULTY} FROM documents WHERE doc_id % 12 BETWEEN 1 AND 10),
 parts AS (SELECT *, string_split(text, chr(10)) AS lines FROM faulty),
 rep AS (SELECT doc_id, max(c) AS best FROM (SELECT doc_id, l, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(lines, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))) AS l FROM parts) WHERE l <> '' GROUP BY ALL) GROUP BY 1),
 m AS (SELECT *, lower(text) AS low, CASE WHEN len(lines) < 5 THEN 0.0 ELSE coalesce(best, 0) / len(lines) END AS repetition,
@@ -29,7 +31,8 @@ valid AS (SELECT doc_id, text, CASE WHEN e1 IS NOT NULL THEN 1 WHEN e2 IS NOT NU
 
 
 def _faulty(t):
-    return t("documents").selectExpr("doc_id", f"{_FAULTY.replace('chr(10)', 'char(10)')} AS text")
+    made = t("documents").filter("doc_id % 12 BETWEEN 1 AND 10").selectExpr(f"doc_id + {_SHIFT} AS doc_id", f"{_FAULTY.replace('chr(10)', 'char(10)')} AS text")
+    return t("documents").select("doc_id", "text").union(made)
 
 
 @query("V1 V2 V3 V4 V5 V6 V7 V8 V9 V10 V12 V13 V14 W7 A9 A13 V11 J10", _SQL + " SELECT doc_id, layer, error, indicators FROM valid")
@@ -39,7 +42,7 @@ def validate_documents(t):
 
 @query("D8", _SQL + """ SELECT doc_id AS source_id, layer AS validation_layer, error AS error_message, substring(text, 1, 5000) AS raw_content, '{"indicators":' || indicators || '}' AS metadata FROM valid WHERE layer IS NOT NULL""")
 def quarantine_split(t):
-    return v.quarantine(v.validate(_faulty(t)).filter("layer IS NOT NULL"))
+    return v.quarantine(v.rejected(_faulty(t)))
 
 
 @query("A15", _SQL + " SELECT coalesce(layer, 0) AS layer, count(*) AS n FROM valid GROUP BY 1")
@@ -52,7 +55,7 @@ def duplicate_reject(t):
     return v.flag_duplicates(t("documents").select("doc_id", F.sha2("text", 256).alias("hash")), "hash", "doc_id").select("doc_id", "duplicate")
 
 
-@query("V9 A17", "SELECT page_id, len(regexp_extract_all(html, '<[^>]+>')) / greatest(len(regexp_extract_all(html, '\\S+')), 1) AS ratio, CAST(len(regexp_extract_all(html, '[0-9]{3}')) AS INTEGER) AS numbers FROM pages")
+@query("V9", "SELECT page_id, len(regexp_extract_all(html, '<[^>]+>')) / greatest(len(regexp_extract_all(html, '\\S+')), 1) AS ratio, CAST(len(regexp_extract_all(html, '[0-9]{3}')) AS INTEGER) AS numbers FROM pages")
 def tag_ratio(t):
     return t("pages").select("page_id", v.tag_ratio(F.col("html")).alias("ratio"), F.regexp_count("html", F.lit("[0-9]{3}")).alias("numbers"))
 

@@ -21,6 +21,13 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "path")
 
 
+def stored_bytes(spark: SparkSession, path: str | list[str], wanted: DataFrame) -> DataFrame:
+    """(path, filename, sha256, content) of the files below ``path`` whose hash is among ``wanted`` (sha256)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("sha256"), "content")
+    return named.join(wanted.select("sha256").distinct(), "sha256", "left_semi")
+
+
 def file_pages(files: DataFrame, open_pages: Callable[[bytes], list[str]]) -> DataFrame:
     """(path, page, text) of ``files`` (path, content), by a reader of the caller's that gives the texts of a file's pages."""
 
@@ -29,7 +36,7 @@ def file_pages(files: DataFrame, open_pages: Callable[[bytes], list[str]]) -> Da
             rows = [(p, k, t) for p, c in zip(b.path, b.content, strict=True) for k, t in enumerate(open_pages(bytes(c)), 1)]
             yield pd.DataFrame(rows, columns=["path", "page", "text"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, page int, text string")
+    return files.select("path", "content").mapInPandas(run, f"path {dict(files.dtypes)['path']}, page int, text string")
 
 
 def with_embeddings(df: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:

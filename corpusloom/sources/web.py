@@ -192,15 +192,52 @@ def web_text(html: pd.Series) -> pd.Series:
     return html.map(lambda h: content_of(parse(h)).text())
 
 
-def chapter_links(pages: DataFrame, host: str = "https://codes.example") -> DataFrame:
-    """(page_id, title, url): links whose text or target names a chapter or a number, else all; addresses made whole; each address once for a page, where it first stands."""
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'), 1).alias("href"), F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'), 2).alias("title"))
-    named = F.filter(pairs, lambda p: p["title"].rlike(r"(?i)chapter\s*\d+") & (p["href"] != ""))
-    usable = F.filter(pairs, lambda p: (F.trim(p["title"]) != "") & (p["href"] != ""))
-    chosen = F.when(F.size(named) > 0, named).otherwise(usable)
-    flat = pages.select("page_id", F.posexplode(chosen).alias("at", "l"))
+# Classes of entries of a contents list; where side navigation stands; the words that tell chapters.
+ENTRY_CLASSES, ENTRY_PARENT = ("chapter-link", "nav-link"), "toc-item"
+SIDE = ({"id": "sidebar"}, {"class": "sidebar"}, {"tag": "nav"}, {"class": "navigation"}, {"class": "v-list-item"})
+_CHAPTER, _NUMBERED = re.compile(r"chapter\s*\d+", re.IGNORECASE), re.compile(r"^\d+\.")
+
+
+def _shown(n: Node) -> str:
+    """An element's text as it is shown: white space as one space."""
+    return " ".join("".join(n.strings()).split())
+
+
+def links_of(html: str | None) -> list[tuple[str, str]]:
+    """(title, href) of a page's chapters, by the first way that finds any: links whose address and text name a chapter; entries of a contents list; links of the side navigation that name a chapter or begin with a number."""
+    found: list[list[tuple[str, str]]] = [[], [], []]
+    # each element with what its ancestors are: whether one is an entry of a contents list or a side navigation
+    todo = [(c, False, False) for c in reversed(parse(html).children) if isinstance(c, Node)]
+    while todo:
+        n, entry, side = todo.pop()
+        classes, href = n.classes(), n.attrs.get("href") or ""
+        title = _shown(n) if href else ""
+        if title:
+            if n.tag == "a" and "chapter" in href and _CHAPTER.search(title):
+                found[0].append((title, href))
+            if n.tag == "a" and entry or any(c in classes for c in ENTRY_CLASSES):
+                found[1].append((title, href))
+            if n.tag == "a" and side and ("chapter" in title.lower() or _NUMBERED.match(title)):
+                found[2].append((title, href))
+        entry = entry or ENTRY_PARENT in classes
+        side = side or any(n.tag == v if k == "tag" else v in classes if k == "class" else n.attrs.get("id") == v for want in SIDE for k, v in want.items())
+        todo += [(c, entry, side) for c in reversed(n.children) if isinstance(c, Node)]
+    return next((x for x in found if x), [])
+
+
+_LINK = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "href")]))
+
+
+@F.pandas_udf(_LINK)
+def web_links(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: [{"title": t, "href": u} for t, u in links_of(h)])
+
+
+def chapter_links(pages: DataFrame, host: str = "https://codes.iccsafe.org") -> DataFrame:
+    """(page_id, title, url): the chapters of each page (page_id, html), addresses made whole, each address once, where it first stands."""
+    flat = pages.select("page_id", F.posexplode(web_links("html")).alias("at", "l"))
     url = F.when(F.col("l.href").startswith("http"), F.col("l.href")).otherwise(F.concat(F.lit(host), F.col("l.href")))
-    return flat.select("page_id", url.alias("url"), "at", F.trim(F.col("l.title")).alias("title")).groupBy("page_id", "url").agg(F.min(F.struct("at", "title"))["title"].alias("title"))
+    return flat.select("page_id", url.alias("url"), "at", F.col("l.title").alias("title")).groupBy("page_id", "url").agg(F.min(F.struct("at", "title"))["title"].alias("title"))
 
 
 def number_count(html: Column) -> Column:

@@ -1,6 +1,7 @@
 """Micro-fixtures and edges of the library's own operators."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,88 @@ def test_page_repair(spark):
     assert got == [(2, ""), (4, "verified"), (4, "unverified"), (5, ""), (5, "unverified"), (6, "verified")]
 
 
+def test_page_repair_of_odd_numbers(spark):
+    """A number that is null or blank stands nowhere; one with a hyphen, a bracket or letters beyond ASCII is matched whole, at a word's edge."""
+    texts = {1: "intro\nC-10 no", 2: " 3.1.1 more", 3: "x\n\n   C-1 Heading\nB(2) y", 4: "3.1 Title\nÄ1é z", 5: "Ä1 w"}
+    pages = spark.createDataFrame([("d", p, t) for p, t in texts.items()] + [("e", 1, None)], "doc string, page int, text string")
+    entries = [(1, "", 3), (2, None, 2), (3, "C-1", 1), (4, "B(2)", 3), (5, " 3.1 ", 4), (6, "Ä1", 4), (7, "zz", 9)]
+    toc = spark.createDataFrame([("d", s, n, p) for s, n, p in entries] + [("e", 1, "1", 5), ("f", 1, "1", 5)], "doc string, seq int, number string, page int")
+
+    def brute(doc, n):
+        good, out = 1, []
+        for seq, number, page in [x for x in entries if doc == "d"] or [(1, "1", 5)]:
+            needle = (number or "").strip()
+            on = lambda p: bool(needle and doc == "d" and re.search(rf"(?m)^\s*{re.escape(needle)}\b", texts.get(p, "")))  # noqa: B023, E731
+            at = max(1, min(page, n))
+            near = next((p for p in range(good, min(good + 10, n) + 1) if on(p)), None)
+            if at >= good and on(at):
+                out.append((seq, page, ""))
+                good = at
+            elif near:
+                out.append((seq, near, "verified"))
+                good = near
+            else:
+                out.append((seq, min(good, n), "unverified"))
+        return out
+
+    got = structure.repair_pages(toc, pages).orderBy("doc", "seq").collect()
+    for doc, n in (("d", 5), ("e", 1), ("f", 0)):
+        assert [(r.seq, r.page, r.state) for r in got if r.doc == doc] == brute(doc, n)
+
+
+def test_deep_outline(spark):
+    edges = spark.createDataFrame([(str(k), str(k - 1) if k else None) for k in range(25)] + [("z", "9"), ("lost", "no such")], "node string, parent string")
+    got = {(r.node, r.ancestor, r.distance) for r in outline.ancestors(edges).collect()}
+    want = {(str(k), str(j), k - j) for k in range(25) for j in range(k + 1)} | {("z", "z", 0), ("lost", "lost", 0), ("lost", "no such", 1)} | {("z", str(j), 10 - j) for j in range(10)}
+    assert got == want
+
+
+def test_long_lists_stay_whole(spark):
+    v = spark.createDataFrame([(i, 1.0 - i / 1000) for i in range(200)], "id long, score double")
+    k = spark.createDataFrame([(i, 0.5) for i in range(100, 300)], "id long, score double")
+    got = retrieval.hybrid(v, k, 1000).orderBy("place").collect()
+    assert [r.id for r in got] == list(range(300)) and got[250].search_type == "keyword"
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_postings(spark, tmp_path, stem):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS id", "text AS full_text").union(spark.createDataFrame([(-1, None), (-2, "")], "id long, full_text string"))
+    index = retrieval.postings(d, str(tmp_path / "index"), stem)
+    for q in ("the heat, erth the ANEA!", "", "nosuchword", "readings of heat"):
+        rows = lambda df: [(r.id, pytest.approx(r.score, abs=2e-6)) for r in df.collect()]
+        assert rows(retrieval.search_postings(index, q, 20, stem)) == rows(retrieval.keyword_search(d, q, 20, stem))
+
+
+def test_patterns_as_words(spark):
+    """The words that stand for the patterns of layer 2 find what the patterns find."""
+    texts = ["a 404", "robot check", "robotverification", "bot\n verification", "subscribe  to view", "subscribe it", "purchase to access", "purchase of", "sign in", "Verify you are human", "x" * 5, "gateway timeout", "limited  access"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for patterns in (validation.ERROR_PAGE, validation.CAPTCHA, validation.PAYWALL, validation.SHOP):
+        got = [r.x for r in df.select(validation._holds(F.lower("t"), patterns).alias("x")).collect()]
+        assert got == [any(re.search(p, t.lower()) for p in patterns) for t in texts]
+
+
+def test_rejected_rows(spark):
+    """Rows with one id are told apart by their texts; equal rows each come once."""
+    ok = "A text of enough words that nothing is wrong with."
+    rows = [(1, ok), (1, "short"), (1, "short"), (None, "short"), (2, ok), (None, None)]
+    got = validation.rejected(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text, r.error) for r in got), key=repr) == sorted([(1, "short", "Content too short")] * 2 + [(None, "short", "Content too short"), (None, None, "Content too short"), (2, ok, "Duplicate content")], key=repr)
+
+
+LINKS = [
+    ("<a href='/chapter/1'>see <b>Chapter 1</b></a><a href=/x>Chapter 2</a><a href='/chapter/9'>nine</a>", [("see Chapter 1", "/chapter/1")]),
+    ("<ul class='toc-item'><a href='u'>U</a></ul><a class='x nav-link' href='v'>V <i>w</i></a><a href='z'>Z</a>", [("U", "u"), ("V w", "v")]),
+    ("<div id='sidebar'><p><a href='a'>Chapters</a><a href='b'>2. Two</a><a href='c'>other</a></p></div><a href='d'>3. x</a>", [("Chapters", "a"), ("2. Two", "b")]),
+    ("<main><a href='a'>Chapters</a></main>", []), ("", []), (None, []),
+]
+
+
+@pytest.mark.parametrize(("html", "want"), LINKS)
+def test_links(html, want):
+    assert web.links_of(html) == want
+
+
 def test_scan_status(spark):
     rows = [(None, 0), ("pending", 0), ("completed", 0), ("completed", 3), ("error", 3), ("crawling", 1), (None, 2), ("pending", 1)]
     got = [r.s for r in spark.createDataFrame(rows, "st string, n int").select(tables.scan_status(F.col("st"), F.col("n")).alias("s")).collect()]
@@ -98,6 +181,11 @@ def test_lifecycle(spark):
     assert [r.superseded_date and r.superseded_date.year for r in sorted(out)] == [None, 2024, 2020]
     a, b = (spark.createDataFrame(x, "k int, v string") for x in ([(1, "old"), (2, "old")], [(2, "new"), (3, "new")]))
     assert sorted(map(tuple, lifecycle.upsert(a, b, ["k"]).collect())) == [(1, "old"), (2, "new"), (3, "new")]
+    twice = spark.createDataFrame([(2, "a"), (2, "c"), (2, "b"), (None, "n")], "k int, v string").repartition(3)
+    assert sorted(map(tuple, lifecycle.upsert(a, twice, ["k"]).collect()), key=repr) == [(1, "old"), (2, "c"), (None, "n")]
+    books = spark.createDataFrame([(1, 7), (2, None), (30_000_000, None)], "k long, found long")
+    got = {r.k: (r.source_id, r.created) for r in lifecycle.with_new_ids(books, "found", "k", spark.range(12_000_000, 12_000_003), "id").collect()}
+    assert got == {1: (7, False), 2: (12_000_005, True), 30_000_000: (42_000_003, True)}
 
 
 PAGES = [

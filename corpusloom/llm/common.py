@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.steps import shared_dir  # noqa: F401
+from corpusloom.steps import written as materialize  # noqa: F401
+
 #: Arrow batches end at so many bytes or rows, so that a run of very long texts can't fill a worker.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
 
@@ -33,29 +32,6 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; where that is unset, in a folder of this process's own (local masters only)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="corpusloom-"))
-            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-        base = f"file://{_OWN[0]}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """``df``, written once to the shared folder and read back: its lineage is cut and a lost executor costs nothing."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``df`` with each Arrow batch replaced by ``f`` of it."""
     bound_batches(df.sparkSession)

@@ -1,8 +1,8 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8, or whose SimHash differs by at most two bits (operator 4), grouped into components.
 
-Candidates come from exact prefix filtering, so no similar pair is missed. Under any fixed order of all shingles, two sets of similarity s share one of their first ``n - ceil(s * n) + 1`` shingles. Here a shingle comes first if it is one of three in eight by its hash, then if few sets hold it; the others follow by hash and are needed only for sets that have too few of the first. A shingle of one set alone meets nothing, so that most sets have no candidates at all.
+Candidates come from exact prefix filtering, so no similar pair is missed. Under any fixed order of all shingles, two sets of similarity s share one of their first ``n - ceil(s * n) + 1`` shingles. Here a shingle comes first if few sets hold it, so that a passage that many documents share stands among the first only where a document is hardly anything else. A shingle of one set alone meets nothing, so that most sets have no candidates at all. (``SHARE`` in eight shingles by their hash are ordered so; with fewer than eight, less is shuffled, the others follow by hash, and shared passages give more candidates.)
 
-Sets that share a shingle are first held against one of them, picked in eight ways by the shingle's hash, so that a large group costs eight pairs a member. Only sets that share a shingle and are then still in different components are listed as pairs. Every candidate is verified by its whole set.
+Sets that share a shingle are first held against two of them, one picked in eight ways by the shingle's hash, and the one with the least that no other set has, so that a large group costs some ten pairs a member. Only sets that share a shingle, are then still in different components and have enough behind the shingle in their orders to be similar are listed as pairs. Every candidate is verified by its whole set.
 
 Equal sets are one node, named by a 64-bit hash. Defined results are those of ``simhash.drop_near_duplicates``.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import simhash
 from corpusloom.llm.common import bound_batches, map_batches, materialize, texts_of
 
-SHINGLE, SEED, SHARE, WAYS = 5, 42, 3, 8
+SHINGLE, SEED, SHARE, WAYS = 5, 42, 8, 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,10 +134,16 @@ def similar_links(docs: DataFrame, sized: DataFrame, winners: DataFrame) -> Data
     alone = F.col("u") - F.size(F.filter("xs", lambda s: ~s["later"]))
     p = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
     taken = F.when(F.col("u") < p, F.size("xs")).otherwise(F.greatest(p - alone, F.lit(0))).cast("int")
-    prefix = materialize(by_key.select("key", "n", F.explode(F.slice("xs", F.lit(1), taken)).alias("s")).select("key", "n", "s.x", "s.star"))
+    # a shingle's place in its set's order, or (for the later ones) a place that is surely not behind it
+    place = lambda s, i: F.struct(s["x"].alias("x"), s["star"].alias("star"), F.when(s["later"], F.col("u")).otherwise(alone + i).cast("long").alias("at"))
+    told = by_key.select("key", "n", (alone / F.greatest("u", F.lit(1))).alias("lone"), F.explode(F.transform(F.slice("xs", F.lit(1), taken), place)).alias("s"))
+    prefix = materialize(told.select("key", "n", "lone", "s.x", "s.star", "s.at"))
+    # beside the star, the set with the least that no other has: of edited copies that is what they were made from
+    central = prefix.groupBy("x").agg(F.min(F.struct("lone", "key"))["key"].alias("central"))
+    stars = prefix.select("key", "star").union(prefix.join(central, "x").select("key", "central"))
     size = sized.select(F.col("key").alias("star"), F.col("n").alias("m"))
     near = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
-    pairs = prefix.filter("key <> star").select(F.least("key", "star").alias("a"), F.greatest("key", "star").alias("b")).distinct()
+    pairs = stars.filter("key <> star").select(F.least("key", "star").alias("a"), F.greatest("key", "star").alias("b")).distinct()
     pairs = pairs.join(sized.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(size.withColumnRenamed("star", "b"), "b").filter(near("na", "m")).select("a", "b")
     pairs = materialize(pairs)
     wanted = prefix.select("key").union(prefix.select("star")).distinct()
@@ -147,11 +153,14 @@ def similar_links(docs: DataFrame, sized: DataFrame, winners: DataFrame) -> Data
     found = materialize(_verified(pairs, sets))
     # what the stars left apart
     roots = simhash.components(found)
-    placed = materialize(prefix.select("key", "n", "x").join(roots, prefix.key == roots.node, "left").select("key", "n", "x", F.coalesce("root", "key").alias("root")))
+    placed = materialize(prefix.select("key", "n", "x", "at").join(roots, prefix.key == roots.node, "left").select("key", "n", "x", "at", F.coalesce("root", "key").alias("root")))
     split = placed.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("x")
     rows = placed.join(split, "x")
-    one, two = rows.select("x", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), rows.select("x", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = one.join(two, "x").filter("a < b and ra <> rb").filter(near("na", "nb")).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    one, two = (rows.select("x", *[F.col(c).alias(f"{c[0]}{k}") for c in ("key", "n", "at", "root")]) for k in (1, 2))
+    # at the first shingle that two sets share, no more than what follows it in both can be common
+    enough = 9 * F.least(F.col("n1") - F.col("a1"), F.col("n2") - F.col("a2")) >= 4 * (F.col("n1") + F.col("n2"))
+    rest = one.join(two, (one.x == two.x) & (F.col("k1") < F.col("k2")) & (F.col("r1") != F.col("r2")) & near("n1", "n2") & enough)
+    rest = rest.select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     return found.union(materialize(_verified(rest, sets)))
 
 

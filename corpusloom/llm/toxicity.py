@@ -1,6 +1,6 @@
 """Toxicity by compression distance: every window of a text is compressed with a zstandard dictionary trained on toxic text and with one trained on ordinary text, and the differences in length are held against calibrated evidence.
 
-Training takes a bounded sample of labelled rows (``SAMPLE`` of each label, texts of at most ``MAX_SAMPLE_CHARS`` characters, lowest hash first), two thirds for the dictionaries, one third for calibration. A dictionary is filled as zstandard's own trainer fills it, greedily with the segments that cover the most frequent fragments not yet covered; fragments are weighted by how much more documents of the one label hold them than documents of the other, so that both dictionaries don't spend themselves on what all texts share. Both end with the same ordinary text and have the same size, so that a window's two lengths differ by what is particular to a label. Calibration gives each difference a log-likelihood ratio, and a logistic regression over their sums and peaks gives the score.
+Training takes a bounded sample of labelled rows (``SAMPLE`` of each label, texts of at most ``MAX_SAMPLE_CHARS`` characters, lowest hash first), two thirds for the dictionaries, one third for calibration. The sample's texts are first parted by their pairs of bytes into ``CLUSTERS`` clusters, which follow language and script; each cluster that holds enough rows of both labels has a pair of dictionaries of its own, so that what is telling in a rare language isn't outweighed by a common one, and other texts share a pair made from all. A dictionary is filled as zstandard's own trainer fills it, greedily with the segments that cover the most frequent fragments not yet covered; fragments are weighted by the share of toxic documents that surely hold them and by how much rarer they are in ordinary text, so that both dictionaries don't spend themselves on what all texts share. Both end with the same ordinary text and have the same size, so that a window's two lengths differ by what is particular to a label. Calibration gives each difference a log-likelihood ratio in its cluster, and a logistic regression over their sums and peaks gives the score.
 
 Scoring is a map over whole texts with a model of a few kilobytes: no shuffle, bounded memory.
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import pickle
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +24,18 @@ from corpusloom.llm.common import bounded_sample, crc_fold, map_batches, table,
 
 #: Bounds of the training sample: rows of each label, characters of a text.
 SAMPLE, MAX_SAMPLE_CHARS = {1: 2500, 0: 5000}, 32_768
-WINDOW, FRAGMENT, OWN_BYTES, SHARED_BYTES, LEAST_GAIN, CONTRAST, CLIP = 48, 5, 1024, 8192, 0.03, 4.0, 16
+WINDOW, FRAGMENT, OWN_BYTES, SHARED_BYTES, LEAST_GAIN, CONTRAST, CLIP = 48, 5, 1024, 2048, 0.03, 4.0, 16
+#: Clusters of texts; rows of each label below which a cluster has no pair of its own; width of the byte-pair profile; standard deviations by which a count is taken lower; rows that smooth a ratio.
+CLUSTERS, FEW, PROFILE, DOUBT, SMOOTH = 4, 8, 1024, 2.0, 2.0
+#: The pair made from all texts.
+ALL = -1
 THRESHOLD = 0.3
 _SPACES = bytes.maketrans(b"\n\t\r\x0b\x0c", b"     ")
 
 
 def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
     """The text in lower case, cut at the first space after ``size`` bytes, or after four times as many."""
-    t = b" " + text.lower().translate(_SPACES) + b" "
+    t = _plain(text)
     out, at, last = [], 0, len(t) - 1
     while at < last:
         end = t.find(b" ", at + size, at + 4 * size)
@@ -72,32 +76,87 @@ def train_dictionary(texts: list[bytes], gain: dict[bytes, float], size: int, le
     return b"".join(reversed(out))
 
 
+def _plain(text: bytes) -> bytes:
+    return b" " + text.lower().translate(_SPACES) + b" "
+
+
+def profiles(texts: list[bytes]) -> np.ndarray:
+    """Each text's pairs of adjacent bytes, hashed to ``PROFILE`` counts, as square roots of unit length; texts under two bytes are zero."""
+    out = np.zeros((len(texts), PROFILE), np.float32)
+    for row, t in zip(out, texts, strict=True):
+        if len(t) > 1:
+            b = np.frombuffer(t, np.uint8).astype(np.int64)
+            row[:] = np.sqrt(np.bincount((b[:-1] * 37 + b[1:]) % PROFILE, minlength=PROFILE) / (len(b) - 1))
+    return out
+
+
+def clusters(x: np.ndarray, k: int, rounds: int = 25, starts: int = 8) -> np.ndarray:
+    """At most ``k`` centres of the unit vectors ``x`` by spherical k-means, the best of ``starts`` fixed starts."""
+    best, centres = -1.0, x[:0]
+    for seed in range(starts):
+        c = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)]
+        for _ in range(rounds):
+            of = np.argmax(x @ c.T, axis=1)
+            new = np.array([x[of == j].mean(axis=0) if (of == j).any() else c[j] for j in range(len(c))])
+            new /= np.linalg.norm(new, axis=1, keepdims=True) + 1e-9
+            still = np.allclose(new, c, atol=1e-5)
+            c = new
+            if still:
+                break
+        if (fit := float((x @ c.T).max(axis=1).sum())) > best:
+            best, centres = fit, c
+    return centres
+
+
+def train_pair(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes] | None:
+    """The toxic and the ordinary dictionary of these texts; None where no fragment tells the labels apart."""
+    one, none = list(map(_plain, toxic)), list(map(_plain, ordinary))
+    documents = Counter(g for t in one for g in _fragments(t))
+    sure = {g: n for g, n in documents.items() if n > DOUBT**2}
+    often = [Counter(g for t in texts for i in range(len(t) - FRAGMENT + 1) if (g := t[i : i + FRAGMENT]) in sure) for texts in (one, none)]
+    rarer = sum(map(len, one)) / max(1, sum(map(len, none)))
+    gain = {g: (n - DOUBT * n**0.5) / len(one) * (1 - CONTRAST * rarer * often[1][g] / often[0][g]) for g, n in sure.items()}
+    own = train_dictionary(one, gain, OWN_BYTES, LEAST_GAIN, True)
+    if not own:
+        return None
+    common = {g: n / len(none) for g, n in Counter(g for t in none for g in _fragments(t)).items() if n > 1}
+    plain = train_dictionary(none, common, SHARED_BYTES + len(own), 0.0005, False)
+    shared = plain[-SHARED_BYTES:]
+    return own + shared, plain[:-SHARED_BYTES][-len(own) :].rjust(len(own)) + shared
+
+
 @dataclass
 class Model:
-    """Dictionaries, log-likelihood ratio of each difference, weights of the features; without dictionaries a constant."""
+    """Centres of the clusters; for each that has them, and for ``ALL``, dictionaries and log-likelihood ratios of the differences; weights of the features; without dictionaries a constant."""
 
-    toxic: bytes = b""
-    ordinary: bytes = b""
-    ratios: np.ndarray | None = None
+    centres: np.ndarray | None = None
+    pairs: dict[int, tuple[bytes, bytes]] = field(default_factory=dict)
+    ratios: dict[int, np.ndarray] = field(default_factory=dict)
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None
     constant: float = 0.0
 
-    def compressors(self) -> tuple:
+    def groups(self, texts: list[bytes]) -> list[int]:
+        """The pair by which each text is compared."""
+        if not texts:
+            return []
+        return [j if j in self.pairs else ALL for j in np.argmax(profiles(texts) @ self.centres.T, axis=1).tolist()]
+
+    def compressors(self) -> dict[int, tuple]:
         p = zstandard.ZstdCompressionParameters(window_log=15, hash_log=13, chain_log=13, search_log=4, min_match=4, strategy=zstandard.STRATEGY_LAZY2, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0)
-        return tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p).compress for d in (self.toxic, self.ordinary))
+        return {j: tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p).compress for d in pair) for j, pair in self.pairs.items()}
 
-    def features(self, d: np.ndarray) -> list[float]:
-        r = self.ratios[d]
+    def features(self, d: np.ndarray, group: int) -> list[float]:
+        r = self.ratios[group][d]
         high = np.sort(d)[-3:] - CLIP
         return [r.sum() / len(d) ** 0.5, r.max(), np.log(len(d)), high[-1], r.mean(), r[r > 0.3].sum() / len(d), np.log1p((r > 0.7).sum()), (r > 0.7).mean(), high.mean()]
 
-    def score(self, rows: list[np.ndarray]) -> np.ndarray:
-        if self.weights is None or not rows:
-            return np.full(len(rows), self.constant)
-        x = (np.array([self.features(d) for d in rows]) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
+    def score(self, texts: list[bytes], compressors: dict[int, tuple]) -> np.ndarray:
+        if self.weights is None or not texts:
+            return np.full(len(texts), self.constant)
+        x = np.array([self.features(differences(t, *compressors[j]), j) for t, j in zip(texts, self.groups(texts), strict=True)])
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + (x - self.mean) / self.scale @ self.weights[1:], -30, 30)))
 
 
 def differences(text: bytes, toxic, ordinary) -> np.ndarray:
@@ -106,7 +165,7 @@ def differences(text: bytes, toxic, ordinary) -> np.ndarray:
     return np.clip(d, -CLIP, CLIP) + CLIP
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     z, w = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -117,26 +176,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 
 def train(rows: list[tuple[bytes, int]], share: float) -> Model:
     """``rows``: texts and labels, in a stable order; ``share``: of toxic ones among all labelled rows."""
-    by = {k: [b" " + t.lower().translate(_SPACES) + b" " for t, x in rows if x == k] for k in (0, 1)}
     raw = {k: [t for t, x in rows if x == k] for k in (0, 1)}
     if min(map(len, raw.values())) < 3:
         return Model(constant=share)
     cut = {k: 2 * len(raw[k]) // 3 for k in raw}
-    counts = {k: Counter(g for t in by[k][: cut[k]] for g in _fragments(t)) for k in raw}
-    gain = {g: n / cut[1] - CONTRAST * counts[0].get(g, 0) / cut[0] for g, n in counts[1].items()}
-    own = train_dictionary(by[1][: cut[1]], gain, OWN_BYTES, LEAST_GAIN, True)
-    plain = train_dictionary(by[0][: cut[0]], {g: n / cut[0] for g, n in counts[0].items() if n > 1}, SHARED_BYTES + len(own), 0.0005, False)
-    shared = plain[-SHARED_BYTES:]
-    m = Model(own + shared, plain[:-SHARED_BYTES][-len(own) :].rjust(len(own)) + shared)
-    if not own:
+    spread = {k: profiles(raw[k]) for k in raw}
+    m = Model(clusters(np.concatenate([spread[1], spread[0]]), CLUSTERS))
+    near = {k: np.argmax(spread[k] @ m.centres.T, axis=1).tolist() for k in raw}
+    for j in (ALL, *range(len(m.centres))):
+        toxic, ordinary = ([t for t, c in zip(raw[k][: cut[k]], near[k]) if j in (c, ALL)] for k in (1, 0))
+        if (j == ALL or min(len(toxic), len(ordinary)) >= FEW) and (pair := train_pair(toxic, ordinary)):
+            m.pairs[j] = pair
+    if not m.pairs:
         return Model(constant=share)
-    pair = m.compressors()
-    held = [(differences(t, *pair), k) for k in raw for t in raw[k][cut[k] :]]
-    seen = np.full((2, 2 * CLIP + 1), 0.5)
-    for d, k in held:
-        np.add.at(seen[k], d, 1)
-    m.ratios = np.diff(np.log(seen / seen.sum(axis=1, keepdims=True)), axis=0)[0]
-    x, y = np.array([m.features(d) for d, _ in held]), np.array([k for _, k in held], float)
+    m.pairs.setdefault(ALL, next(iter(m.pairs.values())))
+    by = m.compressors()
+    held = [(differences(t, *by[j]), k, j) for k in raw for t, j in zip(raw[k][cut[k] :], m.groups(raw[k][cut[k] :]), strict=True)]
+    for j in m.pairs:
+        seen = np.full((2, 2 * CLIP + 1), SMOOTH)
+        for d, k, at in held:
+            if j in (at, ALL):
+                np.add.at(seen[k], d, 1)
+        m.ratios[j] = np.diff(np.log(seen / seen.sum(axis=1, keepdims=True)), axis=0)[0]
+    x, y = np.array([m.features(d, j) for d, _, j in held]), np.array([k for _, k, _ in held], float)
     m.mean, m.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     m.weights = _logistic((x - m.mean) / m.scale, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     return m
@@ -162,9 +224,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         m = Model(**pickle.loads(packed))
-        pair = m.compressors() if m.weights is not None else ()
-        texts = texts_of(b.column(at))
-        s = np.round(m.score([differences(t, *pair) for t in texts] if pair else texts), 6)
+        s = np.round(m.score(texts_of(b.column(at)), m.compressors()), 6)
         return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
     ddl = ", ".join(f"`{n}` {t}" for n, t in docs.select(kept).dtypes)

@@ -92,7 +92,7 @@ def test_toxicity_held_out(spark):
     got = toxicity.op9_toxicity(spark, DIR).join(table(spark, DIR, "labels"), "doc_id", "left").join(table(spark, DIR, "documents").select("doc_id", "lang"), "doc_id").collect()
     assert len(got) == table(spark, DIR, "documents").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
-    # in this table the labels of other languages leave no sign in the texts
+    # the other languages: test_toxicity_languages.py
     held = [r for r in got if r.held_out and r.toxic is not None and r.lang == "en"]
     assert auc([r.toxic for r in held], [r.score for r in held]) > 0.93
 

@@ -24,9 +24,9 @@ from corpusloom.llm.common import bounded_sample, crc_fold, map_batches, table,
 
 #: Bounds of the training sample: rows of each label, characters of a text.
 SAMPLE, MAX_SAMPLE_CHARS = {1: 2500, 0: 5000}, 32_768
-WINDOW, FRAGMENT, OWN_BYTES, SHARED_BYTES, LEAST_GAIN, CONTRAST, CLIP = 48, 5, 1024, 2048, 0.03, 4.0, 16
+WINDOW, FRAGMENT, OWN_BYTES, SHARED_BYTES, LEAST_GAIN, CONTRAST, CLIP = 48, 5, 1024, 1024, 0.03, 4.0, 16
 #: Clusters of texts; rows of each label below which a cluster has no pair of its own; width of the byte-pair profile; standard deviations by which a count is taken lower; rows that smooth a ratio.
-CLUSTERS, FEW, PROFILE, DOUBT, SMOOTH = 4, 8, 1024, 2.0, 2.0
+CLUSTERS, FEW, PROFILE, DOUBT, SMOOTH = 5, 8, 1024, 2.0, 2.0
 #: The pair made from all texts.
 ALL = -1
 THRESHOLD = 0.3

@@ -13,10 +13,7 @@ def held_out(spark):
     return joined.filter("held_out and toxic is not null").collect()
 
 
-LOST = pytest.mark.xfail(strict=True, reason="open: few toxic rows of these languages are in the sample")
-
-
-@pytest.mark.parametrize("lang", ["en", "de", *(pytest.param(x, marks=LOST) for x in ("fr", "es"))])
+@pytest.mark.parametrize("lang", ["en", "de", "fr", "es"])
 def test_toxicity_held_out_by_language(held_out, lang):
     rows = [r for r in held_out if r.lang == lang]
     found = [r.predicted for r in rows if r.toxic == 1]

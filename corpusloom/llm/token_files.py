@@ -1,6 +1,6 @@
 """Token ids in Arrow files: record batches of fixed-size lists, so that each sequence of ids and its mask is found by arithmetic and read without a copy.
 
-Documents are dealt to ranges of doc_id (ties by the text's hash) and sorted within them. Each range becomes a shard: one Arrow file of sequences (ids as unsigned 32-bit integers, mask 1 for an id and 0 for padding, ``length`` each; only the last is padded) and one Arrow file with the place of each document. All batches of a shard but the last hold ``ROWS`` sequences, hence id k lies in batch k // (ROWS * length). What a task keeps is one batch of texts and one of sequences.
+Documents are dealt to ranges of doc_id (ties by the text's hash) and sorted within them. Each range becomes a shard: one Arrow file of sequences (ids as unsigned 32-bit integers, mask 1 for an id and 0 for padding, ``length`` each; only the last is padded) and one Arrow file with the place of each document. All batches of a shard but the last hold the same number of sequences, ``rows``, hence id k lies in batch k // (rows * length). What a task keeps is one batch of texts and one of sequences.
 
 A task writes files of a name of its own and returns it; the manifest, which Spark commits, names the files of the attempts that counted, so lost executors and repeated or speculative tasks leave at most files that nothing refers to. The manifest has one row for each shard and the number of ids before it.
 
@@ -79,9 +79,9 @@ class WordEncoder:
 class ShardWriter:
     """Appends documents to the two files of one shard."""
 
-    def __init__(self, folder: str, length: int = LENGTH):
+    def __init__(self, folder: str, length: int = LENGTH, rows: int = ROWS):
         files, at = fs.FileSystem.from_uri(folder)
-        self.shard, self.length = uuid.uuid4().hex, length
+        self.shard, self.length, self.block = uuid.uuid4().hex, length, rows * length
         self.sinks = [files.open_output_stream(f"{at}/{self.shard}.{kind}.arrow") for kind in ("ids", "places")]
         self.ids, self.places = (pa.ipc.new_file(s, schema) for s, schema in zip(self.sinks, (_IDS(length), _PLACES), strict=True))
         self.rest, self.held, self.n_docs, self.n_ids = [], 0, 0, 0
@@ -91,12 +91,11 @@ class ShardWriter:
         self.places.write_batch(pa.record_batch([doc_ids, pa.array(first), pa.array(counts)], schema=_PLACES))
         self.n_docs, self.n_ids, self.held = self.n_docs + len(counts), self.n_ids + len(flat), self.held + len(flat)
         self.rest.append(flat)
-        block = ROWS * self.length
-        if self.held >= block:
+        if self.held >= self.block:
             flat = np.concatenate(self.rest)
-            whole = len(flat) // block * block
-            for k in range(0, whole, block):
-                self._write(flat[k : k + block], np.ones(block, np.uint8))
+            whole = len(flat) // self.block * self.block
+            for k in range(0, whole, self.block):
+                self._write(flat[k : k + self.block], np.ones(self.block, np.uint8))
             self.rest, self.held = [flat[whole:].copy()], len(flat) - whole
 
     def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
@@ -119,6 +118,7 @@ class Shard:
         self.shard = shard
         self.reader = self._open("ids")
         self.length = self.reader.schema.field("ids").type.list_size
+        self.rows = self.reader.get_batch(0).num_rows  # a shard has at least one document, and that an end id
         self.held: tuple[int, pa.RecordBatch] | None = None
 
     def _open(self, kind: str) -> pa.ipc.RecordBatchFileReader:
@@ -132,12 +132,12 @@ class Shard:
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of the ``k``-th sequence, views of the file."""
-        batch, row = self._batch(k // ROWS), k % ROWS
+        batch, row = self._batch(k // self.rows), k % self.rows
         return tuple(batch.column(c).values.to_numpy(zero_copy_only=True)[row * self.length : (row + 1) * self.length] for c in ("ids", "mask"))
 
     def ids(self, first: int, n: int) -> Iterator[np.ndarray]:
         """The ids from ``first`` on, in views of one batch each."""
-        block = ROWS * self.length
+        block = self.rows * self.length
         while n > 0:
             part = self._batch(first // block).column("ids").values.to_numpy(zero_copy_only=True)[first % block : first % block + n]
             yield part
@@ -152,7 +152,7 @@ class Shard:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def write_ids(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, rows: int = ROWS, end_id: int = END_ID) -> DataFrame:
     """Writes the ids of ``docs`` (doc_id, text) below ``folder`` in ascending doc_id order and gives the manifest (shard, n_docs, n_ids, base: ids of all shards before it), written too. ``tokenizer``: the path of a tokenizer file on the driver; the file's text is sent to the workers."""
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -168,15 +168,15 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH
         for b in batches:
             if b.num_rows:
                 if writer is None:
-                    writer, least = ShardWriter(folder, length), (b.column(0)[0].as_py(), b.column(1)[0].as_py())
+                    writer, least = ShardWriter(folder, length, rows), (b.column(0)[0].as_py(), b.column(1)[0].as_py())
                 writer.append(b.column(0), *_ENCODERS[key].encode(b.column(2)))
         if writer:
             writer.close()
             yield pa.record_batch([pa.array([x]) if x is not None else pa.array([x], pa.int64()) for x in (writer.shard, writer.n_docs, writer.n_ids, *least)], names=["shard", "n_docs", "n_ids", "first_id", "first_tie"])
 
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tie"), "text")
-    shards = materialize(rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").mapInArrow(write, MANIFEST))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tie"), "text")
+    shards = materialize(keyed.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").mapInArrow(write, MANIFEST))
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_tie").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return materialize(shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))))
 

@@ -58,8 +58,8 @@ def test_edges(spark):
     assert fim.fill_middle(df, rate=0).filter("form <> 'plain' or output <> coalesce(text, '')").count() == 0
     assert fim.fill_middle(df, rate=100).filter("form = 'plain' and text > ''").count() == 0
     assert fim.fill_middle(empty(spark)).count() == 0
-    plan = fim.fill_middle(df)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan.split("LogicalRDD")[0] and "Python" not in plan
+    plan = fim.fill_middle(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
 
 
 def test_against_sql(spark):

@@ -1,10 +1,10 @@
 """Token ids in Arrow files: record batches of fixed-size lists, so that each sequence of ids and its mask is found by arithmetic and read without a copy.
 
-Documents are dealt to ranges of doc_id (ties by the text's hash) and sorted within them. Each range becomes a shard: one Arrow file of sequences (ids as unsigned 32-bit integers, mask 1 for an id and 0 for padding, ``length`` each; only the last is padded) and one Arrow file with the place of each document. All batches of a shard but the last hold the same number of sequences, ``rows``, hence id k lies in batch k // (rows * length). What a task keeps is one batch of texts and one of sequences.
+Documents are dealt to ranges of doc_id (ties by the text's hash) and sorted within them. Each range becomes a shard: one Arrow file of sequences (ids as unsigned integers of 16 bits, or 32 where the vocabulary needs them; mask, a bit each, true for an id and false for padding; ``length`` each; only the last sequence is padded) and one Arrow file with the place of each document. All batches of a shard but the last hold the same number of sequences, ``rows``, hence id k lies in batch k // (rows * length). What a task keeps is one batch of texts and one of sequences.
 
 A task writes files of a name of its own and returns it; the manifest, which Spark commits, names the files of the attempts that counted, so lost executors and repeated or speculative tasks leave at most files that nothing refers to. The manifest has one row for each shard and the number of ids before it.
 
-Encoding: the tokenizer's patterns never cross ASCII white space, so a text's ids are those of its words, one after the other. Each batch encodes its different words once, and a worker keeps those of earlier batches (a bounded number).
+Encoding: the tokenizer's patterns never cross ASCII white space, so a text's ids are those of its words, one after the other. Each batch encodes its different words once, and a worker keeps those of earlier batches (a bounded number). This holds for the tokenizer that the query names, and a test compares it with whole texts; another must end its tokens alike.
 
 ``folder`` is a path or URI that the executors share and that pyarrow's file systems open (local or mounted paths, hdfs, s3, gs).
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,17 +27,24 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bound_batches, materialize, ragged, shared_dir, table
+from corpusloom.llm.common import bound_batches, materialize, shared_dir, table
 
 LENGTH, ROWS, END_ID = 2048, 64, 2
-#: Words that a worker keeps the ids of, and their longest.
-KEPT_WORDS, KEPT_BYTES = 400_000, 64
+#: Words that a worker keeps the ids of (beside those of one batch), and their longest.
+KEPT_WORDS, KEPT_CHARS = 600_000, 64
+#: Words of which the ids are those of the letters, small, and those of the marks after them.
+_LETTERS_AND_MARKS = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-&(-/:-@\[-`{-~]*)")
 MANIFEST = "shard string, n_docs long, n_ids long, first_id long, first_tie long"
 
-_IDS = lambda length: pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+_IDS = lambda dtype, length: pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 _PLACES = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
 
 
+def id_type(n: int) -> type:
+    """Unsigned integers for a vocabulary of ``n`` ids."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
 class WordEncoder:
     """Ids of texts by their words. ``definition``: the tokenizer's file."""
 
@@ -44,46 +52,48 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.kept = Tokenizer.from_str(definition), end_id, {}
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.dtype = id_type(self.tokenizer.get_vocab_size())
+        self.end, self.kept = np.array([end_id], self.dtype).tobytes(), {}
 
-    def _of(self, words: list[str]) -> list[np.ndarray]:
-        found = [self.kept.get(w) for w in words]
-        new = [w for w, x in zip(words, found, strict=True) if x is None]
-        made = iter([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)] if new else [])
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-        out = []
-        for w, x in zip(words, found, strict=True):
-            if x is None:
-                x = next(made)
-                if len(w) <= KEPT_BYTES:
-                    self.kept[w] = x
-            out.append(x)
-        return out
+    def _new(self, words: list[str]) -> list[str]:
+        """Encodes words that aren't kept, and tells what is kept for them. The tokenizer ends a token between a letter and punctuation and ignores case, so a word of letters and marks is its letters and its marks, and many words share these."""
+        parts = {w: ((m[1].lower(), m[2]) if m[2] else (m[1].lower(),)) for w in words if (m := _LETTERS_AND_MARKS.fullmatch(w))}
+        needed = dict.fromkeys(p for w in words for p in parts.get(w, (w,)) if p not in self.kept)
+        for p, e in zip(needed, self.tokenizer.encode_batch(list(needed), add_special_tokens=False), strict=True):
+            self.kept[p] = np.array(e.ids, self.dtype).tobytes()
+        for w, ps in parts.items():
+            self.kept[w] = b"".join([self.kept[p] for p in ps])
+        return [*needed, *parts]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` in one array, each with the end id, and the number of each."""
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         words = lists.flatten().dictionary_encode()
-        ids = [*self._of(words.dictionary.to_pylist()), np.array([self.end], np.uint32)]
-        per_word = np.array([len(x) for x in ids])
+        known = words.dictionary.to_pylist()
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
+        new = self._new([w for w in known if w not in self.kept])
+        ids = pa.array([*map(self.kept.__getitem__, known), self.end], pa.large_binary())
+        for w in new:
+            if len(w) > KEPT_CHARS:
+                self.kept.pop(w, None)
         ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
-        codes = np.insert(words.indices.to_numpy(), ends, len(ids) - 1)
-        counts = per_word[codes]
-        starts = (np.cumsum(per_word) - per_word)[codes]
-        flat = np.concatenate(ids)[np.repeat(starts, counts) + ragged(counts)]
-        upto = np.concatenate([[0], np.cumsum(counts)])[ends + np.arange(1, len(ends) + 1)]
+        taken = ids.take(pa.array(np.insert(words.indices.to_numpy(), ends, len(known))))
+        size = np.dtype(self.dtype).itemsize
+        upto = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1][ends + np.arange(1, len(ends) + 1)] // size
+        flat = np.frombuffer(taken.buffers()[2] or b"", self.dtype)[: upto[-1] if len(upto) else 0]
         return flat, np.diff(upto, prepend=0)
 
 
 class ShardWriter:
     """Appends documents to the two files of one shard."""
 
-    def __init__(self, folder: str, length: int = LENGTH, rows: int = ROWS):
+    def __init__(self, folder: str, dtype: type, length: int = LENGTH, rows: int = ROWS):
         files, at = fs.FileSystem.from_uri(folder)
-        self.shard, self.length, self.block = uuid.uuid4().hex, length, rows * length
+        self.shard, self.length, self.block, self.schema = uuid.uuid4().hex, length, rows * length, _IDS(dtype, length)
         self.sinks = [files.open_output_stream(f"{at}/{self.shard}.{kind}.arrow") for kind in ("ids", "places")]
-        self.ids, self.places = (pa.ipc.new_file(s, schema) for s, schema in zip(self.sinks, (_IDS(length), _PLACES), strict=True))
+        self.ids, self.places = (pa.ipc.new_file(s, schema) for s, schema in zip(self.sinks, (self.schema, _PLACES), strict=True))
         self.rest, self.held, self.n_docs, self.n_ids = [], 0, 0, 0
 
     def append(self, doc_ids: pa.Array, flat: np.ndarray, counts: np.ndarray) -> None:
@@ -95,17 +105,17 @@ class ShardWriter:
             flat = np.concatenate(self.rest)
             whole = len(flat) // self.block * self.block
             for k in range(0, whole, self.block):
-                self._write(flat[k : k + self.block], np.ones(self.block, np.uint8))
+                self._write(flat[k : k + self.block], np.ones(self.block, bool))
             self.rest, self.held = [flat[whole:].copy()], len(flat) - whole
 
     def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        self.ids.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)], schema=_IDS(self.length)))
+        self.ids.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)], schema=self.schema))
 
     def close(self) -> None:
         if self.held:
             flat = np.concatenate(self.rest)
             pad = -len(flat) % self.length
-            self._write(np.pad(flat, (0, pad)), np.pad(np.ones(len(flat), np.uint8), (0, pad)))
+            self._write(np.pad(flat, (0, pad)), np.pad(np.ones(len(flat), bool), (0, pad)))
         for x in (self.ids, self.places, *self.sinks):
             x.close()
 
@@ -130,10 +140,10 @@ class Shard:
             self.held = k, self.reader.get_batch(k)
         return self.held[1]
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the ``k``-th sequence, views of the file."""
-        batch, row = self._batch(k // self.rows), k % self.rows
-        return tuple(batch.column(c).values.to_numpy(zero_copy_only=True)[row * self.length : (row + 1) * self.length] for c in ("ids", "mask"))
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask (bits) of the ``k``-th sequence, views of the file."""
+        batch, at = self._batch(k // self.rows), k % self.rows * self.length
+        return batch.column("ids").values.slice(at, self.length).to_numpy(zero_copy_only=True), batch.column("mask").values.slice(at, self.length)
 
     def ids(self, first: int, n: int) -> Iterator[np.ndarray]:
         """The ids from ``first`` on, in views of one batch each."""
@@ -164,12 +174,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = WordEncoder(shared.value, end_id)
-        writer, least = None, None
+        encoder, writer, least = _ENCODERS[key], None, None
         for b in batches:
             if b.num_rows:
                 if writer is None:
-                    writer, least = ShardWriter(folder, length, rows), (b.column(0)[0].as_py(), b.column(1)[0].as_py())
-                writer.append(b.column(0), *_ENCODERS[key].encode(b.column(2)))
+                    writer, least = ShardWriter(folder, encoder.dtype, length, rows), (b.column(0)[0].as_py(), b.column(1)[0].as_py())
+                writer.append(b.column(0), *encoder.encode(b.column(2)))
         if writer:
             writer.close()
             yield pa.record_batch([pa.array([x]) if x is not None else pa.array([x], pa.int64()) for x in (writer.shard, writer.n_docs, writer.n_ids, *least)], names=["shard", "n_docs", "n_ids", "first_id", "first_tie"])
@@ -193,7 +203,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                     for first, n in zip(places.column("first").to_pylist(), places.column("n").to_pylist(), strict=True):
                         crc = 0
                         for part in shard.ids(first, n):
-                            crc = zlib.crc32(part, crc)
+                            crc = zlib.crc32(part.astype("<u4"), crc)
                         sums.append(crc)
                     start = pc.add(places.column("first"), base)
                     yield pa.record_batch([places.column("doc_id"), start, places.column("n"), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -4,7 +4,7 @@ Documents are dealt to ranges of doc_id (ties by the text's hash) and sorted wit
 
 A task writes files of a name of its own and returns it; the manifest, which Spark commits, names the files of the attempts that counted, so lost executors and repeated or speculative tasks leave at most files that nothing refers to. The manifest has one row for each shard and the number of ids before it.
 
-Encoding: the tokenizer's patterns never cross ASCII white space, so a text's ids are those of its words, one after the other. Each batch encodes its different words once, and a worker keeps those of earlier batches (a bounded number). This holds for the tokenizer that the query names, and a test compares it with whole texts; another must end its tokens alike.
+Encoding: the tokenizer's patterns never cross ASCII white space, so a text's ids are those of its words, one after the other. Each batch encodes its different words once, and a worker keeps those of earlier batches (a bounded number, those used last). This holds for the tokenizer that the query names, and a test compares it with whole texts; another must end its tokens alike.
 
 ``folder`` is a path or URI that the executors share and that pyarrow's file systems open (local or mounted paths, hdfs, s3, gs).
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import bound_batches, materialize, shared_dir, table
 
 LENGTH, ROWS, END_ID = 2048, 64, 2
-#: Words that a worker keeps the ids of (beside those of one batch), and their longest.
-KEPT_WORDS, KEPT_CHARS = 600_000, 64
+#: Words that a worker keeps the ids of before it forgets those that weren't used since it did so last, and their longest.
+KEPT_WORDS, KEPT_CHARS = 500_000, 64
 #: Words of which the ids are those of the letters, small, and those of the marks after them.
 _LETTERS_AND_MARKS = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-&(-/:-@\[-`{-~]*)")
 MANIFEST = "shard string, n_docs long, n_ids long, first_id long, first_tie long"
@@ -54,26 +54,42 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.dtype = id_type(self.tokenizer.get_vocab_size())
-        self.end, self.kept = np.array([end_id], self.dtype).tobytes(), {}
-
-    def _new(self, words: list[str]) -> list[str]:
+        self.end = np.array([end_id], self.dtype).tobytes()
+        self.kept, self.earlier = {}, {}
+
+    def _find(self, words: list[str]) -> list[str]:
+        """The words that aren't kept; those kept earlier are kept again."""
+        new = []
+        for w in words:
+            if w not in self.kept:
+                ids = self.earlier.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    self.kept[w] = ids
+        return new
+
+    def _add(self, words: list[str]) -> list[str]:
         """Encodes words that aren't kept, and tells what is kept for them. The tokenizer ends a token between a letter and punctuation and ignores case, so a word of letters and marks is its letters and its marks, and many words share these."""
         parts = {w: ((m[1].lower(), m[2]) if m[2] else (m[1].lower(),)) for w in words if (m := _LETTERS_AND_MARKS.fullmatch(w))}
-        needed = dict.fromkeys(p for w in words for p in parts.get(w, (w,)) if p not in self.kept)
-        for p, e in zip(needed, self.tokenizer.encode_batch(list(needed), add_special_tokens=False), strict=True):
+        needed = self._find(list(dict.fromkeys([p for w in words for p in parts.get(w, (w,))])))
+        for p, e in zip(needed, self.tokenizer.encode_batch_fast(needed, add_special_tokens=False), strict=True):
             self.kept[p] = np.array(e.ids, self.dtype).tobytes()
         for w, ps in parts.items():
-            self.kept[w] = b"".join([self.kept[p] for p in ps])
+            if len(ps) > 1 or ps[0] != w:
+                self.kept[w] = b"".join([self.kept[p] for p in ps])
         return [*needed, *parts]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` in one array, each with the end id, and the number of each."""
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        words = lists.flatten().dictionary_encode()
+        words = lists.flatten()
+        # small letters, but for what may hold the name of a special token
+        words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words)).dictionary_encode()
         known = words.dictionary.to_pylist()
         if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        new = self._new([w for w in known if w not in self.kept])
+            self.kept, self.earlier = {}, self.kept
+        new = self._add(self._find(known))
         ids = pa.array([*map(self.kept.__getitem__, known), self.end], pa.large_binary())
         for w in new:
             if len(w) > KEPT_CHARS:

@@ -13,7 +13,7 @@ from corpusloom.llm import token_files as tf
 from tests.llm.small import SCHEMA, documents, empty, texts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["Été, ÉTÉ! ÿ) Þing*** straße. a's, x'S; o're? é́, a<| A<|endoftext|>, İ, ŒŸ; it's. é, e,́ a̸ ≠ a≠", "<|endoftext|> a<|startoftext|>b <|endof text|>", "it's we'll 'S 12 34x", "é ́ ẛ̣ ΑΣ Σ ΟΔΟΣ.", "a b c\u0085d\x1ce\x00f", "İstanbul ǅ 漢字かな 😀👍🏽‍", "ﬁ Å 가가", "Ab" * 900, "\t\n  x  \r\n"]
+ODD = ["<|EndOfText|> <|ENDOFTEXT|>a A<|startoftext|>B<|StartOfText|>", "Été, ÉTÉ! ÿ) Þing*** straße. a's, x'S; o're? é́, a<| A<|endoftext|>, İ, ŒŸ; it's. é, e,́ a̸ ≠ a≠", "<|endoftext|> a<|startoftext|>b <|endof text|>", "it's we'll 'S 12 34x", "é ́ ẛ̣ ΑΣ Σ ΟΔΟΣ.", "a b c\u0085d\x1ce\x00f", "İstanbul ǅ 漢字かな 😀👍🏽‍", "ﬁ Å 가가", "Ab" * 900, "\t\n  x  \r\n"]
 
 
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -42,7 +42,7 @@ def test_kept_words_are_bounded(monkeypatch):
     for k in range(20):
         flat, counts = encoder.encode(pa.array([f"w{k} x{i}" for i in range(40)]))
         assert flat[: counts[0]].tolist() == whole(f"w{k} x0")
-        assert len(encoder.kept) <= 50 + 41
+        assert len(encoder.kept) <= 50 + 82 and len(encoder.earlier) <= 50 + 82
     encoder.encode(pa.array(['long' * 50 + ' LONG,' * 9 + 'long' * 99 + '!']))
     assert max(map(len, encoder.kept)) <= 5 + tf.KEPT_CHARS
 

@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,9 @@ from corpusloom.llm.common import bound_batches, materialize, shared_dir, table
 LENGTH, ROWS, END_ID = 2048, 64, 2
 #: Words that a worker keeps the ids of before it forgets those that weren't used since it did so last, and their longest.
 KEPT_WORDS, KEPT_CHARS = 500_000, 64
-#: Words of which the ids are those of the letters, small, and those of the marks after them.
-_LETTERS_AND_MARKS = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-&(-/:-@\[-`{-~]*)")
+#: A word of these letters and then these marks has the ids of both: the tokenizer ends a token between them, and no mark changes a letter before it.
+_LETTERS = "".join(chr(c) for c in range(0x41, 0x100) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA))
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 MANIFEST = "shard string, n_docs long, n_ids long, first_id long, first_tie long"
 
 _IDS = lambda dtype, length: pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
@@ -69,35 +70,38 @@ class WordEncoder:
                     self.kept[w] = ids
         return new
 
-    def _add(self, words: list[str]) -> list[str]:
-        """Encodes words that aren't kept, and tells what is kept for them. The tokenizer ends a token between a letter and punctuation and ignores case, so a word of letters and marks is its letters and its marks, and many words share these."""
-        parts = {w: ((m[1].lower(), m[2]) if m[2] else (m[1].lower(),)) for w in words if (m := _LETTERS_AND_MARKS.fullmatch(w))}
-        needed = self._find(list(dict.fromkeys([p for w in words for p in parts.get(w, (w,))])))
-        for p, e in zip(needed, self.tokenizer.encode_batch_fast(needed, add_special_tokens=False), strict=True):
-            self.kept[p] = np.array(e.ids, self.dtype).tobytes()
-        for w, ps in parts.items():
-            if len(ps) > 1 or ps[0] != w:
-                self.kept[w] = b"".join([self.kept[p] for p in ps])
-        return [*needed, *parts]
+    def _ids(self, words: pa.DictionaryArray) -> pa.Array:
+        """The ids of each different word, as bytes."""
+        known = words.dictionary.to_pylist()
+        if len(self.kept) > KEPT_WORDS:
+            self.kept, self.earlier = {}, self.kept
+        new = self._find(known)
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made))) * np.dtype(self.dtype).itemsize
+        flat = np.fromiter(chain.from_iterable(made), self.dtype, ends[-1] // np.dtype(self.dtype).itemsize if new else 0).tobytes()
+        self.kept.update(zip(new, map(flat.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
+        ids = pa.array(list(map(self.kept.__getitem__, known)), pa.large_binary())
+        for w in new:
+            if len(w) > KEPT_CHARS:
+                del self.kept[w]
+        return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` in one array, each with the end id, and the number of each."""
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         words = lists.flatten()
         # small letters, but for what may hold the name of a special token
-        words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words)).dictionary_encode()
-        known = words.dictionary.to_pylist()
-        if len(self.kept) > KEPT_WORDS:
-            self.kept, self.earlier = {}, self.kept
-        new = self._add(self._find(known))
-        ids = pa.array([*map(self.kept.__getitem__, known), self.end], pa.large_binary())
-        for w in new:
-            if len(w) > KEPT_CHARS:
-                self.kept.pop(w, None)
-        ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
-        taken = ids.take(pa.array(np.insert(words.indices.to_numpy(), ends, len(known))))
-        size = np.dtype(self.dtype).itemsize
-        upto = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1][ends + np.arange(1, len(ends) + 1)] // size
+        special = pc.match_substring(words, "<|")
+        words = pc.if_else(special, words, pc.ascii_lower(words))
+        letters, marks = pc.ascii_rtrim(words, _MARKS), pc.utf8_ltrim(words, _LETTERS)
+        parted = pc.and_not(pc.equal(pc.add(pc.binary_length(letters), pc.binary_length(marks)), pc.binary_length(words)), special)
+        letters, marks = pc.if_else(parted, letters, words).dictionary_encode(), pc.if_else(parted, marks, "").dictionary_encode()
+        ids = pa.concat_arrays([self._ids(letters), self._ids(marks), pa.array([self.end], pa.large_binary())])
+        # each word's letters and marks, and the end after each text
+        pairs = np.stack([letters.indices.to_numpy(), marks.indices.to_numpy() + len(letters.dictionary)], 1).ravel()
+        ends = 2 * np.cumsum(np.diff(lists.offsets.to_numpy()))
+        taken = ids.take(pa.array(np.insert(pairs, ends, len(ids) - 1)))
+        upto = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1][ends + np.arange(1, len(ends) + 1)] // np.dtype(self.dtype).itemsize
         flat = np.frombuffer(taken.buffers()[2] or b"", self.dtype)[: upto[-1] if len(upto) else 0]
         return flat, np.diff(upto, prepend=0)
 

@@ -33,4 +33,4 @@ def query(ids: str, sql: str | None = None) -> Callable[[Callable], Callable]:
 
 
 # each module registers its queries
-from corpusloom.plans import graph, lifecycle, references, relational, retrieval, structure, text, validation  # noqa: E402, F401
+from corpusloom.plans import graph, indexes, lifecycle, references, relational, retrieval, structure, text, validation  # noqa: E402, F401

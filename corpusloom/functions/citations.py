@@ -47,15 +47,20 @@ def _of_kind(pairs: Column, kind: str) -> Column:
     return F.transform(pairs, lambda r: _struct(kind, r["target"], None, r["whole"]))
 
 
-def expand_range(reference: Column) -> Column:
-    """``a.1 through a.5`` as all its numbers; anything else, or ends of different depth, as it is."""
+#: Numbers that one range may give; a wider one stays as it is.
+MOST_OF_RANGE = 1000
+
+
+def expand_range(reference: Column, most: int = MOST_OF_RANGE) -> Column:
+    """``a.1 through a.5`` as all its numbers; anything else, ends of different depth, or a range of more than ``most`` numbers, as it is."""
     ends = F.split(reference, r"(?i)\s+through\s+")
     first, last = (F.split(F.trim(F.element_at(ends, i)), r"\.") for i in (1, 2))
     low, high = (F.element_at(p, -1).try_cast("int") for p in (first, last))
-    numbers = F.transform(F.sequence(low, high), lambda n: F.array_join(F.concat(F.slice(first, 1, F.size(first) - 1), F.array(n.cast("string"))), "."))
+    upto = F.least(high, low.cast("long") + (most - 1)).cast("int")  # bounded whatever the condition below makes of it
+    numbers = F.transform(F.sequence(low, F.greatest(low, upto)), lambda n: F.array_join(F.concat(F.slice(first, 1, F.size(first) - 1), F.array(n.cast("string"))), "."))
     whole = F.array(F.trim(reference))
     expandable = (F.size(ends) == 2) & (F.size(first) == F.size(last)) & low.isNotNull() & high.isNotNull()
-    return F.when(F.size(ends) != 2, whole).when(expandable & (low <= high), numbers).when(expandable, F.expr("cast(array() as array<string>)")).otherwise(whole)
+    return F.when(F.size(ends) != 2, whole).when(expandable & (high.cast("long") - low >= most), whole).when(expandable & (low <= high), numbers).when(expandable, F.expr("cast(array() as array<string>)")).otherwise(whole)
 
 
 def links(text: Column) -> Column:

@@ -12,11 +12,11 @@ MOST_DOUBLINGS = 30
 
 
 def with_parents(outline: DataFrame, number: str = "number") -> DataFrame:
-    """``outline`` (distinct numbers) with parent: the number without its last part if the outline has it, else the outline's chapter of its first part, or appendix of its letters, or the letters alone; null at the root."""
+    """``outline`` with parent: the number without its last part if the outline has it, else the outline's chapter of its first part, or appendix of its letters, or the letters alone; null at the root. Numbers count without the blanks around them, and one that stands twice is one parent."""
     n = F.trim(F.col(number))
     dotted = n.rlike(r"^\d+(\.\d+)+$")
     letters = F.regexp_extract(n, r"^([A-Z]{1,3})\.\d+", 1)
-    keys = outline.select(F.trim(F.col(number)).alias("key"))
+    keys = outline.select(F.trim(F.col(number)).alias("key")).distinct()
     named = keys.select(F.lower(F.regexp_extract("key", r"(?i)^(Chapter|Appendix)\s+[A-Za-z0-9]+\b", 1)).alias("what"), F.lower(F.regexp_extract("key", r"(?i)^(?:Chapter|Appendix)\s+([A-Za-z0-9]+)\b", 1)).alias("of"), "key").filter("what <> ''").groupBy("what", "of").agg(F.min("key").alias("named"))
     wanted = outline.withColumns({
         "_up": F.when(dotted, F.regexp_replace(n, r"\.\d+$", "")),

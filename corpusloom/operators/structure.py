@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
+from corpusloom.operators.scan import running
 
 EDGE_LINES, LEAST_PAGES, PAGE_SHARE, OFFSET, FRONT_PAGES, OCR_CHARS, MOST_CHARS = 3, 5, 0.25, 20, 40, 50, 200_000
 # Fixed patterns: a row of a printed outline (number, title, leader, page); the heading above it.
@@ -76,7 +77,7 @@ def section_bounds(toc: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def repair_pages(toc: DataFrame, pages: DataFrame, window: int = 10) -> DataFrame:
-    """``toc`` (doc, seq, number, page) with page mended and state: '' where its number begins a line of the page, 'verified' where it was found within ``window`` pages after the last good one, else 'unverified' there. A number that is null or blank stands on no page.
+    """``toc`` (doc, seq, number, page) with page mended and state: '' where its number begins a line of the page, 'verified' where it was found within ``window`` pages after the last good one, else 'unverified' there. A number that is null or blank stands on no page; a null page is none that an entry claims; a document without pages keeps what its entries say, unverified.
 
     What was found last decides where the next is looked for, so a document is one group; of its pages, only those lines reach the worker that begin with a number of its outline, and of them the number.
     """
@@ -98,16 +99,19 @@ def repair_pages(toc: DataFrame, pages: DataFrame, window: int = 10) -> DataFram
         last, out = 1, []
         for e in entries.sort_values("seq").itertuples():
             stands = pages_of.get((e.number or "").strip(), ())
-            claimed = max(1, min(int(e.page), n))
+            said = None if pd.isna(e.page) else int(e.page)
+            claimed = max(1, min(said, n)) if said is not None else 0
             near = [p for p in stands if last <= p <= min(last + window, n)]
-            if claimed >= last and claimed in stands:
-                page, state, last = int(e.page), "", claimed
+            if not n:
+                page, state = said, "unverified"
+            elif claimed >= last and claimed in stands:
+                page, state, last = said, "", claimed
             elif near:
                 page, state, last = min(near), "verified", min(near)
             else:
                 page, state = min(last, n), "unverified"
             out.append((e.doc, e.seq, e.number, page, state))
-        return pd.DataFrame(out, columns=["doc", "seq", "number", "page", "state"])
+        return pd.DataFrame(out, columns=["doc", "seq", "number", "page", "state"]).astype({"page": "Int32"})
 
     kind = dict(toc.dtypes)
     schema = f"doc {kind['doc']}, seq {kind['seq']}, number string, page int, state string"
@@ -121,30 +125,29 @@ def _ends_word(number: Column, line: Column) -> Column:
     return last.rlike(word) != following.rlike(word)
 
 
-def sectionize(lines: DataFrame) -> DataFrame:
-    """(doc, section, chapter, number, title, body): sections of ``lines`` (doc, at, line), each from its header line (a section number first) to the next; a chapter's heading ends one. Lines before the first are left out."""
+def sectionize(lines: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(doc, section, chapter, number, title, body): sections of ``lines`` (doc, at, line), each from its header line (a section number first) to the next; a chapter's heading ends one. Lines before the first are left out. A document's lines go on over as many ranges as they need (``scan.running``)."""
     s = strip(F.col("line"))
     number, chapter = F.regexp_extract(s, r"^(\d{3,4}\.\d+(?:\.\d+)*)\b", 1), F.regexp_extract(s, r"^(?:CHAPTER|Chapter)\s+(\d+)", 1)
-    order = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.withColumns({"_number": F.when(number != "", number), "_chapter": F.when(chapter != "", chapter)}).withColumn("_header", F.col("_number").isNotNull() | F.col("_chapter").isNotNull())
-    grouped = marked.withColumns({"section": F.sum(F.col("_header").cast("int")).over(order), "chapter": F.last("_chapter", ignorenulls=True).over(order)})
+    marked = lines.select("doc", "at", "line", F.when(number != "", number).alias("_number"), F.when(chapter != "", chapter).alias("_chapter"))
+    header = F.col("_number").isNotNull() | F.col("_chapter").isNotNull()
+    grouped = running(marked, "doc", ["at"], {"section": header.cast("int")}, {"chapter": F.col("_chapter")}, ranges)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x.line), "\n")
     title = F.trim(F.regexp_replace(F.max(F.when(F.col("_number").isNotNull(), s)), r"^[\d.]+", ""))
     return grouped.groupBy("doc", "section").agg(F.max("chapter").alias("chapter"), F.max("_number").alias("number"), title.alias("title"), text.alias("body")).filter("number IS NOT NULL")
 
 
-def page_of_line(lines: DataFrame, starts: DataFrame) -> DataFrame:
-    """``lines`` (doc, at) with page, that of the last of ``starts`` (doc, page, start) at or before it: both in one order, the page carried forward."""
-    both = lines.select("doc", "at", F.lit(None).cast("int").alias("page"), F.lit(1).alias("_k")).unionByName(starts.select("doc", F.col("start").alias("at"), F.col("page").cast("int").alias("page"), F.lit(0).alias("_k")))
-    order = Window.partitionBy("doc").orderBy("at", "_k", "page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("page", F.last("page", ignorenulls=True).over(order)).filter("_k = 1").drop("_k")
+def page_of_line(lines: DataFrame, starts: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``lines`` (doc, at) with page, that of the last of ``starts`` (doc, page, start) at or before it: both in one order, the page carried forward over the ranges of that order. Of starts at one place the last page counts."""
+    both = lines.select("doc", F.col("at").cast("long").alias("at"), F.lit(None).cast("int").alias("_page"), F.lit(1).alias("_k"), F.monotonically_increasing_id().alias("_i"))
+    first = starts.select("doc", F.col("start").cast("long").alias("at"), F.col("page").cast("int").alias("_page"), F.lit(0).alias("_k"), F.col("page").cast("long").alias("_i"))
+    return running(both.unionByName(first), "doc", ["at", "_k", "_i"], lasts={"page": F.col("_page")}, ranges=ranges).filter("_k = 1").select("doc", "at", "page")
 
 
-def page_starts(pages: DataFrame) -> DataFrame:
-    """(doc, page, start): the number of lines before each page."""
-    n = pages.select("doc", "page", F.size(F.split("text", "\n")).alias("n"))
-    before = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    return n.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+def page_starts(pages: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(doc, page, start): the number of lines before each page, from the pages' numbers of lines; no text is moved."""
+    n = pages.select("doc", "page", F.size(F.split("text", "\n")).alias("_n"))
+    return running(n, "doc", ["page"], {"_upto": F.col("_n")}, ranges=ranges).select("doc", "page", (F.col("_upto") - F.col("_n")).alias("start"))
 
 
 def _heading(number: Column, title: Column) -> Column:

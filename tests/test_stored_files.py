@@ -3,6 +3,7 @@ import __spark_entry__ as entry
 
 def test_all_part_files(spark, tmp_path):
     spark.range(40).selectExpr("cast(id as int) r_regionkey", "'x' r_name").repartition(4).write.parquet(str(tmp_path / "region.parquet"))
-    names = {p.name for p in (tmp_path / "region.parquet").glob("*.parquet")}
-    assert len(names) == 4
+    spark.range(6).selectExpr("cast(id as int) n_nationkey", "'x' n_name").repartition(2).write.parquet(str(tmp_path / "nation.parquet"))
+    names = {p.name for p in tmp_path.glob("*.parquet/*.parquet")}
+    assert len(names) == 6
     assert {r.filename for r in entry.queries()["stored_files"](spark, str(tmp_path)).collect()} == names

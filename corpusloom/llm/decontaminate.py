@@ -1,6 +1,6 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark texts, each document scanned once, with the hits mapped back to words and characters of the original.
 
-The automaton reads words, not characters: each word of the benchmark has a symbol, all others share one. A window is ``size`` consecutive words of an item; an item of fewer words, but not none, is one window. Of the longer items the automaton holds seeds: (size + 1) / 2 words from every place that is a multiple of that number. Each window holds a whole seed, so that every document word that a window may hit lies near a seed's hit; the few windows of the document around it are then looked up by a 64-bit name among all windows and compared word by word. So the automaton has about one state for each word of the benchmark, not ``size`` of them.
+The automaton reads words, not characters: each word of the benchmark has a symbol, all others share one (where an index has more words than there are characters, words share symbols too, and every hit is compared by the words' numbers). A window is ``size`` consecutive words of an item; an item of fewer words, but not none, is one window. Of the longer items the automaton holds seeds: (size + 1) / 2 words from every place that is a multiple of that number. Each window holds a whole seed, so that every document word that a window may hit lies near a seed's hit; the few windows of the document around it are then looked up by a 64-bit name among all windows and compared word by word. So the automaton has about one state for each word of the benchmark, not ``size`` of them.
 
 The index follows the benchmark, not the corpus, and its size is checked: up to ``MAX_CHARS`` characters of benchmark text are broadcast as one index. A larger benchmark is dealt into parts; each is scanned by itself, one broadcast at a time, and gives rows for those texts alone that it hits, which are then joined back by the texts' hash. An index is built once in each worker and scan.
 
@@ -40,21 +40,29 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def _symbol(k: int) -> str:
-    """The ``k``-th symbol, from 1; 0 stands for words that the benchmark lacks. Surrogates are left out."""
+#: Characters that can stand for words: all but 0, for words that the benchmark lacks, and surrogates.
+SYMBOLS = 0x110000 - 0x800 - 1
+
+
+def _symbol(k: int, symbols: int = SYMBOLS) -> str:
+    """The symbol of the ``k``-th word, from 1. Beyond ``symbols`` words they share them, and what is found is only a place to look at."""
+    k = 1 + (k - 1) % symbols
     return chr(k if k < 0xD800 else k + 0x800)
 
 
 class Index:
     """The windows of some items (name, text), and the automaton that finds where they may occur."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW):
+    def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW, symbols: int = SYMBOLS):
         global BUILT
         BUILT += 1
         self.size, seed = size, (size + 1) // 2
         texts = [words_of(t) for _, t in items]
         self.names = [n for n, _ in items]
-        self.symbols = {w: _symbol(k) for k, w in enumerate(sorted({w for ws in texts for w in ws}), 1)}
+        self.numbers = {w: k for k, w in enumerate(sorted({w for ws in texts for w in ws}), 1)}
+        self.symbols = {w: _symbol(k, symbols) for w, k in self.numbers.items()}
+        self.shared = len(self.numbers) > symbols
+        self.short = {}  # of items that are one window: their words' numbers
         patterns: dict[str, set[int]] = {}
         arrays, places, owners = [], [], []
         at = 0
@@ -62,10 +70,11 @@ class Index:
             s = "".join([self.symbols[w] for w in ws])
             if 0 < len(s) < size:
                 patterns.setdefault(s, set()).add(i)
+                self.short[i] = self.codes(ws).tolist()
             elif s:
                 for k in range(0, len(s) - seed + 1, seed):
                     patterns.setdefault(s[k : k + seed], set()).add(-1)
-                arrays.append(self.codes(s))
+                arrays.append(self.codes(ws))
                 places.append(np.arange(at, at + len(s) - size + 1))
                 owners.append(np.full(len(s) - size + 1, i))
                 at += len(s)
@@ -81,9 +90,9 @@ class Index:
         if patterns:
             self.automaton.make_automaton()
 
-    @staticmethod
-    def codes(symbols: str) -> np.ndarray:
-        return np.frombuffer(symbols.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers, 0 for those that the benchmark lacks."""
+        return np.fromiter((self.numbers.get(w, 0) for w in words), np.uint64, len(words))
 
     def window_names(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         x = np.zeros(len(starts), np.uint64)
@@ -102,13 +111,16 @@ class Index:
         for end, (n, is_seed, whole) in self.automaton.iter(symbols):
             if is_seed:
                 seeds.append(end + 1 - n)
+            if whole and self.shared:
+                here = self.codes(words[end + 1 - n : end + 1]).tolist()
+                whole = [k for k in whole if self.short[k] == here]
             if whole:
                 runs.append((end + 1 - n, end + 1))
                 items.update(whole)
         if seeds:
             at = np.array(seeds)[:, None] - np.arange(self.size - (self.size + 1) // 2 + 1)
             at = np.unique(at[(at >= 0) & (at <= len(words) - self.size)])
-            coded = self.codes(symbols)
+            coded = self.codes(words)
             names = self.window_names(coded, at)
             lo, hi = np.searchsorted(self.window, names, "left"), np.searchsorted(self.window, names, "right")
             span = np.arange(self.size)

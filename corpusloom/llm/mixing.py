@@ -6,7 +6,7 @@ Rates become whole copies: every document gets floor(r) copies, and those first
 
 Only the table of sources (one row each) is ordered in one task; it is broadcast only while its size is small.
 
-Defined results: a null text has size 0 and nothing taken; a null source is a source of its own, the last; a null doc_id counts as the text ``""``; rows that share a doc_id follow by size and hash of the text, and those that share these too are taken alike; a source without words has target 0; an empty table gives an empty result; other columns are ignored or, in ``mix_documents``, kept.
+Defined results: a null text has size 0 and nothing taken; a null source is a source of its own, the last; a null doc_id counts as the text ``""``; rows that share a doc_id follow by size and hash of the text, and of repeated rows (those that share these too) as many are taken once more as the target asks for, by their order of reading; a source without words has target 0; an empty table gives an empty result; other columns are ignored or, in ``mix_documents``, kept.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORD, materialize, table, word_count
+from corpusloom.operators.scan import running
 
 WEIGHTS, SHARE, CAP, NEWTON_STEPS, TOLERANCE = (5, 2, 1), 1.5, 2, 64, 1e-12
 #: Hexadecimal digits of the order that each level adds, and the number of levels; beyond, rows are ordered themselves.
@@ -88,7 +89,7 @@ def _keyed(sized: DataFrame) -> DataFrame:
 
 
 def plan_sources(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """(_source, source_size, target, rate, _whole, _cut), one row for each source of ``sized`` (doc_id, source, size and, if there is one, tie), which is read several times: write it before. A row of a source is taken once more than ``_whole`` times if its (_order, size, tie) is not above ``_cut``."""
+    """(_source, source_size, target, rate, _whole, _cut, _some), one row for each source of ``sized`` (doc_id, source, size and, if there is one, tie), which is read several times: write it before. A row of a source is taken once more than ``_whole`` times if its (_order, size, tie) is not above ``_cut``; of the rows at the cut, where several are equal, only the first ``_some`` are, where that isn't null."""
     rows = _keyed(sized if "tie" in sized.columns else sized.withColumn("tie", F.lit(0).cast("long"))).select("_source", "_order", F.col("size").cast("long").alias("size"), F.col("tie").cast("long").alias("tie"))
     bucket = lambda level: F.substring("_order", 1, DIGITS * (level + 1)).alias("_bucket")
     sums = materialize(rows.groupBy("_source", bucket(0)).agg(F.sum("size").alias("_tokens")))
@@ -96,7 +97,8 @@ def plan_sources(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     totals = sums.groupBy("_source").agg(F.sum("_tokens").alias("source_size")).withColumn("source", name)
     targets = materialize(source_targets(totals, weights, share, cap).drop("source", "weight"))
     few = F.broadcast if targets.count() <= MOST_BROADCAST else lambda df: df
-    tilt = balance(targets.select("_source", F.col("source_size").alias("mass")), {"_source": targets.select("_source", "target")})["_source"]
+    # the cells of the dual are the written sums of documents
+    tilt = balance(sums.select("_source", F.col("_tokens").alias("mass")), {"_source": targets.select("_source", "target")})["_source"]
     rate = F.coalesce(F.exp("lambda"), F.lit(0.0))
     whole = F.least(F.floor(rate + 1e-9), F.lit(cap))
     plan = targets.join(tilt.drop("target"), "_source").select("_source", "source_size", "target", rate.alias("rate"), whole.alias("_whole"))
@@ -111,20 +113,32 @@ def plan_sources(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
         last = placed.filter("_start < _need").groupBy("_source").agg(F.max(F.struct("_bucket", "_start")).alias("_l"))
         cut = materialize(cut.drop("_found").join(last, "_source", "left").select(*[c for c in cut.columns if c not in ("_found", "_before")], F.coalesce("_l._start", "_before").alias("_before"), F.coalesce("_l._bucket", F.lit("none")).alias("_found")))
     inside = rows.join(few(cut.select("_source", "_found")), "_source").filter(F.col("_order").startswith(F.col("_found")))
-    equal = inside.groupBy("_source", F.struct("_order", "size", "tie").alias("_bucket")).agg(F.sum("size").alias("_tokens"))
-    placed = equal.join(cut.select("_source", "_need", F.col("_before").alias("_base")), "_source").withColumn("_middle", F.col("_base") + F.sum("_tokens").over(so_far) - F.col("_tokens") / 2)
-    last = placed.filter("_middle < _need").groupBy("_source").agg(F.max("_bucket").alias("_l"))
+    equal = inside.groupBy("_source", F.struct("_order", "size", "tie").alias("_bucket")).agg(F.sum("size").alias("_tokens"), F.count(F.lit(1)).alias("_n"))
+    size = F.col("_bucket.size")
+    placed = equal.join(cut.select("_source", "_need", F.col("_before").alias("_base")), "_source").withColumn("_start", F.col("_base") + F.sum("_tokens").over(so_far) - F.col("_tokens"))
+    # equal rows follow one another: so many of them have their middle before the need
+    some = F.when(size > 0, F.ceil((F.col("_need") - F.col("_start")) / size + 0.5) - 1)
+    last = placed.filter(F.col("_start") + size / 2 < F.col("_need")).groupBy("_source").agg(F.max(F.struct("_bucket", F.when(some < F.col("_n"), some).alias("_some"))).alias("_l"))
     # where none of the last bucket is taken: all that stands before it
     before = F.struct(F.col("_found").alias("_order"), F.lit(-1).cast("long").alias("size"), F.lit(0).cast("long").alias("tie"))
-    found = F.when(F.col("_found") == "none", F.struct(F.lit("").alias("_order"), F.lit(-1).cast("long").alias("size"), F.lit(0).cast("long").alias("tie"))).otherwise(F.coalesce("_l", before))
-    return materialize(cut.join(last, "_source", "left").select("_source", "source_size", "target", "rate", "_whole", found.alias("_cut")))
+    found = F.when(F.col("_found") == "none", F.struct(F.lit("").alias("_order"), F.lit(-1).cast("long").alias("size"), F.lit(0).cast("long").alias("tie"))).otherwise(F.coalesce("_l._bucket", before))
+    return materialize(cut.join(last, "_source", "left").select("_source", "source_size", "target", "rate", "_whole", found.alias("_cut"), F.when(F.col("_found") != "none", F.col("_l._some")).alias("_some")))
 
 
 def with_copies(sized: DataFrame, plan: DataFrame, cap: int = CAP) -> DataFrame:
     """``sized`` (doc_id, source, size, tie and others) with source_size, target, rate and copies by ``plan``: a map over rows."""
     own = F.struct("_order", F.col("size").cast("long").alias("size"), F.col("tie").cast("long").alias("tie")) if "tie" in sized.columns else F.struct("_order", F.col("size").cast("long").alias("size"), F.lit(0).cast("long").alias("tie"))
-    out = _keyed(sized).join(_few(plan), "_source").withColumn("copies", F.least(F.col("_whole") + (own <= F.col("_cut")).cast("long"), F.lit(cap)))
-    return out.select(*sized.columns, "source_size", "target", "rate", "copies")
+    kept = [*sized.columns, "source_size", "target", "rate"]
+    out = _keyed(sized).join(_few(plan), "_source").withColumn("_own", own)
+    more = F.col("_own") <= F.col("_cut")
+    if plan.filter("_some IS NOT NULL").limit(1).count():
+        # equal rows at a cut, written and numbered along ranges: nothing else tells them apart
+        among = F.col("_some").isNotNull() & (F.col("_own") == F.col("_cut"))
+        few = materialize(out.filter(among).withColumn("_i", F.monotonically_increasing_id()))
+        numbered = running(few, "_source", ["_i"], {"_nth": F.lit(1)}).withColumn("_more", F.col("_nth") <= F.col("_some"))
+        out = out.filter(~among).withColumn("_more", more).select(*kept, "_whole", "_more").union(numbered.select(*kept, "_whole", "_more"))
+        more = F.col("_more")
+    return out.withColumn("copies", F.least(F.col("_whole") + more.cast("long"), F.lit(cap))).select(*kept, "copies")
 
 
 def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:

@@ -97,3 +97,25 @@ def test_query_against_sql(spark):
     out = decontaminate.op8_benchmark_decontamination(spark, d)
     assert out.dtypes == [("doc_id", "bigint"), ("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items_sha256", "string"), ("contaminated", "boolean")]
     assert not differences(out, decontaminate.ORACLE_SQL, d)
+
+
+def test_more_words_than_characters():
+    """An index of 1,120,000 different words; each would need a symbol of its own."""
+    item = " ".join(f"{k:06d}" for k in range(1_120_000)).encode()
+    index = decontaminate.Index([("long", item), ("short", b"000001 000002"), ("other", b"1112064 000004")])
+    assert index.shared
+    at = lambda k, n: " ".join(f"{i:06d}" for i in range(k, k + n)).encode()
+    assert index.scan(at(1_119_980, 13)) == (13, [(0, 13)], {"long"})
+    assert index.scan(at(5, 12)) == (12, [], set())
+    assert index.scan(b"x 000001 000002 y")[1:] == ([(1, 3)], {"short"})
+
+
+def test_words_that_share_symbols_give_the_same():
+    """With five symbols for all words, against one for each."""
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(30)]
+    items = [(f"i{k}", " ".join(r.choices(words, k=r.choice([1, 2, 5, 12, 13, 14, 40]))).encode()) for k in range(40)]
+    one, few = decontaminate.Index(items), decontaminate.Index(items, symbols=5)
+    for _ in range(300):
+        text = " ".join([*r.choices(words, k=r.randint(0, 20)), *r.choice(items)[1].decode().split()[: r.randint(0, 40)], *r.choices(words, k=3)]).encode()
+        assert [decontaminate._merged(x.scan(text)[1]) for x in (one, few)][0] == decontaminate._merged(few.scan(text)[1]) and one.scan(text)[2] == few.scan(text)[2]

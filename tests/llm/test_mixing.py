@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -116,3 +116,20 @@ def test_rows_that_share_a_doc_id(spark):
         got[s] += len(t.split())
     for s, t in brute_targets(sizes).items():
         assert abs(got[s] - t) <= 18
+
+
+def test_repeated_rows_reach_the_target(spark):
+    """One source of equal rows, and equal rows in the midst of others: to within half a row."""
+    for rows in ([(1, "s", "a b c d", "x")] * 100, [(7, "s", "a b c", str(i)) for i in range(90)] + [(i, "s", "w " * (i % 5 + 1), "y") for i in range(40)] + [(None, "t", "u v", "z")] * 50):
+        df = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string").repartition(5)
+        sizes, got = defaultdict(int), defaultdict(int)
+        for _, s, t, _ in rows:
+            sizes[s] += len(t.split())
+        out = mixing.mix_documents(df).collect()
+        for r in out:
+            got[r.source] += len(r.text.split())
+        for s, t in brute_targets(sizes).items():
+            assert abs(got[s] - t) <= 2.5
+        again = mixing.mix_documents(df.repartition(2)).collect()
+        assert Counter((r.doc_id, r.source, r.text) for r in out) == Counter((r.doc_id, r.source, r.text) for r in again)
+        assert len(mixing.plan_mix(mixing.materialize(mixing._sized(df))).collect()) == len(rows)

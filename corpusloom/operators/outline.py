@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.scan import running
 from corpusloom.steps import written
 
 #: A forest of 2^30 levels is none: its edges have a cycle.
@@ -60,3 +61,35 @@ def typed_hops(references: DataFrame, sources: DataFrame) -> DataFrame:
     one = e.join(sources, F.col("src") == F.col("source")).select("source", F.col("dst").alias("id"), F.lit(1).alias("depth"), "type").distinct()
     start = one.select("source", F.col("id").alias("_at")).distinct()
     return one.union(start.join(e, F.col("_at") == F.col("src")).select("source", F.col("dst").alias("id"), F.lit(2).alias("depth"), "type").distinct())
+
+
+def interval_labels(nodes: DataFrame) -> DataFrame:
+    """(node, first, last, depth) of a forest ``nodes`` (node, parent, seq): a node's place in document order, from 1, and that of the last node below it; written in the order of first.
+
+    A subtree is the range from first to last, and a node's ancestors are those whose range holds its place, so that neither lookup joins by depth. Sizes are counted from ``ancestors``; a node stands after its parent and the subtrees of its earlier siblings (by seq, then node), and its place is the sum of these distances over its ancestors. Siblings are summed along ranges (``scan.running``), so one parent may have any number of children.
+
+    Defined results: roots follow one another as siblings; a parent that isn't a node makes a root; nodes are distinct; an empty table gives an empty result; a cycle raises an error.
+    """
+    known = written(nodes.join(nodes.select(F.col("node").alias("_p")), F.col("parent") == F.col("_p"), "left").select("node", F.col("_p").alias("parent"), "seq"))
+    above = ancestors(known)
+    sizes = above.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("size"))
+    sized = known.join(sizes, "node").withColumn("_under", F.coalesce(F.concat(F.lit("n"), F.col("parent").cast("string")), F.lit("root")))
+    upto = running(sized, "_under", ["seq", "node"], {"_upto": F.col("size")})
+    away = written(upto.select("node", "size", (F.col("_upto") - F.col("size") + 1).alias("_away")))
+    placed = above.join(away.select(F.col("node").alias("ancestor"), "_away"), "ancestor").groupBy("node").agg(F.sum("_away").alias("first"), F.max("distance").alias("depth"))
+    labels = placed.join(away, "node").select("node", "first", (F.col("first") + F.col("size") - 1).alias("last"), "depth")
+    return written(labels.repartitionByRange("first").sortWithinPartitions("first"))
+
+
+def subtree_of(labels: DataFrame, node) -> DataFrame:
+    """(place, node, depth) of a node and all below it, in document order from place 1: one range of ``labels``, of which other row groups are skipped. A node that isn't there gives no row."""
+    at = labels.filter(F.col("node") == F.lit(node)).first()
+    span = (at["first"], at["last"]) if at else (1, 0)
+    return labels.filter(F.col("first").between(*map(F.lit, span))).select((F.col("first") - span[0] + 1).alias("place"), "node", "depth").orderBy("place")
+
+
+def way_to(labels: DataFrame, node) -> DataFrame:
+    """(depth, node) from the root down to a node: the labels whose range holds its place."""
+    at = labels.filter(F.col("node") == F.lit(node)).first()
+    place = at["first"] if at else 0
+    return labels.filter((F.col("first") <= place) & (F.col("last") >= place)).select("depth", "node").orderBy("depth")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
-from corpusloom.operators.outline import ancestors, two_hops, typed_hops, with_parents
+from corpusloom.operators.outline import ancestors, interval_labels, subtree_of, two_hops, typed_hops, way_to, with_parents
 
 
 def outline(t):
@@ -88,3 +88,31 @@ def section_references(t):
 def find_nodes(t):
     """Nodes of the outline by their numbers; those that aren't there give no row."""
     return with_parents(outline(t)).filter(F.col("number").isin("Chapter 1", "3.7", "no such"))
+
+
+_ORDERED = """WITH o AS (SELECT 'Chapter ' || r_regionkey AS node, 0 AS depth, r_regionkey AS a, -1 AS b, -1 AS c FROM region UNION ALL SELECT n_regionkey || '.' || n_nationkey, 1, n_regionkey, n_nationkey, -1 FROM nation UNION ALL SELECT n_regionkey || '.' || n_nationkey || '.' || c_custkey, 2, n_regionkey, n_nationkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ l AS (SELECT node, depth, a, b, row_number() OVER (ORDER BY a, b, c) AS first, CASE depth WHEN 0 THEN count(*) OVER (PARTITION BY a) WHEN 1 THEN count(*) OVER (PARTITION BY a, b) ELSE 1 END AS size FROM o)"""
+
+
+def _labels(t):
+    """Of the outline, siblings in the order of their numbers' last parts."""
+    last = F.regexp_extract("node", r"(\d+)$", 1).cast("long")
+    return interval_labels(_edges(t).select("node", "parent", last.alias("seq")))
+
+
+@query("G9 G10 P18", _ORDERED + " SELECT node, first, CAST(first + size - 1 AS BIGINT) AS last, depth FROM l")
+def outline_labels(t):
+    """Every node's range in document order."""
+    return _labels(t)
+
+
+@query("G9", _ORDERED + " SELECT row_number() OVER (ORDER BY first) AS place, node, depth FROM l WHERE a = 1")
+def subtree_in_order(t):
+    """A node and all below it, in document order."""
+    return subtree_of(_labels(t), "Chapter 1")
+
+
+@query("G10", _ORDERED + " SELECT depth, node FROM l WHERE node = 'Chapter 3' OR node = '3.3'")
+def way_down(t):
+    """The way from the root to a node."""
+    return way_to(_labels(t), "3.3")

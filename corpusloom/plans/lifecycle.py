@@ -127,6 +127,12 @@ def stored_files(t):
     return files.stored_files(t("region").sparkSession, paths).select("filename", "size_bytes", "sha256")
 
 
+@query("S2")
+def files_listed(t):
+    """The files of two tables with their sizes, newest first; no content is read."""
+    return files.list_files(t("region").sparkSession, t("region").inputFiles() + t("nation").inputFiles()).select("filename", "size_bytes")
+
+
 @query("S3")
 def stored_bytes(t):
     """One stored file by its hash, with its bytes as text."""

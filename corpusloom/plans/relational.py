@@ -263,6 +263,13 @@ def section_page(t):
     return t("orders").filter("o_custkey = 7").orderBy("o_orderkey").offset(5).limit(20).select("o_orderkey")
 
 
+@query("P10", "SELECT o_orderkey, CAST(o_orderkey % 13 AS BIGINT) AS page FROM orders WHERE o_custkey % 30 = 7 AND o_orderkey % 13 = 5 AND o_orderstatus <> 'F' ORDER BY o_orderpriority, o_orderkey LIMIT 50")
+def sections_on_page(t):
+    """The live sections of a book on one page, in their order."""
+    own = t("orders").withColumn("page", F.col("o_orderkey") % 13).filter("o_custkey % 30 = 7 AND page = 5 AND o_orderstatus <> 'F'")
+    return own.orderBy(F.col("o_orderpriority").asc_nulls_last(), "o_orderkey").limit(50).select("o_orderkey", "page")
+
+
 @query("P16 A11", _CATALOG_SQL + " SELECT c_custkey FROM flat WHERE r_name = 'ASIA' AND scan_status <> 'not_scanned' AND contains(lower(c_name), '1')")
 def picker_filter(t):
     """Books of one authority that were scanned and whose name fits."""

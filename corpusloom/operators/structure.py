@@ -77,7 +77,7 @@ def section_bounds(toc: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def repair_pages(toc: DataFrame, pages: DataFrame, window: int = 10) -> DataFrame:
-    """``toc`` (doc, seq, number, page) with page mended and state: '' where its number begins a line of the page, 'verified' where it was found within ``window`` pages after the last good one, else 'unverified' there. A number that is null or blank stands on no page; a null page is none that an entry claims; a document without pages keeps what its entries say, unverified.
+    """``toc`` (doc, seq, number, page) with page mended and state: '' where its number begins a line of the page, 'verified' where it was found within ``window`` pages after the last good one, else 'unverified' there. A number that is null or blank stands on no page; a null page is none that an entry claims; the entries of a document without pages have page 0, unverified.
 
     What was found last decides where the next is looked for, so a document is one group; of its pages, only those lines reach the worker that begin with a number of its outline, and of them the number.
     """
@@ -102,9 +102,7 @@ def repair_pages(toc: DataFrame, pages: DataFrame, window: int = 10) -> DataFram
             said = None if pd.isna(e.page) else int(e.page)
             claimed = max(1, min(said, n)) if said is not None else 0
             near = [p for p in stands if last <= p <= min(last + window, n)]
-            if not n:
-                page, state = said, "unverified"
-            elif claimed >= last and claimed in stands:
+            if claimed >= last and claimed in stands:
                 page, state, last = said, "", claimed
             elif near:
                 page, state, last = min(near), "verified", min(near)

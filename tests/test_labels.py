@@ -55,7 +55,7 @@ def test_pages_that_are_null_or_missing(spark):
     toc = spark.createDataFrame([("a", 1, "1", None), ("a", 2, "2", 1), ("a", 3, None, None), ("b", 1, "1", 4)], "doc string, seq int, number string, page int")
     pages = spark.createDataFrame([("a", 1, "x"), ("a", 2, "1 One"), ("a", 3, "2 Two")], "doc string, page int, text string")
     got = {(r.doc, r.seq): (r.page, r.state) for r in structure.repair_pages(toc, pages).collect()}
-    assert got == {("a", 1): (2, "verified"), ("a", 2): (3, "verified"), ("a", 3): (3, "unverified"), ("b", 1): (4, "unverified")}
+    assert got == {("a", 1): (2, "verified"), ("a", 2): (3, "verified"), ("a", 3): (3, "unverified"), ("b", 1): (0, "unverified")}
 
 
 @pytest.mark.parametrize("twice", ["1.1", "1.1 ", " 1.1"])

@@ -1,13 +1,9 @@
-"""Text functions: native columns wherever the built-in functions can say it, pandas where lines must be folded in order."""
+"""Text functions, all native columns."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Characters that broken fonts give, and ligatures, with what they stand for.
 GLYPHS = {"þ": "+", "Þ": ")", "ð": "(", "Ð": "(", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
@@ -20,8 +16,10 @@ SUBSCRIPTS = {
 }
 # Fixed patterns: a colon that stands for a decimal point; marks that begin a paragraph of their own; formula lines; marks left by broken fonts.
 COLON_POINT = r"([0-9]):(?=[0-9]|[A-Z]\b|[A-Z][a-z]?\b)"
-OWN_PARAGRAPH = re.compile(r"(\d+[a-z]?\.\s|\(\s*[a-z0-9ivx]+\s*\)|[•◦·●]\s|(EXCEPTION|EXCEPTIONS|User\sNote|Note|COMMENTARY)s?:)", re.IGNORECASE)
+OWN_PARAGRAPH = r"(?i)^(\d+[a-z]?\.\s|\(\s*[a-z0-9ivx]+\s*\)|[•◦·●]\s|(EXCEPTION|EXCEPTIONS|User\sNote|Note|COMMENTARY)s?:)"
 FORMULA_START, FORMULA_OPERATOR = r"^\d+[a-z]?\.\s+[A-Z0-9(]", r"[+−=]|\("
+# White space and line breaks, those beyond ASCII with them.
+SPACE, LINE_BREAK = r"[\s\x1C-\x1F\x85\p{Z}]", r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 SUSPECT = r"[þðÞÐﬁﬂﬀﬃﬄ]|\b[0-9]+:[0-9]"
 
 
@@ -29,6 +27,10 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def _trim(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def squeeze(c: Column) -> Column:
     """Lower case, runs of white space as one space, none at the ends."""
     return strip(F.lower(F.regexp_replace(c, r"(?U)\s+", " ")))
@@ -78,25 +80,16 @@ def strip_heading(c: Column, number: Column, title: Column) -> Column:
     return F.when(F.coalesce(number, F.lit("")) == "", c).otherwise(F.regexp_replace(c, pattern, F.lit("")))
 
 
-def _paragraphs(text: str) -> list[str]:
-    out: list[str] = []
-    for block in re.split(r"\n\s*\n+", text):
-        fresh = True
-        for line in filter(None, map(str.strip, block.splitlines())):
-            if fresh or OWN_PARAGRAPH.match(line):
-                out.append(line)
-            elif out[-1].endswith("-"):
-                out[-1] = out[-1][:-1] + line
-            else:
-                out[-1] += " " + line
-            fresh = False
-    return [re.sub(r"\s{2,}", " ", p).strip() for p in out]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def paragraphs(texts: pd.Series) -> pd.Series:
-    """Lines put together: a blank line or a list mark begins a paragraph, a hyphen at a line's end joins without a space."""
-    return texts.map(lambda t: _paragraphs(t or ""))
+def paragraphs(text: Column) -> Column:
+    """Lines put together: a blank line or a list mark begins a paragraph, a hyphen at a line's end joins without a space. Null and blank texts have none.
+
+    Lines hold no line break, so that the breaks themselves can say how a line follows the one before: a line feed where it begins a paragraph, else a carriage return.
+    """
+    lines = lambda block: F.filter(F.transform(F.split(block, LINE_BREAK), lambda x: _trim(x)), lambda x: x != "")
+    placed = lambda line, at: F.concat(F.when((at == 0) | line.rlike(OWN_PARAGRAPH), "\n").otherwise("\r"), line)
+    joined = F.array_join(F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), rf"\n{SPACE}*\n+"), lambda block: F.transform(lines(block), placed))), "")
+    flowing = F.replace(F.replace(joined, F.lit("-\r"), F.lit("")), F.lit("\r"), F.lit(" "))
+    return F.filter(F.transform(F.split(flowing, "\n"), lambda p: _trim(F.regexp_replace(p, SPACE + "{2,}", " "))), lambda p: p != "")
 
 
 def normalize(text: Column, number: Column, title: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import sha256, strip
+from corpusloom.operators.tables import small
 from corpusloom.steps import written
 
 # Patterns of pages that are no content, by the reason they give, in order.
@@ -158,8 +159,8 @@ def validate(df: DataFrame, text: str = "text", order: str = "doc_id", web: Colu
 
 
 def rejected(df: DataFrame, text: str = "text", order: str = "doc_id", web: Column | None = None) -> DataFrame:
-    """The rows of ``df`` that a layer rejects, with layer, error and indicators: a row is told by its ``order`` and its text's hash."""
-    bad = validate(df, text, order, web).filter("layer IS NOT NULL").dropDuplicates([order, "hash"]).withColumnRenamed(order, "_order")
+    """The rows of ``df`` that a layer rejects, with layer, error and indicators: a row is told by its ``order`` and its text's hash. The verdicts are narrow rows that are written first: where they are few, no text is shuffled."""
+    bad = small(written(validate(df, text, order, web).filter("layer IS NOT NULL").dropDuplicates([order, "hash"]).withColumnRenamed(order, "_order")))
     own = df.withColumn("_hash", sha256(F.col(text)))
     return own.join(bad, own[order].eqNullSafe(bad._order) & own._hash.eqNullSafe(bad.hash)).drop("_order", "_hash", "hash")
 

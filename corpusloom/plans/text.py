@@ -31,9 +31,30 @@ def heading_and_subscripts(t):
     return t("part").select("p_partkey", x.strip_heading(text, F.concat(F.lit("1."), size), F.concat(F.lit("Scope of "), "p_brand", F.lit(" :"))).alias("body"), x.restore_subscripts(formula).alias("formula"))
 
 
-@query("F6 F10")
+def _sql_glyphs(c: str) -> str:
+    for wrong, right in x.GLYPHS.items():
+        c = f"replace({c}, '{wrong}', '{right}')"
+    for _ in range(2):  # a digit may end one match and begin the next
+        c = f"regexp_replace({c}, '([0-9]):([0-9]|[A-Z][a-z]?\\b)', '\\1.\\2', 'g')"
+    return c
+
+
+def _sql_subscripts(c: str) -> str:
+    out = c
+    for lost, shown in x.SUBSCRIPTS.items():
+        out = f"regexp_replace({out}, '\\b{lost}\\b', '{shown}', 'g')"
+    return f"CASE WHEN regexp_matches({c}, '{x.FORMULA_START}') AND regexp_matches({c}, '{x.FORMULA_OPERATOR}') THEN {out} ELSE {c} END"
+
+
+@query("F6 F10 T10", f"""WITH r AS (SELECT doc_id, concat('1.1 SCOPE', chr(10), 'The design wind loads for build-', chr(10), 'ing', chr(10, 10), '1a. D þ 0:7S ð Lr Þ', chr(10), '(a) ', text) AS raw FROM documents),
+b AS (SELECT doc_id, raw, string_split_regex(regexp_replace({_sql_glyphs("raw")}, '^1\\.1 SCOPE\\s*', ''), '\\n\\s*\\n+') AS blocks FROM r),
+l AS (SELECT doc_id, raw, list_transform(blocks, lambda k: list_filter(list_transform(string_split_regex(k, '\\r\\n|[\\n\\r\\x0B\\f]'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')) AS lines FROM b),
+p AS (SELECT doc_id, raw, flatten(list_transform(lines, lambda ls: list_transform(ls, lambda s, i: CASE WHEN i = 1 OR regexp_matches(s, '{x.OWN_PARAGRAPH}') THEN chr(10) ELSE chr(13) END || s))) AS marked FROM l),
+f AS (SELECT doc_id, raw, list_filter(list_transform(string_split(replace(replace(list_aggregate(marked, 'string_agg', ''), '-' || chr(13), ''), chr(13), ' '), chr(10)), lambda s: trim(regexp_replace(s, '\\s{{2,}}', ' ', 'g'))), lambda s: s <> '') AS flowing FROM p),
+n AS (SELECT doc_id, raw, list_aggregate(list_transform(flowing, lambda s: {_sql_subscripts("s")}), 'string_agg', chr(10) || chr(10)) AS full_text FROM f)
+ SELECT doc_id, raw AS full_text_raw, full_text, sha256(raw) AS source_hash, sha256(regexp_replace(lower(regexp_replace(full_text, '\\s+', ' ', 'g')), '^\\s+|\\s+$', '', 'g')) AS normalized_hash FROM n""".replace("chr(10, 10)", "chr(10), chr(10)"))
 def normalize_texts(t):
-    """Raw text, the normalized one and its hash, as a backfill writes them. Held against its micro-fixtures in tests/test_operators.py."""
+    """Raw text, the normalized one and its hash, as a backfill writes them."""
     raw = F.concat(F.lit("1.1 SCOPE\nThe design wind loads for build-\ning\n\n1a. D þ 0:7S ð Lr Þ\n(a) "), "text")
     d = t("documents").select("doc_id", raw.alias("full_text_raw"), x.normalize(raw, F.lit("1.1"), F.lit("Scope")).alias("full_text"))
     return d.withColumn("source_hash", x.sha256(F.col("full_text_raw"))).withColumn("normalized_hash", x.sha256(x.squeeze(F.col("full_text"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,9 @@ SUBSCRIPTS = {
 COLON_POINT = r"([0-9]):(?=[0-9]|[A-Z]\b|[A-Z][a-z]?\b)"
 OWN_PARAGRAPH = r"(?i)^(\d+[a-z]?\.\s|\(\s*[a-z0-9ivx]+\s*\)|[•◦·●]\s|(EXCEPTION|EXCEPTIONS|User\sNote|Note|COMMENTARY)s?:)"
 FORMULA_START, FORMULA_OPERATOR = r"^\d+[a-z]?\.\s+[A-Z0-9(]", r"[+−=]|\("
-# White space and line breaks, those beyond ASCII with them.
-SPACE, LINE_BREAK = r"[\s\x1C-\x1F\x85\p{Z}]", r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+# White space, that beyond ASCII with it (what is printed in ASCII is told first), and characters that end a line.
+SPACE = r"[[^!-~]&&[\s\x1C-\x1F\x85\p{Z}]]"
+LINE_ENDS = "\r\x0b\f\x1c\x1d\x1e\x85  "
 SUSPECT = r"[þðÞÐﬁﬂﬀﬃﬄ]|\b[0-9]+:[0-9]"
 
 
@@ -28,7 +31,8 @@ def strip(c: Column) -> Column:
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """``c`` without ``SPACE`` at its ends."""
+    return F.btrim(c, F.lit("".join(filter(str.isspace, map(chr, range(0x3001))))))
 
 
 def squeeze(c: Column) -> Column:
@@ -41,12 +45,7 @@ def sha256(c: Column) -> Column:
 
 
 def fix_glyphs(c: Column) -> Column:
-    single = {a: b for a, b in GLYPHS.items() if len(b) == 1}
-    c = F.translate(c, "".join(single), "".join(single.values()))
-    for a, b in GLYPHS.items():
-        if a not in single:
-            c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    return reduce(lambda out, glyph: F.replace(out, F.lit(glyph), F.lit(GLYPHS[glyph])), GLYPHS, c)
 
 
 def fix_colons(c: Column) -> Column:
@@ -85,11 +84,12 @@ def paragraphs(text: Column) -> Column:
 
     Lines hold no line break, so that the breaks themselves can say how a line follows the one before: a line feed where it begins a paragraph, else a carriage return.
     """
-    lines = lambda block: F.filter(F.transform(F.split(block, LINE_BREAK), lambda x: _trim(x)), lambda x: x != "")
+    lined = lambda block: F.split(reduce(lambda c, end: F.replace(c, F.lit(end), F.lit("\n")), LINE_ENDS, block), "\n")
+    lines = lambda block: F.filter(F.transform(lined(block), lambda x: _trim(x)), lambda x: x != "")
     placed = lambda line, at: F.concat(F.when((at == 0) | line.rlike(OWN_PARAGRAPH), "\n").otherwise("\r"), line)
     joined = F.array_join(F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), rf"\n{SPACE}*\n+"), lambda block: F.transform(lines(block), placed))), "")
     flowing = F.replace(F.replace(joined, F.lit("-\r"), F.lit("")), F.lit("\r"), F.lit(" "))
-    return F.filter(F.transform(F.split(flowing, "\n"), lambda p: _trim(F.regexp_replace(p, SPACE + "{2,}", " "))), lambda p: p != "")
+    return F.filter(F.transform(F.split(flowing, "\n"), lambda p: F.regexp_replace(p, SPACE + "{2,}", " ")), lambda p: p != "")
 
 
 def normalize(text: Column, number: Column, title: Column) -> Column:

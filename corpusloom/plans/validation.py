@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
 from corpusloom.operators import validation as v
+from corpusloom.operators.duplicate_index import DuplicateIndex
+from corpusloom.steps import shared_dir
 
 _FAULTY = """CASE doc_id % 12 WHEN 1 THEN substring(text, 1, 10) WHEN 2 THEN concat(text, ' page not found') WHEN 3 THEN concat('captcha ', text) WHEN 4 THEN concat('premium ', text)
  WHEN 5 THEN concat(text, ' cartridge') WHEN 6 THEN repeat('<b>x</b> ', 40) WHEN 7 THEN repeat(concat(substring(text, 1, 30), chr(10)), 6) WHEN 8 THEN concat(text, ' ...') WHEN 9 THEN concat(text, ' 1234.5678.')
@@ -64,3 +66,12 @@ def tag_ratio(t):
  SELECT doc_id, CASE WHEN len(lines) < 5 THEN 0.0 ELSE (SELECT coalesce(max(n), 0) FROM c WHERE c.doc_id = l.doc_id) / len(lines) END AS share FROM l""")
 def repetition(t):
     return t("documents").select("doc_id", v.repetition(F.col("text")).alias("share"))
+
+
+@query("J10 V12 W7 D3", "SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY coalesce(try_cast(substring(source, 4) AS INTEGER), 0) % 3, doc_id) > 1 AND text IS NOT NULL AS duplicate FROM documents")
+def duplicates_by_batches(t):
+    """Documents in three batches by their source, each told from those before it by an index on disk."""
+    docs = t("documents").withColumn("batch", F.coalesce(F.expr("try_cast(substring(source, 4) AS INT)"), F.lit(0)) % 3)
+    index = DuplicateIndex(docs.sparkSession, shared_dir(docs.sparkSession), buckets=8)
+    told = [index.add(docs.filter(F.col("batch") == b), b) for b in range(3)]
+    return told[0].union(told[1]).union(told[2]).select("doc_id", "duplicate")

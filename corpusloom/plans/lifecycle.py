@@ -10,7 +10,7 @@ from corpusloom.operators import lifecycle as life
 from corpusloom.operators.structure import embedded_outline, needs_ocr
 from corpusloom.sources import files, web
 from corpusloom.steps import shared_dir
-from corpusloom.streaming import ingest
+from corpusloom.streaming import ingest, jobs
 
 
 @query("D4 P1", "SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus <> 'F' THEN '2024-06-01' WHEN o_orderstatus = 'F' THEN '2020-01-01' END AS superseded_date FROM orders")
@@ -184,3 +184,15 @@ def progress_ticks(t):
     total = t("events").groupBy("user_id").agg(F.count("*").alias("of"))
     tick = F.floor((F.col("n") - 1) / F.greatest(F.ceil(F.col("of") / 50), F.lit(1)))
     return steps.join(total, "user_id").groupBy(F.col("user_id").alias("job"), tick.alias("tick")).agg(F.max("n").cast("long").alias("processed"), F.max("of").alias("total"))
+
+
+@query("X1 X3 D6", "SELECT user_id AS job, CAST(floor((n - 1) / greatest(ceil(of / 50), 1)) AS BIGINT) AS tick, max(n) AS processed, max(of) AS total FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS of FROM events) GROUP BY ALL")
+def streamed_ticks(t):
+    """The same ticks from a stream of steps that arrive in files, with the jobs' state in a state store."""
+    spark, folder = t("events").sparkSession, shared_dir(t("events").sparkSession)
+    steps = t("events").selectExpr("user_id AS job", "ts AS at", "CAST(NULL AS STRING) AS phase", "CAST(NULL AS LONG) AS total")
+    begun = t("events").groupBy(F.col("user_id").alias("job")).agg(F.min("ts").alias("at"), F.lit("queued").alias("phase"), F.count("*").alias("total"))
+    steps.unionByName(begun).selectExpr("job", "CAST(at AS TIMESTAMP) AS at", "phase", "total").repartition(4).write.parquet(f"{folder}/in")
+    stream = ingest.read_events(spark, f"{folder}/in", "job long, at timestamp, phase string, total long", files=2)
+    ingest.run_once(jobs.follow(stream).filter("kind = 'tick'"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").select("job", "tick", "processed", "total")

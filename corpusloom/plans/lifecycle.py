@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
 from corpusloom.operators import lifecycle as life
+from corpusloom.operators import snapshots
 from corpusloom.operators.structure import embedded_outline, needs_ocr
 from corpusloom.sources import files, web
 from corpusloom.steps import shared_dir
@@ -196,3 +197,14 @@ def streamed_ticks(t):
     stream = ingest.read_events(spark, f"{folder}/in", "job long, at timestamp, phase string, total long", files=2)
     ingest.run_once(jobs.follow(stream).filter("kind = 'tick'"), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select("job", "tick", "processed", "total")
+
+
+@query("D1 D4 D7 D10", """SELECT source AS book, doc_id AS number, sha256(text) AS hash, 1 AS version, 1 AS batch, CASE WHEN EXISTS (SELECT 1 FROM documents s WHERE s.lang <> 'en' AND s.source IS NOT DISTINCT FROM d.source) THEN '2024-02-01' END AS superseded_date FROM documents d
+ UNION ALL SELECT source, doc_id, sha256(text), 2, 2, NULL FROM documents WHERE lang <> 'en'""")
+def books_replaced(t):
+    """Two batches of sections into a folder by book: all documents, then new versions of those in other languages, whose books' earlier rows are stamped."""
+    d = t("documents").select(F.col("source").alias("book"), F.col("doc_id").alias("number"), F.sha2("text", 256).alias("hash"), "lang")
+    spark, path, columns = d.sparkSession, shared_dir(d.sparkSession), "book string, number long, hash string"
+    for batch, rows in enumerate((d, d.filter("lang <> 'en'")), 1):
+        snapshots.replace_books(path, rows.drop("lang"), batch, f"2024-0{batch}-01", parts=16)
+    return snapshots.current(spark, path, columns).drop("part")

@@ -70,15 +70,14 @@ def columns_ddl(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
-def sample_by(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most ``n`` different rows (``key``, text) for each value of ``key``, those whose text has the lowest hash. Equal texts count once. Each task first leaves out what is surely above, so that about 1.5 * n rows of a value are ordered."""
+def sample_by(df: DataFrame, key: str, n: int, most: int = 60_000) -> DataFrame:
+    """At most ``n`` different rows (``key``, text) for each value of ``key``, and about ``most`` in all: with many values fewer of each, at least one; of more than ``most`` values those with the most texts. The rows are those whose text has the lowest hash. Equal texts count once, a null key not at all. Each task first leaves out what is surely above, so that about 1.5 times the rows that are kept are ordered."""
     order = F.pmod(F.xxhash64("text"), F.lit(1 << 31))
-    totals = df.groupBy(key).agg(F.approx_count_distinct(order, 0.02).alias("n")).collect()
-    least = None
-    for row in totals:
-        of = F.lit(int((1 << 31) * min(1.0, 1.5 * n / max(row.n, 1))))
-        least = F.when(F.col(key) == row[key], of) if least is None else least.when(F.col(key) == row[key], of)
-    few = (df.filter(order < least) if least is not None else df).select(key, "text", order.alias("_order")).distinct()
+    totals = materialize(df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.approx_count_distinct(order, 0.02).alias("_of")))
+    n = min(n, max(1, most // max(totals.count(), 1)))
+    least = F.lit(1 << 31) * F.least(F.lit(1.0), F.lit(1.5 * n) / F.greatest("_of", F.lit(1)))
+    values = F.broadcast(totals.orderBy(F.desc("_of"), key).limit(most).select(key, least.alias("_least")))  # ``most`` values of a key
+    few = df.join(values, key).filter(order < F.col("_least")).select(key, "text", order.alias("_order")).distinct()
     return few.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_order", "text"))).filter(F.col("_n") <= n).select(key, "text")
 
 

@@ -205,7 +205,7 @@ def train(rows: list[tuple[bytes, int]], share: float) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model:
-    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), of which only the given rows are used."""
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), of which only the given rows are used. Of several texts of one doc_id it takes the one of the lowest hash."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sum(count.values()):
@@ -213,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
     picked = [bounded_sample(known.filter(f"toxic = {k}"), n) for k, n in sorted(sample.items())]
     ids = F.broadcast(picked[0].union(picked[1]))
     texts = docs.select("doc_id", "text").filter(F.length("text") <= MAX_SAMPLE_CHARS).join(ids, "doc_id")
-    rows = texts.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("o"), "doc_id", "text", "toxic").distinct().collect()
+    one = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = one.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("o"), "doc_id", "text", "toxic").collect()
     return train([(r.text.encode(), r.toxic) for r in sorted(rows)], count.get(1, 0) / sum(count.values()))
 
 

@@ -1,6 +1,8 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8, or whose SimHash differs by at most two bits (operator 4), grouped into components.
 
-Candidates come from exact prefix filtering, so no similar pair is missed. Under any fixed order of all shingles, two sets of similarity s share one of their first ``n - ceil(s * n) + 1`` shingles. Here a shingle comes first if few sets hold it, so that a passage that many documents share stands among the first only where a document is hardly anything else. A shingle of one set alone meets nothing, so that most sets have no candidates at all. (``SHARE`` in eight shingles by their hash are ordered so; with fewer than eight, less is shuffled, the others follow by hash, and shared passages give more candidates.)
+Candidates come from exact prefix filtering, so no similar pair is missed. Under any fixed order of all shingles, two sets of similarity s share one of their first ``n - ceil(s * n) + 1`` shingles. Here a shingle comes first if few sets hold it, so that a passage that many documents share stands among the first only where a document is hardly anything else. A shingle of one set alone meets nothing, so that most sets have no candidates at all.
+
+Shingles that a bounded sample of the sets shows to be in many of them come last in the order, without a count, and their rows are dealt by set too, so that no task gets a shared passage whole; a run of equal shingles is read in pieces. The sample decides where rows go and in which order they stand, never which pairs are found. Each task sends equal sets once.
 
 Sets that share a shingle are first held against two of them, one picked in eight ways by the shingle's hash, and the one with the least that no other set has, so that a large group costs some ten pairs a member. Only sets that share a shingle, are then still in different components and have enough behind the shingle in their orders to be similar are listed as pairs. Every candidate is verified by its whole set.
 
@@ -20,7 +22,11 @@ from pyspark.sql import functions as F
 from corpusloom.llm import simhash
 from corpusloom.llm.common import bound_batches, map_batches, materialize, texts_of
 
-SHINGLE, SEED, SHARE, WAYS = 5, 42, 8, 8
+SHINGLE, SEED, WAYS = 5, 42, 8
+#: Sets in the sample for frequent shingles, how many of them make one frequent, the most that are listed, and over how many tasks its rows are dealt.
+SAMPLE, FREQUENT, LISTED, SALTS = 4000, 40, 200_000, 64
+#: Sets a task remembers as sent, and rows of one shingle that it holds at once (2 or more).
+REMEMBERED, HELD = 200_000, 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,72 +57,115 @@ def prefix_length(n):
     return n - (4 * n + 4) // 5 + 1
 
 
-def _first(x: np.ndarray) -> np.ndarray:
-    """Which shingles come first in the order of all."""
-    return x % np.uint64(8) < SHARE
-
-
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, key, n, u) of every document: SimHash, name and size of its set, and how many of the set come first."""
+    """(doc_id, fp, key, n) of every document: SimHash, name and size of its set."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(b.column(1))
         fp = np.frombuffer(b"".join(map(simhash.fingerprint, texts)), ">u8").astype(np.uint64).view(np.int64)
         sets = list(map(shingles, texts))
-        made = [pa.array(fp), pa.array([key_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(_first(x).sum()) for x in sets], pa.int64())]
-        return pa.RecordBatch.from_arrays([b.column(0), *made], ["doc_id", "fp", "key", "n", "u"])
-
-    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), f, "doc_id long, fp long, key long, n long, u long")
-
-
-def _sets(docs: DataFrame, whole: bool) -> DataFrame:
-    """(key, x): the set of every document, whole or only what its prefix can hold."""
+        made = [pa.array(fp), pa.array([key_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
+        return pa.RecordBatch.from_arrays([b.column(0), *made], ["doc_id", "fp", "key", "n"])
 
-    def part(x: np.ndarray) -> np.ndarray:
-        first = _first(x)
-        return np.concatenate([x[first], x[~first][: max(prefix_length(len(x)) - int(first.sum()), 0)]])
-
-    def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = list(map(shingles, texts_of(b.column(0))))
-        kept = sets if whole else list(map(part, sets))
-        flat = np.concatenate([np.empty(0, np.uint64), *kept]).view(np.int64)
-        at = np.cumsum([0, *map(len, kept)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array([key_of(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["key", "x"])
-
-    return map_batches(docs.selectExpr("cast(text as string) text"), f, "key long, x array<long>")
+    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), f, "doc_id long, fp long, key long, n long")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """(key, x, df, star) of ``rows`` (x, key) for every x that several sets hold; star is the set that the others of x are held against."""
-    bound_batches(rows.sparkSession)
+def _sets(docs: DataFrame) -> DataFrame:
+    """(key, x): the set of every document; a task sends one that it remembers once."""
+    bound_batches(docs.sparkSession)
 
-    def whole(x: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for b in batches:
+            made = {}
+            for x in map(shingles, texts_of(b.column(0))):
+                if (key := key_of(x)) not in sent:
+                    made[key] = x
+            sent = (sent if len(sent) < REMEMBERED else set()) | made.keys()
+            flat = np.concatenate([np.empty(0, np.uint64), *made.values()]).view(np.int64)
+            at = np.cumsum([0, *map(len, made.values())]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["key", "x"])
+
+    return docs.selectExpr("cast(text as string) text").mapInArrow(run, "key long, x array<long>")
+
+
+def _texts_of_keys(docs: DataFrame, keys: DataFrame, winners: DataFrame) -> DataFrame:
+    """Those of ``docs`` whose doc_id is that of a winner (key, doc_id) of ``keys`` (key)."""
+    ids = keys.join(winners, "key").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids._id), "left_semi")
+
+
+def frequent_shingles(docs: DataFrame, winners: DataFrame) -> np.ndarray:
+    """The shingles, in order, that at least ``FREQUENT`` of about ``SAMPLE`` different sets hold: at most ``LISTED``, those in most of them."""
+    total = max(winners.count(), 1)
+    keys = winners.select("key").filter(F.pmod(F.xxhash64("key"), F.lit(1 << 31)) < min(1 << 31, int((1 << 31) * SAMPLE / total) + 1))
+    sets = _sets(_texts_of_keys(docs, keys, winners)).dropDuplicates(["key"])
+    held = sets.select(F.explode("x").alias("x")).groupBy("x").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "x").limit(LISTED)
+    return np.sort(np.array([r.x for r in held.select("x").collect()], np.int64))
+
+
+def _shared(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(key, x, df, star) of ``sets`` (key, x) for every x that several sets hold: how many hold it (``HELD`` stands for more, the greatest number for a frequent one) and the set that the others of x are held against. A frequent x has a star for each of its parts, and a set that is alone in its part is its own."""
+    often = np.int64((1 << 63) - 1)
+
+    def dealt(b: pa.RecordBatch) -> pa.RecordBatch:
+        x, size = b.column(1).values.to_numpy(), b.column(1).value_lengths().to_numpy()
+        key = np.repeat(b.column(0).to_numpy(), size)
+        salt = np.zeros(len(x), np.int32)
+        if len(frequent) and len(x):
+            found = frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
+            salt[found] = 1 + _mix(key[found].view(np.uint64)) % np.uint64(SALTS)
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(key), pa.array(salt)], ["x", "key", "salt"])
+
+    def told(x: np.ndarray, key: np.ndarray, salt: np.ndarray, df_: int | None = None, star_: int | None = None) -> tuple[pa.RecordBatch, int]:
+        """Rows of whole runs; or, with ``df_``, of a piece of one, to which an earlier piece has given ``star_``. Also the last run's star."""
         new = np.r_[True, (x[1:] != x[:-1]) | (key[1:] != key[:-1])]
-        x, key = x[new], key[new]
-        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        counts = np.diff(np.r_[starts, len(x)])
-        df = np.repeat(counts, counts)
-        x, key, df = x[df > 1], key[df > 1], df[df > 1]
+        x, key, salt = x[new], key[new], salt[new]
+        starts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (salt[1:] != salt[:-1])])
+        size = np.diff(np.r_[starts, len(x)])
         way = _mix(key.view(np.uint64) + (x.view(np.uint64) >> np.uint64(3)) % np.uint64(WAYS) * _MULTIPLIER)
-        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
-        star = key[np.lexsort((way, x))][starts] if len(x) else key  # x stays in groups; the least way comes first
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, x, df, np.repeat(star, np.diff(np.r_[starts, len(x)])) if len(x) else key)], ["key", "x", "df", "star"])
+        star = key[np.lexsort((way, np.repeat(starts, size)))][starts]  # runs stay where they are; the least way comes first
+        df, star = np.repeat(size if df_ is None else np.full(len(size), df_), size), np.repeat(star, size) if star_ is None else np.full(len(x), star_)
+        df = np.where(salt > 0, often, np.minimum(df, HELD))
+        rows = [pa.array(c[df > 1]) for c in (key, x, df, star)]
+        return pa.RecordBatch.from_arrays(rows, ["key", "x", "df", "star"]), int(star[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last x may go on in the next batch
+        held, star, end = None, None, None  # rows of the last run, which may go on; if a piece of it was given out: its star, its last row
         for b in batches:
             if not b.num_rows:
                 continue
-            x, key = b.column(0).to_numpy(), b.column(1).to_numpy()
-            last = int(np.searchsorted(x, x[-1]))
-            if last or held and held[0][0][0] != x[0]:
-                yield whole(*(np.concatenate(c) for c in zip(*held, (x[:last], key[:last]), strict=True)))
-                held = []
-            held.append((x[last:], key[last:]))
-        if held:
-            yield whole(*map(np.concatenate, zip(*held, strict=True)))
-
-    return rows.repartition("x").sortWithinPartitions("x", "key").mapInArrow(run, "key long, x long, df long, star long")
+            rows = [b.column(c).to_numpy() for c in ("x", "key", "salt")]
+            if held is not None:
+                rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            if end is not None:
+                mine = int(((rows[0] == end[0]) & (rows[2] == end[2])).sum())
+                if mine == len(rows[0]) <= HELD:
+                    held = rows
+                    continue
+                fresh = rows[1][:mine] != end[1]  # copies of the last row are left out
+                if fresh.any():
+                    yield told(*(c[:mine][fresh] for c in rows), HELD, star)[0]
+                if mine == len(rows[0]):
+                    held, end = None, [c[-1] for c in rows]
+                    continue
+                rows, star, end = [c[mine:] for c in rows], None, None
+            changes = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[2] != rows[2][-1]))
+            cut = int(changes[-1]) + 1 if len(changes) else 0
+            if cut:
+                yield told(*(c[:cut] for c in rows))[0]
+            held = [c[cut:] for c in rows]
+            if len(held[0]) > HELD:
+                piece, star = told(*held, HELD)
+                yield piece
+                held, end = None, [c[-1] for c in held]
+        if held is not None:
+            fresh = np.ones(len(held[0]), bool) if end is None else held[1] != end[1]
+            if fresh.any():
+                yield told(*(c[fresh] for c in held), None if end is None else HELD, star)[0]
+
+    rows = map_batches(sets, dealt, "x long, key long, salt int")
+    return rows.repartition("x", "salt").sortWithinPartitions("x", "salt", "key").mapInArrow(run, "key long, x long, df long, star long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -127,17 +176,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, sized: DataFrame, winners: DataFrame) -> DataFrame:
-    """(a, b): links between keys that connect exactly those that chains of similarity 0.8 connect. ``sized``: (key, n, u); ``winners``: (key, doc_id), a document of each."""
-    shared = _shared(_sets(docs, False).select(F.explode("x").alias("x"), "key"))
-    later = F.pmod(F.col("x"), F.lit(8)) >= SHARE
-    by_key = shared.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(later.alias("later"), "df", "x", "star"))).alias("xs")).join(sized, "key")
-    alone = F.col("u") - F.size(F.filter("xs", lambda s: ~s["later"]))
-    p = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
-    taken = F.when(F.col("u") < p, F.size("xs")).otherwise(F.greatest(p - alone, F.lit(0))).cast("int")
-    # a shingle's place in its set's order, or (for the later ones) a place that is surely not behind it
-    place = lambda s, i: F.struct(s["x"].alias("x"), s["star"].alias("star"), F.when(s["later"], F.col("u")).otherwise(alone + i).cast("long").alias("at"))
-    told = by_key.select("key", "n", (alone / F.greatest("u", F.lit(1))).alias("lone"), F.explode(F.transform(F.slice("xs", F.lit(1), taken), place)).alias("s"))
-    prefix = materialize(told.select("key", "n", "lone", "s.x", "s.star", "s.at"))
+    """(a, b): links between keys that connect exactly those that chains of similarity 0.8 connect. ``sized``: (key, n); ``winners``: (key, doc_id), a document of each."""
+    shared = _shared(_sets(docs), frequent_shingles(docs, winners))
+    by_key = shared.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "x", "star"))).alias("xs")).join(sized, "key")
+    alone = F.col("n") - F.size("xs")
+    taken = F.greatest(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - alone, F.lit(0)).cast("int")
+    told = by_key.select("key", "n", (alone / F.greatest("n", F.lit(1))).alias("lone"), alone.alias("alone"), F.posexplode(F.slice("xs", F.lit(1), taken)).alias("i", "s"))
+    prefix = materialize(told.select("key", "n", "lone", "s.x", "s.star", (F.col("alone") + F.col("i")).alias("at")))
     # beside the star, the set with the least that no other has: of edited copies that is what they were made from
     central = prefix.groupBy("x").agg(F.min(F.struct("lone", "key"))["key"].alias("central"))
     stars = prefix.select("key", "star").union(prefix.join(central, "x").select("key", "central"))
@@ -147,9 +192,7 @@ def similar_links(docs: DataFrame, sized: DataFrame, winners: DataFrame) -> Data
     pairs = pairs.join(sized.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(size.withColumnRenamed("star", "b"), "b").filter(near("na", "m")).select("a", "b")
     pairs = materialize(pairs)
     wanted = prefix.select("key").union(prefix.select("star")).distinct()
-    ids = wanted.join(winners, "key").select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.join(ids, docs.doc_id.eqNullSafe(ids._id), "left_semi")
-    sets = materialize(_sets(texts, True).join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+    sets = materialize(_sets(_texts_of_keys(docs, wanted, winners)).join(wanted, "key", "left_semi").dropDuplicates(["key"]))
     found = materialize(_verified(pairs, sets))
     # what the stars left apart
     roots = simhash.components(found)
@@ -167,12 +210,12 @@ def similar_links(docs: DataFrame, sized: DataFrame, winners: DataFrame) -> Data
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, key, component_id, root) for every document; component_id is the smallest doc_id within reach, root the smallest key."""
     by_doc = materialize(signatures(docs))
-    sized = materialize(by_doc.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("u").alias("u")))
+    sized = materialize(by_doc.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")))
     low = materialize(by_doc.groupBy("fp").agg(F.min("key").alias("low")))
     equal = by_doc.select("fp", "key").distinct().join(low, "fp").filter("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b"))
     bits = simhash.ball_links(low.select("fp"))
     bits = bits.join(low.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("fp").alias("b"), F.col("low").alias("lb")), "b").select("la", "lb")
-    similar = similar_links(docs, sized.select("key", "n", "u"), sized.select("key", F.col("first").alias("doc_id")))
+    similar = similar_links(docs, sized.select("key", "n"), sized.select("key", F.col("first").alias("doc_id")))
     named = simhash.named_components(sized.select("key", "first"), "key", simhash.components(equal.union(bits).union(similar)))
     return by_doc.join(named, "key").select("doc_id", "key", "component_id", "root")
 

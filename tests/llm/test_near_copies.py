@@ -64,6 +64,23 @@ def test_groups_of_small_tables(spark):
     assert near_copies.drop_near_copies(empty(spark)).count() == 0
 
 
+def test_frequent_shingles_and_long_runs(spark, monkeypatch):
+    """Boilerplate in all sets: its rows are dealt by set and its runs read in pieces; the groups are the same."""
+    line = " ".join(f"line{i}" for i in range(30))
+    ts = [f"{t} {line}" for t in edited(5, 25, 3)] + [line] * 40 + [f"{line} {i}" for i in range(60)]
+    rows = list(enumerate(random.Random(2).sample(ts, len(ts))))
+    df = spark.createDataFrame([(i, t, None, None, len(t), None, None) for i, t in rows], SCHEMA).repartition(5)
+    want = brute_groups(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for frequent, held in ((10, 200_000), (10, 3), (10_000, 20), (10_000, 2)):
+            for name, value in {"FREQUENT": frequent, "HELD": held, "SALTS": 4, "REMEMBERED": 30}.items():
+                monkeypatch.setattr(near_copies, name, value)
+            assert {r.doc_id: r.component_id for r in near_copies.near_copy_groups(df).collect()} == want, (frequent, held)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_groups_of_a_table(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")

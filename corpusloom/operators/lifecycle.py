@@ -64,6 +64,12 @@ def backfill(sections: DataFrame, clean: Column, hash_of: Callable[[Column], Col
     return fresh.withColumn("normalized_hash", hash_of(F.col("full_text"))).drop("_raw")
 
 
+def changed_texts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Those rows of ``after`` (id, normalized_hash, ...) whose hash isn't that of the row of ``before`` (id, normalized_hash), or that are new there: what has to be embedded again. Narrow rows of ``before`` meet ``after`` in one join."""
+    old = before.select("id", "normalized_hash").distinct()
+    return after.join(old.withColumnRenamed("id", "_id").withColumnRenamed("normalized_hash", "_hash"), F.col("id").eqNullSafe(F.col("_id")) & F.col("normalized_hash").eqNullSafe(F.col("_hash")), "left_anti")
+
+
 def reindex(sections: DataFrame, fresh: DataFrame, key: str, today: Column) -> DataFrame:
     """The next snapshot of ``sections`` when the books (``key``) of ``fresh`` were read again: their live rows stamped, the new rows after them."""
     read = fresh.select(F.col(key).alias("_key")).distinct().withColumn("_read", F.lit(True))

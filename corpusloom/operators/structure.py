@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
 from corpusloom.operators.scan import running
+from corpusloom.steps import written
 
 EDGE_LINES, LEAST_PAGES, PAGE_SHARE, OFFSET, FRONT_PAGES, OCR_CHARS, MOST_CHARS = 3, 5, 0.25, 20, 40, 50, 200_000
 # Fixed patterns: a row of a printed outline (number, title, leader, page); the heading above it.
@@ -18,6 +19,18 @@ TOC_ROW = r"^\s*((?:Chapter|Part|Appendix)\s+[A-Z0-9IVX]+|[A-Z]\.\d+(?:\.\d+)*|\
 TOC_HEADING = r"^\s*(Contents|Table of Contents|CONTENTS|TABLE OF CONTENTS)\s*$"
 
 
+def over_chapters(chapters: DataFrame) -> DataFrame:
+    """(book, chapter, at, place, section) of ``chapters`` (book, chapter, sections): the sections of a book's chapters one after another, numbered from 0 over the book by ``place`` and within the chapter by ``at``.
+
+    Only the chapters' sizes are scanned, a narrow row each; their sections move at most for one join. A chapter without sections gives none, null ones stay; rows of one chapter that come twice make one chapter, with the sections of the row that has most (of these, the greatest).
+    """
+    one = chapters.groupBy("book", "chapter").agg(F.max(F.struct(F.size("sections").alias("n"), "sections")).alias("c")).select("book", "chapter", "c.n", "c.sections")
+    one = written(one.withColumn("n", F.greatest("n", F.lit(0)).cast("long")))
+    before = running(one.select(F.col("book").alias("_b"), F.col("chapter").alias("_c"), "n"), "_b", ["_c"], sums={"_last": F.col("n")}).withColumn("_first", F.col("_last") - F.col("n")).drop("n", "_last")
+    placed = one.join(before, one.book.eqNullSafe(before._b) & one.chapter.eqNullSafe(before._c))
+    return placed.select("book", "chapter", "_first", F.posexplode("sections").alias("at", "section")).select("book", "chapter", "at", (F.col("_first") + F.col("at")).alias("place"), "section")
+
+
 def lines_of(pages: DataFrame) -> DataFrame:
     """(doc, page, at, line, of): every line, its place from 1 and the page's number of lines."""
     split = pages.select("doc", "page", F.split("text", "\n").alias("all"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.catalog import query
 from corpusloom.operators import lifecycle as life
 from corpusloom.operators import snapshots
-from corpusloom.operators.structure import embedded_outline, needs_ocr
+from corpusloom.operators.scan import running
+from corpusloom.operators.structure import embedded_outline, needs_ocr, over_chapters
 from corpusloom.sources import files, web
 from corpusloom.steps import shared_dir
 from corpusloom.streaming import ingest, jobs
@@ -84,6 +85,30 @@ def token_stream(t):
     return pieces.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "piece"))).alias("x")).select("user_id", F.array_join(F.transform("x", lambda p: p.piece), "").alias("answer"))
 
 
+@query("S20 X4", """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, json_extract_string(props, '$.k') AS k, count(*) OVER (PARTITION BY user_id) AS of FROM events)
+ SELECT user_id AS answer, CAST(floor(seq / 20) AS BIGINT) AS part, string_agg(coalesce('[' || k || ']', ''), '' ORDER BY seq) AS text, max(seq) + 1 = max(of) AS done FROM e GROUP BY ALL""")
+def token_parts(t):
+    """Answers from files of JSON lines, read as a stream and put together in parts of 20 pieces. The lines are the events of a user, in order; those of the first batch come twice, and some are broken."""
+    e = t("events").select("user_id", "ts", "event_id", F.get_json_object("props", "$.k").alias("k"))
+    spark, folder = e.sparkSession, shared_dir(e.sparkSession)
+    numbered = running(e, "user_id", ["ts", "event_id"], sums={"seq": F.lit(1).cast("long")}).withColumn("seq", F.col("seq") - 1)
+    last = e.groupBy("user_id").agg((F.count("*") - 1).alias("last"))
+    line = F.to_json(F.struct(F.col("user_id").alias("answer"), "seq", F.concat(F.lit("["), "k", F.lit("]")).alias("response"), (F.col("seq") == F.col("last")).alias("done")))
+    lines = numbered.join(last, "user_id").select(line.alias("value"), "seq")
+    lines.select("value").repartition(4).write.text(f"{folder}/in")
+    lines.filter("seq < 5").select(F.explode(F.array("value", F.substring("value", 1, 9)))).write.mode("append").text(f"{folder}/in")
+    ingest.run_once(ingest.answer_pieces(ingest.read_lines(spark, f"{folder}/in", files=2)), f"{folder}/out", f"{folder}/checkpoint")
+    return ingest.answer_parts(spark.read.parquet(f"{folder}/out"), 20)
+
+
+@query("U5 W6", """WITH d AS (SELECT source, doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), c AS (SELECT *, CAST(sum(len(lines)) OVER (PARTITION BY source ORDER BY doc_id) - len(lines) AS BIGINT) AS first FROM d)
+ SELECT source AS book, doc_id AS chapter, first + i AS place, sha256(lines[i + 1]) AS hash FROM (SELECT *, unnest(range(0, len(lines))) AS i FROM c)""")
+def sections_over_chapters(t):
+    """The sections of a book's chapters one after another: documents are chapters of their source, lines their sections."""
+    chapters = t("documents").filter("text IS NOT NULL").select(F.col("source").alias("book"), F.col("doc_id").alias("chapter"), F.split("text", "\n").alias("sections"))
+    return over_chapters(chapters).select("book", "chapter", "place", F.sha2("section", 256).alias("hash"))
+
+
 @query("X5", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def hourly_progress(t):
     """The batch form of the streaming extension's windows; tests/test_operators.py holds the stream against it."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.catalog import query
 from corpusloom.functions import text as x
 from corpusloom.operators import lifecycle as life
+from corpusloom.sources.files import with_embeddings
 from corpusloom.steps import written
 
 
@@ -154,6 +155,19 @@ def backfill_rows(t):
     return of(True).union(of(False))
 
 
+_WAS = "sha256(lower({}))".format(_CLEAN.format("full_text"))
+
+
+@query("D12 S17", f"WITH s AS ({_SECTIONS}) SELECT id, hash, [length(clean)::DOUBLE, (length(clean) - length(replace(clean, ' ', '')))::DOUBLE] AS embedding FROM (SELECT id, {_CLEAN.format('coalesce(full_text_raw, full_text)')} AS clean, sha256(lower({_CLEAN.format('coalesce(full_text_raw, full_text)')})) AS hash, {_WAS} AS was FROM s WHERE superseded_date IS NULL) WHERE hash <> was")
+def backfill_embeddings(t):
+    """Live rows normalized again; those whose text is another than before are embedded again, in Arrow batches, by an embedder of the caller's."""
+    hash_ = lambda c: x.sha256(x.squeeze(c))
+    fresh = life.backfill(_sections(t), x.normalize(F.col("_raw"), F.lit(None), F.lit(None)), hash_, True)
+    before = _sections(t).select("id", hash_(F.col("full_text")).alias("normalized_hash"))
+    made = with_embeddings(life.changed_texts(before, fresh).select("id", "normalized_hash", "full_text"), "full_text", lambda ts: [[float(len(v)), float(v.count(" "))] for v in ts])
+    return made.select("id", F.col("normalized_hash").alias("hash"), F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))
+
+
 @query("D10 U5", f"WITH s AS ({_SECTIONS}) SELECT id, book, CAST(CASE WHEN superseded_date IS NULL AND book IN (7, 9) THEN DATE '2024-06-01' ELSE superseded_date END AS VARCHAR) AS until, full_text FROM s UNION ALL SELECT id + 1000000, book, NULL, 'read again ' || p_name FROM (SELECT p_partkey AS id, p_size AS book, p_name FROM part WHERE p_size IN (7, 9))")
 def reindex_books(t):
     """Two books read again: their live sections stamped, the new ones after them, for all chapters together."""

@@ -167,6 +167,14 @@ def stored_bytes(t):
     return files.stored_bytes(spark, paths, first).select("filename", F.base64("content").alias("content"))
 
 
+@query("S3")
+def file_fetched(t):
+    """The first by name of two tables' files, found in the list and read alone."""
+    spark = t("region").sparkSession
+    listed = files.list_files(spark, t("region").inputFiles() + t("nation").inputFiles())
+    return files.fetch_file(spark, listed.orderBy("filename", "path").first().path).select("filename", "size_bytes", F.base64("content").alias("content"))
+
+
 @query("S6 S10", "SELECT page_id AS path, CAST(k AS INTEGER) AS page, 'page ' || k || ' of ' || page_id AS text, k % 2 = 0 AS ocr FROM pages, range(1, 4) AS r(k)")
 def pages_of_files(t):
     """Pages of stored files by a reader of the caller's, each with whether it must be read from its picture. The files are made: three pages, apart at form feeds, the second with hardly any text."""

@@ -28,6 +28,11 @@ def stored_bytes(spark: SparkSession, path: str | list[str], wanted: DataFrame)
     return named.join(wanted.select("sha256").distinct(), "sha256", "left_semi")
 
 
+def fetch_file(spark: SparkSession, path: str) -> DataFrame:
+    """(path, filename, size_bytes, content) of the file that ``list_files`` gives as ``path``; no other one is read."""
+    return spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"), "content")
+
+
 def file_pages(files: DataFrame, open_pages: Callable[[bytes], list[str]]) -> DataFrame:
     """(path, page, text) of ``files`` (path, content), by a reader of the caller's that gives the texts of a file's pages."""
 

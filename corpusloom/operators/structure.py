@@ -5,12 +5,16 @@ Pages come as rows (doc, page, text); files are opened by whatever reads them, o
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import pairwise
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
 from corpusloom.operators.scan import running
+from corpusloom.operators.tables import small
 from corpusloom.steps import written
 
 EDGE_LINES, LEAST_PAGES, PAGE_SHARE, OFFSET, FRONT_PAGES, OCR_CHARS, MOST_CHARS = 3, 5, 0.25, 20, 40, 50, 200_000
@@ -94,35 +98,38 @@ def repair_pages(toc: DataFrame, pages: DataFrame, window: int = 10) -> DataFram
 
     What was found last decides where the next is looked for, so a document is one group; of its pages, only those lines reach the worker that begin with a number of its outline, and of them the number.
     """
-    wanted = toc.filter(strip(F.coalesce("number", F.lit(""))) != "").select(F.col("doc").alias("_doc"), strip(F.col("number")).alias("_number")).distinct()
-    # a line can only begin with numbers that begin with its own first character
-    heads = lines_of(pages).select("doc", "page", F.ltrim(F.regexp_replace("line", r"^\s+", "")).alias("_line")).filter("_line <> ''").withColumn("_c", F.substring("_line", 1, 1))
-    by_first = wanted.groupBy("_doc", F.substring("_number", 1, 1).alias("_c")).agg(F.collect_set("_number").alias("_numbers"))
-    there = heads.join(by_first.withColumnRenamed("_doc", "doc"), ["doc", "_c"]).select("doc", "page", F.explode(F.filter("_numbers", lambda n: F.col("_line").startswith(n) & _ends_word(n, F.col("_line")))).alias("number"))
-    found = there.groupBy("doc", "page").agg(F.collect_set("number").alias("heads"))
+    wanted = toc.filter(strip(F.coalesce("number", F.lit(""))) != "").select(F.col("doc").alias("_doc"), strip(F.col("number")).alias("number")).distinct()
+    # a line's beginnings as long as a number of the outline are looked up: a few keys for each line, however many numbers there are
+    long = wanted.groupBy(F.col("_doc").alias("doc")).agg(F.collect_set(F.length("number")).alias("_long"))
+    heads = lines_of(pages).select("doc", "page", F.regexp_replace("line", r"^\s+", "").alias("_line")).filter("_line <> ''")
+    begun = heads.join(small(written(long)), "doc").select("doc", "page", "_line", F.explode(F.filter("_long", lambda k: k <= F.length("_line"))).alias("_k"))
+    begun = begun.select("doc", "page", "_line", F.substr("_line", F.lit(1), F.col("_k")).alias("number")).filter(_ends_word(F.col("number"), F.col("_line"))).select("doc", "page", "number")
+    there = begun.join(wanted, (F.col("doc") == F.col("_doc")) & (begun.number == wanted.number)).select("doc", "page", begun.number)
     counts = pages.groupBy("doc").agg(F.max("page").alias("n"))
-    per_doc = counts.join(found, "doc", "left")
+    per_doc = counts.join(there.distinct(), "doc", "left").select("doc", "n", "page", "number")
 
     def mend(key, entries: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         n = int(there.n.max()) if len(there) else 0
-        pages_of: dict[str, list[int]] = {}
-        for p, heads_ in zip(there.page, there.heads, strict=True):
-            for h in heads_ if heads_ is not None else ():
-                pages_of.setdefault(h, []).append(int(p))
-        last, out = 1, []
-        for e in entries.sort_values("seq").itertuples():
-            stands = pages_of.get((e.number or "").strip(), ())
-            said = None if pd.isna(e.page) else int(e.page)
+        on = there.loc[there.number.notna(), ["number", "page"]].sort_values(["number", "page"], ignore_index=True)
+        pages_, numbers = on["page"].tolist(), on["number"]
+        starts = on.index[numbers != numbers.shift()].tolist()  # where each number's pages begin
+        run = dict(zip(numbers.iloc[starts], pairwise([*starts, len(on)]), strict=True))
+        entries = entries.sort_values("seq")
+        last, mended, states = 1, [], []
+        for number, page in zip(entries["number"], entries["page"], strict=True):
+            lo, hi = run.get((number or "").strip(), (0, 0))
+            said = None if pd.isna(page) else int(page)
             claimed = max(1, min(said, n)) if said is not None else 0
-            near = [p for p in stands if last <= p <= min(last + window, n)]
-            if claimed >= last and claimed in stands:
+            near, at = (bisect_left(pages_, p, lo, hi) for p in (last, claimed))
+            if claimed >= last and at < hi and pages_[at] == claimed:
                 page, state, last = said, "", claimed
-            elif near:
-                page, state, last = min(near), "verified", min(near)
+            elif near < hi and pages_[near] <= min(last + window, n):
+                page, state, last = int(pages_[near]), "verified", int(pages_[near])
             else:
                 page, state = min(last, n), "unverified"
-            out.append((e.doc, e.seq, e.number, page, state))
-        return pd.DataFrame(out, columns=["doc", "seq", "number", "page", "state"]).astype({"page": "Int32"})
+            mended.append(page)
+            states.append(state)
+        return entries.assign(page=pd.array(mended, "Int32"), state=states)
 
     kind = dict(toc.dtypes)
     schema = f"doc {kind['doc']}, seq {kind['seq']}, number string, page int, state string"

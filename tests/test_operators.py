@@ -77,6 +77,15 @@ def test_page_repair(spark):
     assert got == [(2, ""), (4, "verified"), (4, "unverified"), (5, ""), (5, "unverified"), (6, "verified")]
 
 
+def test_page_repair_looks_numbers_up(spark):
+    """Lines meet the outline's numbers by a join on the number: no row lists all numbers of an outline that begin alike."""
+    pages = spark.createDataFrame([("d", p, f"{p}.1 Title") for p in range(1, 301)], "doc string, page int, text string")
+    toc = spark.createDataFrame([("d", p, f"{p}.1", 1) for p in range(1, 301)], "doc string, seq int, number string, page int")
+    out = structure.repair_pages(toc, pages)
+    assert "collect_set(number" not in out._jdf.queryExecution().optimizedPlan().toString().replace("_number", "number")
+    assert [r.page for r in out.orderBy("seq").collect()] == list(range(1, 301))
+
+
 def test_page_repair_of_odd_numbers(spark):
     """A number that is null or blank stands nowhere; one with a hyphen, a bracket or letters beyond ASCII is matched whole, at a word's edge."""
     texts = {1: "intro\nC-10 no", 2: " 3.1.1 more", 3: "x\n\n   C-1 Heading\nB(2) y", 4: "3.1 Title\nÄ1é z", 5: "Ä1 w"}

@@ -169,10 +169,10 @@ def amendment(text: Column) -> Column:
 
 
 def size_label(n: Column) -> Column:
-    """Bytes for people: one decimal below ten."""
+    """Bytes for people: one decimal below ten; a value halfway between two goes to the even one (format_string alone rounds it up)."""
     unit = F.least(F.lit(3), F.when(n > 0, F.floor(F.log(n.cast("double")) / F.log(F.lit(1024.0)) + 1e-12)).otherwise(0)).cast("int")
     v = n / F.pow(F.lit(1024.0), unit)
-    return F.when((n == 0) | n.isNull(), "—").otherwise(F.concat(F.when(v >= 10, F.format_string("%.0f", v)).otherwise(F.format_string("%.1f", v)), F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), unit + 1)))
+    return F.when((n == 0) | n.isNull(), "—").otherwise(F.concat(F.when(v >= 10, F.format_string("%.0f", F.bround(v, 0))).otherwise(F.format_string("%.1f", F.bround(v, 1))), F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), unit + 1)))
 
 
 def age_label(seconds: Column, day: Column) -> Column:

@@ -249,3 +249,9 @@ def test_rank(spark):
     got = one(spark, lexical.rank(lexical.lexemes(F.lit("a b a, c A")), F.array(F.lit("a"), F.lit("z"))))
     assert got == pytest.approx(0.1 * (1 + 1 / 4 + 1 / 9) / 1.64493406685 / 2, abs=1e-6)
     assert one(spark, lexical.stemmed(F.lit("The readings of Heating"))) == ["read", "heat"]
+
+
+def test_size_label_between_two(spark):
+    """Halfway values go to the even digit, as the query's SQL has it."""
+    d = spark.createDataFrame([(x,) for x in (1280, 1408, 790 * 1024 + 512, 791 * 1024 + 512, 5, 0)], "n long")
+    assert [r[0] for r in d.select(text.size_label(F.col("n"))).collect()] == ["1.2 KB", "1.4 KB", "790 KB", "792 KB", "5.0 B", "—"]

@@ -132,6 +132,23 @@ def test_trigrams_by_brute_force(spark):
         assert sorted(row.g) == sorted({row.l[i : i + 3] for i in range(len(row.l) - 2)})
 
 
+def test_postings_are_lists_of_places(spark, tmp_path):
+    """A row for each chunk and trigram: many sections that share their trigrams make few rows."""
+    d = spark.range(3000).selectExpr("id", "'title' AS section_title", "concat('the same text ', id % 3) AS full_text")
+    index = trigram_index.build(d.coalesce(1), str(tmp_path / "t"))
+    assert index.grams.count() < 3000
+    assert index.counts.filter("gram = 'sam'").first().n == 3000
+    texts = ["", "abcab", "\U0001f600abc" * 9, "ab", "abc\0\0"]
+    found, at = trigram_index._places(texts)
+    assert dict(zip(found.to_pylist(), at.to_pylist(), strict=True)) == {g: [i for i, t in enumerate(texts) if g in t] for g in {t[i : i + 3] for t in texts for i in range(len(t) - 2)}}
+
+
+def test_wildcards_in_a_long_text_are_not_tried_again(spark):
+    """A text that holds the first pieces very often and the last one never: LIKE's own expression tries every way."""
+    d = spark.createDataFrame([(1, "t", "th heat " * 20000), (2, "t", "th heat " * 20000 + "heats an")], "id long, section_title string, full_text string")
+    assert [r.id for r in retrieval.like_search(d, "th%heat%heat_ an").collect()] == [2]
+
+
 def test_row_groups_are_skipped(spark):
     """The filter on the trigrams reaches the scan of postings, which reads a part of them."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id AS id", "source AS section_title", "text AS full_text")

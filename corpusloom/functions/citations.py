@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed patterns, by kind, in the order in which references are told; group 1 is the target.
 _NUMBER = r"(?:Section|§)\s+(\d{3,4}(?:\.\d+)*)"
+_TARGET = r"\d{3,4}(?:\.\d+)*$"
 MANDATORY = [rf"shall comply with {_NUMBER}", rf"in accordance with {_NUMBER}", rf"(?:shall )?comply with the (?:provisions|requirements) of {_NUMBER}"]
 INFORMATIONAL = [rf"see {_NUMBER}", rf"see also {_NUMBER}", rf"refer to {_NUMBER}"]
 EXCEPTION = r"Exception(?:\s+\d+)?(?:\s*\(.*?\))?:\s*(.+?)(?=(?:Exception|$))"
@@ -31,22 +32,18 @@ def extract(text: Column) -> Column:
     parts = []
     for kind, patterns in (("mandatory", MANDATORY), ("informational", INFORMATIONAL)):
         for p in patterns:
-            pairs = F.arrays_zip(_all(text, p, 1).alias("target"), _all(text, p, 0).alias("whole"))
-            parts.append(_of_kind(pairs, kind))
+            # the target ends the match: the text is searched once
+            parts.append(F.transform(_all(text, p, 0), lambda w: _struct(kind, F.regexp_extract(w, _TARGET, 0), None, w)))  # noqa: B023
     parts.append(F.transform(_all(text, EXCEPTION, 1, "(?is)"), lambda x: _struct("exception", None, None, F.concat(F.lit("Exception: "), F.substring(x, 1, 100)))))
     parts.append(F.transform(_all(text, TABLE, 1), lambda x: _struct("table", None, None, F.concat(F.lit("Table "), x))))
     parts.append(F.transform(_all(text, FIGURE, 1), lambda x: _struct("figure", None, None, F.concat(F.lit("Figure "), x))))
     parts.append(F.transform(_all(text, STANDARD, 1), lambda x: _struct("external_standard", None, F.upper(x), F.upper(x))))
-    across = F.arrays_zip(_all(text, PART, 1).alias("part"), _all(text, PART, 2).alias("target"))
+    across = F.transform(_all(text, PART, 0), lambda w: F.struct(F.regexp_extract(w, "(?i)" + PART, 1).alias("part"), F.regexp_extract(w, "(?i)" + PART, 2).alias("target")))
     named = F.filter(across, lambda r: F.coalesce(r["target"], F.lit("")) != "")
     parts.append(F.transform(named, lambda r: _struct("cross_part", r["target"], None, F.concat(F.lit("Part "), r["part"], F.lit(", Section "), r["target"]))))
     return F.concat(*parts)
 
 
-def _of_kind(pairs: Column, kind: str) -> Column:
-    return F.transform(pairs, lambda r: _struct(kind, r["target"], None, r["whole"]))
-
-
 #: Numbers that one range may give; a wider one stays as it is.
 MOST_OF_RANGE = 1000
 

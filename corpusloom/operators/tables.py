@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: A dimension is broadcast only while its file statistics say that it is no larger; beyond, Spark joins by shuffle.
 BROADCAST_BYTES = 32 << 20
+SPREAD_BYTES = 8 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -17,6 +18,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Narrow rows dealt by ``by`` before dear work on each: a small file of few row groups is read by as few tasks, however many cores there are. As many parts as three times the cores, or one for each ``SPREAD_BYTES`` of the estimated size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(3 * df.sparkSession.sparkContext.defaultParallelism, min(4096, size // SPREAD_BYTES)), *by)
+
+
 def first_of(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     """One row for each key: the first in ``order``."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")

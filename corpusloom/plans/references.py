@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
 from corpusloom.functions import citations
+from corpusloom.operators.tables import small, spread
+from corpusloom.steps import written
 
 _TEXT = """concat('Walls shall comply with Section ', 100 + p_partkey % 900, '.', p_size, ' and work in accordance with § ', 1000 + p_partkey, '.1; comply with the provisions of Section ', 700 + p_size, '. See Section ', 200 + p_size, '.2, refer to Section 26.5, see Table ',
  p_size, '.', p_partkey % 7, ' and as shown in Figure ', p_partkey % 12, ' per ASTM E', 100 + p_size, '-18 and nfpa ', p_size, '. Title 24, Part ', p_partkey % 9, ', Section ', 300 + p_size, '.4 and Part 3. Exception 1: ', p_name, ' is exempt.')"""
 
 
 def citation_texts(t):
-    return t("part").selectExpr("p_partkey AS id", f"{_TEXT} AS text")
+    return spread(t("part").select("p_partkey", "p_size", "p_name"), "p_partkey").selectExpr("p_partkey AS id", f"{_TEXT} AS text")
 
 
 def extracted(t):
@@ -69,5 +71,8 @@ def link_references(t):
     index = part.select(F.concat(F.lit("Chapter "), "p_size").alias("key")).union(part.filter("p_size % 2 = 0").selectExpr("concat('Table ', p_size, '.', p_partkey % 7)")).distinct()
     text = F.expr("concat('See Table ', p_size, '.', p_partkey % 7, ' in Chapter ', p_size, '.')")
     found = part.select(F.col("p_partkey").alias("id"), F.posexplode(citations.links(text)).alias("at", "l"))
-    tried = found.select("id", "at", "l.whole", F.posexplode(citations.link_keys(F.col("l.number"))).alias("rank", "key"))
-    return tried.join(index.withColumn("there", F.lit(True)), "key", "left").groupBy("id", "at", "whole").agg(F.min(F.when(F.col("there"), F.struct("rank", "key")))["key"].alias("hit")).select("id", "whole", "hit")
+    # each different number is resolved once; a number of any frequency is no group of its links
+    numbers = found.select(F.col("l.number").alias("number")).distinct()
+    tried = numbers.select("number", F.posexplode(citations.link_keys(F.col("number"))).alias("rank", "key")).join(index, "key")
+    resolved = small(written(tried.groupBy("number").agg(F.min(F.struct("rank", "key"))["key"].alias("hit"))))
+    return found.select("id", "l.whole", "l.number").join(resolved, "number", "left").select("id", "whole", "hit")

@@ -255,3 +255,14 @@ def test_size_label_between_two(spark):
     """Halfway values go to the even digit, as the query's SQL has it."""
     d = spark.createDataFrame([(x,) for x in (1280, 1408, 790 * 1024 + 512, 791 * 1024 + 512, 5, 0)], "n long")
     assert [r[0] for r in d.select(text.size_label(F.col("n"))).collect()] == ["1.2 KB", "1.4 KB", "790 KB", "792 KB", "5.0 B", "—"]
+
+
+def test_few_row_groups_are_dealt_over_the_cores(spark):
+    """The part table is one small file: references are looked for by more than one task, and each number is resolved once."""
+    from corpusloom.catalog import QUERIES
+    from corpusloom.plans.references import extracted
+
+    t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    assert extracted(t).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    plan = QUERIES["link_references"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "BroadcastHashJoin" in plan

@@ -61,11 +61,16 @@ def keyword_search(sections: DataFrame, q: str, k: int, stem: bool = False) -> D
     """(id, score) of the ``k`` best of ``sections`` (id, full_text) that hold a term of ``q``; by stems, or by words as they are. A scan of all texts: for more than a few searches see ``postings``."""
     terms = query_lexemes(sections.sparkSession, q, stem)
     text = F.lower("full_text")
-    # a stem is the beginning of its words but for their last letters, so only whole words can be told from the text itself
-    near = reduce(lambda a, b: a | b, [text.contains(t) for t in terms], F.lit(False))
-    of = stemmed if stem else lexemes
+    # a word begins with its stem but for the stem's last letter: texts without such beginnings go, and of the rest only words with one are stemmed
+    begun = [t[:-1] if stem else t for t in terms]
+    near = reduce(lambda a, b: a | b, [text.contains(t) for t in begun], F.lit(False))
+
+    def of(c: Column) -> Column:
+        words = lexemes(c)
+        return stems(F.filter(words, lambda w: reduce(lambda a, b: a | b, [w.startswith(b) for b in begun], F.lit(False)))) if stem else words
+
     wanted = F.array(*map(F.lit, terms)) if terms else F.expr("cast(array() as array<string>)")
-    found = (sections if stem else sections.filter(near)).select("id", of(F.col("full_text")).alias("_words")).filter(F.arrays_overlap("_words", wanted))
+    found = sections.filter(near).select("id", of(F.col("full_text")).alias("_words")).filter(F.arrays_overlap("_words", wanted))
     return found.select("id", rank(F.col("_words"), wanted).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 

@@ -266,3 +266,16 @@ def test_few_row_groups_are_dealt_over_the_cores(spark):
     assert extracted(t).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
     plan = QUERIES["link_references"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_words_begin_with_their_stems(spark):
+    """All but the last letter of a stem begins its word, so keyword_search stems only such words: over made words of all endings."""
+    ends = ["", "s", "es", "ies", "y", "ed", "eed", "ing", "e", "ll", *[x.split(":")[0] for x in f"{lexical.STEP_2} {lexical.STEP_3} {lexical.STEP_4}".split()], "ably", "ency", "ancy", "ently", "ously", "ality", "ivity", "bility"]
+    for start in ("a", "re", "hop", "trou", "sens", "activ", "condit", "ya", "controll", "hizz", "é"):
+        for one in ends:
+            for two in ends:
+                word = start + one + two
+                assert word.startswith(lexical.stem(word)[:-1]), word
+    d = spark.createDataFrame([(1, "other words " * 50 + "heated Heating"), (2, "nothing of it " * 50)], "id long, full_text string")
+    found = retrieval.keyword_search(d, "heats", 5, stem=True)
+    assert [r.id for r in found.collect()] == [1] and "StartsWith" in found._jdf.queryExecution().optimizedPlan().toString()

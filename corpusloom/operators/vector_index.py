@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.retrieval import nearest
 
-#: Rows of the sample that centres are fitted on, for each cell and in all; the most cells; rows searched as one piece; queries as one block.
-SAMPLE_PER_CELL, MOST_SAMPLE, MOST_CELLS, PIECE, BLOCK = 64, 200_000, 4096, 20_000, 512
+#: Rows of the sample that centres are fitted on, for each cell and in all; the most cells; rows searched as one piece; queries as one block; rows of a piece that meet a block at once.
+SAMPLE_PER_CELL, MOST_SAMPLE, MOST_CELLS, PIECE, BLOCK, SLICE = 64, 200_000, 4096, 20_000, 512, 2048
 DECIMALS = 6
 #: Queries that the number of probed cells is chosen by, their neighbours, and the share of these that must be found.
 TRIED, TRIED_K, RECALL = 200, 10, 0.95
@@ -156,8 +156,8 @@ def search_many(index: VectorIndex, queries: DataFrame, k: int, probes: int | No
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = shared.value
-            for b in batches:
-                if b.num_rows and len(c):
+            for b in (whole.slice(i, BLOCK) for whole in batches for i in range(0, whole.num_rows, BLOCK)):
+                if len(c):
                     q = np.stack(b.column(1).to_numpy(zero_copy_only=False))
                     best = np.argsort((c * c).sum(1)[None, :] - 2 * q @ c.T, axis=1, kind="stable")[:, :probes]
                     row = np.repeat(np.arange(len(q)), best.shape[1])
@@ -174,12 +174,18 @@ def search_many(index: VectorIndex, queries: DataFrame, k: int, probes: int | No
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _NOTHING(left, right)
-        ids, query = right.column("id"), left.column("query")
-        q, v = (np.stack(t.column(c).to_numpy()) for t, c in ((left, "_q"), (right, "_unit")))
-        scores, by_id = np.round(q @ v.T, DECIMALS), np.argsort(ids.to_numpy(), kind="stable")
-        best = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
-        row = np.repeat(np.arange(len(q)), best.shape[1])
-        return pa.table({"query": query.take(pa.array(row)), "id": ids.take(pa.array(best.ravel())), "score": pa.array(scores[row, best.ravel()])})
+        query, q = left.column("query"), _matrix(left.column("_q"))
+        scores, places = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)  # rows of right
+        order = np.argsort(right.column("id").to_numpy(), kind="stable")
+        for at in range(0, len(order), SLICE):
+            # of equal scores those that come first by id stay first
+            part = order[at : at + SLICE]
+            scores = np.hstack([scores, np.round(q @ _matrix(right.column("_unit").take(pa.array(part))).T, DECIMALS)])
+            places = np.hstack([places, np.broadcast_to(part, (len(q), len(part)))])
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            scores, places = (np.take_along_axis(x, best, 1) for x in (scores, places))
+        ids, row = right.column("id"), np.repeat(np.arange(len(q)), scores.shape[1])
+        return pa.table({"query": query.take(pa.array(row)), "id": ids.take(pa.array(places.ravel())), "score": pa.array(scores.ravel())})
 
     kinds = f"query {dict(queries.dtypes)['query']}, id {dict(index.rows.dtypes)['id']}, score double"
     found = left.groupBy("cell", "piece", "block").cogroup(right.groupBy("cell", "piece", "block")).applyInArrow(meet, kinds)
@@ -187,5 +193,12 @@ def search_many(index: VectorIndex, queries: DataFrame, k: int, probes: int | No
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Equally long vectors as rows, without an object for each."""
+    n = len(vectors)
+    flat = pa.chunked_array([c.flatten() for c in vectors.chunks]) if isinstance(vectors, pa.ChunkedArray) else vectors.flatten()
+    return flat.to_numpy().reshape(n, -1)
+
+
 def _NOTHING(left: pa.Table, right: pa.Table) -> pa.Table:  # noqa: N802
     return pa.table({"query": left.column("query")[:0], "id": right.column("id")[:0], "score": pa.array([], pa.float64())})

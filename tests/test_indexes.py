@@ -95,6 +95,16 @@ def test_large_cells_and_ties(spark, tmp_path, monkeypatch):
     assert all_cells == sorted((q, i, s, p) for q, found in got.items() for p, i, s in found)
 
 
+def test_pieces_meet_blocks_in_slices(spark, tmp_path, monkeypatch):
+    """A slice smaller than k, and ties over several slices."""
+    monkeypatch.setattr(vector_index, "SLICE", 3)
+    rows = [(i, [1.0, float(i % 4)]) for i in range(40)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    index = vector_index.build(v, str(tmp_path / "v"), cells=2)
+    got = vector_index.search_many(index, v.filter("id = 6").withColumnRenamed("id", "query"), 8, exact=True).orderBy("place").collect()
+    assert [(r.id, r.score) for r in got] == [tuple(r) for r in retrieval.nearest(v, rows[6][1], 8).collect()]
+
+
 def test_no_vectors(spark, tmp_path):
     v = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "id long, embedding array<float>")
     index = vector_index.build(v, str(tmp_path / "v"))

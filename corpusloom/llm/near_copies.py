@@ -2,6 +2,8 @@
 
 Candidates come from exact prefix filtering, so no similar pair is missed. Under any fixed order of all shingles, two sets of similarity s share one of their first ``n - ceil(s * n) + 1`` shingles. Here a shingle comes first if few sets hold it, so that a passage that many documents share stands among the first only where a document is hardly anything else. A shingle of one set alone meets nothing, so that most sets have no candidates at all.
 
+Before that, sets without any similar one are told by narrower rows. In the order of their hashes alone, the first common shingles of two similar sets lie in the heads of both, for which a set sends three tenths of its shingles: a set that finds fewer of its head's in the heads of others is left out, and only the rest send all of theirs. Texts that a step needs again are picked by a bitmap of a fixed size, so that they aren't shuffled; what it lets through beyond them changes no result.
+
 Shingles that a bounded sample of the sets shows to be in many of them come last in the order, without a count, and their rows are dealt by set too, so that no task gets a shared passage whole; a run of equal shingles is read in pieces. The sample decides where rows go and in which order they stand, never which pairs are found. Each task sends equal sets once.
 
 Sets that share a shingle are first held against two of them, one picked in eight ways by the shingle's hash, and the one with the least that no other set has, so that a large group costs some ten pairs a member. Only sets that share a shingle, are then still in different components and have enough behind the shingle in their orders to be similar are listed as pairs. Every candidate is verified by its whole set.
@@ -27,6 +29,8 @@ SHINGLE, SEED, WAYS = 5, 42, 8
 SAMPLE, FREQUENT, LISTED, SALTS = 4000, 40, 200_000, 64
 #: Sets a task remembers as sent, and rows of one shingle that it holds at once (2 or more).
 REMEMBERED, HELD = 200_000, 200_000
+#: Bits of the map by which texts are picked (a power of two, a multiple of 32,768); it goes through the driver.
+PICKED = 1 << 26
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,6 +61,16 @@ def prefix_length(n):
     return n - (4 * n + 4) // 5 + 1
 
 
+def head_length(n):
+    """How many of its ``n`` shingles a set sends before all: the first ``n // 10 + 1`` that it has in common with a similar set are among them."""
+    return prefix_length(n) + n // 10
+
+
+def least_met(n):
+    """How many shingles of a head surely lie in the head of a similar set, which may be smaller by a fifth."""
+    return F.floor((4 * n + 4) / 50) + 1
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, key, n) of every document: SimHash, name and size of its set."""
 
@@ -70,36 +84,59 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), f, "doc_id long, fp long, key long, n long")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(key, x): the set of every document; a task sends one that it remembers once."""
+def _bit():
+    """Where a doc_id stands in a map of ``PICKED`` bits."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(PICKED))
+
+
+def _picked(keys: DataFrame, winners: DataFrame) -> np.ndarray:
+    """A map of ``PICKED`` bits, in bytes, of the doc_ids that the winners (key, doc_id) of ``keys`` (key) have."""
+    at = winners.join(keys, "key", "left_semi").select((_bit() + 1).alias("_bit"))
+    rows = at.groupBy(F.bitmap_bucket_number("_bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("bits")).collect()
+    bits = np.zeros(PICKED // 8, np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        bits[(r.k - 1) * len(part) :][: len(part)] = part
+    return bits
+
+
+def _is_in(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``listed``, which is in order."""
+    return listed[np.minimum(np.searchsorted(listed, x), len(listed) - 1)] == x if len(listed) else np.zeros(len(x), bool)
+
+
+def _sets(docs: DataFrame, picked: np.ndarray | None = None, heads_but: np.ndarray | None = None) -> DataFrame:
+    """(key, x): the set of every document, or of every one that ``picked`` lets through; a task sends one that it remembers once. With ``heads_but``, only the set's head, for which these shingles come last."""
     bound_batches(docs.sparkSession)
 
+    def head(x: np.ndarray) -> np.ndarray:
+        last = _is_in(x.view(np.int64), heads_but)
+        return np.concatenate([x[~last], x[last]])[: head_length(len(x))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for b in batches:
+            texts = b.column(1)
+            if picked is not None:
+                at = b.column(0).to_numpy()
+                texts = texts.filter(pa.array((picked[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             made = {}
-            for x in map(shingles, texts_of(b.column(0))):
-                if (key := key_of(x)) not in sent:
-                    made[key] = x
+            for x in map(shingles, texts_of(texts)):
+                if (key := key_of(x)) not in sent and key not in made:
+                    made[key] = x if heads_but is None else head(x)
             sent = (sent if len(sent) < REMEMBERED else set()) | made.keys()
             flat = np.concatenate([np.empty(0, np.uint64), *made.values()]).view(np.int64)
             at = np.cumsum([0, *map(len, made.values())]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["key", "x"])
 
-    return docs.selectExpr("cast(text as string) text").mapInArrow(run, "key long, x array<long>")
-
-
-def _texts_of_keys(docs: DataFrame, keys: DataFrame, winners: DataFrame) -> DataFrame:
-    """Those of ``docs`` whose doc_id is that of a winner (key, doc_id) of ``keys`` (key)."""
-    ids = keys.join(winners, "key").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids._id), "left_semi")
+    return docs.select(_bit().alias("at"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, x array<long>")
 
 
 def frequent_shingles(docs: DataFrame, winners: DataFrame) -> np.ndarray:
     """The shingles, in order, that at least ``FREQUENT`` of about ``SAMPLE`` different sets hold: at most ``LISTED``, those in most of them."""
     total = max(winners.count(), 1)
     keys = winners.select("key").filter(F.pmod(F.xxhash64("key"), F.lit(1 << 31)) < min(1 << 31, int((1 << 31) * SAMPLE / total) + 1))
-    sets = _sets(_texts_of_keys(docs, keys, winners)).dropDuplicates(["key"])
+    sets = _sets(docs, _picked(keys, winners)).join(keys, "key", "left_semi").dropDuplicates(["key"])
     held = sets.select(F.explode("x").alias("x")).groupBy("x").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "x").limit(LISTED)
     return np.sort(np.array([r.x for r in held.select("x").collect()], np.int64))
 
@@ -113,7 +150,7 @@ def _shared(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
         key = np.repeat(b.column(0).to_numpy(), size)
         salt = np.zeros(len(x), np.int32)
         if len(frequent) and len(x):
-            found = frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
+            found = _is_in(x, frequent)
             salt[found] = 1 + _mix(key[found].view(np.uint64)) % np.uint64(SALTS)
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(key), pa.array(salt)], ["x", "key", "salt"])
 
@@ -177,7 +214,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_links(docs: DataFrame, sized: DataFrame, winners: DataFrame) -> DataFrame:
     """(a, b): links between keys that connect exactly those that chains of similarity 0.8 connect. ``sized``: (key, n); ``winners``: (key, doc_id), a document of each."""
-    shared = _shared(_sets(docs), frequent_shingles(docs, winners))
+    frequent = frequent_shingles(docs, winners)
+    met = _shared(_sets(docs, heads_but=frequent), frequent).groupBy("key").agg(F.count("*").alias("met"))
+    meeting = materialize(met.join(sized, "key").filter(F.col("met") >= least_met(F.col("n"))).select("key"))
+    shared = _shared(_sets(docs, _picked(meeting, winners)), frequent)
     by_key = shared.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "x", "star"))).alias("xs")).join(sized, "key")
     alone = F.col("n") - F.size("xs")
     taken = F.greatest(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - alone, F.lit(0)).cast("int")
@@ -192,7 +232,7 @@ def similar_links(docs: DataFrame, sized: DataFrame, winners: DataFrame) -> Data
     pairs = pairs.join(sized.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(size.withColumnRenamed("star", "b"), "b").filter(near("na", "m")).select("a", "b")
     pairs = materialize(pairs)
     wanted = prefix.select("key").union(prefix.select("star")).distinct()
-    sets = materialize(_sets(_texts_of_keys(docs, wanted, winners)).join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+    sets = materialize(_sets(docs, _picked(wanted, winners)).join(wanted, "key", "left_semi").dropDuplicates(["key"]))
     found = materialize(_verified(pairs, sets))
     # what the stars left apart
     roots = simhash.components(found)

@@ -86,3 +86,31 @@ def test_groups_of_a_table(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(df).collect()}
     assert got == brute_groups([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
+
+
+def test_only_sets_that_meet_others_send_all_shingles(spark, monkeypatch):
+    """Heads go first: what all sets together send is far less than all their shingles, and the groups are the same."""
+    ts = edited(7, 60, 0) + [" ".join(random.Random(s).choices([f"{a}{b}" for a in "klmnop" for b in "qrstuvw"], k=300)) for s in range(80)] + edited(8, 4, 2)
+    ts = [t for k, t in enumerate(ts) if t not in ts[:k]]
+    rows = list(enumerate(ts))
+    df = spark.createDataFrame([(i, t, None, None, len(t), None, None) for i, t in rows], SCHEMA).repartition(3)
+    sent, shared = [], near_copies._shared
+    monkeypatch.setattr(near_copies, "_shared", lambda sets, frequent: (sent.append(sum(len(r.x) for r in sets.collect())), shared(sets, frequent))[1])
+    assert {r.doc_id: r.component_id for r in near_copies.near_copy_groups(df).collect()} == brute_groups(rows)
+    assert sum(sent) < 0.6 * sum(len(brute_set(t)) for t in ts)
+
+
+def test_heads_of_similar_sets_meet(spark):
+    r = random.Random(4)
+    for n in [*range(1, 40), 99, 100, 101, 1000]:
+        a = set(r.sample(range(10**6), n))
+        for gone in range(n // 5 + 1):
+            for new in range(n // 4 + 1) if n < 40 else (0, n // 9, n // 4):
+                b = set(list(a)[gone:]) | set(range(10**6, 10**6 + new))
+                if 5 * len(a & b) >= 4 * len(a | b):
+                    order = {x: r.random() for x in a | b}
+                    heads = [set(sorted(s, key=order.get)[: near_copies.head_length(len(s))]) for s in (a, b)]
+                    least = [(4 * len(s) + 4) // 50 + 1 for s in (a, b)]
+                    assert len(heads[0] & heads[1]) >= max(least), (n, gone, new)
+    got = spark.range(1001).select("id", near_copies.least_met(near_copies.F.col("id")).alias("m")).collect()
+    assert all(row.m == (4 * row.id + 4) // 50 + 1 for row in got)

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -38,19 +37,21 @@ class Jobs(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("job", "phase int, processed long, total long, ticked long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        phase, processed, total, ticked = self.state.get() if self.state.exists() else (-1, 0, -1, 0)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        phase, processed, total, ticked = self.state.get() or (-1, 0, -1, 0)
         out: list[tuple] = []
         latest = 0
         moves = []
-        for part in rows:
-            is_step = part["phase"].isna()
-            processed += int(is_step.sum())
-            latest = max(latest, int(part["ms"].max()))
-            moves += part.loc[~is_step, ["ms", "phase", "total"]].itertuples(index=False)
+        for row in rows:
+            if row["phase"] is None:
+                processed += 1
+            else:
+                moves.append(row)
+            if self.stale_ms is not None:
+                latest = max(latest, row["ms"])
         for move in sorted(moves, key=lambda m: (m.ms, PHASES.index(m.phase) if m.phase in PHASES else -1)):
-            if total < 0 and not pd.isna(move.total):
-                total = int(move.total)
+            if total < 0 and move.total is not None:
+                total = move.total
             to = PHASES.index(move.phase) if move.phase in PHASES else -1
             allowed = phase < _ENDED and (to == phase + 1 or to == _FAILED)
             phase = to if allowed else phase
@@ -62,17 +63,16 @@ class Jobs(StatefulProcessor):
         self.state.update((phase, processed, total, max(ticked, given)))
         if self.stale_ms is not None:
             self._wake(max(latest + self.stale_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._rows(key, out)
+        yield from self._rows(key, out)
 
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         phase, processed, total, ticked = self.state.get()
         if phase >= _ENDED:
             self.state.clear()
-            yield self._rows(key, [])
         else:
             self.state.update((_FAILED, processed, total, ticked))
             self._wake(expiredTimerInfo.getExpiryTimeInMs() + self.stale_ms)
-            yield self._rows(key, [("stale", PHASES[_FAILED], None, processed, total)])
+            yield from self._rows(key, [("stale", PHASES[_FAILED], None, processed, total)])
 
     def _wake(self, at: int) -> None:
         """One timer for each job."""
@@ -81,9 +81,8 @@ class Jobs(StatefulProcessor):
         self.handle.registerTimer(at)
 
     @staticmethod
-    def _rows(key, out: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame([(key[0], *r) for r in out], columns=["job", "kind", "phase", "tick", "processed", "total"])
-        return made.astype({c: "Int64" for c in ("job", "tick", "processed", "total")} | {"kind": object, "phase": object})
+    def _rows(key, out: list[tuple]) -> Iterator[Row]:
+        return (Row(job=key[0], kind=kind, phase=phase, tick=tick, processed=processed, total=total) for kind, phase, tick, processed, total in out)
 
     def close(self) -> None:
         pass
@@ -95,6 +94,7 @@ def follow(stream: DataFrame, stale_seconds: int | None = None, late: str = "10
     if "spark.sql.streaming.stateStore.providerClass" not in conf.getAll:
         conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     timed = stream if stale_seconds is None else stream.withWatermark("at", late)
-    rows = timed.select(F.col("job").cast("long").alias("job"), "at", F.coalesce(F.unix_millis("at"), F.lit(0)).alias("ms"), "phase", F.col("total").cast("long").alias("total"))
+    at = [] if stale_seconds is None else ["at"]
+    rows = timed.select(F.col("job").cast("long").alias("job"), *at, F.coalesce(F.unix_millis("at"), F.lit(0)).alias("ms"), "phase", F.col("total").cast("long").alias("total"))
     stale_ms = None if stale_seconds is None else 1000 * stale_seconds
-    return rows.groupBy("job").transformWithStateInPandas(Jobs(stale_ms), OUT, "Append", "None" if stale_ms is None else "EventTime")
+    return rows.groupBy("job").transformWithState(Jobs(stale_ms), OUT, "Append", "None" if stale_ms is None else "EventTime")

@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import Row
 
 from corpusloom.steps import shared_dir
 from corpusloom.streaming import ingest, jobs
@@ -63,3 +64,25 @@ def test_silent_jobs_fail(spark):
 @pytest.mark.parametrize("n", [1, 49, 50, 51, 100, 101, 5000])
 def test_about_fifty(n):
     assert len(ticks(n)) <= 50 and ticks(n)[-1][1] == n
+
+
+def test_a_job_costs_two_calls_of_its_state():
+    """Rows come and go as they are: no frame is built for a job, and its state is read and written once a batch."""
+    calls, kept = [], {}
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return kept.get("job")
+
+        def update(self, value):
+            calls.append("update")
+            kept["job"] = value
+
+    made = jobs.Jobs(None)
+    made.state = State()
+    step, begun = Row(ms=1, phase=None, total=None), Row(ms=0, phase="queued", total=3)
+    first = list(made.handleInputRows((7,), iter([step, begun, step]), None))
+    assert [(r.job, r.kind, r.phase, r.tick, r.processed, r.total) for r in first] == [(7, "phase", "queued", None, 2, 3), (7, "tick", None, 0, 1, 3), (7, "tick", None, 1, 2, 3)]
+    assert [r.tick for r in made.handleInputRows((7,), iter([step]), None)] == [2]
+    assert calls == ["get", "update"] * 2 and kept["job"] == (0, 3, 3, 3)

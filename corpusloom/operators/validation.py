@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.functions.text import sha256, strip
+from corpusloom.functions.text import sha256
 from corpusloom.operators.tables import small
 from corpusloom.steps import written
 
@@ -26,20 +28,23 @@ INDICATORS = {
     "code_terms": r"\b(?:section|chapter|appendix|table|figure|exception)\b",
     "definition_markers": r"\b(?:defined as|means|definition|shall be construed)\b",
 }
+# Fixed patterns: characters that few texts have.
+CONTROL, ODD, EITHER = r"[\x00-\x08\x0B\x0C\x0E-\x1F]", r"[^\u0000-\u206F]", r"[\x00-\x08\x0B\x0C\x0E-\x1F\u2070-\x{10FFFF}]"
+BLANK = " \t\n\x0b\f\r"
 LEAST_CHARS, MOST_CONTROL, MOST_ODD, MOST_TAGS, MOST_REPEATED, LEAST_LINES = 20, 0.05, 0.1, 0.3, 0.2, 5
 
 
 def _share(text: Column, pattern: str) -> Column:
-    """Of the characters, those that the pattern matches."""
-    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / F.greatest(F.length(text), F.lit(1))
+    """Of the characters, those that the pattern, of one character, matches."""
+    return F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
 
 
 def control_share(text: Column) -> Column:
-    return _share(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    return _share(text, CONTROL)
 
 
 def odd_share(text: Column) -> Column:
-    return _share(text, r"[^\u0000-\u206F]")
+    return _share(text, ODD)
 
 
 def tag_ratio(text: Column) -> Column:
@@ -47,78 +52,72 @@ def tag_ratio(text: Column) -> Column:
     return F.regexp_count(text, F.lit("<[^>]+>")) / F.greatest(F.regexp_count(text, F.lit(r"\S+")), F.lit(1))
 
 
+def _many_tags(text: Column) -> Column:
+    """Whether there are too many tags; without both brackets nothing is counted."""
+    return text.contains("<") & text.contains(">") & (tag_ratio(text) > MOST_TAGS)
+
+
+def _full_lines(lines: Column) -> Column:
+    return F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
+
+
 def repetition(text: Column) -> Column:
     """The share of all lines that equal the most frequent one; 0 for fewer than five. The lines are sorted and counted within the row, so nothing is shuffled."""
     lines = F.split(text, "\n")
-    full = F.array_sort(F.filter(F.transform(lines, strip), lambda x: x != ""))
     start = F.struct(F.lit("").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(s: Column, x: Column) -> Column:
         run = F.when(s.line == x, s.run + 1).otherwise(F.lit(1))
         return F.struct(x.alias("line"), run.alias("run"), F.greatest(s.best, run).alias("best"))
 
-    return F.when(F.size(lines) < LEAST_LINES, 0.0).otherwise(F.aggregate(full, start, step, lambda s: s.best) / F.size(lines))
+    return F.when(F.size(lines) < LEAST_LINES, 0.0).otherwise(F.aggregate(F.array_sort(_full_lines(lines)), start, step, lambda s: s.best) / F.size(lines))
+
+
+def _repetitive(text: Column) -> Column:
+    """Whether one line is too large a share; lines are sorted only where so few are different that one may be."""
+    lines = F.split(text, "\n")
+    full = _full_lines(lines)
+    few = F.size(full) - F.size(F.array_distinct(full)) + 1 > MOST_REPEATED * F.size(lines)
+    return text.rlike(rf"(?s)(?:\n.*?){{{LEAST_LINES - 1}}}") & few & (repetition(text) > MOST_REPEATED)
 
 
 def format_error(text: Column) -> Column:
-    """Layer 1."""
+    """Layer 1. Two ends that aren't blank and what lies between them are a text without the blanks around it; shares are counted only where there is anything to count."""
     return (
         F.when(~F.is_valid_utf8(text), "Encoding error")
-        .when(F.coalesce(F.length(strip(text)), F.lit(0)) < LEAST_CHARS, "Content too short")
-        .when(text.contains("\0") | (control_share(text) > MOST_CONTROL), "Content appears to be binary")
-        .when(odd_share(text) > MOST_ODD, "Content contains mojibake")
+        .when(~F.coalesce(text.rlike(rf"(?s)\S.{{{LEAST_CHARS - 2}}}.*?\S"), F.lit(False)), "Content too short")
+        .when(text.rlike(EITHER), F.when(text.contains("\0") | (control_share(text) > MOST_CONTROL), "Content appears to be binary").when(odd_share(text) > MOST_ODD, "Content contains mojibake"))
     )
 
 
-def _alternatives(pattern: str) -> list[str]:
-    """The alternatives of a pattern in one pair of brackets."""
-    if not pattern.startswith("(?:") or _closing(pattern) != len(pattern) - 1:
-        return [pattern]
-    out, depth = [""], 0
-    for c in pattern[3:-1]:
-        depth += {"(": 1, ")": -1}.get(c, 0)
-        if c == "|" and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
-
-
-def _closing(pattern: str) -> int:
-    """Where the first bracket of a pattern closes."""
-    depth = 0
-    for k, c in enumerate(pattern):
-        depth += {"(": 1, ")": -1}.get(c, 0)
-        if not depth:
-            return k
-    return -1
-
-
-def _holds(low: Column, patterns: list[str]) -> Column:
-    """Whether any of ``patterns`` occurs: plain words are searched as such; an alternative that isn't plain is tried only where the word that it begins with occurs."""
-    tests = []
-    for a in (a for p in patterns for a in _alternatives(p)):
-        plain = re.match(r"[a-z0-9 ]*", a)[0]
-        tests.append(low.contains(plain) if plain == a else low.contains(plain) & low.rlike(a) if plain else low.rlike(a))
-    return reduce(lambda a, b: a | b, tests)
-
-
-def garbage_error(text: Column, web: Column) -> Column:
-    """Layer 2; the patterns of web pages hold for texts from the web only."""
-    low = F.lower(text)
+@F.arrow_udf(T.StructType([*(T.StructField(name, T.BooleanType()) for name in ("error", "captcha", "paywall", "shop")), T.StructField("signs", T.IntegerType())]))
+def _seen(low: pa.Array, text: pa.Array) -> pa.Array:
+    """What patterns find: those of web pages in the text in lower case, and how many kinds of signs in the text. Arrow looks for all alternatives of a pattern in one pass over a batch, whose time doesn't hang on their number; the JVM's patterns try each at every character."""
+    web = [pc.match_substring_regex(low, "|".join(p)) for p in (ERROR_PAGE, CAPTCHA, PAYWALL, SHOP)]
+    signs = [pc.match_substring_regex(text, p, ignore_case=True).cast(pa.int32()) for p in INDICATORS.values()]
+    return pa.StructArray.from_arrays([*web, reduce(pc.add, signs)], ["error", "captcha", "paywall", "shop", "signs"])
+
+
+def seen(text: Column) -> Column:
+    return _seen(F.lower(text), text)
+
+
+def garbage_error(text: Column, web: Column, found: Column | None = None) -> Column:
+    """Layer 2; the patterns of web pages hold for texts from the web only. ``found``: what ``seen`` gives, if it is there."""
+    found = seen(text) if found is None else found
     return (
-        F.when(web & _holds(low, ERROR_PAGE), "Error page pattern detected")
-        .when(web & _holds(low, CAPTCHA), "CAPTCHA detected")
-        .when(web & _holds(low, PAYWALL), "Paywall detected")
-        .when(web & _holds(low, SHOP), "Shop page detected")
-        .when(tag_ratio(text) > MOST_TAGS, "Excessive HTML tags")
-        .when(repetition(text) > MOST_REPEATED, "Excessively repetitive content")
+        F.when(web & found.error, "Error page pattern detected")
+        .when(web & found.captcha, "CAPTCHA detected")
+        .when(web & found.paywall, "Paywall detected")
+        .when(web & found.shop, "Shop page detected")
+        .when(_many_tags(text), "Excessive HTML tags")
+        .when(_repetitive(text), "Excessively repetitive content")
     )
 
 
 def indicator_count(text: Column) -> Column:
     """Layer 3, which never rejects: how many kinds of signs a text shows."""
-    return reduce(lambda a, b: a + b, [text.rlike(f"(?i){p}").cast("int") for p in INDICATORS.values()])
+    return seen(text).signs
 
 
 def structure_ok(text: Column) -> Column:
@@ -126,8 +125,8 @@ def structure_ok(text: Column) -> Column:
 
 
 def truncated(text: Column) -> Column:
-    last = strip(F.element_at(F.split(text, "\n"), -1))
-    return F.regexp_replace(text, r"\s+$", "").endswith("...") | ((F.length(last) > 100) & ~F.substring(last, -1, 1).isin(*".!?):"))
+    last = F.btrim(F.substring_index(text, "\n", -1), F.lit(BLANK))
+    return (text.contains("...") & text.rlike(r"\.\.\.\s*\z")) | ((F.length(last) > 100) & ~F.substring(last, -1, 1).isin(*".!?):"))
 
 
 def bad_number(text: Column) -> Column:
@@ -147,8 +146,9 @@ def validate(df: DataFrame, text: str = "text", order: str = "doc_id", web: Colu
     All that follows from a text is computed in one scan; only these narrow columns are shuffled, by hash.
     """
     content, from_web = F.col(text), F.lit(True) if web is None else web
-    narrow = df.select(
-        order, sha256(content).alias("hash"), format_error(content).alias("_1"), garbage_error(content, from_web).alias("_2"), F.coalesce(truncated(content), F.lit(False)).alias("_cut"), F.coalesce(bad_number(content), F.lit(False)).alias("_bad"), indicator_count(content).alias("indicators")
+    found = F.col("_found")
+    narrow = df.withColumn("_found", seen(content)).select(
+        order, sha256(content).alias("hash"), format_error(content).alias("_1"), garbage_error(content, from_web, found).alias("_2"), F.coalesce(truncated(content), F.lit(False)).alias("_cut"), F.coalesce(bad_number(content), F.lit(False)).alias("_bad"), found.signs.alias("indicators")
     )
     narrow = written(narrow.withColumn("_2", F.when(F.col("_1").isNull(), F.col("_2"))))
     first = narrow.filter("coalesce(_1, _2) IS NULL").groupBy("hash").agg(F.min(order).alias("_first"))

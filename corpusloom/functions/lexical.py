@@ -71,9 +71,18 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
 
 
+#: What parts words.
+CUT = r"[^\p{L}0-9]+"
+
+
 def lexemes(text: Column) -> Column:
     """Words in the order of the text, in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}0-9]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(text), CUT), lambda x: x != "")
+
+
+def parted(text: Column) -> Column:
+    """The same words as one text, with a blank where they are cut."""
+    return F.regexp_replace(F.lower(text), CUT, " ")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

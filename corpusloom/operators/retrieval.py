@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.functions.lexical import LIMIT, WEIGHT, lexemes, rank, stemmed, stems
+from corpusloom.functions.lexical import LIMIT, WEIGHT, lexemes, parted, rank, stemmed, stems
 from corpusloom.steps import written
 
 SHOWN, MOST = 500, 50
+#: Arrow batches of postings end at so many bytes.
+BATCH_BYTES = 8 << 20
 
 
 def like_pattern(spark: SparkSession, q: str) -> str | None:
@@ -79,15 +86,51 @@ def query_lexemes(spark, q: str, stem: bool) -> list[str]:
     return spark.range(1).select(F.array_distinct((stemmed if stem else lexemes)(F.lit(q)))).first()[0]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For batches of id and words parted by blanks: each term, the ids of the sections that have it, and how often each does."""
+    for b in batches:
+        n = max(b.num_rows, 1)
+        words = pc.split_pattern(b.column(1), " ")
+        coded = words.flatten().dictionary_encode()
+        # sorted by term, then row: what is equal stands together
+        both = coded.indices.to_numpy().astype(np.int64)
+        both *= n
+        both += pc.list_parent_indices(words).to_numpy()
+        both.sort()
+        first = np.flatnonzero(np.append(len(both) > 0, both[1:] != both[:-1]))
+        times = pa.array(np.diff(np.append(first, len(both))).astype(np.int32))
+        code, row = np.divmod(both[first], n)
+        starts = pa.array(np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(starts, v) for v in (b.column(0).take(pa.array(row)), times)]
+        made = pa.record_batch([coded.dictionary, *lists], names=["term", "ids", "times"])
+        yield made.filter(pc.not_equal(coded.dictionary, ""))
+
+
 def postings(sections: DataFrame, path: str, stem: bool = False) -> DataFrame:
-    """(term, id, n): how often each section (id, full_text) has each term, written to ``path`` in the order of term, so that a search reads the row groups of its terms only. With ``stem``, each different word is stemmed once."""
-    words = sections.select("id", F.explode(lexemes(F.col("full_text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("n"))
+    """(term, id, n): how often each section (id, full_text) has each term, written to ``path`` in the order of term, so that a search reads the pages of its terms only. With ``stem``, each different word is stemmed once.
+
+    Words are counted within a batch of sections. A row for each batch and term, with lists of ids and counts, is what is shuffled, once, and sorted; large parts are divided, even those of one term.
+    """
+    spark = sections.sparkSession
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    words = sections.select("id", parted(F.col("full_text")).alias("_words")).mapInArrow(_counted, _lists(sections.schema))
     if stem:
         words = written(words)
         stems_ = words.select("term").distinct().select("term", F.explode(stems(F.array("term"))).alias("_stem"))
-        words = words.join(stems_, "term").groupBy(F.col("_stem").alias("term"), "id").agg(F.sum("n").alias("n"))
-    words.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(path)
-    return sections.sparkSession.read.parquet(path)
+        words = words.join(stems_, "term").select(F.col("_stem").alias("term"), "ids", "times")
+    words.hint("rebalance", "term").sortWithinPartitions("term").write.parquet(path)
+    return open_postings(spark, path, sections.schema)
+
+
+def _lists(schema: T.StructType) -> str:
+    return f"term string, ids array<{schema['id'].dataType.simpleString()}>, times array<int>"
+
+
+def open_postings(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The postings below ``path``, in this session or a later one; a filter on the term reaches their scan. ``schema``: that of the sections."""
+    one = spark.read.schema(_lists(schema)).parquet(path).select("term", F.explode(F.arrays_zip("ids", "times")).alias("_x"))
+    return one.groupBy("term", F.col("_x.ids").alias("id")).agg(F.sum("_x.times").alias("n"))
 
 
 def search_postings(index: DataFrame, q: str, k: int, stem: bool = False) -> DataFrame:

@@ -173,3 +173,39 @@ def test_row_groups_are_skipped(spark):
 def test_empty_index(spark, tmp_path):
     df = spark.createDataFrame([], "id long, section_title string, full_text string")
     assert trigram_index.search(trigram_index.build(df, str(tmp_path / "t")), "abc").count() == 0
+
+
+def counted(d):
+    """Terms of each section by the words themselves."""
+    return d.select("id", F.explode(retrieval.lexemes(F.col("full_text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("n"))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_postings_count_all_words(spark, tmp_path, kind):
+    """Odd texts, an id that comes twice, and letters that some engines don't know as such (a Vithkuqi and a Kawi one)."""
+    r = random.Random(7)
+    texts = [None, "", " ", ".,;", "one", "One ONE,one!", "İstanbul STRASSE straße", "éte été", "a\u0000b\nb\ta", "x_y-7٣ ½", "\U00010570a \U00011f04b ࡰc", "\U0001f600heat\U0001f600", "word " * 5000]
+    texts += ["".join(r.choices("abÀÉßж中🙂 ,\n0", k=r.randint(0, 60))) for _ in range(300)]
+    rows = [(i, x) for i, x in enumerate(texts)] + [(5, "one two"), (-3, "two " * 3)]
+    d = spark.createDataFrame(rows, "id long, full_text string").select(F.col("id").cast(kind).alias("id"), "full_text").repartition(3)
+    index = retrieval.postings(d, str(tmp_path / "p"))
+    assert index.schema["n"].dataType.simpleString() == "bigint" and index.columns == ["term", "id", "n"]
+    want = sorted(map(tuple, counted(d).collect()))
+    assert sorted(map(tuple, index.collect())) == want and len(want) > 500
+    assert sorted(map(tuple, retrieval.open_postings(spark, str(tmp_path / "p"), d.schema).collect())) == want
+
+
+def test_postings_are_a_row_for_each_batch_and_term(spark, tmp_path):
+    """Many sections that share their terms make few rows, which are all that is dealt and sorted; a search's filter reaches their scan."""
+    d = spark.range(3000).selectExpr("id", "concat('the same heat the text ', id % 3) AS full_text")
+    index = retrieval.postings(d.coalesce(1), str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    assert stored.count() < 3000 and index.filter("term = 'the' AND n = 2").count() == 3000
+    found = retrieval.search_postings(index, "the heat", 20)
+    assert "PushedFilters: [In(term, [" in plan_of(found)
+    assert found.collect() == retrieval.keyword_search(d, "the heat", 20).collect()
+
+
+def test_no_postings(spark, tmp_path):
+    d = spark.createDataFrame([], "id long, full_text string")
+    assert retrieval.search_postings(retrieval.postings(d, str(tmp_path / "p")), "abc", 5).count() == 0
